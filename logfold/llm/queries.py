@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logfold.llm import pii, quality, simhash, vafile
+from logfold.llm import mixing, packing, pii, quality, simhash, vafile
 from logfold.llm.common import table
 
 
@@ -20,6 +20,14 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = vafile.quantised(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 256.0)
     return vafile.top_k(vectors, vectors.where(F.col("id") % 50 == 0), 5)
@@ -46,7 +54,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op8_topk, op9_simhash, op10_quality)}
+    return {f.__name__: f for f in (op1_pii, op6_packing, op7_mixing, op8_topk, op9_simhash, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
