@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logfold.llm import fingerprint, mixing, packing, pii, quality, simhash, vafile
+from logfold.llm import fingerprint, linededup, mixing, packing, pii, quality, simhash, vafile
 from logfold.llm.common import table
 
 
@@ -20,6 +20,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.drop_repeated_chunks(docs).select("doc_id", F.length("text").cast("long").alias("n_kept"), F.md5("text").alias("text_md5"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited(fingerprint.with_next(table(spark, sf_dir, "documents")))
 
@@ -58,7 +63,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op3_fingerprints, op6_packing, op7_mixing, op8_topk, op9_simhash, op10_quality)}
+    return {f.__name__: f for f in (op1_pii, op2_line_dedup, op3_fingerprints, op6_packing, op7_mixing, op8_topk, op9_simhash, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
