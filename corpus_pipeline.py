@@ -1,11 +1,52 @@
-"""The corpus pipeline: quality, line dedup, near-dedup, mixing, packing."""
+"""The corpus pipeline: quality, line dedup, near-dedup, mixing, packing.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir) and all rows its predecessor kept; its result is written as Parquet to the
+shared folder and reread as the next one's docs. Columns of other names pass through all stages but the last.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from logfold.llm import linededup, mixing, packing, quality, simhash
+from logfold.llm.common import table, written
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is 0.3 or more stay; the others go."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.with_score(docs, model, "__score").where(F.col("__score") >= 0.3).select(*docs.columns)
+
+
+def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return linededup.drop_repeated_chunks(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays (five-word shingles, at most three differing bits)."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources come to their target shares: documents are repeated, cut or left out by blocks."""
+    return mixing.mixture(docs)
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, with_ids=True)
+
+
+STAGES = [
+    ("quality", keep_quality), ("line_dedup", cut_repeated_lines), ("near_dedup", drop_near_copies), ("mixing", mix_sources), ("packing", pack_windows),
+]
+
+#: Tokenizing, XXH64 and trained trees have no SQL form; tests hold the run against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

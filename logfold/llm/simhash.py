@@ -44,14 +44,20 @@ def _remainders(words: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=1)
-def golay_tables() -> tuple[np.ndarray, np.ndarray]:
-    """(own, near): the codeword index of every 16-bit segment, and of it and its 16 neighbours, repeats as -1."""
+def golay_leaders() -> np.ndarray:
+    """The error of three bits or less that each remainder of the perfect code stands for."""
     one = 1 << np.arange(LENGTH, dtype=np.int64)
     errors = np.unique(np.concatenate([[0], one, (one[:, None] | one).ravel(), (one[:, None, None] | one[:, None] | one).ravel()]))
     leader = np.zeros(1 << (LENGTH - INFO), np.int64)
-    leader[_remainders(errors)] = errors  # perfect code: each remainder has one error of three bits or less
+    leader[_remainders(errors)] = errors
+    return leader
+
+
+@lru_cache(maxsize=1)
+def golay_tables() -> tuple[np.ndarray, np.ndarray]:
+    """(own, near): the codeword index of every 16-bit segment, and of it and its 16 neighbours, repeats as -1."""
     segments = np.arange(1 << 16, dtype=np.int64)
-    own = (segments ^ leader[_remainders(segments)]) >> (LENGTH - INFO)
+    own = (segments ^ golay_leaders()[_remainders(segments)]) >> (LENGTH - INFO)
     near = np.sort(np.stack([own, *(own[segments ^ (1 << b)] for b in range(16))], axis=1), axis=1)
     near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
     return own, near
@@ -167,8 +173,161 @@ def near_duplicates(docs: DataFrame, words: int = 3, limit: int = 3, seed: int =
     return prints.join(named.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, limit: int = 3) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group; repeated rows of that document collapse to one."""
-    keep = near_duplicates(docs, words, limit).where("doc_id <=> component_id").select("doc_id").distinct()
-    kept = docs.join(keep, docs.doc_id.eqNullSafe(keep.doc_id), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+# --- near copies by similarity: the same keys over a longer fingerprint, then shingle sets compared exactly ---------
+
+#: Tables of keys, exact bits beside each Golay segment, and the differing bits of 128 beyond which no pair is compared.
+TABLES, EXACT_BITS, FAR = 16, 10, 28
+
+
+def wordset_hash(text: bytes) -> bytes:
+    """128 majority bits over the distinct lower-cased words of a UTF-8 text: steadier under edits than shingles."""
+    words = set(text.lower().split())
+    if not words:
+        return bytes(16)
+    bits = np.unpackbits(np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint8).reshape(-1, 16), axis=1)
+    return np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(words)).tobytes()
+
+
+@lru_cache(maxsize=1)
+def _places() -> np.ndarray:
+    """Which 23 + EXACT_BITS of the 128 bits each table takes: the heads of fixed pseudorandom permutations."""
+    rng = np.random.default_rng(20)
+    return np.stack([rng.permutation(128)[: LENGTH + EXACT_BITS] for _ in range(TABLES)])
+
+
+def _table_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    leader, flips = golay_leaders(), np.r_[0, 1 << np.arange(LENGTH, dtype=np.int64)]
+    weights = 1 << np.arange(max(LENGTH, EXACT_BITS), dtype=np.int64)
+    for batch in batches:
+        bits = np.unpackbits(np.frombuffer(b"".join(batch["fp"]), np.uint8).reshape(-1, 16), axis=1).astype(np.int64)
+        ids, fps = batch["id"].to_numpy(np.int64), batch["fp"].to_numpy()
+        for t, places in enumerate(_places()):
+            near = (bits[:, places[:LENGTH]] @ weights[:LENGTH])[:, None] ^ flips
+            index = np.sort((near ^ leader[_remainders(near)]) >> (LENGTH - INFO), axis=1)
+            row, col = np.nonzero(np.c_[np.ones(len(index), bool), index[:, 1:] != index[:, :-1]])
+            exact = bits[:, places[LENGTH:]] @ weights[:EXACT_BITS]
+            yield pd.DataFrame({"key": (((t << EXACT_BITS) | exact[row]) << INFO) | index[row, col], "id": ids[row], "fp": fps[row]})
+
+
+def _runs(batches: Iterator[pd.DataFrame], load, link) -> Iterator[pd.DataFrame]:
+    """Feeds every run of equal codes, whole, to ``link``; ``load`` turns an arriving batch into (codes, rows)."""
+    code, rows = None, []
+
+    def out() -> pd.DataFrame:
+        ends = np.array(link(rows) if len(rows) > 1 else [], np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": ends[:, 0], "b": ends[:, 1]})
+
+    for batch in batches:
+        codes, loaded = load(batch)
+        cuts = np.r_[0, np.flatnonzero(codes[1:] != codes[:-1]) + 1, len(codes)]
+        found = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if code is not None and codes[a] != code:
+                if len(rows) > 1:
+                    found.append(out())
+                rows = []
+            code = codes[a]
+            rows.extend(loaded[a:b])
+        if found:
+            yield pd.concat(found)
+    if len(rows) > 1:
+        yield out()
+
+
+def _spanning(ids: np.ndarray, filed: np.ndarray, near) -> list[tuple[int, int]]:
+    """Links of a spanning forest; ``near(u, candidates)`` says which of them are linked to u. One end of each is filed."""
+    open_, links = np.ones(len(ids), bool), []
+    for start in np.argsort(ids, kind="stable"):
+        if not open_[start]:
+            continue
+        open_[start], todo = False, [start]
+        while todo:
+            u = todo.pop()
+            candidates = np.flatnonzero(open_ if filed[u] else open_ & filed)
+            hit = candidates[near(u, candidates)] if len(candidates) else candidates
+            open_[hit] = False
+            todo.extend(hit)
+            links.extend((ids[u], ids[v]) for v in hit)
+    return links
+
+
+def _link_prints(rows: list[tuple]) -> list[tuple[int, int]]:
+    ids, filed = np.array([r[0] for r in rows], np.int64), np.array([r[2] for r in rows], bool)
+    words = np.frombuffer(b"".join(r[1] for r in rows), np.uint64).reshape(-1, 2)
+    return _spanning(ids, filed, lambda u, c: np.bitwise_count(words[c] ^ words[u]).sum(axis=1, dtype=np.int64) <= FAR)
+
+
+def _shingle_set(text: str, words: int) -> np.ndarray:
+    found = text.encode().lower().split()
+    if len(found) <= words:
+        return np.array([xxhash.xxh3_64_intdigest(b" ".join(found))] if found else [], np.uint64)
+    shingles = map(b" ".join, zip(*(found[i:] for i in range(words))))
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, shingles), np.uint64, len(found) - words + 1))
+
+
+def _link_sets(similarity: float):
+    def link(rows: list[tuple]) -> list[tuple[int, int]]:
+        ids, filed, sets = np.array([r[0] for r in rows], np.int64), np.array([r[2] for r in rows], bool), [r[1] for r in rows]
+        size = np.array([len(s) for s in sets], np.int64)
+        everything, inverse, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(ids)), size)
+        order = np.argsort(inverse, kind="stable")  # postings: which documents hold a shingle
+        holders, first = owner[order], np.r_[0, df.cumsum()]
+        start = np.r_[0, size.cumsum()]
+
+        def near(u: int, candidates: np.ndarray) -> np.ndarray:
+            own = inverse[start[u] : start[u + 1]]
+            own = own[df[own] > 1]
+            reach = np.repeat(first[own] - np.r_[0, df[own].cumsum()[:-1]], df[own]) + np.arange(df[own].sum()) if len(own) else np.zeros(0, np.int64)
+            common = np.bincount(holders[reach], minlength=len(ids))[candidates]
+            either = size[u] + size[candidates] - common
+            return (common >= similarity * either - 1e-9) & ((either > 0) | (size[u] == size[candidates]))
+
+        return _spanning(ids, filed, near)
+
+    return link
+
+
+def _dealt(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """Adds code and filed: keys with more than ``most`` rows go to blocks, every row to each, filed in one of them."""
+    blocks = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(key, F.ceil(F.col("n") / most).cast("int").alias("blocks"))
+    spread = rows.join(blocks, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return spread.withColumn("filed", F.pmod(F.xxhash64("id"), F.col("blocks")) == F.col("block")).withColumn("code", F.xxhash64(key, "block")).drop("blocks", "block")
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, hot: int = 4096, set_block: int = 2048) -> DataFrame:
+    """(doc_id, component_id) of every non-null doc_id: groups linked by a Jaccard likeness of word shingles.
+
+    Fingerprints propose coarse groups; inside each the shingle sets of all members are compared exactly, and what is
+    linked there counts. Equal texts are one class throughout.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = pa.array([wordset_hash(t.as_py()) for t in batch.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps], ["doc_id", "h", "fp"])
+
+    text = text_or_empty()
+    known = docs.where("doc_id IS NOT NULL")
+    prints = written(known.select("doc_id", F.xxhash64(text).alias("h"), text.cast("binary").alias("t")).mapInArrow(scan, "doc_id long, h long, fp binary"))
+    classes = prints.groupBy("fp", "h").agg(F.min("doc_id").alias("id"))
+    keyed = _dealt(classes.select("id", "fp").mapInPandas(_table_keys, "key long, id long, fp binary"), "key", hot)
+    load = lambda batch: (batch["code"].to_numpy(), list(zip(batch["id"], batch["fp"], batch["filed"], strict=True)))
+    proposed = keyed.repartition("code").sortWithinPartitions("code").mapInPandas(lambda it: _runs(it, load, _link_prints), "a long, b long")
+    coarse = components(proposed)
+    texts = known.select(F.col("doc_id").alias("id"), text.alias("text")).join(coarse, F.col("id") == F.col("node")).select("root", "id", "text").dropDuplicates(["id"])
+    load_sets = lambda batch: (batch["code"].to_numpy(), list(zip(batch["id"], [_shingle_set(t, words) for t in batch["text"]], batch["filed"], strict=True)))
+    members = _dealt(texts, "root", set_block).repartition("code").sortWithinPartitions("code", "id")
+    linked = components(members.mapInPandas(lambda it: _runs(it, load_sets, _link_sets(similarity)), "a long, b long"))
+    named = classes.join(linked, F.col("id") == F.col("node"), "left").select("fp", "h", F.coalesce("root", "id").alias("component_id"))
+    return prints.join(named, ["fp", "h"]).select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each group; rows that repeat its id collapse to one.
+
+    Rows without a doc_id take no part and stay.
+    """
+    gone = similar_groups(docs, similarity, words).where("doc_id <> component_id").select("doc_id").distinct()
+    known = docs.where("doc_id IS NOT NULL")
+    return known.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
