@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logfold.llm import fingerprint, linededup, mixing, packing, pii, quality, simhash, vafile
+from logfold.llm import fingerprint, linededup, mixing, packing, pii, quality, simhash, vafile, warc
 from logfold.llm.common import table
 
 
@@ -29,6 +29,33 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited(fingerprint.with_next(table(spark, sf_dir, "documents")))
 
 
+def _rotted(pages: DataFrame) -> DataFrame:
+    """A replica of the pages after decay: some bodies lose their end, some change it, some pages are gone."""
+    end = F.when(F.col("page_id") % 97 == 13, F.expr("left(html, length(html) - 1)")).when(F.col("page_id") % 89 == 7, F.concat(F.expr("left(html, length(html) - 1)"), F.lit("?"))).otherwise(F.col("html"))
+    return pages.where("page_id IS NULL OR page_id % 199 <> 50").withColumn("html", end)
+
+
+def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.audit(warc.archive_records(pages), warc.archive_records(_rotted(pages)))
+
+
+OP4_SQL = r"""
+WITH r AS (
+  SELECT page_id, url, html, CASE WHEN page_id % 97 = 13 THEN left(html, length(html) - 1) WHEN page_id % 89 = 7 THEN left(html, length(html) - 1) || '?' ELSE html END AS decayed FROM pages
+), b AS (
+  SELECT page_id, page_id // 1000 AS file, chr(13) || chr(10) AS nl,
+    'WARC/1.0' || nl || 'WARC-Type: resource' || nl || 'WARC-Record-ID: <urn:page:' || page_id || '>' || nl || 'WARC-Target-URI: ' || url || nl || 'Content-Length: ' || strlen(html) || nl || nl || html || nl || nl AS bytes,
+    'WARC/1.0' || nl || 'WARC-Type: resource' || nl || 'WARC-Record-ID: <urn:page:' || page_id || '>' || nl || 'WARC-Target-URI: ' || url || nl || 'Content-Length: ' || strlen(decayed) || nl || nl || decayed || nl || nl AS theirs FROM r
+), o AS (
+  SELECT file, page_id AS record_id, strlen(bytes) AS length, sha256(bytes) AS sha_primary, CASE WHEN page_id % 199 = 50 THEN NULL ELSE sha256(theirs) END AS sha_replica,
+    coalesce(sum(strlen(bytes)) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "offset" FROM b
+)
+SELECT file, record_id, CASE WHEN sha_replica IS NULL THEN 'missing' ELSE 'changed' END AS status, CAST("offset" AS BIGINT) AS "offset", CAST(length AS BIGINT) AS length, sha_primary, sha_replica
+FROM o WHERE sha_replica IS NULL OR sha_primary <> sha_replica
+"""
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -63,8 +90,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_line_dedup, op3_fingerprints, op6_packing, op7_mixing, op8_topk, op9_simhash, op10_quality)}
+    return {f.__name__: f for f in (op1_pii, op2_line_dedup, op3_fingerprints, op4_warc_fixity, op6_packing, op7_mixing, op8_topk, op9_simhash, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_topk": OP8_SQL}
+    return {"op4_warc_fixity": OP4_SQL, "op8_topk": OP8_SQL}
