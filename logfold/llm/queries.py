@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logfold.llm import fingerprint, linededup, mixing, packing, pii, quality, simhash, vafile, warc
+from logfold.llm import fingerprint, licenses, linededup, mixing, packing, pii, quality, simhash, vafile, warc
 from logfold.llm.common import table
 
 
@@ -56,6 +56,11 @@ FROM o WHERE sha_replica IS NULL OR sha_primary <> sha_replica
 """
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(docs, licenses.train(docs)).drop("text")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -90,7 +95,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_line_dedup, op3_fingerprints, op4_warc_fixity, op6_packing, op7_mixing, op8_topk, op9_simhash, op10_quality)}
+    return {f.__name__: f for f in (op1_pii, op2_line_dedup, op3_fingerprints, op4_warc_fixity, op5_license_scan, op6_packing, op7_mixing, op8_topk, op9_simhash, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
