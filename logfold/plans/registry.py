@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from logfold.plans import logs, mapping
+
+MODULES = (logs, mapping)
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for module in MODULES for f in module.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
