@@ -13,8 +13,13 @@ PART = "[A-Z]+(?=[A-Z][a-z]|[0-9]|$)|[A-Z]?[a-z]+|[0-9]+"
 
 def lookup(table: dict[str, list[str]] | dict[str, str]) -> Column:
     """A small vocabulary as a map column."""
-    pairs = [x for k, v in table.items() for x in (F.lit(k), F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v))]
-    return F.create_map(*pairs)
+    quoted = lambda v: "array(" + ", ".join(map(quoted, v)) + ")" if isinstance(v, list) else "'" + v.replace("'", "\\'") + "'"
+    return F.expr("map(" + ", ".join(f"{quoted(k)}, {quoted(v)}" for k, v in table.items()) + ")")
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with ``value`` computed once: a lambda over an array of one element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def clean_line(text: Column) -> Column:
@@ -39,9 +44,8 @@ def ordered_tokens(text: Column, aliases: dict[str, list[str]] | None = None, no
     """Tokens in order: the parts of a word if it has several, else the word; aliases and normal forms replace."""
     aliases, normal = aliases or vocab.ALIASES, normal or vocab.NORMAL_FORMS
     replace = lookup({**{k: [v] for k, v in normal.items()}, **aliases})
-    parts = F.transform(words(text), lambda w: F.regexp_extract_all(w, F.lit(PART), F.lit(0)))
-    flat = F.flatten(F.zip_with(parts, words(text), lambda p, w: F.when(F.size(p) > 1, p).otherwise(F.array(w))))
-    return F.flatten(F.transform(flat, lambda t: F.coalesce(replace[F.lower(t)], F.array(F.lower(t)))))
+    split = lambda w: let(F.regexp_extract_all(w, F.lit(PART), F.lit(0)), lambda p: F.when(F.size(p) > 1, p).otherwise(F.array(w)))
+    return F.flatten(F.transform(F.flatten(F.transform(words(text), split)), lambda t: let(F.lower(t), lambda x: F.coalesce(replace[x], F.array(x)))))
 
 
 def has_sequence(tokens: Column, expected: list[str]) -> Column:
@@ -56,18 +60,24 @@ def has_phrase(text: Column, expected: list[str]) -> Column:
 
 def concepts(text: Column) -> Column:
     """The set of concepts of a text, as an array without repeats."""
-    found = words(text)
-    parts = F.flatten(F.transform(found, lambda w: F.regexp_extract_all(w, F.lit(PART), F.lit(0))))
-    base = F.array_distinct(F.transform(F.concat(found, parts), lambda t: F.lower(t)))
-    first = F.array_distinct(F.concat(base, _expanded(base, vocab.ALIASES), _expanded(base, {k: [v] for k, v in vocab.NORMAL_FORMS.items()})))
-    second = F.array_distinct(F.concat(first, _expanded(first, vocab.CONTEXT)))
+    normal = {k: [v] for k, v in vocab.NORMAL_FORMS.items()}
+
+    def base(found: Column) -> Column:
+        parts = F.flatten(F.transform(found, lambda w: F.regexp_extract_all(w, F.lit(PART), F.lit(0))))
+        return F.array_distinct(F.transform(F.concat(found, parts), lambda t: F.lower(t)))
+
+    first = let(let(words(text), base), lambda b: F.concat(b, _expanded(b, vocab.ALIASES), _expanded(b, normal)))
+    found = F.array_distinct(let(first, lambda f: F.concat(f, _expanded(f, vocab.CONTEXT))))
     for phrase, more in vocab.PHRASES.items():
-        second = F.when(has_phrase(text, list(phrase)), F.array_union(second, F.array(*map(F.lit, more)))).otherwise(second)
-    return second
+        extra = F.when(has_phrase(text, list(phrase)), F.array(*map(F.lit, more))).otherwise(F.array().cast("array<string>"))
+        found = F.array_union(found, extra)
+    return found
 
 
 def trigrams(tokens: Column) -> Column:
     """Character 3-grams of the sorted, joined concept tokens; a shorter string is its own only gram."""
-    joined = F.array_join(F.array_sort(tokens), " ")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(joined) - 2, F.lit(1))), lambda i: F.substring(joined, i, F.lit(3))))
-    return F.when(joined == "", F.array().cast("array<string>")).otherwise(grams)
+    def cut(joined: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(joined) - 2, F.lit(1))), lambda i: F.substring(joined, i, F.lit(3)))
+        return F.filter(F.array_distinct(grams), lambda g: g != "")
+
+    return let(F.array_join(F.array_sort(tokens), " "), cut)

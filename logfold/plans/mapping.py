@@ -44,7 +44,7 @@ def requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     clusters, assigned = logs.mined(spark, sf_dir)
     examples = templates.slot_values(assigned).groupBy("cluster_id", "slot_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]).alias("examples"))
     slots = templates.extract_slots(clusters).join(examples, ["cluster_id", "slot_id"])
-    contexts = concepts.slot_contexts(clusters, slots)
+    contexts = concepts.slot_contexts(clusters, slots).persist()  # one row per template and slot, used by every approach
     catalog = schemas.default_catalog(spark)
     names = sorted({r[3] for r in vocab.CATALOG} - {"Common"})
     _, picked = schemas.rank_schemas(clusters, "cluster_id", "template", schemas.schema_concepts(spark, names))
