@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logfold.functions import vocab
-from logfold.functions.text import concepts, lookup, trigrams
+from logfold.functions.text import concepts, let, lookup, trigrams
 
 MAX_PORT = 65535
 
@@ -43,8 +43,7 @@ def profile_values(df: DataFrame, keys: list[str], value_col: str) -> DataFrame:
 
 
 def dice(left: Column, right: Column) -> Column:
-    both = F.size(left) + F.size(right)
-    return F.when((F.size(left) == 0) | (F.size(right) == 0), 0.0).otherwise(2.0 * F.size(F.array_intersect(left, right)) / both)
+    return let(left, lambda x: let(right, lambda y: F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(2.0 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y)))))
 
 
 def match_signals(pairs: DataFrame) -> DataFrame:

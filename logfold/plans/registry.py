@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from logfold.plans import logs, mapping
+from logfold.plans import evaluation, logs, mapping
 
-MODULES = (logs, mapping)
+MODULES = (logs, mapping, evaluation)
 
 
 def queries() -> dict:

@@ -13,8 +13,13 @@ LOG_GLOB = "*.{[lL][oO][gG],[tT][xX][tT]}"
 
 def log_files(spark: SparkSession, root: str) -> DataFrame:
     """(source_file) of every .log and .txt file below ``root``, empty ones included; contents are not read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", LOG_GLOB).load(root)
-    return found.select(F.col("path").alias("source_file"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)  # a reader would leave empty files out
+    files, names = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True), []
+    while files.hasNext():
+        name = files.next().getPath().toUri().toString()
+        if name.lower().endswith((".log", ".txt")):
+            names.append((name,))
+    return spark.createDataFrame(names, "source_file string")
 
 
 def numbered_lines(spark: SparkSession, root: str) -> DataFrame:
