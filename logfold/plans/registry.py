@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from logfold.plans import evaluation, logs, mapping
+from logfold.plans import evaluation, logs, mapping, reports
 
-MODULES = (logs, mapping, evaluation)
+MODULES = (logs, mapping, evaluation, reports)
 
 
 def queries() -> dict:
