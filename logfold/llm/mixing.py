@@ -23,7 +23,7 @@ from pyspark.sql.window import Window as W
 
 from logfold.llm.common import text_or_empty, written
 
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def word_count(column: str = "text") -> Column:
