@@ -49,9 +49,10 @@ def requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     names = sorted({r[3] for r in vocab.CATALOG} - {"Common"})
     _, picked = schemas.rank_schemas(clusters, "cluster_id", "template", schemas.schema_concepts(spark, names))
     all_cases = cases(spark, sf_dir, assigned)
-    ready = all_cases.join(picked.select("cluster_id", F.col("selected_schema").alias("schema_name")), "cluster_id")
-    of_cases = all_cases.select("case_id", "cluster_id").join(contexts.drop("template"), "cluster_id")
-    return ready, of_cases, schemas.effective_fields(catalog), clusters
+    # cases are templates times groups: small tables that every approach reads several times
+    ready = all_cases.join(picked.select("cluster_id", F.col("selected_schema").alias("schema_name")), "cluster_id").persist()
+    of_cases = ready.select("case_id", "cluster_id").join(contexts.drop("template"), "cluster_id").persist()
+    return ready, of_cases, schemas.effective_fields(catalog).persist(), clusters
 
 
 CONTEXT_CTE = rf"""cx0 AS (SELECT s.*, replace(array_to_string(string_split(template, placeholder)[1:occurrence], chr(1)), chr(1), placeholder) AS before, replace(array_to_string(string_split(template, placeholder)[occurrence + 1:], chr(1)), chr(1), placeholder) AS after FROM sl s),
