@@ -210,7 +210,8 @@ def _table_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _runs(batches: Iterator[pd.DataFrame], load, link) -> Iterator[pd.DataFrame]:
-    """Feeds every run of equal codes, whole, to ``link``; ``load`` turns an arriving batch into (codes, rows)."""
+    """Feeds every run of equal codes, whole, to ``link``. ``load`` gives a batch's codes, a way to take its rows, and which
+    runs of given bounds may hold a link at all."""
     code, rows = None, []
 
     def out() -> pd.DataFrame:
@@ -218,16 +219,18 @@ def _runs(batches: Iterator[pd.DataFrame], load, link) -> Iterator[pd.DataFrame]
         return pd.DataFrame({"a": ends[:, 0], "b": ends[:, 1]})
 
     for batch in batches:
-        codes, loaded = load(batch)
+        codes, take, promising = load(batch)
         cuts = np.r_[0, np.flatnonzero(codes[1:] != codes[:-1]) + 1, len(codes)]
+        inner = np.flatnonzero((np.diff(cuts) > 1) & promising(cuts))  # the runs at the batch's edges may go on beyond it
         found = []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        for i in np.union1d(inner, [0, len(cuts) - 2]):
+            a, b = cuts[i], cuts[i + 1]
             if code is not None and codes[a] != code:
                 if len(rows) > 1:
                     found.append(out())
                 rows = []
             code = codes[a]
-            rows.extend(loaded[a:b])
+            rows.extend(take(a, b))
         if found:
             yield pd.concat(found)
     if len(rows) > 1:
@@ -257,6 +260,16 @@ def _link_prints(rows: list[tuple]) -> list[tuple[int, int]]:
     return _spanning(ids, filed, lambda u, c: np.bitwise_count(words[c] ^ words[u]).sum(axis=1, dtype=np.int64) <= FAR)
 
 
+def _load_prints(batch: pd.DataFrame):
+    code, fps = batch["code"].to_numpy(), batch["fp"].to_numpy()
+    words = np.frombuffer(b"".join(fps), np.uint64).reshape(-1, 2)
+    close = np.zeros(len(code), bool)  # a row with one of the next three of its run within reach
+    for k in (1, 2, 3):
+        close[:-k] |= (code[k:] == code[:-k]) & (np.bitwise_count(words[k:] ^ words[:-k]).sum(axis=1, dtype=np.int64) <= FAR)
+    take = lambda a, b: zip(*(batch[c].to_numpy()[a:b] for c in ("id", "fp", "filed")), strict=True)
+    return code, take, lambda cuts: (np.diff(cuts) > 4) | np.logical_or.reduceat(close, cuts[:-1])
+
+
 def _shingle_set(text: str, words: int) -> np.ndarray:
     found = text.encode().lower().split()
     if len(found) <= words:
@@ -312,11 +325,10 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, hot
     prints = written(known.select("doc_id", F.xxhash64(text).alias("h"), text.cast("binary").alias("t")).mapInArrow(scan, "doc_id long, h long, fp binary"))
     classes = prints.groupBy("fp", "h").agg(F.min("doc_id").alias("id"))
     keyed = _dealt(classes.select("id", "fp").mapInPandas(_table_keys, "key long, id long, fp binary"), "key", hot)
-    load = lambda batch: (batch["code"].to_numpy(), list(zip(batch["id"], batch["fp"], batch["filed"], strict=True)))
-    proposed = keyed.repartition("code").sortWithinPartitions("code").mapInPandas(lambda it: _runs(it, load, _link_prints), "a long, b long")
+    proposed = keyed.repartition("code").sortWithinPartitions("code").mapInPandas(lambda it: _runs(it, _load_prints, _link_prints), "a long, b long")
     coarse = components(proposed)
     texts = known.select(F.col("doc_id").alias("id"), text.alias("text")).join(coarse, F.col("id") == F.col("node")).select("root", "id", "text").dropDuplicates(["id"])
-    load_sets = lambda batch: (batch["code"].to_numpy(), list(zip(batch["id"], [_shingle_set(t, words) for t in batch["text"]], batch["filed"], strict=True)))
+    load_sets = lambda batch: (batch["code"].to_numpy(), lambda a, b: zip(batch["id"].to_numpy()[a:b], [_shingle_set(t, words) for t in batch["text"].to_numpy()[a:b]], batch["filed"].to_numpy()[a:b], strict=True), lambda cuts: True)
     members = _dealt(texts, "root", set_block).repartition("code").sortWithinPartitions("code", "id")
     linked = components(members.mapInPandas(lambda it: _runs(it, load_sets, _link_sets(similarity)), "a long, b long"))
     named = classes.join(linked, F.col("id") == F.col("node"), "left").select("fp", "h", F.coalesce("root", "id").alias("component_id"))
