@@ -103,9 +103,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0,
     """(doc_id, size, source_size, target, taken) for every row of ``docs``."""
     placed, sources = _plan(docs, weights, cap)
     placed = written(placed.select("sid", "bucket", "n", "doc_id", "size", "source_size", "target", "begin"))
-    taken = slots(sources, block, shard_slots, seed).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
+    # slots are exploded from the small table of sources: its size misleads the planner into broadcasting them
+    taken = slots(sources, block, shard_slots, seed).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times")).hint("merge")
     sums = _pieces(placed, block).join(taken, ["sid", "block"]).groupBy("sid", "bucket", "n").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    return placed.join(sums, ["sid", "bucket", "n"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+    return placed.join(sums.hint("merge"), ["sid", "bucket", "n"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
 
 def mixture(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0, block: int = 512, shard_slots: int = 4096, seed: int = 7) -> DataFrame:
@@ -116,7 +117,7 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float =
     """
     placed, sources = _plan(docs, weights, cap)
     run = F.sort_array(F.collect_list(F.struct("skip", "words")))
-    drawn = _pieces(placed, block).join(slots(sources, block, shard_slots, seed), ["sid", "block"]).groupBy("sid", "bucket", "n", "epoch", "doc_id", "h", "size")
+    drawn = _pieces(placed, block).join(slots(sources, block, shard_slots, seed).hint("merge"), ["sid", "block"]).groupBy("sid", "bucket", "n", "epoch", "doc_id", "h", "size")
     runs = drawn.agg(run.alias("__runs"), F.sum("words").alias("__words")).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "__runs", (F.col("__words") == F.col("size")).alias("__whole"))
     once = docs.withColumn("__text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__text_hash"])
     words = F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
