@@ -24,7 +24,7 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays (five-word shingles, at most three differing bits)."""
+    """One document of each group of near copies stays (Jaccard likeness of five-word shingles of 0.8 or more)."""
     return simhash.drop_near_duplicates(docs)
 
 

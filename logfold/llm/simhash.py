@@ -19,14 +19,15 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logfold.llm.common import text_or_empty, written
@@ -173,166 +174,175 @@ def near_duplicates(docs: DataFrame, words: int = 3, limit: int = 3, seed: int =
     return prints.join(named.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-# --- near copies by similarity: the same keys over a longer fingerprint, then shingle sets compared exactly ---------
+# --- near copies by similarity: shingle sets that share a rare prefix are compared exactly ---------------------------
 
-#: Tables of keys, exact bits beside each Golay segment, and the differing bits of 128 beyond which no pair is compared.
-TABLES, EXACT_BITS, FAR = 16, 10, 28
-
-
-def wordset_hash(text: bytes) -> bytes:
-    """128 majority bits over the distinct lower-cased words of a UTF-8 text: steadier under edits than shingles."""
-    words = set(text.lower().split())
-    if not words:
-        return bytes(16)
-    bits = np.unpackbits(np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint8).reshape(-1, 16), axis=1)
-    return np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(words)).tobytes()
-
-
-@lru_cache(maxsize=1)
-def _places() -> np.ndarray:
-    """Which 23 + EXACT_BITS of the 128 bits each table takes: the heads of fixed pseudorandom permutations."""
-    rng = np.random.default_rng(20)
-    return np.stack([rng.permutation(128)[: LENGTH + EXACT_BITS] for _ in range(TABLES)])
-
-
-def _table_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    leader, flips = golay_leaders(), np.r_[0, 1 << np.arange(LENGTH, dtype=np.int64)]
-    weights = 1 << np.arange(max(LENGTH, EXACT_BITS), dtype=np.int64)
-    for batch in batches:
-        bits = np.unpackbits(np.frombuffer(b"".join(batch["fp"]), np.uint8).reshape(-1, 16), axis=1).astype(np.int64)
-        ids, fps = batch["id"].to_numpy(np.int64), batch["fp"].to_numpy()
-        for t, places in enumerate(_places()):
-            near = (bits[:, places[:LENGTH]] @ weights[:LENGTH])[:, None] ^ flips
-            index = np.sort((near ^ leader[_remainders(near)]) >> (LENGTH - INFO), axis=1)
-            row, col = np.nonzero(np.c_[np.ones(len(index), bool), index[:, 1:] != index[:, :-1]])
-            exact = bits[:, places[LENGTH:]] @ weights[:EXACT_BITS]
-            yield pd.DataFrame({"key": (((t << EXACT_BITS) | exact[row]) << INFO) | index[row, col], "id": ids[row], "fp": fps[row]})
-
-
-def _runs(batches: Iterator[pd.DataFrame], load, link) -> Iterator[pd.DataFrame]:
-    """Feeds every run of equal codes, whole, to ``link``. ``load`` gives a batch's codes, a way to take its rows, and which
-    runs of given bounds may hold a link at all."""
-    code, rows = None, []
-
-    def out() -> pd.DataFrame:
-        ends = np.array(link(rows) if len(rows) > 1 else [], np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": ends[:, 0], "b": ends[:, 1]})
-
-    for batch in batches:
-        codes, take, promising = load(batch)
-        cuts = np.r_[0, np.flatnonzero(codes[1:] != codes[:-1]) + 1, len(codes)]
-        inner = np.flatnonzero((np.diff(cuts) > 1) & promising(cuts))  # the runs at the batch's edges may go on beyond it
-        found = []
-        for i in np.union1d(inner, [0, len(cuts) - 2]):
-            a, b = cuts[i], cuts[i + 1]
-            if code is not None and codes[a] != code:
-                if len(rows) > 1:
-                    found.append(out())
-                rows = []
-            code = codes[a]
-            rows.extend(take(a, b))
-        if found:
-            yield pd.concat(found)
-    if len(rows) > 1:
-        yield out()
-
-
-def _spanning(ids: np.ndarray, filed: np.ndarray, near) -> list[tuple[int, int]]:
-    """Links of a spanning forest; ``near(u, candidates)`` says which of them are linked to u. One end of each is filed."""
-    open_, links = np.ones(len(ids), bool), []
-    for start in np.argsort(ids, kind="stable"):
-        if not open_[start]:
-            continue
-        open_[start], todo = False, [start]
-        while todo:
-            u = todo.pop()
-            candidates = np.flatnonzero(open_ if filed[u] else open_ & filed)
-            hit = candidates[near(u, candidates)] if len(candidates) else candidates
-            open_[hit] = False
-            todo.extend(hit)
-            links.extend((ids[u], ids[v]) for v in hit)
-    return links
-
-
-def _link_prints(rows: list[tuple]) -> list[tuple[int, int]]:
-    ids, filed = np.array([r[0] for r in rows], np.int64), np.array([r[2] for r in rows], bool)
-    words = np.frombuffer(b"".join(r[1] for r in rows), np.uint64).reshape(-1, 2)
-    return _spanning(ids, filed, lambda u, c: np.bitwise_count(words[c] ^ words[u]).sum(axis=1, dtype=np.int64) <= FAR)
-
-
-def _load_prints(batch: pd.DataFrame):
-    code, fps = batch["code"].to_numpy(), batch["fp"].to_numpy()
-    words = np.frombuffer(b"".join(fps), np.uint64).reshape(-1, 2)
-    close = np.zeros(len(code), bool)  # a row with one of the next three of its run within reach
-    for k in (1, 2, 3):
-        close[:-k] |= (code[k:] == code[:-k]) & (np.bitwise_count(words[k:] ^ words[:-k]).sum(axis=1, dtype=np.int64) <= FAR)
-    take = lambda a, b: zip(*(batch[c].to_numpy()[a:b] for c in ("id", "fp", "filed")), strict=True)
-    return code, take, lambda cuts: (np.diff(cuts) > 4) | np.logical_or.reduceat(close, cuts[:-1])
+#: Documents whose shingles are counted to order all shingles, how many of the repeated ones are kept, and rounds of heads.
+ORDER_ROWS, ORDER_KEPT, HEAD_ROUNDS = 4096, 200_000, 3
+#: Bits of a parity sketch: whether an odd number of a set's hashes falls on a bit. Sets that differ in k hashes differ in k bits at most.
+SKETCH_BITS = 1024
 
 
 def _shingle_set(text: str, words: int) -> np.ndarray:
+    """Sorted hashes of the word shingles; a shorter text, even one without words, is its own only shingle."""
     found = text.encode().lower().split()
     if len(found) <= words:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(found))] if found else [], np.uint64)
+        return np.array([xxhash.xxh3_64_intdigest(b" ".join(found))], np.uint64)
     shingles = map(b" ".join, zip(*(found[i:] for i in range(words))))
     return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, shingles), np.uint64, len(found) - words + 1))
 
 
-def _link_sets(similarity: float):
-    def link(rows: list[tuple]) -> list[tuple[int, int]]:
-        ids, filed, sets = np.array([r[0] for r in rows], np.int64), np.array([r[2] for r in rows], bool), [r[1] for r in rows]
-        size = np.array([len(s) for s in sets], np.int64)
-        everything, inverse, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        owner = np.repeat(np.arange(len(ids)), size)
-        order = np.argsort(inverse, kind="stable")  # postings: which documents hold a shingle
-        holders, first = owner[order], np.r_[0, df.cumsum()]
-        start = np.r_[0, size.cumsum()]
-
-        def near(u: int, candidates: np.ndarray) -> np.ndarray:
-            own = inverse[start[u] : start[u + 1]]
-            own = own[df[own] > 1]
-            reach = np.repeat(first[own] - np.r_[0, df[own].cumsum()[:-1]], df[own]) + np.arange(df[own].sum()) if len(own) else np.zeros(0, np.int64)
-            common = np.bincount(holders[reach], minlength=len(ids))[candidates]
-            either = size[u] + size[candidates] - common
-            return (common >= similarity * either - 1e-9) & ((either > 0) | (size[u] == size[candidates]))
-
-        return _spanning(ids, filed, near)
-
-    return link
-
-
-def _dealt(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """Adds code and filed: keys with more than ``most`` rows go to blocks, every row to each, filed in one of them."""
-    blocks = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(key, F.ceil(F.col("n") / most).cast("int").alias("blocks"))
-    spread = rows.join(blocks, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return spread.withColumn("filed", F.pmod(F.xxhash64("id"), F.col("blocks")) == F.col("block")).withColumn("code", F.xxhash64(key, "block")).drop("blocks", "block")
-
-
-def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, hot: int = 4096, set_block: int = 2048) -> DataFrame:
-    """(doc_id, component_id) of every non-null doc_id: groups linked by a Jaccard likeness of word shingles.
-
-    Fingerprints propose coarse groups; inside each the shingle sets of all members are compared exactly, and what is
-    linked there counts. Equal texts are one class throughout.
-    """
+def _sets(words: int):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, found, size = [], [], 0
+            for i, text in zip(batch.column(0), batch.column(1), strict=True):
+                ids.append(i)
+                found.append(_shingle_set(text.as_py(), words).view(np.int64))
+                size += len(found[-1])
+                if size > 1 << 18:
+                    yield _set_rows(ids, found)
+                    ids, found, size = [], [], 0
+            if ids:
+                yield _set_rows(ids, found)
+
+    return scan
+
+
+def _set_rows(ids: list, found: list[np.ndarray]) -> pa.RecordBatch:
+    ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array([i.as_py() for i in ids], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], ["id", "shingles"])
+
+
+def _prefixes(common: np.ndarray, counts: np.ndarray, similarity: float, words: int):
+    """(s, id, n, pos, sketch): the rarest shingles of each set, by (count, hash); two sets of the similarity share one of
+    them. The sketch, as longs, stands with the first."""
+
+    def rows(parts: list) -> pa.RecordBatch:
+        size = [len(p[1]) for p in parts]
+        columns = [np.concatenate([p[1] for p in parts]), np.repeat([p[0] for p in parts], size), np.repeat([p[2] for p in parts], size).astype(np.int32), np.concatenate([np.arange(k, dtype=np.int32) for k in size])]
+        at = np.cumsum([0, *size])[:-1]
+        sketch = np.full(sum(size), None, object)
+        for i, p in zip(at, parts, strict=True):
+            sketch[i] = p[3]
+        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(sketch, pa.list_(pa.int64()))], ["s", "id", "n", "pos", "sketch"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = pa.array([wordset_hash(t.as_py()) for t in batch.column(2)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps], ["doc_id", "h", "fp"])
+            parts, size = [], 0
+            for i, text in zip(batch.column(0), batch.column(1), strict=True):
+                found = _shingle_set(text.as_py(), words)
+                odd = np.bincount((found % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+                sketch = np.packbits(odd.astype(np.uint8)).view(np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+                    found = found[np.argsort(np.where(common[at] == found, counts[at], 0), kind="stable")]
+                kept = len(found) - math.ceil(similarity * len(found) - 1e-6) + 1
+                parts.append((i.as_py(), found[:kept].view(np.int64), len(found), sketch))
+                size += len(parts[-1][1])
+                if size > 1 << 18:
+                    yield rows(parts)
+                    parts, size = [], 0
+            if parts:
+                yield rows(parts)
+
+    return scan
+
+
+def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of rows sorted by s, those whose s stands in another row too (``run``) and those with a sketch; repeated rows once.
+    Holds one row between batches."""
+    held, before = None, False  # the last row, and whether the row before it has its s
+    for batch in batches:
+        if not len(batch):
+            continue
+        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        first = held is None
+        values = rows[["s", "id", "n", "pos"]].to_numpy(np.int64)
+        new = np.r_[True, (values[1:] != values[:-1]).any(axis=1)]
+        rows, s = rows[new].reset_index(drop=True), values[new, 0]
+        same = s[1:] == s[:-1]
+        keep = np.r_[False if first else before, same] | np.r_[same, False]
+        before, held = bool(same[-1]) if len(same) else (before and not first), rows.iloc[-1:]
+        out = rows[:-1].assign(run=keep[:-1])
+        yield out[out["run"] | out["sketch"].notna()]
+    if held is not None:
+        out = held.assign(run=before)
+        yield out[out["run"] | out["sketch"].notna()]
+
+
+def _shingle_order(known: DataFrame, rows: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Repeated shingles of a sample and their counts. They only say what comes last: any order finds the same pairs."""
+    share = int((1 << 20) * min(1.0, ORDER_ROWS / max(1, rows)))
+    sample = known.where(F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < share).select("doc_id", "text").mapInArrow(_sets(words), "id long, shingles array<long>")
+    counted = sample.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = counted.orderBy(F.desc("n"), "s").limit(ORDER_KEPT).toPandas()
+    common = found["s"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(common)
+    return common[order], found["n"].to_numpy(np.int64)[order]
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, set_block: int = 16) -> DataFrame:
+    """(doc_id, component_id) of every non-null doc_id: groups linked by a Jaccard likeness of word shingles.
+
+    Complete: sets of n shingles that reach the similarity have one of their n - ceil(similarity * n) + 1 first shingles
+    in common, in any order of all shingles. Rows that share such a shingle meet in a join, filters by length and place
+    leave out what cannot reach it, and the sets of the rest are compared exactly, a pair a row.
 
+    A run is the rows of one shingle. First each run only proposes its rows to one head, and what is linked counts as one
+    group from then on. That is repeated a few times while runs of several groups hold more than ``set_block`` pairs for
+    each row there is and something was linked; after that all pairs of different groups are compared. Equal texts are
+    one class throughout.
+    """
+    if not 0 < similarity <= 1:
+        raise ValueError("a similarity above 0 and up to 1")
     text = text_or_empty()
-    known = docs.where("doc_id IS NOT NULL")
-    prints = written(known.select("doc_id", F.xxhash64(text).alias("h"), text.cast("binary").alias("t")).mapInArrow(scan, "doc_id long, h long, fp binary"))
-    classes = prints.groupBy("fp", "h").agg(F.min("doc_id").alias("id"))
-    keyed = _dealt(classes.select("id", "fp").mapInPandas(_table_keys, "key long, id long, fp binary"), "key", hot)
-    proposed = keyed.repartition("code").sortWithinPartitions("code").mapInPandas(lambda it: _runs(it, _load_prints, _link_prints), "a long, b long")
-    coarse = components(proposed)
-    texts = known.select(F.col("doc_id").alias("id"), text.alias("text")).join(coarse, F.col("id") == F.col("node")).select("root", "id", "text").dropDuplicates(["id"])
-    load_sets = lambda batch: (batch["code"].to_numpy(), lambda a, b: zip(batch["id"].to_numpy()[a:b], [_shingle_set(t, words) for t in batch["text"].to_numpy()[a:b]], batch["filed"].to_numpy()[a:b], strict=True), lambda cuts: True)
-    members = _dealt(texts, "root", set_block).repartition("code").sortWithinPartitions("code", "id")
-    linked = components(members.mapInPandas(lambda it: _runs(it, load_sets, _link_sets(similarity)), "a long, b long"))
-    named = classes.join(linked, F.col("id") == F.col("node"), "left").select("fp", "h", F.coalesce("root", "id").alias("component_id"))
-    return prints.join(named, ["fp", "h"]).select("doc_id", "component_id")
+    known = docs.where("doc_id IS NOT NULL").select("doc_id", text.alias("text"), F.md5(text.cast("binary")).alias("h"))
+    prints = written(known.select("doc_id", "h"))
+    classes = prints.groupBy("h").agg(F.min("doc_id").alias("doc_id"))
+    common, counts = _shingle_order(known, prints.count(), words)
+    prefixes = known.join(classes, ["doc_id", "h"], "left_semi").select("doc_id", "text").mapInArrow(_prefixes(common, counts, similarity, words), "s long, id long, n int, pos int, sketch array<long>")
+    kept = written(prefixes.repartition("s").sortWithinPartitions("s", "id", "n", "pos").mapInPandas(_shared, "s long, id long, n int, pos int, sketch array<long>, run boolean"))
+    shared, sketches = kept.where("run").select("s", "id", "n", "pos"), kept.where("sketch IS NOT NULL").select("id", "n", "sketch")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs that reach the similarity; sets are made for those whose sketches allow it."""
+        left, right = (sketches.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"k{k}")) for k in "ab")
+        differ = F.aggregate(F.zip_with("ka", "kb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+        allowed = differ * (1 + similarity) <= (1 - similarity) * (F.col("na") + F.col("nb")) + 1e-6
+        close = written(written(pairs.distinct()).join(left, "a").join(right, "b").where(allowed).select("a", "b").distinct())
+        ids = close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        chosen = written(classes.join(ids, "doc_id", "left_semi"))
+        sets = written(known.join(chosen, ["doc_id", "h"], "left_semi").select("doc_id", "text").mapInArrow(_sets(words), "id long, shingles array<long>"))
+        left, right = (sets.select(F.col("id").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
+        enough = F.size(F.array_intersect("sa", "sb")) * (1 + similarity) + 1e-6 >= similarity * (F.size("sa") + F.size("sb"))
+        return written(close.join(left, "a").join(right, "b").where(enough).select("a", "b").distinct())
+
+    def possible(x: str, y: str) -> Column:
+        n, m, p, q = (F.col(f"{t}.{c}") for c in ("n", "pos") for t in (x, y))
+        near = F.least(n, m) + 1e-6 >= similarity * F.greatest(n, m)
+        return near & (F.least(n - p, m - q) * (1 + similarity) + 1e-6 >= similarity * (n + m)) & (F.col(f"{x}.root") != F.col(f"{y}.root"))
+
+    def ends(x: str, y: str) -> list[Column]:
+        return [F.least(f"{x}.id", f"{y}.id").alias("a"), F.greatest(f"{x}.id", f"{y}.id").alias("b")]
+
+    total = shared.count()
+    open_, links = shared.withColumn("root", F.col("id")), []
+    for turn in range(HEAD_ROUNDS):
+        heads = open_.groupBy("s").agg(F.min_by(F.struct("id", "n", "pos", "root"), F.struct(F.xxhash64("id", F.lit(turn)), "id", "n", "pos")).alias("h"))
+        links.append(verified(open_.alias("x").join(heads.select("s", "h.*").alias("y"), "s").where(possible("x", "y")).select(*ends("x", "y"))))
+        roots = components(reduce(DataFrame.unionByName, links))
+        named = open_.drop("root").join(roots, F.col("id") == F.col("node"), "left").select("s", "id", "n", "pos", F.coalesce("root", "id").alias("root"))
+        several = named.groupBy("s").agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("s", "rows")
+        open_ = written(named.join(several, "s"))
+        rows, pairs = open_.agg(F.count(F.lit(1)), F.sum(F.col("rows") - 1)).first()
+        open_ = open_.drop("rows")
+        if not rows or pairs <= 2 * set_block * total or links[-1].isEmpty():
+            break
+    if rows:
+        links.append(verified(open_.alias("x").join(open_.alias("y"), "s").where(F.col("x.id") < F.col("y.id")).where(possible("x", "y")).select(*ends("x", "y"))))
+        roots = components(reduce(DataFrame.unionByName, links))
+    named = classes.join(roots, F.col("doc_id") == F.col("node"), "left").select("h", F.coalesce("root", "doc_id").alias("component_id"))
+    return prints.join(named, "h").select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:

@@ -114,6 +114,32 @@ def test_similar_groups_match_brute_force(spark, block):
     assert [got[i] for i in range(len(texts))] == roots(len(texts), links)
 
 
+def test_similar_groups_find_tails_and_few_words(spark):
+    """Pairs whose sets of words differ in many bits of a fingerprint: tails appended or replaced, few words and a list of new ones."""
+    rng, texts = random.Random(5), []
+
+    def fresh(n):
+        return [f"x{rng.randrange(10**12)}" for _ in range(n)]
+
+    for size, vocabulary, cut, added in [(1000, 10**9, 0, 240), (1000, 150, 0, 240), (300, 10**9, 0, 70), (300, 10**9, 30, 30), (60, 10**9, 0, 13), (9, 10**9, 0, 1)] * 12:
+        base = [f"w{rng.randrange(vocabulary)}" for _ in range(size)]
+        texts += [" ".join(base), " ".join(base[: size - cut] + fresh(added))]
+    assert all(jaccard(a, b) >= 0.8 for a, b in zip(texts[::2], texts[1::2]))
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [i - i % 2 for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("block", [64, 1])
+def test_similar_groups_of_one_dense_template(spark, block):
+    """Copies of one template on both sides of the threshold meet in runs of many rows, with and without rounds of heads."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(rng.choice(["a", "b", f"v{rng.randrange(99)}"]) if rng.random() < 0.015 * (i % 3) else w for w in base) for i in range(150)]
+    links = [(i, j) for i, j in combinations(range(len(texts)), 2) if jaccard(texts[i], texts[j]) >= 0.8]
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs(spark, texts), set_block=block).collect()}
+    assert [got[i] for i in range(len(texts))] == roots(len(texts), links)
+
+
 # --- mixing --------------------------------------------------------------------------------------------------------
 
 def plain_targets(sizes, cap=3.0):
