@@ -184,6 +184,18 @@ def test_same_ids_as_the_json_tokenizer():
     assert [packing.encoder("byte_bpe_50k.tiktoken").encode_ordinary(t) for t in texts] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_ids_of_special_markers_are_those_of_the_json_tokenizer(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>\n", "x  <|endoftext|>  y", "<|endoftext| > <|ENDOFTEXT|> <|im_start|>", "ẞ<|endoftext|>漢字 it's\r\n", "Hello  world\n\n it's"]
+    rows = packing.pack(docs(spark, texts), with_ids=True).toPandas().sort_values(["doc_id", "start"])
+    for i, e in enumerate(plain.encode_batch(texts, add_special_tokens=False)):
+        own = rows[rows.doc_id == i]
+        assert list(np.concatenate([np.frombuffer(b, "<u4") for b in own.ids])) == [*e.ids, packing.END_ID] and (own.doc_tokens == len(e.ids) + 1).all()
+
+
 def test_pack_round_trip(spark):
     texts = [words(n, n) for n in (3, 50, 900, 4000, 7)] + [None, "", "same text", "same text"]
     rows = packing.pack(docs(spark, texts), window=256, with_ids=True, shard_bytes=8000).toPandas()
