@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,19 +17,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(column: str) -> Column:
+    """A column of exactly that name, dots and backticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def text_or_empty(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once; a lambda that named a computed array would compute it for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def boxed(docs: DataFrame, **beside: Column) -> DataFrame:
+    """The rows as one struct ``row`` with the given columns beside it, so that no working column meets one of the caller's."""
+    row = F.struct(*(named(c) for c in docs.columns)) if docs.columns else F.struct()
+    return docs.select(row.alias("row"), *(c.alias(n) for n, c in beside.items()))
+
+
+def unboxed(df: DataFrame, like: DataFrame, **replaced: Column) -> DataFrame:
+    """The columns of ``like`` out of ``row``, some with a new value of their old type; names not in ``like`` are left out."""
+    return df.select(*((replaced[c].cast(like.schema[c].dataType) if c in replaced else F.col("row").getField(c)).alias(c) for c in like.columns))
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; a folder of our own only where the cluster names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="logfold-")
-        spark.sparkContext.setCheckpointDir(named)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named)
-    return named
+    """The folder all executors share (``spark.checkpoint.dir``); one of our own only in a local session, as in tests."""
+    context = spark.sparkContext
+    named_folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named_folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        named_folder = tempfile.mkdtemp(prefix="logfold-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(named_folder)
+    return named_folder
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

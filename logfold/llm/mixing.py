@@ -1,18 +1,21 @@
 """Mixing sources to target weights, in DataFrame operations only.
 
-The words of a source form one stream of fixed-length blocks. A source with target t is due round(t / mean block)
-slots. All slots are one deck with exact totals, dealt to output shards by a pseudorandom permutation: the source
-counts of a shard are a multinomial draw given the totals, so the mix meets its targets instead of scattering around
-them. The j-th slot of a source with n blocks takes block P(j mod n), P being the source's own permutation, in epoch
-j div n; slots and blocks meet in an equi-join on (source, block). As targets stop at ``cap`` (3) times a source's
+The words of a source form one stream of fixed-length blocks. A source with target t is due round(t / mean block) slots.
+The slots of the mix lie in output shards of ``shard_slots``; every slot draws its source by a hash that falls into the
+source's share of the unit interval, so the source counts of a shard are a multinomial draw. Over all shards such counts
+miss the dues by about their square root: the slots of a source beyond its due, the last in shard order, go to the
+sources that came short. So the totals are exact and all but a few shards keep their draw.
+
+The j-th slot of a source with n blocks takes block P(j mod n), P being the source's own pseudorandom permutation, in
+epoch j div n; slots and blocks meet in an equi-join on (source, block). As targets stop at ``cap`` (3) times a source's
 size, no block, and so no document, is taken more often than that.
 
-Streams are laid out by (bucket, doc_id), the bucket a hash of the id: a source with any share of the rows is summed in
-many tasks, and only one number per source and bucket is added up in order.
+Prefix sums go in two steps of about the square root of the rows each: a source with any share of the rows is summed in
+many tasks. Equal rows are one class with a count until they have their places, so no number of copies meets in a task.
 
-Defined cases: null and empty texts have size 0 and take 0; a null source is a source, ranked last; repeated rows and
-ties take places of their own in the stream; if no document has words all targets are 0; extra columns are ignored by
-``mix`` and kept by ``mixture``; an empty table gives no rows.
+Defined cases: null and empty texts have size 0 and take 0; a null source is a source, ranked last; a null doc_id is an
+id; repeated rows and ties take places of their own in the stream; if no document has words all targets are 0; extra
+columns of any name are ignored by ``mix`` and kept by ``mixture``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,12 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from logfold.llm.common import text_or_empty, written
+from logfold.llm.common import boxed, let, text_or_empty, unboxed, written
 
-BUCKET_ROWS = 2_000
+#: Cells of the unit interval that lead a draw to the few sources it may belong to.
+CELLS = 4096
+UNIT = 1 << 52
 
 
-def word_count(column: str = "text") -> Column:
+def word_count(column: str | Column = "text") -> Column:
     return F.regexp_count(text_or_empty(column), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
@@ -51,44 +56,77 @@ def permuted(df: DataFrame, x: str, n: str, key: str, seed: int, out: str) -> Da
 
     Two passes of a rotation and a two-round Feistel step on the largest a x b rectangle inside n, a the root of n.
     """
-    df = df.withColumn(out, F.col(x)).withColumn("__a", F.floor(F.sqrt(F.col(n).cast("double")))).withColumn("__b", F.floor(F.col(n) / F.col("__a")))
+    df = df.withColumn(out, F.col(x)).withColumn("_a", F.floor(F.sqrt(F.col(n).cast("double")))).withColumn("_b", F.floor(F.col(n) / F.col("_a")))
     for step in (1, 2):
         name = F.lit(seed * 2 + step)
-        df = df.withColumn("__x", F.pmod(F.col(out) + F.pmod(F.xxhash64(key, name), F.col(n)), F.col(n)))
-        df = df.withColumn("__l", F.pmod(F.col("__x") + F.pmod(F.xxhash64(F.floor(F.col("__x") / F.col("__a")), key, name), F.col("__a")), F.col("__a")))
-        df = df.withColumn("__r", F.pmod(F.floor(F.col("__x") / F.col("__a")) + F.pmod(F.xxhash64("__l", key, name), F.col("__b")), F.col("__b")))
-        df = df.withColumn(out, F.when(F.col("__x") < F.col("__a") * F.col("__b"), F.col("__l") + F.col("__a") * F.col("__r")).otherwise(F.col("__x")))
-    return df.drop("__a", "__b", "__x", "__l", "__r")
+        df = df.withColumn("_x", F.pmod(F.col(out) + F.pmod(F.xxhash64(key, name), F.col(n)), F.col(n)))
+        df = df.withColumn("_l", F.pmod(F.col("_x") + F.pmod(F.xxhash64(F.floor(F.col("_x") / F.col("_a")), key, name), F.col("_a")), F.col("_a")))
+        df = df.withColumn("_r", F.pmod(F.floor(F.col("_x") / F.col("_a")) + F.pmod(F.xxhash64("_l", key, name), F.col("_b")), F.col("_b")))
+        df = df.withColumn(out, F.when(F.col("_x") < F.col("_a") * F.col("_b"), F.col("_l") + F.col("_a") * F.col("_r")).otherwise(F.col("_x")))
+    return df.drop("_a", "_b", "_x", "_l", "_r")
 
 
-def _streams(sized: DataFrame, sources: DataFrame) -> DataFrame:
-    """Each document's place in its source's stream of words, and a key of its row: (sid, bucket, n)."""
-    buckets = max(1, sized.count() // BUCKET_ROWS)
-    dealt = sized.join(sources, sized.source.eqNullSafe(sources.source)).drop(sources.source).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets).cast("long")))
-    order = W.partitionBy("sid", "bucket").orderBy("doc_id", "h")
-    within = dealt.withColumn("n", F.row_number().over(order)).withColumn("begin", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
-    starts = dealt.groupBy("sid", "bucket").agg(F.sum("size").alias("words"))
-    starts = starts.select("sid", "bucket", (F.sum("words").over(W.partitionBy("sid").orderBy("bucket")) - F.col("words")).alias("base"))
-    return within.join(starts, ["sid", "bucket"]).withColumn("begin", F.col("begin") + F.col("base")).drop("base")
+def _running(df: DataFrame, by: str, bucket: str, order: list[str], amount: str, out: str) -> DataFrame:
+    """Adds ``out``: the sum of ``amount`` over the rows of the same ``by`` before a row in order of (bucket, order)."""
+    within = W.partitionBy(by, bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    sums = df.groupBy(by, bucket).agg(F.sum(amount).alias("_sum"))
+    base = sums.select(by, bucket, (F.sum("_sum").over(W.partitionBy(by).orderBy(bucket).rowsBetween(W.unboundedPreceding, 0)) - F.col("_sum")).alias("_base"))
+    return df.withColumn(out, F.sum(amount).over(within) - F.col(amount)).join(base, [by, bucket]).withColumn(out, F.col(out) + F.col("_base")).drop("_base")
 
 
-def slots(sources: DataFrame, block: int, shard_slots: int, seed: int) -> DataFrame:
-    """(sid, block, epoch, shard, slot): every slot of the mix and the block it takes."""
+def _classes(sized: DataFrame, sources: DataFrame) -> DataFrame:
+    """(sid, source_size, target, doc_id, h, size, copies, begin): equal rows are one class; begin is its place in the source's stream."""
+    classes = sized.groupBy("source", "doc_id", "h", "size").agg(F.count(F.lit(1)).alias("copies"))
+    buckets = max(1, round(sized.count() ** 0.5))
+    dealt = classes.join(sources, classes.source.eqNullSafe(sources.source)).drop("source").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "h"), F.lit(buckets).cast("long")))
+    return _running(dealt.withColumn("amount", F.col("size") * F.col("copies")), "sid", "bucket", ["doc_id", "h", "size"], "amount", "begin").drop("amount", "bucket")
+
+
+def shard_counts(sources: DataFrame, block: int, shard_slots: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(dues(sid, blocks, due), counts(sid, shard, n)): for every shard of slots how many fall to each source, multinomially."""
     due = sources.withColumn("blocks", F.ceil(F.col("source_size") / block)).where("blocks > 0")
     due = due.withColumn("due", F.least(F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long"), F.ceil(F.col("target") / F.col("source_size")) * F.col("blocks")))
-    due = due.withColumn("first", F.sum("due").over(W.orderBy("sid")) - F.col("due")).withColumn("deck", F.sum("due").over(W.partitionBy())).where("due > 0")
-    chunk = 1 << 16
-    deck = due.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("due") - 1) / chunk)))).repartition("sid", "c")
-    deck = deck.withColumn("j", F.explode(F.sequence(F.col("c") * chunk, F.least(F.col("due"), (F.col("c") + 1) * chunk) - 1)))
-    deck = deck.withColumn("place", F.col("first") + F.col("j")).withColumn("whole", F.lit(-1)).withColumn("at", F.col("j") % F.col("blocks"))
-    deck = permuted(permuted(deck, "place", "deck", "whole", seed, "dealt"), "at", "blocks", "sid", seed + 1, "block")
-    return deck.select("sid", "block", F.floor(F.col("j") / F.col("blocks")).alias("epoch"), F.floor(F.col("dealt") / shard_slots).alias("shard"), (F.col("dealt") % shard_slots).alias("slot"))
+    due = written(due.where("due > 0").select("sid", "blocks", "due"))
+    total = due.agg(F.coalesce(F.sum("due"), F.lit(0))).first()[0]
+    upper = F.sum("due").over(W.orderBy("sid")) / F.lit(float(max(1, total))) * F.lit(UNIT)
+    shares = due.select("sid", "due", F.round(upper).cast("long").alias("high")).withColumn("low", F.lag("high", 1, 0).over(W.orderBy("sid")))
+    cell = lambda x: F.floor(x / (UNIT // CELLS))
+    cells = shares.where("low < high").select("sid", "low", "high", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high") - 1))).alias("cell"))
+    shards = -(-total // shard_slots)
+    spark = sources.sparkSession
+    slots = spark.range(0, shards, 1, max(1, min(shards, total >> 18))).select(F.col("id").alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(shard_slots), F.lit(total) - F.col("id") * shard_slots) - 1)).alias("slot"))
+    drawn = slots.withColumn("u", F.pmod(F.xxhash64("shard", "slot", F.lit(seed)), F.lit(UNIT).cast("long"))).withColumn("cell", cell(F.col("u")))
+    hit = drawn.join(cells, "cell").where("low <= u AND u < high")
+    return due, written(hit.groupBy("sid", "shard").agg(F.count(F.lit(1)).alias("n")))
+
+
+def slots(sources: DataFrame, block: int, shard_slots: int, seed: int) -> DataFrame:
+    """(sid, block, epoch, shard): every slot of the mix and the block it takes."""
+    due, counts = shard_counts(sources, block, shard_slots, seed)
+    drawn = due.join(counts.groupBy("sid").agg(F.sum("n").alias("drawn")), "sid", "left").fillna(0, ["drawn"])
+    over = F.sum(F.greatest(F.col("drawn") - F.col("due"), F.lit(0))).over(W.orderBy("sid")) - F.greatest(F.col("drawn") - F.col("due"), F.lit(0))
+    under = F.greatest(F.col("due") - F.col("drawn"), F.lit(0))
+    settled = written(drawn.withColumn("over_before", over).withColumn("under", under).withColumn("under_before", F.sum("under").over(W.orderBy("sid")) - F.col("under")))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_distinct("shard")).first()
+    group = max(1, round(total[1] ** 0.5))
+    placed = _running(counts.withColumn("bucket", F.floor(F.col("shard") / group)), "sid", "bucket", ["shard"], "n", "first")
+    tasks = max(1, total[0] >> 18)
+    rows = placed.select("sid", "shard", "first", "n").repartition(tasks, "sid", "shard").join(settled.select("sid", "blocks", "due", "over_before"), "sid")
+    rows = rows.withColumn("j", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))
+    kept = rows.where("j < due").select("sid", "blocks", "j", "shard")
+    # the few slots beyond a due, in order, meet the places that other sources lack, in order
+    spare = rows.where("j >= due").select("shard", (F.col("over_before") + F.col("j") - F.col("due")).alias("q"))
+    lacking = settled.where("under > 0").select("sid", "blocks", F.col("drawn").alias("from"), "under_before", F.explode(F.sequence(F.lit(0).cast("long"), F.col("under") - 1)).alias("i"))
+    moved = spare.join(lacking.withColumn("q", F.col("under_before") + F.col("i")), "q").select("sid", "blocks", (F.col("from") + F.col("i")).alias("j"), "shard")
+    deck = kept.unionByName(moved).withColumn("at", F.col("j") % F.col("blocks"))
+    return permuted(deck, "at", "blocks", "sid", seed + 1, "block").select("sid", "block", F.floor(F.col("j") / F.col("blocks")).alias("epoch"), "shard")
 
 
 def _pieces(placed: DataFrame, block: int) -> DataFrame:
-    """One row per document and block it reaches into: words skip..skip+words of the document."""
+    """One row per copy of a document and block it reaches into: words skip..skip+words of the document."""
+    each = placed.where("size > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).withColumn("begin", F.col("begin") + F.col("copy") * F.col("size"))
     first, last = F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block)
-    cut = placed.where("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
+    cut = each.withColumn("block", F.explode(F.sequence(first, last)))
     skip = F.greatest(F.col("block") * block - F.col("begin"), F.lit(0))
     return cut.withColumn("skip", skip).withColumn("words", F.least((F.col("block") + 1) * block - F.col("begin"), F.col("size")) - F.col("skip"))
 
@@ -96,34 +134,38 @@ def _pieces(placed: DataFrame, block: int) -> DataFrame:
 def _plan(docs: DataFrame, weights: tuple[int, ...], cap: float) -> tuple[DataFrame, DataFrame]:
     sized = written(docs.select("doc_id", "source", F.xxhash64("text").alias("h"), word_count().alias("size")))
     sources = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap))
-    return _streams(sized, sources), sources
+    return _classes(sized, sources), sources
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0, block: int = 64, shard_slots: int = 4096, seed: int = 7) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every row of ``docs``."""
+    """(doc_id, size, source_size, target, taken, first_shard) for every row of ``docs``; first_shard is the first output
+    shard that holds words of it, null if none does."""
     placed, sources = _plan(docs, weights, cap)
-    placed = written(placed.select("sid", "bucket", "n", "doc_id", "size", "source_size", "target", "begin"))
-    # slots are exploded from the small table of sources: its size misleads the planner into broadcasting them
-    taken = slots(sources, block, shard_slots, seed).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times")).hint("merge")
-    sums = _pieces(placed, block).join(taken, ["sid", "block"]).groupBy("sid", "bucket", "n").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    return placed.join(sums.hint("merge"), ["sid", "bucket", "n"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+    placed = written(placed.withColumn("n", F.monotonically_increasing_id()))
+    # slots are exploded from small tables: their size misleads the planner into broadcasting them
+    taken = slots(sources, block, shard_slots, seed).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"), F.min("shard").alias("shard")).hint("merge")
+    sums = _pieces(placed, block).join(taken, ["sid", "block"]).groupBy("n", "copy").agg(F.sum(F.col("words") * F.col("times")).alias("taken"), F.min("shard").alias("first_shard"))
+    rows = placed.select("n", "doc_id", "size", "source_size", "target", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
+    return rows.join(sums.hint("merge"), ["n", "copy"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "first_shard")
 
 
-def mixture(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0, block: int = 512, shard_slots: int = 4096, seed: int = 7) -> DataFrame:
-    """The mix as rows of the same columns: a row per document and epoch that takes words of it.
+def mixture(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0, block: int = 512, shard_slots: int = 4096, seed: int = 7, shards_together: int = 1) -> DataFrame:
+    """The mix as rows of the same columns: a row per document and epoch that takes words of it, in output shards.
 
     A document taken whole keeps its text as it is; otherwise its taken runs of words are joined by spaces. ``n_chars``,
-    if there, is the new length.
+    if there, is the new length. All rows of an output shard (the first one that holds words of the row) lie in one
+    partition, shard after shard. Rows with equal doc_id and text are one document of several copies; their other
+    columns are those of any of them.
     """
     placed, sources = _plan(docs, weights, cap)
     run = F.sort_array(F.collect_list(F.struct("skip", "words")))
-    drawn = _pieces(placed, block).join(slots(sources, block, shard_slots, seed).hint("merge"), ["sid", "block"]).groupBy("sid", "bucket", "n", "epoch", "doc_id", "h", "size")
-    runs = drawn.agg(run.alias("__runs"), F.sum("words").alias("__words")).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "__runs", (F.col("__words") == F.col("size")).alias("__whole"))
-    once = docs.withColumn("__text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__text_hash"])
-    words = F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
-    part = F.array_join(F.flatten(F.transform("__runs", lambda r: F.slice(words, r["skip"].cast("int") + 1, r["words"].cast("int")))), " ")
-    joined = once.join(runs, once.doc_id.eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__h")))
-    mixed = joined.withColumn("text", F.when(F.col("__whole"), F.col("text")).otherwise(part))
-    if "n_chars" in docs.columns:
-        mixed = mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return mixed.select(*docs.columns)
+    drawn = _pieces(placed, block).join(slots(sources, block, shard_slots, seed).hint("merge"), ["sid", "block"]).groupBy("doc_id", "h", "size", "copy", "epoch")
+    runs = drawn.agg(run.alias("runs"), F.sum("words").alias("words"), F.min("shard").alias("shard")).select(F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("doc_id").isNull().alias("no_id"), "h", "runs", (F.col("words") == F.col("size")).alias("whole"), "shard")
+    once = boxed(docs, k=F.coalesce("doc_id", F.lit(0)), no_id=F.col("doc_id").isNull(), h=F.xxhash64("text")).dropDuplicates(["k", "no_id", "h"])
+    words = F.split(F.regexp_replace(F.col("row.text"), r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
+    part = let(words, lambda w: F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(w, r["skip"].cast("int") + 1, r["words"].cast("int")))), " "))
+    text = F.when(F.col("whole"), F.col("row.text")).otherwise(part)
+    joined = once.join(runs, ["k", "no_id", "h"]).withColumn("mixed", text)
+    files = max(1, sources.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0] // (block * shard_slots * shards_together))
+    dealt = joined.select("row", "mixed", "shard").repartition(int(min(files, 1 << 16)) + 1, "shard").sortWithinPartitions("shard")
+    return unboxed(dealt, docs, text=F.col("mixed"), n_chars=F.length("mixed"))
