@@ -1,17 +1,20 @@
 """Line dedup over content-defined chunks, in DataFrame operations only.
 
-Lines are hashed; a rolling hash over ``window`` consecutive line hashes ends a chunk where it is 0 modulo ``mean``, or
-at ``longest`` lines. Boundaries depend on the lines around them alone, so a passage that two documents share is cut
-alike wherever it stands, but for its edges. A multi-line chunk that occurs again anywhere is removed after its bytes
-have been compared with those of its first occurrence (smallest doc_id, then text hash, then position), which stays.
-
-Only hashes of chunks are grouped over the corpus (with map-side partial aggregates, so a chunk in a third of all
-documents is one row per task); only the texts of chunks that do repeat are shuffled for the comparison.
-
-Defined cases: null text stays null; texts of one line, and chunks with fewer than two non-blank lines, are never cut; a
-text may become empty, its row stays; rows that repeat (same doc_id and text) are edited alike; a null doc_id counts as
-the smallest; columns of any other name pass through; ``n_chars``, if there, is the new length; a hash collision of
-different chunks keeps both.
+Non-blank lines are hashed; a rolling hash over ``window`` consecutive line hashes ends a chunk where it is 0 modulo
+``mean`` (the first of adjacent such places, so a chunk has two lines at least), or at ``longest`` lines. Boundaries
+depend on the lines around them alone, so a passage that texts share is cut alike wherever it stands, but for its edges.
+The edges, and passages shorter than a chunk, are covered by the smallest chunks: the pairs of lines at every place that
+no repeated chunk covers, and single lines of ``passage_words`` words or more. What occurs again anywhere goes after its
+bytes have been compared with those of its first occurrence (null doc_id, then smallest doc_id, then text hash, then
+position), which stays. Blank lines are no part of a chunk; those behind a removed line go with it.
+
+Only hashes are grouped over the corpus. A hash that more than one in ``hot_share`` of all rows have is dealt over
+``salts`` tasks with as many copies of its first occurrence: there are ``hot_share`` such hashes at most, which bounds
+the broadcast list of them. Only texts of chunks that do repeat are shuffled for the comparison.
+
+Defined cases: null text stays null; texts of one short line are never cut; a text may become empty, its row stays; rows
+that repeat (same doc_id and text) are edited alike, the first ones of a passage all stay; columns of any other name pass
+through; ``n_chars``, if there, is the new length of a cut text; a hash collision of different chunks keeps both.
 """
 
 from __future__ import annotations
@@ -19,64 +22,122 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logfold.llm.common import written
+from logfold.llm.common import boxed, let, unboxed, written
+
+PRIME = 2_147_483_629
+KEY = ["has_id", "k", "h"]
+
+
+def lines_of(text: Column) -> Column:
+    """(at, line) of the non-blank lines, ``at`` counting all lines from 0."""
+    found = F.transform(F.split(text, "\n", -1), lambda x, i: F.when(x.rlike(r"\S"), F.struct(i.alias("at"), x.alias("line"))))
+    return F.filter(found, lambda x: x.isNotNull())
 
 
 def _weighted(factor: int):
     return lambda x, y: x + y * factor
 
 
-def with_chunks(df: DataFrame, window: int, mean: int, longest: int, text_col: str = "text") -> DataFrame:
-    """Adds ``__lines`` and ``__chunks``, an array of (first, length) over the lines, 0-based.
-
-    Whole-array steps only: a lambda that named another computed array would compute it again for every element.
-    """
-    df = df.withColumn("__lines", F.split(text_col, "\n", -1)).withColumn("__hashes", F.transform("__lines", lambda x: F.pmod(F.xxhash64(x), F.lit(2_147_483_629))))
-    rolled = F.col("__hashes")
-    for k in range(1, window):
-        earlier = F.concat(F.array_repeat(F.lit(None).cast("long"), k), F.col("__hashes"))
-        rolled = F.zip_with(rolled, earlier, _weighted(31**k))  # null where the window is not full
-    ends = F.filter(F.transform(rolled, lambda x, i: F.when(F.pmod(x, F.lit(mean)) == 0, i)), lambda i: i.isNotNull())
-    df = df.withColumn("__last", F.size("__lines") - 1).withColumn("__ends", ends)
-    df = df.withColumn("__ends", F.array_union(F.filter("__ends", lambda i: i < F.col("__last")), F.array("__last")))
-    starts = F.concat(F.array(F.lit(0)), F.transform("__ends", lambda i: i + 1))
-    spans = F.zip_with(starts, "__ends", lambda first, last: F.struct(first.alias("first"), last.alias("last")))
-    cut = F.flatten(F.transform(F.filter(spans, lambda s: s["last"].isNotNull()), lambda s: F.transform(
-        F.sequence(s["first"], s["last"], F.lit(longest)),
-        lambda at: F.struct(at.alias("first"), (F.least(s["last"] + 1, at + longest) - at).alias("length")),
-    )))
-    return df.withColumn("__chunks", cut).drop("__hashes", "__last", "__ends")
-
-
-def chunked(docs: DataFrame, window: int, mean: int, longest: int) -> DataFrame:
-    """(doc_id, doc_hash, pos, chunk) of the multi-line chunks."""
-    lines = docs.where("text IS NOT NULL AND instr(text, '\n') > 0").select("doc_id", "text", F.xxhash64("text").alias("doc_hash"))
-    cut = with_chunks(lines, window, mean, longest)
-    many = F.transform("__chunks", lambda c: F.struct(c["first"].alias("pos"), F.slice("__lines", c["first"] + 1, c["length"]).alias("lines")))
-    rows = cut.select("doc_id", "doc_hash", F.explode(F.filter(many, lambda c: F.size(F.filter(c["lines"], lambda x: F.trim(x) != "")) > 1)).alias("c"))
-    return rows.select("doc_id", "doc_hash", F.col("c.pos").alias("pos"), F.array_join("c.lines", "\n").alias("chunk"))
-
-
-def repeated_chunks(docs: DataFrame, window: int = 2, mean: int = 4, longest: int = 64) -> DataFrame:
-    """(doc_id, doc_hash, pos): chunks equal, byte for byte, to an earlier one anywhere in ``docs``."""
-    chunks = chunked(docs, window, mean, longest).withColumn("hash", F.xxhash64("chunk"))
-    first = chunks.groupBy("hash").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "doc_hash", "pos")).alias("first"))
-    repeats = first.where("times > 1").select("hash", "first")
-    found = chunks.join(repeats, "hash").withColumn("is_first", F.struct("doc_id", "doc_hash", "pos").eqNullSafe(F.col("first")))
-    found = written(found.select("hash", "doc_id", "doc_hash", "pos", "is_first", "chunk"))
-    kept = found.where("is_first").select("hash", F.col("chunk").alias("kept")).dropDuplicates(["hash"])
-    same = found.where("NOT is_first").join(kept, "hash").where(F.col("chunk") == F.col("kept"))
-    return same.select("doc_id", "doc_hash", "pos")
-
-
-def drop_repeated_chunks(docs: DataFrame, window: int = 2, mean: int = 4, longest: int = 64) -> DataFrame:
-    """The same rows and columns, repeated chunks cut from the texts."""
-    gone = repeated_chunks(docs, window, mean, longest).groupBy("doc_id", "doc_hash").agg(F.collect_set("pos").alias("__gone")).select(F.col("doc_id").alias("__id"), F.col("doc_hash").alias("__hash"), "__gone")
-    joined = docs.join(gone, docs.doc_id.eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left")
-    cut = with_chunks(joined.withColumn("__cut", F.when(F.col("__gone").isNotNull(), F.col("text"))), window, mean, longest, "__cut")
-    left = F.filter("__chunks", lambda c: ~F.array_contains("__gone", c["first"]))
-    kept = F.array_join(F.flatten(F.transform(left, lambda c: F.slice("__lines", c["first"] + 1, c["length"]))), "\n")
-    edited = cut.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept))
-    if "n_chars" in docs.columns:
-        edited = edited.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return edited.select(*docs.columns)
+def boundaries(hashes: Column, window: int, mean: int) -> Column:
+    """Places (0-based, in order) of the lines that end a chunk."""
+    def rolled(small: Column) -> Column:
+        out = small
+        for k in range(1, window):
+            earlier = F.concat(F.array_repeat(F.lit(None).cast("long"), k), small)
+            out = F.zip_with(out, earlier, _weighted(31**k))  # null where the window is not full
+        return F.transform(F.slice(out, 1, F.size(small)), lambda x: F.coalesce(F.pmod(x, F.lit(mean)) == 0, F.lit(False)))
+
+    def firsts(hit: Column) -> Column:
+        alone = F.zip_with(hit, F.concat(F.array(F.lit(False)), hit), lambda now, before: now & ~before)
+        return F.filter(F.transform(alone, lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
+
+    return let(let(F.transform(hashes, lambda x: F.pmod(x, F.lit(PRIME).cast("long"))), rolled), firsts)
+
+
+def _spans(n: Column, ends: Column, longest: int) -> Column:
+    def cut(closed: Column) -> Column:
+        starts = F.concat(F.array(F.lit(0)), F.transform(closed, lambda i: i + 1))
+        spans = F.filter(F.zip_with(starts, closed, lambda a, b: F.struct(a.alias("first"), b.alias("last"))), lambda s: s["last"].isNotNull())
+        return F.flatten(F.transform(spans, lambda s: F.transform(F.sequence(s["first"], s["last"], F.lit(longest)), lambda at: F.struct(at.alias("first"), F.least(s["last"], at + longest - 1).alias("last")))))
+
+    return let(F.array_union(F.filter(ends, lambda i: i < n - 1), F.array(n - 1)), cut)
+
+
+def units(text: Column, window: int, mean: int, longest: int, passage_words: int) -> Column:
+    """(first, last, hash) over the non-blank lines: chunks of three lines or more, all pairs, long single lines."""
+    nothing = F.array().cast("array<struct<first:int,last:int>>")
+
+    def of_lines(found: Column) -> Column:
+        n = F.size(found)
+
+        def of_hashes(hashes: Column) -> Column:
+            chunks = F.filter(_spans(n, boundaries(hashes, window, mean), longest), lambda s: s["last"] > s["first"] + 1)
+            pairs = F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.struct(i.alias("first"), (i + 1).alias("last")))).otherwise(nothing)
+            wordy = F.transform(found, lambda x, i: F.when((F.length(x["line"]) >= 2 * passage_words - 1) & (F.regexp_count(x["line"], F.lit(r"\S+")) >= passage_words), F.struct(i.alias("first"), i.alias("last"))))
+            every = F.concat(F.when(n > 2, chunks).otherwise(nothing), pairs, F.filter(wordy, lambda x: x.isNotNull()))
+            return F.transform(every, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"), F.xxhash64(F.slice(hashes, s["first"] + 1, s["last"] - s["first"] + 1)).alias("hash")))
+
+        return let(F.transform(found, lambda x: F.xxhash64(x["line"])), of_hashes)
+
+    return let(lines_of(text), of_lines)
+
+
+def _key(docs: DataFrame) -> dict[str, Column]:
+    return {"has_id": F.col("doc_id").isNotNull(), "k": F.coalesce("doc_id", F.lit(0)), "h": F.xxhash64("text")}
+
+
+def repeated_lines(docs: DataFrame, window: int = 2, mean: int = 4, longest: int = 64, passage_words: int = 50, hot_share: int = 2000, salts: int = 64) -> DataFrame:
+    """(has_id, k, h, gone): for the rows of a doc_id and text hash the places of non-blank lines that go."""
+    texts = docs.where("text IS NOT NULL").select(*(c.alias(n) for n, c in _key(docs).items()), "text")
+    at = written(texts.select(*KEY, F.explode(units(F.col("text"), window, mean, longest, passage_words)).alias("u")).select(*KEY, "u.*"))
+    hot = max(64, at.count() // hot_share)
+    first = at.groupBy("hash").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct(*KEY, "first", "last")).alias("origin"))
+    first = written(first.where("times > 1"))
+    common = F.broadcast(first.where(F.col("times") > hot).select("hash", F.lit(True).alias("hot")))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64(*KEY, "first"), F.lit(salts).cast("long"))).otherwise(F.lit(0).cast("long"))
+    copies = F.when(F.col("times") > hot, F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    origins = first.withColumn("salt", F.explode(copies)).select("hash", "salt", "origin")
+    again = at.join(common, "hash", "left").withColumn("salt", salt).drop("hot").join(origins, ["hash", "salt"]).where(F.struct(*KEY, "first", "last") != F.col("origin"))
+    again = written(again.select(*KEY, "first", "last", "hash", "salt"))
+    chunks, small = again.where("last > first + 1"), again.where("last <= first + 1")
+    covered = chunks.select(*KEY, F.explode(F.sequence(F.col("first"), F.col("last") - 1)).alias("first"))
+    asked = chunks.unionByName(small.join(covered, [*KEY, "first"], "left_anti").select(*chunks.columns)).withColumn("own", F.lit(True))
+    asked = written(asked)
+    wanted = origins.join(asked.select("hash", "salt").distinct(), ["hash", "salt"], "left_semi").select("origin.*", "hash", "salt", F.lit(False).alias("own"))
+    of_doc = written(asked.unionByName(wanted).groupBy(*KEY).agg(F.collect_list(F.struct("first", "last", "hash", "salt", "own")).alias("units")))
+    cut = lambda found: F.transform("units", lambda u: F.struct(
+        u["first"].alias("first"), u["last"].alias("last"), u["hash"].alias("hash"), u["salt"].alias("salt"), u["own"].alias("own"),
+        F.array_join(F.transform(F.slice(found, u["first"] + 1, u["last"] - u["first"] + 1), lambda x: x["line"]), "\n").alias("chunk")))
+    # rows that repeat have equal units: one of each is enough
+    shown = written(texts.join(of_doc, KEY).select(*KEY, F.explode(let(lines_of(F.col("text")), cut)).alias("u")).select(*KEY, "u.*"))
+    kept = shown.where("NOT own").select("hash", "salt", F.col("chunk").alias("kept")).dropDuplicates(["hash", "salt"])
+    same = shown.where("own").join(kept, ["hash", "salt"]).where(F.col("chunk") == F.col("kept"))
+    places = F.array_distinct(F.flatten(F.collect_list(F.sequence("first", "last"))))
+    return same.groupBy(*KEY).agg(places.alias("gone"))
+
+
+def drop_repeated_chunks(docs: DataFrame, window: int = 2, mean: int = 4, longest: int = 64, passage_words: int = 50) -> DataFrame:
+    """The same rows and columns, repeated passages cut from the texts."""
+    gone = written(repeated_lines(docs, window, mean, longest, passage_words))
+    joined = boxed(docs, **_key(docs)).join(gone, KEY, "left")
+    lines = F.split(F.col("row.text"), "\n", -1)
+
+    def rest(s: Column) -> Column:
+        found, every = s["found"], s["every"]
+        upto = F.concat(F.transform(F.slice(found, 2, F.size(found)), lambda x: x["at"]), F.array(F.size(every)))
+        parts = F.zip_with(found, upto, lambda x, end: F.struct(x["at"].alias("at"), (end - x["at"]).alias("n")))
+
+        def pick(part: Column) -> Column:
+            stay = F.array_except(F.sequence(F.lit(0), F.size(found) - 1), s["gone"])
+            head = F.slice(every, 1, found[0]["at"])
+            return F.array_join(F.concat(head, F.flatten(F.transform(stay, lambda i: F.slice(every, part[i]["at"] + 1, part[i]["n"])))), "\n")
+
+        return let(parts, pick)
+
+    cut = let(F.struct(lines_of(F.col("row.text")).alias("found"), lines.alias("every"), F.col("gone").alias("gone")), rest)
+    edited = joined.withColumn("left", F.when(F.col("gone").isNotNull(), cut))
+    length = F.col("row.n_chars") if "n_chars" in docs.columns else F.lit(None)
+    return unboxed(
+        edited, docs, text=F.when(F.col("gone").isNotNull(), F.col("left")).otherwise(F.col("row.text")),
+        n_chars=F.when(F.col("gone").isNotNull(), F.length("left")).otherwise(length),
+    )
