@@ -1,22 +1,24 @@
 """Threshold-scaled sketches: mergeable document fingerprints with containment estimates.
 
-A sketch keeps every shingle hash below a fixed fraction of the hash range, so two sketches are comparable whatever
-the lengths of their texts, and the sketch of a union is the union of the sketches. Short texts would keep nothing;
-therefore the ``floor`` smallest hashes are kept too. A sketch is complete up to its own threshold (the fraction, or
-its largest kept hash if that is higher, or everything if all shingles were kept), and two sketches are compared below
-the smaller of their thresholds: there both hold every hash.
+A sketch keeps every shingle hash below a fixed fraction of the hash range, whatever the length of the text. So two
+sketches are comparable as they are, and the sketch of a union is the union of the sketches. Shingles are five words
+(fewer words: the whole sequence); hashes have 31 bits.
 
-Shingles are five words (fewer words: the whole sequence). The printed form is the count of distinct shingles, a
-colon, and the kept 32-bit hashes in order, eight hex digits each: equal texts have equal fingerprints.
+A short text may have no shingle below the fraction. A sketch therefore also holds one mark per text: the hash of its
+whole word sequence, with the top bit set, which no shingle hash has. Marks never count where shingles were kept; they
+tell texts apart, or equal, where none was. A union holds the marks of all its texts.
 
-Defined cases: null text counts as empty; an empty sketch prints as "0:" and is fully alike to another empty one and
+The printed form is the kept hashes and marks in order, eight hex digits each: equal texts have equal fingerprints.
+
+Defined cases: null text counts as empty; a text without words prints as "" and is fully alike to another such text and
 not at all to any other; repeated rows get equal fingerprints; the next document after the smallest id is the largest,
-itself if alone; ties of doc_id are ordered by text; rows with a null id come last in the descending order; extra
-columns are ignored.
+itself if alone; rows of one doc_id are ordered by a hash of their text, rows without one come last in the descending
+order; extra columns are ignored; no rows give no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,13 +31,13 @@ from pyspark.sql.window import Window as W
 
 from logfold.llm.common import text_or_empty, total_bytes
 
-WORDS, FRACTION, FLOOR, SEED = 5, 1 / 32, 32, 42
-RANGE = 1 << 32
+WORDS, FRACTION, SEED = 5, 1 / 4, 42
+RANGE = 1 << 31
 _MULTIPLIERS = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) | 1 for i in range(1, 9)], np.uint64)
 
 
 def shingle_hashes(text: str, words: int = WORDS) -> np.ndarray:
-    """The distinct 32-bit hashes of a text's word shingles, in order."""
+    """The distinct 31-bit hashes of a text's word shingles, in order, and last the text's mark (from 2**31 on)."""
     found = text.encode().split()
     if not found:
         return np.zeros(0, np.uint32)
@@ -47,45 +49,48 @@ def shingle_hashes(text: str, words: int = WORDS) -> np.ndarray:
         mixed ^= h[i : len(h) - take + 1 + i] * _MULTIPLIERS[i]
         mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     mixed ^= mixed >> np.uint64(32)
-    return np.unique((mixed & np.uint64(RANGE - 1)).astype(np.uint32))
+    mark = RANGE | digest(h.tobytes(), SEED) & (RANGE - 1)
+    return np.append(np.unique((mixed & np.uint64(RANGE - 1)).astype(np.uint32)), np.uint32(mark))
 
 
-def sketch(hashes: np.ndarray, fraction: float = FRACTION, floor: int = FLOOR) -> str:
-    kept = hashes[: max(floor, int(np.searchsorted(hashes, int(fraction * RANGE))))]
-    return f"{len(hashes)}:{kept.astype('>u4').tobytes().hex()}"
+def sketch(hashes: np.ndarray, fraction: float = FRACTION) -> str:
+    """The printed sketch of sorted hashes: those below the fraction, and the marks."""
+    kept = hashes[(hashes < int(fraction * RANGE)) | (hashes >= RANGE)]
+    return kept.astype(">u4").tobytes().hex()
 
 
-def parse(printed: str, fraction: float = FRACTION) -> tuple[np.ndarray, int, int]:
-    """(kept hashes, distinct shingles, threshold: every hash below it was kept)."""
-    count, _, digits = printed.partition(":")
-    kept = np.frombuffer(bytes.fromhex(digits), ">u4").astype(np.int64)
-    whole = len(kept) == int(count)
-    return kept, int(count), RANGE if whole else max(int(fraction * RANGE), int(kept[-1]) + 1)
+def parse(printed: str) -> tuple[np.ndarray, np.ndarray]:
+    """(kept hashes, marks)."""
+    found = np.frombuffer(bytes.fromhex(printed), ">u4").astype(np.int64)
+    return found[found < RANGE], found[found >= RANGE]
 
 
 def merge(a: str, b: str) -> str:
-    """The sketch of two texts' shingles together (its count is that of the kept ones scaled up, exact if all were kept)."""
-    (x, m, s), (y, n, t) = parse(a), parse(b)
-    both = np.union1d(x, y)
-    limit = min(s, t)
-    kept = both[both < limit]
-    count = len(both) if limit == RANGE else max(m, n, round(len(kept) * RANGE / limit))
-    return f"{count}:{kept.astype('>u4').tobytes().hex()}"
+    """The sketch of two sketches' shingles together: exactly what the union of the texts' shingles would have."""
+    both = np.union1d(np.concatenate(parse(a)), np.concatenate(parse(b)))
+    return both.astype(">u4").tobytes().hex()
+
+
+def shingles_of(printed: str, fraction: float = FRACTION) -> float:
+    """The estimated number of distinct shingles behind a sketch."""
+    return len(parse(printed)[0]) / fraction
 
 
 def containment(a: str, b: str) -> tuple[float, float]:
-    """(share of a's shingles that b holds, Jaccard likeness), both estimated below the common threshold."""
-    (x, m, s), (y, n, t) = parse(a), parse(b)
-    if not m or not n:
-        return (1.0, 1.0) if m == n else (0.0, 0.0)
-    limit = min(s, t)
-    x, y = x[x < limit], y[y < limit]
+    """(share of a's shingles that b holds, Jaccard likeness), both estimated from the kept hashes, else from the marks."""
+    (x, mark_a), (y, mark_b) = parse(a), parse(b)
+    if not len(x) and (not len(y) or not len(mark_a)):
+        x, y = mark_a, mark_b
+    if not len(x):
+        same = 1.0 if a == b else 0.0
+        return same, same
     common = len(np.intersect1d(x, y, assume_unique=True))
-    return (common / len(x) if len(x) else 0.0), common / max(1, len(x) + len(y) - common)
+    return common / len(x), common / (len(x) + len(y) - common)
 
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Every column and row of ``docs`` with the ``fingerprint`` of its text (never null) beside it."""
+    """Every column and row of ``docs`` with the ``fingerprint`` of its text (never null) beside it (one of that name is replaced)."""
+    plain = docs.drop("fingerprint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,60 +98,81 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text") -> DataFrame:
             prints = pa.array([sketch(shingle_hashes(t.as_py() or "")) for t in batch.column(at)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, prints], [*batch.schema.names, "fingerprint"])
 
-    plain = docs.drop("fingerprint")
     return plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("fingerprint", T.StringType())]))
 
 
-def _range_of(docs: DataFrame, ranges: int, segments: int = 256) -> Column:
-    """About even ranges of doc_id: quantiles cut segments, equal widths cut ranges inside a segment."""
-    segments = min(ranges, segments)
-    points = docs.agg(F.percentile_approx("doc_id", F.array(*(F.lit(i / segments) for i in range(segments + 1))), 10_000)).first()[0]
-    bounds = sorted(set(points or []))
-    if ranges == 1 or len(bounds) < 2:
-        return F.when(F.col("doc_id").isNull(), -1).otherwise(0).cast("long")
-    inside = -(-ranges // segments)
-    lows, widths = F.array(*map(F.lit, bounds[:-1])), F.array(*(F.lit(max(1, -(-(b - a) // inside))) for a, b in zip(bounds, bounds[1:])))
-    segment = F.greatest(F.size(F.filter(lows, lambda low: low <= F.col("doc_id"))), F.lit(1))
-    step = F.floor((F.col("doc_id") - F.element_at(lows, segment)) / F.element_at(widths, segment))
-    return F.when(F.col("doc_id").isNull(), -1).otherwise(segment * inside + F.least(F.greatest(step, F.lit(0)), F.lit(inside - 1))).cast("long")
+# --- the next document -------------------------------------------------------------------------------------------------
 
+def _place() -> Column:
+    """One number that never falls as (doc_id is there, doc_id, text hash) rises; nulls lie below all ids."""
+    share = F.pmod(F.col("h"), F.lit(1 << 52).cast("long")).cast("double") / float(1 << 52)
+    return F.when(F.col("doc_id").isNull(), F.lit(-1e300) * (1 - share / 2)).otherwise(F.col("doc_id").cast("double") + share)
 
-def with_next(docs: DataFrame, range_bytes: int = 16 << 20, most_ranges: int = 1 << 16) -> DataFrame:
-    """(doc_id, text, fingerprint, next_text, next_fingerprint): next is the following row in descending (doc_id, text)
-    order, the first row's for the last.
 
-    Ids are cut into ranges of about ``range_bytes`` of text; a range also gets, behind its rows, the highest row of the
-    range below. So no task sees more than a range, and no order of all rows is needed in one place. There are at most
-    ``most_ranges`` ranges (larger inputs get larger ranges), which bounds the broadcast table of their highest ids.
+def _dealt(docs: DataFrame, ranges: int, fan: int = 256) -> DataFrame:
+    """Adds ``range``: about even ranges of the order, by quantiles of all rows and then of each part's rows."""
+    placed = docs.withColumn("place", _place())
+    parts = -(-ranges // fan)
+    quantiles = lambda n: F.percentile_approx("place", F.array(*(F.lit(i / n) for i in range(1, n))), 10_000)
+    part = F.lit(0)
+    if parts > 1:
+        bounds = sorted(set(placed.agg(quantiles(parts)).first()[0] or []))
+        part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("place")))
+    placed = placed.withColumn("part", part)
+    inside = min(ranges, fan)
+    if inside == 1:
+        return placed.withColumn("range", F.col("part").cast("long"))
+    # at most ``fan`` rows of ``fan`` numbers: half a megabyte
+    bounds = placed.groupBy("part").agg(F.array_sort(F.array_distinct(quantiles(inside))).alias("bounds"))
+    step = F.size(F.filter("bounds", lambda b: b <= F.col("place")))
+    return placed.join(F.broadcast(bounds), "part").withColumn("range", (F.col("part") * (fan + 1) + step).cast("long")).drop("bounds")
+
+
+def chained(docs: DataFrame, range_bytes: int = 16 << 20, most_ranges: int = 1 << 16) -> DataFrame:
+    """(range, head, doc_id, text), each partition sorted by range, ``head`` last, then falling (doc_id, text hash).
+
+    The row after a row of the same range is the next document; the last one is a head, the first row of the range
+    below (of the last range: of the first), and has no next one. So no task sees more than its ranges, and nothing is
+    ordered in one place but one key per range. There are at most ``most_ranges`` ranges (larger inputs get larger ones).
     """
-    docs = docs.select("doc_id", text_or_empty().alias("text"))
+    docs = docs.select("doc_id", text_or_empty().alias("text")).withColumn("h", F.xxhash64("text"))
     ranges = min(most_ranges, max(1, -(-total_bytes(docs, "text") // range_bytes)))
-    dealt = docs.withColumn("range", _range_of(docs, ranges))
-    top = dealt.groupBy("range").agg(F.max("doc_id").alias("top"))
+    dealt = _dealt(docs, ranges).select("range", F.col("doc_id").isNotNull().alias("has_id"), F.coalesce("doc_id", F.lit(0)).alias("k"), "h", "text")
+    top = dealt.groupBy("range").agg(F.max(F.struct("has_id", "k", "h")).alias("top"))
     by_range = W.orderBy("range")
-    chain = top.select(F.col("range").alias("below"), "top", F.coalesce(F.lead("range").over(by_range), F.first("range").over(by_range)).alias("to"))
-    heads = dealt.join(F.broadcast(chain), (F.col("range") == F.col("below")) & F.col("doc_id").eqNullSafe(F.col("top")))
-    rows = dealt.withColumn("head", F.lit(False)).unionByName(heads.select("doc_id", "text", F.col("to").alias("range"), F.lit(True).alias("head")))
-    order = W.partitionBy("range").orderBy("head", F.desc_nulls_last("doc_id"), F.desc("text"))
-    led = with_fingerprint(rows).withColumn("next_text", F.lead("text").over(order)).withColumn("next_fingerprint", F.lead("fingerprint").over(order))
-    return led.where("NOT head").drop("range", "head")
+    chain = top.select("top.*", "range", F.coalesce(F.lead("range").over(by_range), F.first("range").over(by_range)).alias("to"))
+    heads = dealt.join(F.broadcast(chain), ["range", "has_id", "k", "h"]).dropDuplicates(["range"])
+    rows = dealt.withColumn("head", F.lit(False)).unionByName(heads.drop("range").withColumnRenamed("to", "range").withColumn("head", F.lit(True)))
+    ordered = rows.repartition("range").sortWithinPartitions("range", "head", F.desc("has_id"), F.desc("k"), F.desc("h"))
+    return ordered.select("range", "head", F.when(F.col("has_id"), F.col("k")).alias("doc_id"), "text")
+
+
+def edited(docs: DataFrame, range_bytes: int = 16 << 20) -> DataFrame:
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, jaccard_edited, jaccard_next):
+    every document against its edited text, whose last third is the beginning of the next document, and the next document."""
 
+    def compare(doc_id: int | None, text: str, printed: str, other: str, other_printed: str) -> tuple:
+        third = len(text) // 3
+        changed = text[: len(text) - third] + other[:third]
+        mine = printed if changed == text else sketch(shingle_hashes(changed))
+        near, far = containment(printed, mine), containment(printed, other_printed)
+        return doc_id, len(text), hashlib.sha256(changed.encode()).hexdigest(), printed, mine, near[0], far[0], near[1], far[1]
 
-def edited(rows: DataFrame) -> DataFrame:
-    """Likeness to an edited text, whose last third is the beginning of the next document, and to the next document."""
-    third = F.floor(F.length("text") / 3).cast("int")
-    pairs = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 3) as int))"), F.substring(F.col("next_text"), F.lit(1), third)).alias("edited_text"), "fingerprint", "next_fingerprint")
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "jaccard_edited", "jaccard_next"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.float64()] * 4]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the row before: range, doc_id, text, fingerprint
         for batch in batches:
-            got = {n: batch.column(n) for n in batch.schema.names}
-            prints = [sketch(shingle_hashes(t.as_py())) for t in got["edited_text"]]
-            near = [containment(a.as_py(), b) for a, b in zip(got["fingerprint"], prints, strict=True)]
-            far = [containment(a.as_py(), b.as_py()) for a, b in zip(got["fingerprint"], got["next_fingerprint"], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [got["doc_id"], got["n_chars"], got["edited_sha256"], got["fingerprint"], pa.array(prints, pa.string()), *(pa.array([p[i] for p in x], pa.float64()) for i in (0, 1) for x in (near, far))],
-                ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "jaccard_edited", "jaccard_next"],
-            )
-
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, jaccard_edited double, jaccard_next double"
-    return pairs.withColumn("edited_sha256", F.sha2("edited_text", 256)).mapInArrow(run, schema)
+            found = []
+            for at, head, doc_id, text in zip(*(batch.column(n) for n in ("range", "head", "doc_id", "text")), strict=True):
+                at, head, doc_id, text = at.as_py(), head.as_py(), doc_id.as_py(), text.as_py()
+                printed = sketch(shingle_hashes(text))
+                if held is not None and held[0] == at:
+                    found.append(compare(*held[1:], text, printed))
+                held = None if head else (at, doc_id, text, printed)
+            columns = zip(*found, strict=True) if found else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
+
+    schema = ", ".join(f"{n} {'long' if i < 2 else 'string' if i < 5 else 'double'}" for i, n in enumerate(names))
+    return chained(docs, range_bytes).mapInArrow(run, schema)

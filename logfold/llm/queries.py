@@ -26,7 +26,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint.edited(fingerprint.with_next(table(spark, sf_dir, "documents")))
+    return fingerprint.edited(table(spark, sf_dir, "documents"))
 
 
 def _rotted(pages: DataFrame) -> DataFrame:
