@@ -9,8 +9,8 @@ up under the indices of the segment and of its 16 one-bit neighbours (up to six
 under a key are verified bit by bit.
 
 Only distinct fingerprints are filed, and a key gives back a spanning forest of its true links, never all pairs, so
-groups of thousands of copies stay linear in what they emit. Keys with more than ``hot`` rows are split into blocks:
-filed rows go to one block each, looked-up rows to all.
+groups of thousands of copies stay linear in what they emit. The filed and the looked-up rows of a key are cut into
+blocks of about ``hot`` rows and every two blocks meet in a group of their own, so a task holds two blocks at a time.
 
 Defined cases: null text counts as empty; texts without words have fingerprint zero and link like any other;
 repeated rows and equal texts share a class; a null doc_id never names a component unless all its ids are null;
@@ -29,8 +29,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from logfold.llm.common import text_or_empty, written
+from logfold.llm.common import boxed, named, text_or_empty, unboxed, written
 from logfold.llm.components import components
 
 #: Generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -119,30 +120,35 @@ def forest(filed: np.ndarray, asked: np.ndarray, limit: int) -> list[tuple[int,
             hit = candidates[np.bitwise_count(nodes[candidates] ^ nodes[u]) <= limit]
             open_[hit] = False
             todo.extend(hit)
-            links.extend((nodes[start], nodes[v]) for v in hit)
+            links.extend((nodes[u], nodes[v]) for v in hit)
     return links
 
 
 def _verify(limit: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None  # rows of the last key, which may go on in the next batch
+        rest = None  # rows of the last group, which may go on in the next batch
         for batch in batches:
+            if not len(batch):
+                continue
             rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            code = rest["code"].to_numpy()
-            cut = int(np.searchsorted(code, code[-1]))
+            last = rest[GROUP].iloc[-1]
+            cut = len(rest) - int((rest[GROUP] == last).all(axis=1).to_numpy()[::-1].argmin()) if (rest[GROUP].iloc[0] != last).any() else 0
             if cut:
                 yield _links(rest.iloc[:cut], limit)
                 rest = rest.iloc[cut:].reset_index(drop=True)
-        if rest is not None and len(rest):
+        if rest is not None:
             yield _links(rest, limit)
 
     return run
 
 
+GROUP = ["key", "own", "other"]
+
+
 def _links(rows: pd.DataFrame, limit: int) -> pd.DataFrame:
-    code, fps, filed = rows["code"].to_numpy(), rows["fp"].to_numpy(np.int64).view(np.uint64), rows["filed"].to_numpy(bool)
-    first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
-    last = np.r_[first[1:], len(code)]
+    group, fps, filed = rows[GROUP].to_numpy(np.int64), rows["fp"].to_numpy(np.int64).view(np.uint64), rows["filed"].to_numpy(bool)
+    first = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]).any(axis=1)])
+    last = np.r_[first[1:], len(group)]
     mixed = (np.minimum.reduceat(fps, first) != np.maximum.reduceat(fps, first)) & np.logical_or.reduceat(filed, first)
     links = [x for a, b in zip(first[mixed], last[mixed]) for x in forest(fps[a:b][filed[a:b]], fps[a:b], limit)]
     ends = np.array(links, np.uint64).reshape(-1, 2).view(np.int64)
@@ -155,13 +161,10 @@ def links(distinct_fps: DataFrame, limit: int = 3, hot: int = 4096) -> DataFrame
         raise ValueError("four segments promise up to three differing bits")
     keys = distinct_fps.select("fp").mapInPandas(_file_keys, "key long, fp long, filed boolean")
     blocks = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("key", F.ceil(F.col("n") / hot).cast("int").alias("blocks"))
-    one = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    dealt = (
-        keys.join(blocks, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        .withColumn("block", F.explode(F.when(F.col("filed"), F.array(one)).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
-        .select((F.col("key") * F.lit(1 << 24) + F.col("block")).alias("code"), "fp", "filed")
-    )
-    return dealt.repartition("code").sortWithinPartitions("code").mapInPandas(_verify(limit), "a long, b long")
+    mine, every = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
+    met = keys.join(blocks, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("mine", mine).withColumn("each", F.explode(every))
+    dealt = met.select("key", F.when(F.col("filed"), F.col("mine")).otherwise(F.col("each")).alias("own"), F.when(F.col("filed"), F.col("each")).otherwise(F.col("mine")).alias("other"), "fp", "filed")
+    return dealt.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInPandas(_verify(limit), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, limit: int = 3, seed: int = 42) -> DataFrame:
@@ -174,7 +177,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, limit: int = 3, seed: int =
     return prints.join(named.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-# --- near copies by similarity: shingle sets that share a rare prefix are compared exactly ---------------------------
+# --- near copies by similarity: Golay keys link the dense groups, shingle sets that share a rare prefix find the rest --
 
 #: Documents whose shingles are counted to order all shingles, how many of the repeated ones are kept, and rounds of heads.
 ORDER_ROWS, ORDER_KEPT, HEAD_ROUNDS = 4096, 200_000, 3
@@ -270,10 +273,10 @@ def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out[out["run"] | out["sketch"].notna()]
 
 
-def _shingle_order(known: DataFrame, rows: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+def _shingle_order(texts: DataFrame, rows: int, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Repeated shingles of a sample and their counts. They only say what comes last: any order finds the same pairs."""
     share = int((1 << 20) * min(1.0, ORDER_ROWS / max(1, rows)))
-    sample = known.where(F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < share).select("doc_id", "text").mapInArrow(_sets(words), "id long, shingles array<long>")
+    sample = texts.where(F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < share).select("node", "text").mapInArrow(_sets(words), "id long, shingles array<long>")
     counted = sample.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     found = counted.orderBy(F.desc("n"), "s").limit(ORDER_KEPT).toPandas()
     common = found["s"].to_numpy(np.int64).view(np.uint64)
@@ -281,26 +284,26 @@ def _shingle_order(known: DataFrame, rows: int, words: int) -> tuple[np.ndarray,
     return common[order], found["n"].to_numpy(np.int64)[order]
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, set_block: int = 16) -> DataFrame:
-    """(doc_id, component_id) of every non-null doc_id: groups linked by a Jaccard likeness of word shingles.
+def text_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, set_block: int = 128) -> DataFrame:
+    """(h, root) of every different text (h its MD5; null counts as empty): groups linked by a Jaccard likeness of word shingles.
 
-    Complete: sets of n shingles that reach the similarity have one of their n - ceil(similarity * n) + 1 first shingles
-    in common, in any order of all shingles. Rows that share such a shingle meet in a join, filters by length and place
-    leave out what cannot reach it, and the sets of the rest are compared exactly, a pair a row.
+    First the Golay keys: texts whose fingerprints (over the same shingles) are linked are proposed to each other, which
+    links groups of near copies in time that is linear in them. The fingerprint misses pairs close to the threshold;
+    those are found without exception by a second proposal: sets of n shingles that reach the similarity have one of
+    their n - ceil(similarity * n) + 1 first shingles in common, in any order of all shingles. Rows that share such a
+    shingle meet in a join, and filters by length, place and sketch leave out what cannot reach it. All proposals are
+    compared by their exact shingle sets, a pair a row.
 
-    A run is the rows of one shingle. First each run only proposes its rows to one head, and what is linked counts as one
-    group from then on. That is repeated a few times while runs of several groups hold more than ``set_block`` pairs for
-    each row there is and something was linked; after that all pairs of different groups are compared. Equal texts are
-    one class throughout.
+    A run is the rows of one shingle. What is linked counts as one group from then on and is not compared again. While
+    runs of several groups hold more than ``set_block`` pairs for each row there is, and something was linked, each run
+    only proposes its rows to one head; then all pairs of different groups are compared.
     """
     if not 0 < similarity <= 1:
         raise ValueError("a similarity above 0 and up to 1")
-    text = text_or_empty()
-    known = docs.where("doc_id IS NOT NULL").select("doc_id", text.alias("text"), F.md5(text.cast("binary")).alias("h"))
-    prints = written(known.select("doc_id", "h"))
-    classes = prints.groupBy("h").agg(F.min("doc_id").alias("doc_id"))
-    common, counts = _shingle_order(known, prints.count(), words)
-    prefixes = known.join(classes, ["doc_id", "h"], "left_semi").select("doc_id", "text").mapInArrow(_prefixes(common, counts, similarity, words), "s long, id long, n int, pos int, sketch array<long>")
+    known = docs.select(text_or_empty().alias("text")).select("text", F.md5(F.col("text").cast("binary")).alias("h"))
+    texts = written(known.dropDuplicates(["h"]).withColumn("node", F.monotonically_increasing_id()))
+    common, counts = _shingle_order(texts, texts.count(), words)
+    prefixes = texts.select("node", "text").mapInArrow(_prefixes(common, counts, similarity, words), "s long, id long, n int, pos int, sketch array<long>")
     kept = written(prefixes.repartition("s").sortWithinPartitions("s", "id", "n", "pos").mapInPandas(_shared, "s long, id long, n int, pos int, sketch array<long>, run boolean"))
     shared, sketches = kept.where("run").select("s", "id", "n", "pos"), kept.where("sketch IS NOT NULL").select("id", "n", "sketch")
 
@@ -310,9 +313,8 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, set
         differ = F.aggregate(F.zip_with("ka", "kb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
         allowed = differ * (1 + similarity) <= (1 - similarity) * (F.col("na") + F.col("nb")) + 1e-6
         close = written(written(pairs.distinct()).join(left, "a").join(right, "b").where(allowed).select("a", "b").distinct())
-        ids = close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        chosen = written(classes.join(ids, "doc_id", "left_semi"))
-        sets = written(known.join(chosen, ["doc_id", "h"], "left_semi").select("doc_id", "text").mapInArrow(_sets(words), "id long, shingles array<long>"))
+        chosen = written(close.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        sets = written(texts.join(chosen, "node", "left_semi").select("node", "text").mapInArrow(_sets(words), "id long, shingles array<long>"))
         left, right = (sets.select(F.col("id").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
         enough = F.size(F.array_intersect("sa", "sb")) * (1 + similarity) + 1e-6 >= similarity * (F.size("sa") + F.size("sb"))
         return written(close.join(left, "a").join(right, "b").where(enough).select("a", "b").distinct())
@@ -323,33 +325,58 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, set
         return near & (F.least(n - p, m - q) * (1 + similarity) + 1e-6 >= similarity * (n + m)) & (F.col(f"{x}.root") != F.col(f"{y}.root"))
 
     def ends(x: str, y: str) -> list[Column]:
-        return [F.least(f"{x}.id", f"{y}.id").alias("a"), F.greatest(f"{x}.id", f"{y}.id").alias("b")]
-
-    total = shared.count()
-    open_, links = shared.withColumn("root", F.col("id")), []
-    for turn in range(HEAD_ROUNDS):
-        heads = open_.groupBy("s").agg(F.min_by(F.struct("id", "n", "pos", "root"), F.struct(F.xxhash64("id", F.lit(turn)), "id", "n", "pos")).alias("h"))
-        links.append(verified(open_.alias("x").join(heads.select("s", "h.*").alias("y"), "s").where(possible("x", "y")).select(*ends("x", "y"))))
-        roots = components(reduce(DataFrame.unionByName, links))
-        named = open_.drop("root").join(roots, F.col("id") == F.col("node"), "left").select("s", "id", "n", "pos", F.coalesce("root", "id").alias("root"))
-        several = named.groupBy("s").agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("s", "rows")
-        open_ = written(named.join(several, "s"))
+        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+    prints = written(fingerprints(texts.select(F.col("node").alias("doc_id"), "text"), words))
+    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    near = links(classes).join(classes.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(classes.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
+    alike = prints.join(classes, "fp").where("doc_id <> least").select(*ends("doc_id", "least"))
+    found = [verified(near.select(*ends("x", "y")).unionByName(alike))]
+    total, open_ = shared.count(), shared
+    for turn in range(HEAD_ROUNDS + 1):
+        roots = components(reduce(DataFrame.unionByName, found))
+        rooted = open_.select("s", "id", "n", "pos").join(roots, F.col("id") == F.col("node"), "left").select("s", "id", "n", "pos", F.coalesce("root", "id").alias("root"))
+        several = rooted.groupBy("s").agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("s", "rows")
+        open_ = written(rooted.join(several, "s"))
         rows, pairs = open_.agg(F.count(F.lit(1)), F.sum(F.col("rows") - 1)).first()
+        if not rows:
+            break
         open_ = open_.drop("rows")
-        if not rows or pairs <= 2 * set_block * total or links[-1].isEmpty():
+        if turn == HEAD_ROUNDS or pairs <= 2 * set_block * total or turn and found[-1].isEmpty():
+            met = open_.alias("x").join(open_.alias("y"), "s").where(F.col("x.id") < F.col("y.id")).where(possible("x", "y"))
+            found.append(verified(met.select(*ends("x.id", "y.id"))))
+            roots = components(reduce(DataFrame.unionByName, found))
             break
-    if rows:
-        links.append(verified(open_.alias("x").join(open_.alias("y"), "s").where(F.col("x.id") < F.col("y.id")).where(possible("x", "y")).select(*ends("x", "y"))))
-        roots = components(reduce(DataFrame.unionByName, links))
-    named = classes.join(roots, F.col("doc_id") == F.col("node"), "left").select("h", F.coalesce("root", "doc_id").alias("component_id"))
-    return prints.join(named, "h").select("doc_id", "component_id")
+        heads = open_.groupBy("s").agg(F.min_by(F.struct("id", "n", "pos", "root"), F.struct(F.xxhash64("id", F.lit(turn)), "id", "n", "pos")).alias("h"))
+        met = open_.alias("x").join(heads.select("s", "h.*").alias("y"), "s").where(possible("x", "y"))
+        found.append(verified(met.select(*ends("x.id", "y.id"))))
+    return texts.select("h", "node").join(roots, "node", "left").select("h", F.coalesce("root", "node").alias("root"))
+
+
+def _text_key() -> Column:
+    return F.md5(text_or_empty().cast("binary"))
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, set_block: int = 128) -> DataFrame:
+    """(doc_id, component_id) of every row: the smallest doc_id of the row's group, null only if all its ids are null."""
+    roots = written(text_groups(docs, similarity, words, set_block))
+    ids = docs.select(_text_key().alias("h"), "doc_id").groupBy("h").agg(F.min("doc_id").alias("least")).join(roots, "h")
+    named = ids.groupBy("root").agg(F.min("least").alias("component_id")).join(roots, "root").select("h", "component_id")
+    return docs.select("doc_id", _text_key().alias("h")).join(named, "h").select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group; rows that repeat its id collapse to one.
+    """Keeps one row of each group of near copies, all its columns as they are; texts alike to none all stay.
 
-    Rows without a doc_id take no part and stay.
+    The kept row has the group's smallest doc_id (rows without one only if all lack it), then the smallest text hash and
+    row hash. So rows that repeat collapse to one, while rows of one doc_id with unlike texts all stay. Null texts count
+    as empty, and empty ones as copies of each other.
     """
-    gone = similar_groups(docs, similarity, words).where("doc_id <> component_id").select("doc_id").distinct()
-    known = docs.where("doc_id IS NOT NULL")
-    return known.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    roots = text_groups(docs, similarity, words)
+    every = F.xxhash64(*(F.to_json(F.struct(named(c))) if isinstance(docs.schema[c].dataType, T.MapType) else named(c) for c in docs.columns))
+    key = {"no_id": F.col("doc_id").isNull(), "k": F.coalesce("doc_id", F.lit(0)), "h": _text_key(), "row_hash": every}
+    least = F.min(F.struct(*key)).alias("kept")
+    per_text = docs.select(*(c.alias(n) for n, c in key.items())).groupBy("h").agg(least)
+    kept = per_text.join(roots, "h").groupBy("root").agg(F.min("kept").alias("kept")).select("kept.*")
+    rows = boxed(docs, **key).dropDuplicates(list(key)).join(written(kept), list(key), "left_semi")
+    return unboxed(rows, docs)
