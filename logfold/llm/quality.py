@@ -7,7 +7,8 @@ their id from all labelled rows; scoring covers every document.
 
 Defined cases: null and empty texts are scored like any other (all statistics 0); null labels are ignored, several
 labels of a document count as their largest; with no labels, or only one class, every score is the smoothed share of
-label 1 (0.5 without labels); repeated rows get equal scores; extra columns are ignored by ``score``.
+label 1 (0.5 without labels); repeated rows get equal scores; of a labelled id with several texts the one with the least hash
+is learnt; extra columns of any name are ignored by ``score`` and kept by ``keep``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logfold.llm.common import text_or_empty
+from logfold.llm.common import boxed, text_or_empty, unboxed
 
 #: The most labelled documents a model is fitted on.
 SAMPLE_ROWS = 20_000
@@ -135,8 +136,8 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: flo
 
 
 def held_out(doc_id: str = "doc_id"):
-    """True for the fifth of documents whose labels are never learnt."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+    """True for the fifth of documents whose labels are never learnt; false without an id."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -152,8 +153,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             out = pd.DataFrame([statistics(bytes(t)) for t in batch["t"]], columns=[f"s{i}" for i in range(len(STATISTICS))], dtype=float)
             yield out.assign(quality=batch["quality"].to_numpy(), doc_id=batch["doc_id"].to_numpy())
 
-    rows = docs.select("doc_id", text_or_empty().cast("binary").alias("t")).join(F.broadcast(wanted), "doc_id").mapInPandas(scan, f"{columns}, quality int, doc_id long").toPandas()
-    rows = rows.sort_values(list(rows.columns)).drop_duplicates("doc_id")  # the same model whatever the order of the rows
+    found = docs.select("doc_id", text_or_empty().cast("binary").alias("t")).join(F.broadcast(wanted), "doc_id")
+    # of several texts of an id one, before anything is collected
+    found = found.groupBy("doc_id").agg(F.min_by("t", F.struct(F.xxhash64("t"), "t")).alias("t"), F.max("quality").alias("quality")).repartition(64, "doc_id")
+    rows = found.mapInPandas(scan, f"{columns}, quality int, doc_id long").toPandas().sort_values("doc_id")  # the same model whatever the order of the rows
     return fit(rows[[f"s{i}" for i in range(len(STATISTICS))]].to_numpy(), (rows["quality"].to_numpy() > 0).astype(float))
 
 
@@ -168,11 +171,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", text_or_empty().cast("binary").alias("t")).mapInPandas(scan, "doc_id long, score double")
 
 
-def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """Every column and row of ``docs`` with the score of its text beside it (a column of that name is replaced)."""
+def scored(model: Model):
+    """A column function: the score of a text, null counting as empty."""
 
     @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
+    def of(texts: pd.Series) -> pd.Series:
         return pd.Series(model.predict(np.array([statistics((t or "").encode()) for t in texts], float).reshape(-1, len(STATISTICS))))
 
-    return docs.withColumn(name, scored(F.col("text")))
+    return of
+
+
+def keep(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
+    """The rows whose text scores ``least`` or more, all their columns as they are."""
+    return unboxed(boxed(docs, text=F.col("text")).withColumn("score", scored(model)(F.col("text"))).where(F.col("score") >= least), docs)
