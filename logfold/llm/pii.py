@@ -6,7 +6,7 @@ further kinds are proposed by looser patterns and kept only if a checksum or a n
 score to ``min_score``.
 
 Defined cases: null text counts as empty (no spans); repeated rows and ties are scanned one by one; very long
-texts are scanned whole in linear time; columns named like the ones added here are replaced; an empty table gives
+texts are scanned whole in linear time; a column named ``spans`` is replaced, all others are kept; an empty table gives
 an empty table.
 """
 
@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logfold.llm.common import named
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "card_spaced", "ip6", "national_id", "local_phone")
 
@@ -162,18 +164,16 @@ def spans_of(text: str, min_score: float = 0.5) -> list[dict]:
 
 def find_pii(df: DataFrame, text_col: str = "text", min_score: float = 0.5) -> DataFrame:
     """All columns but the text, with ``spans`` added; the texts stay in their tasks."""
-    kept = df.withColumn("__text", F.coalesce(F.col(text_col), F.lit(""))).drop("spans", text_col)
-    schema = T.StructType([f for f in kept.schema.fields if f.name != "__text"]).add("spans", SPANS)
+    others = [f for f in df.drop("spans", text_col).schema.fields]
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("base", pa.bool_())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("__text")
-            spans = pa.array([spans_of(t.as_py(), min_score) for t in batch.column(at)], kind)
-            names = [n for n in batch.schema.names if n != "__text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), spans], [*names, "spans"])
+            spans = pa.array([spans_of(t.as_py() or "", min_score) for t in batch.column(0)], kind)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], spans], [*batch.schema.names[1:], "spans"])
 
-    return kept.mapInArrow(scan, schema)
+    texts_first = df.select(F.col(text_col), *(named(f.name) for f in others))
+    return texts_first.mapInArrow(scan, T.StructType(others).add("spans", SPANS))
 
 
 def _joined(only_base: bool):
