@@ -2,8 +2,9 @@
 
 Every component is coded as one of 256 equal cells between its dimension's smallest and largest value. A scan over
 blocks of codes bounds each inner product: the product with the cells' centres, plus or minus half a cell times the
-query's absolute components. What cannot reach the k-th best lower bound goes. For the rest the exact vectors are
-joined and read in bound order until the k-th exact score is beyond every bound still unread.
+query's absolute components. What cannot reach the k-th best lower bound goes. Of the rest the exact vectors of the
+``first_reads`` highest bounds of each query are read; their k-th exact score then decides which others have a bound that
+can still reach it, and only those are read. After that the k-th result is certain.
 
 Equal vectors are kept k + 1 at most, those with the smallest ids: any further copy ranks below them for every query,
 the query's own row included. Equal queries are searched once. So no group of copies meets in one task.
@@ -11,7 +12,7 @@ the query's own row included. Equal queries are searched once. So no group of co
 Defined cases: a null vector, and one with a null or non-finite component, takes no part; rows with a null id take no
 part; vectors meet only those of their own length (empty ones score 0); rows that repeat an id count as one row if
 their vectors are equal, else each takes part, and a query never meets rows with its own id; with fewer than k
-candidates all are given; exact scores must fit in 64 bits.
+candidates all are given; components so large that a score may not fit in 64 bits are an error.
 """
 
 from __future__ import annotations
@@ -82,25 +83,7 @@ def _bounds(low: dict[int, np.ndarray], step: dict[int, np.ndarray], keep: int):
     return run
 
 
-def _certain(keep: int):
-    """One query's survivors -> its ``keep`` best, reading exact vectors by falling upper bound until that is certain."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["upper", "id"], ascending=[False, True])
-        q, found, worst = np.asarray(rows["q"].iloc[0], np.int64), [], None
-        for start in range(0, len(rows), 16):
-            part = rows.iloc[start : start + 16]
-            if worst is not None and part["upper"].iloc[0] < worst:
-                break
-            scores = np.stack(part["v"].to_numpy()).astype(np.int64) @ q if len(q) else np.zeros(len(part), np.int64)
-            found = sorted([*found, *zip(-scores, part["id"], strict=True)])[:keep]
-            worst = -found[-1][0] if len(found) == keep else None
-        return pd.DataFrame({"query": rows["query"].iloc[0], "id": [i for _, i in found], "score": [-s for s, _ in found]})
-
-    return run
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int = 4096, query_rows: int = 512) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int = 4096, query_rows: int = 512, first_reads: int = 32) -> DataFrame:
     """(id, v) rows and queries -> (query_id, rank, vec_id, score), the k highest exact products, ties to smaller ids."""
     keep = k + 1  # one of them may be the query itself
     same = W.partitionBy(F.xxhash64("v"), "v").orderBy("id")
@@ -110,6 +93,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int =
     ranges = rows.select(F.size("v").alias("dim"), F.posexplode("v").alias("pos", "x")).groupBy("dim", "pos").agg(F.min("x").alias("low"), F.max("x").alias("high")).toPandas()
     low = {0: np.zeros(0, np.int64)} | {int(d): g.sort_values("pos")["low"].to_numpy(np.int64) for d, g in ranges.groupby("dim")}
     high = {0: np.zeros(0, np.int64)} | {int(d): g.sort_values("pos")["high"].to_numpy(np.int64) for d, g in ranges.groupby("dim")}
+    if any(sum(max(abs(int(a)), abs(int(b))) ** 2 for a, b in zip(low[d], high[d], strict=True)) >= 1 << 63 for d in low):
+        raise ValueError("components are too large for scores of 64 bits")
     step = {d: (high[d] - low[d]) // CELLS + 1 for d in low}
     blocks = rows.mapInPandas(_pack(block_rows, low, step), "dim int, ids binary, data binary")
     groups = max(1, rows.rdd.getNumPartitions())
@@ -122,8 +107,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int =
     marked = bounded.withColumn("at", F.row_number().over(by_lower))
     floor = F.max(F.when(F.col("at") == keep, F.col("lower"))).over(W.partitionBy("query"))
     left = marked.withColumn("floor", floor).where(F.col("floor").isNull() | (F.col("upper") >= F.col("floor"))).select("query", "id", "upper")
-    exact = left.join(rows, "id").join(classes.select(F.col("id").alias("query"), F.col("v").alias("q")), "query")
-    best = exact.groupBy("query").applyInPandas(_certain(keep), "query long, id long, score long")
+    by_upper = W.partitionBy("query").orderBy(F.desc("upper"), "id")
+    left = written(left.withColumn("place", F.row_number().over(by_upper)))
+    asked_for = classes.select(F.col("id").alias("query"), F.col("v").alias("q"))
+    product = F.aggregate(F.zip_with("v", "q", lambda x, y: x * y), F.lit(0).cast("long"), lambda x, y: x + y)
+    read = lambda some: some.select("query", "id").join(rows, "id").join(asked_for, "query").select("query", "id", product.alias("score"))
+    first = written(read(left.where(F.col("place") <= max(keep, first_reads))))
+    bound = first.groupBy("query").agg(F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(keep - 1)).alias("bound"))
+    rest = left.where(F.col("place") > max(keep, first_reads)).join(bound, "query").where(F.col("upper") >= F.col("bound"))
+    by_score = W.partitionBy("query").orderBy(F.desc("score"), "id")
+    best = first.unionByName(read(rest)).withColumn("at", F.row_number().over(by_score)).where(F.col("at") <= keep).drop("at")
     own = asked.join(classes.select(F.col("id").alias("query"), "v"), "v").select(F.col("id").alias("query_id"), "query")
     ranked = own.join(best, "query").where(F.col("id") != F.col("query_id")).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
