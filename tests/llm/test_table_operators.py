@@ -140,6 +140,14 @@ def test_similar_groups_of_one_dense_template(spark, block):
     assert [got[i] for i in range(len(texts))] == roots(len(texts), links)
 
 
+def test_no_text_is_lost_when_ids_repeat(spark):
+    rows = [(1, "t u v"), (2, "t u v"), (2, "another text of its own"), (2, "another text of its own"), (None, "T  u v"), (None, "only here"), (3, None), (4, "")]
+    table = spark.createDataFrame([(i, t, "x", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, node string, row int")
+    kept = simhash.drop_near_duplicates(table)
+    assert kept.columns == table.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, "only here"), (1, "t u v"), (2, "another text of its own"), (3, "")]
+
+
 # --- mixing --------------------------------------------------------------------------------------------------------
 
 def plain_targets(sizes, cap=3.0):
@@ -178,6 +186,22 @@ def test_mix_meets_targets_and_caps(spark):
     assert {r.taken for r in mixing.mix(docs(spark, ["", None])).collect()} == {0}
 
 
+def test_shard_counts_are_a_multinomial_draw(spark):
+    sources = spark.createDataFrame([("a", 0, 6_400_000, 3_200_000.0), ("b", 1, 3_200_000, 1_920_000.0), ("c", 2, 640_000, 1_280_000.0)], "source string, sid int, source_size long, target double")
+    due, counts = mixing.shard_counts(sources, 64, 500, 7)
+    share = {0: 0.5, 1: 0.3, 2: 0.2}
+    per = {}
+    for r in counts.collect():
+        per.setdefault(r.shard, {})[r.sid] = r.n
+    assert len(per) == 200 and all(sum(c.values()) == 500 for c in per.values())
+    chi = sum((c.get(s, 0) - 500 * p) ** 2 / (500 * p) for c in per.values() for s, p in share.items())
+    assert 300 < chi < 510  # 400 degrees of freedom: mean 400, deviation 28; an exact deal of shares would give 0
+    slots = mixing.slots(sources, 64, 500, 7)
+    assert {r.sid: r.n for r in slots.groupBy("sid").agg(F.count(F.lit(1)).alias("n")).collect()} == {r.sid: r.due for r in due.collect()}
+    most = slots.groupBy("sid", "block", "epoch").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    assert most == 1 and slots.groupBy("shard").count().agg(F.min("count"), F.max("count")).first() == (500, 500)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 16, 97, 1000])
 def test_permutation_is_one(spark, n):
     df = mixing.permuted(spark.range(n).select("id", F.lit(n).cast("long").alias("n"), F.lit(3).alias("k")), "id", "n", "k", 5, "y")
@@ -215,6 +239,10 @@ def test_top_k_is_exact(spark):
         order = sorted((-int(ints[q] @ ints[i]), i) for i in range(300) if i != q)[:5]
         assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(order)]
     assert got[903] == [(1, 904, 256 * 3 * 256 - 512 * 256)]
+    few = vafile.top_k(ready, ready.where("id % 50 = 0"), 5, block_rows=64, first_reads=1)
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in few.collect()} == {(q, *x) for q in got if q != 903 for x in got[q]}
+    with pytest.raises(ValueError, match="64 bits"):
+        vafile.top_k(vafile.quantised(spark.createDataFrame([(1, [1e300]), (2, [1.0])], "vec_id long, embedding array<double>"), "vec_id", "embedding", 256.0), ready, 5)
 
 
 # --- WARC ----------------------------------------------------------------------------------------------------------
