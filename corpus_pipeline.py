@@ -2,12 +2,15 @@
 
 Every stage takes (spark, docs, sf_dir) and all rows its predecessor kept; its result is written as Parquet to the
 shared folder and reread as the next one's docs. Columns of other names pass through all stages but the last.
+
+Defined cases, the same in every stage: null texts count as empty; an empty table stays one; rows without doc_id are rows
+like others (of a group of near copies a row with an id is kept first); repeated rows are scored, cut and packed each for
+itself, and collapse to one in near-dedup; rows of one doc_id with unlike texts are different documents throughout.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from logfold.llm import linededup, mixing, packing, quality, simhash
 from logfold.llm.common import table, written
@@ -15,11 +18,11 @@ from logfold.llm.common import table, written
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is 0.3 or more stay; the others go."""
-    model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.with_score(docs, model, "__score").where(F.col("__score") >= 0.3).select(*docs.columns)
+    return quality.keep(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages are cut from the texts; every row stays."""
     return linededup.drop_repeated_chunks(docs)
 
 
@@ -34,6 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 2,048 tokens, with their ids."""
     return packing.pack(docs, with_ids=True)
 
 
