@@ -108,8 +108,8 @@ def repeated_lines(docs: DataFrame, window: int = 2, mean: int = 4, longest: int
     cut = lambda found: F.transform("units", lambda u: F.struct(
         u["first"].alias("first"), u["last"].alias("last"), u["hash"].alias("hash"), u["salt"].alias("salt"), u["own"].alias("own"),
         F.array_join(F.transform(F.slice(found, u["first"] + 1, u["last"] - u["first"] + 1), lambda x: x["line"]), "\n").alias("chunk")))
-    # rows that repeat have equal units: one of each is enough
-    shown = written(texts.join(of_doc, KEY).select(*KEY, F.explode(let(lines_of(F.col("text")), cut)).alias("u")).select(*KEY, "u.*"))
+    # rows that repeat have equal units: one of each is enough; both tables grow with the corpus
+    shown = written(texts.join(of_doc.hint("merge"), KEY).select(*KEY, F.explode(let(lines_of(F.col("text")), cut)).alias("u")).select(*KEY, "u.*"))
     kept = shown.where("NOT own").select("hash", "salt", F.col("chunk").alias("kept")).dropDuplicates(["hash", "salt"])
     same = shown.where("own").join(kept, ["hash", "salt"]).where(F.col("chunk") == F.col("kept"))
     places = F.array_distinct(F.flatten(F.collect_list(F.sequence("first", "last"))))
@@ -119,7 +119,7 @@ def repeated_lines(docs: DataFrame, window: int = 2, mean: int = 4, longest: int
 def drop_repeated_chunks(docs: DataFrame, window: int = 2, mean: int = 4, longest: int = 64, passage_words: int = 50) -> DataFrame:
     """The same rows and columns, repeated passages cut from the texts."""
     gone = written(repeated_lines(docs, window, mean, longest, passage_words))
-    joined = boxed(docs, **_key(docs)).join(gone, KEY, "left")
+    joined = boxed(docs, **_key(docs)).join(gone.hint("merge"), KEY, "left")  # no bound holds for its size
     lines = F.split(F.col("row.text"), "\n", -1)
 
     def rest(s: Column) -> Column:
