@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from logfold.functions.text import split_words
+from logfold.sources.shared import written
 
 #: Masks in order, most specific first: (label, pattern).
 MASKS = [("IPV4", r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"), ("NUMBER", r"\b[0-9]+\b")]
@@ -27,45 +30,75 @@ def distinct_patterns(events: DataFrame, masks: list[tuple[str, str]] = MASKS) -
     return events.select(masked(F.col("text"), masks).alias("masked"), "ord").groupBy("masked").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"))
 
 
-def _lead(similarity: float):
-    """Leader clustering of one bucket: rows (masked, n, first) in order of weight join the closest template."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n", "first", "masked"], ascending=[False, True, True], kind="stable")
-        tokens, ids = {ANY: -1}, []
-        patterns = np.array([[tokens.setdefault(t, len(tokens)) for t in m.split()] for m in rows["masked"]], np.int64).reshape(len(rows), -1)
-        leaders = np.empty((0, patterns.shape[1]), np.int64)
-        for p in patterns:
-            same = (leaders == p).mean(axis=1) if len(leaders) and leaders.shape[1] else np.ones(len(leaders))
-            best = int(same.argmax()) if len(same) else -1
-            if best >= 0 and same[best] >= similarity:
-                leaders[best][leaders[best] != p] = -1
-            else:
-                best, leaders = len(leaders), np.vstack([leaders, p])
-            ids.append(best)
-        names = rows["masked"].to_numpy()
-        first_of = {i: names[k] for k, i in reversed(list(enumerate(ids)))}
-        return pd.DataFrame({"masked": names, "leader": [first_of[i] for i in ids]})
-
-    return run
-
-
-def cluster_patterns(patterns: DataFrame, depth: int = 5, similarity: float = 0.4, most: int = 20_000) -> DataFrame:
+def _likeness(leaders: np.ndarray, pattern: np.ndarray) -> np.ndarray:
+    return (leaders == pattern).mean(axis=1) if len(leaders) and leaders.shape[1] else np.ones(len(leaders))
+
+
+def _lead(rows: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """Leader clustering: rows (masked, n, first) in order of weight join the closest template, whose unlike words open up."""
+    rows = rows.sort_values(["n", "first", "masked"], ascending=[False, True, True], kind="stable")
+    tokens, ids = {ANY: -1}, []
+    patterns = np.array([[tokens.setdefault(t, len(tokens)) for t in m.split()] for m in rows["masked"]], np.int64).reshape(len(rows), -1)
+    leaders = np.empty((0, patterns.shape[1]), np.int64)
+    for p in patterns:
+        same = _likeness(leaders, p)
+        best = int(same.argmax()) if len(same) else -1
+        if best >= 0 and same[best] >= similarity:
+            leaders[best][leaders[best] != p] = -1
+        else:
+            best, leaders = len(leaders), np.vstack([leaders, p])
+        ids.append(best)
+    names, words = rows["masked"].to_numpy(), {i: t for t, i in tokens.items()}
+    first_of = {i: names[k] for k, i in reversed(list(enumerate(ids)))}
+    return pd.DataFrame({"masked": names, "leader": [first_of[i] for i in ids], "opened": [" ".join(words[x] for x in leaders[i]) for i in ids], "bucket": rows["bucket"]})
+
+
+def _join_leaders(rows: pd.DataFrame, leaders: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """Rows (masked) with the closest leader of the round, null where none is near enough."""
+    if not len(rows):
+        return pd.DataFrame({"masked": [], "leader": []}, dtype=object)
+    tokens, width = {ANY: -1}, len(rows["masked"].iloc[0].split())
+    code = lambda texts: np.array([[tokens.setdefault(t, len(tokens)) for t in m.split()] for m in texts], np.int64).reshape(len(texts), width)
+    leaders = leaders.sort_values(["rank", "leader"])
+    names, known, found = leaders["leader"].to_numpy(), code(leaders["opened"]), []
+    for p in code(rows["masked"]):
+        same = _likeness(known, p)
+        best = int(same.argmax()) if len(same) else -1
+        found.append(names[best] if best >= 0 and same[best] >= similarity else None)
+    return pd.DataFrame({"masked": rows["masked"].to_numpy(), "leader": pd.Series(found, dtype=object)})
+
+
+def cluster_patterns(patterns: DataFrame, depth: int = 5, similarity: float = 0.4, batch: int = 2000) -> DataFrame:
     """(masked, leader): distinct patterns of one length and head that are alike share a leader pattern.
 
-    A bucket of more than ``most`` patterns is clustered in salted parts first; their leaders are clustered again, so
-    no task holds an unbounded bucket.
+    One rule for buckets of any size: the ``batch`` heaviest patterns of a bucket are clustered in order; all its other
+    patterns, dealt over tasks, join the closest leader that is near enough; what is left makes the next round. So a
+    task holds ``batch`` patterns of one bucket and their leaders. At a similarity of 1 every pattern leads itself.
     """
+    if similarity >= 1:
+        return patterns.select("masked", F.col("masked").alias("leader"))
     words = split_words(F.col("masked"))
     head = F.transform(F.slice(words, 1, depth - 2), lambda t: F.when(t.rlike("[0-9]"), ANY).otherwise(t))
-    bucketed = patterns.withColumn("bucket", F.concat_ws("\u0001", F.size(words).cast("string"), head))
-    sizes = bucketed.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("parts"))
-    salted = bucketed.join(sizes, "bucket").withColumn("part", F.pmod(F.xxhash64("masked"), F.col("parts")))
-    local = salted.groupBy("bucket", "part").applyInPandas(lambda rows: _lead(similarity)(rows), "masked string, leader string")
-    heads = local.join(bucketed.select("masked", "n"), "masked").groupBy("leader").agg(F.sum("n").alias("n"))
-    again = heads.join(bucketed.select(F.col("masked").alias("leader"), "bucket", "first"), "leader").select(F.col("leader").alias("masked"), "n", "first", "bucket")
-    top = again.groupBy("bucket").applyInPandas(lambda rows: _lead(similarity)(rows), "masked string, leader string")
-    return local.select("masked", F.col("leader").alias("l")).join(top.select(F.col("masked").alias("l"), "leader"), "l").select("masked", "leader")
+    rest = patterns.select("masked", "n", "first", F.concat_ws("\u0001", F.size(words).cast("string"), head).alias("bucket"))
+    heaviest = F.row_number().over(W.partitionBy("bucket").orderBy(F.desc("n"), "first", "masked"))
+    lead = lambda rows: _lead(rows, similarity)
+    led_schema = "masked string, leader string, opened string, bucket string"
+    large = lambda rows: rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / batch).cast("int").alias("parts")).where("parts > 1")
+    if large(rest).isEmpty():  # one batch each
+        return rest.groupBy("bucket").applyInPandas(lead, led_schema).select("masked", "leader")
+    done, rest = [], written(rest)
+    while not rest.isEmpty():
+        top = rest.withColumn("place", heaviest).where(F.col("place") <= batch).drop("place")
+        led, parts = written(top.groupBy("bucket").applyInPandas(lead, led_schema)), written(large(rest))
+        done.append(led.select("masked", "leader"))
+        weight = led.join(rest.select("masked", "n", "first"), "masked").groupBy("bucket", "leader", "opened").agg(F.max(F.struct("n", (-F.col("first")).alias("f"))).alias("w"))
+        ranked = weight.withColumn("rank", F.row_number().over(W.partitionBy("bucket").orderBy(F.desc("w"), "leader"))).join(parts, "bucket")
+        dealt = ranked.select("bucket", "leader", "opened", "rank", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        others = rest.join(parts, "bucket").join(led.select("masked"), "masked", "left_anti").withColumn("part", F.pmod(F.xxhash64("masked"), F.col("parts")).cast("int"))
+        met = written(others.groupBy("bucket", "part").cogroup(dealt.groupBy("bucket", "part")).applyInPandas(lambda a, b: _join_leaders(a, b, similarity), "masked string, leader string"))
+        done.append(met.where("leader IS NOT NULL"))
+        rest = written(rest.join(met.where("leader IS NULL").select("masked"), "masked", "left_semi"))
+    return reduce(DataFrame.unionByName, done)
 
 
 def templates_of(clustered: DataFrame) -> DataFrame:
@@ -82,11 +115,16 @@ def cluster_id(system: str, template: Column) -> Column:
     return F.concat(F.lit("cluster-"), F.substring(F.sha2(F.concat(F.lit(system), F.char(F.lit(0)), template), 256), 1, 16))
 
 
+def pattern_templates(patterns: DataFrame, system: str, depth: int = 5, similarity: float = 0.4) -> DataFrame:
+    """(masked, template, cluster_id) of distinct patterns: what a line is matched by once it is masked."""
+    clustered = cluster_patterns(patterns, depth, similarity)
+    return clustered.join(templates_of(clustered), "leader").select("masked", "template", cluster_id(system, F.col("template")).alias("cluster_id"))
+
+
 def mine_templates(events: DataFrame, system: str, masks: list[tuple[str, str]] = MASKS, depth: int = 5, similarity: float = 0.4) -> tuple[DataFrame, DataFrame]:
     """events(ord, text, ...) -> (clusters(cluster_id, template, event_count, first), assignments(cluster_id, template + the events' columns))."""
     patterns = distinct_patterns(events, masks)
-    clustered = cluster_patterns(patterns, depth, similarity)
-    named = clustered.join(templates_of(clustered), "leader").select("masked", "template", cluster_id(system, F.col("template")).alias("cluster_id"))
+    named = pattern_templates(patterns, system, depth, similarity)
     clusters = patterns.join(named, "masked").groupBy("cluster_id", "template").agg(F.sum("n").alias("event_count"), F.min("first").alias("first"))
     assigned = events.withColumn("masked", masked(F.col("text"), masks)).join(named, "masked").drop("masked")
     return clusters, assigned
@@ -132,5 +170,8 @@ def slot_values(assigned: DataFrame, k: int = 5) -> DataFrame:
     return firsts.withColumn("rank", rank).where(F.col("rank") <= k).select("cluster_id", "slot_id", "rank", "value")
 
 
-def build_summary(clusters: DataFrame) -> DataFrame:
-    return clusters.agg(F.sum("event_count").alias("event_count"), F.count(F.lit(1)).alias("cluster_count"), F.sum((F.size(F.regexp_extract_all("template", F.lit(SLOT), F.lit(1))) > 0).cast("long")).alias("slot_clusters"))
+def build_summary(clusters: DataFrame, masks: list[tuple[str, str]] = MASKS) -> DataFrame:
+    """(event_count, cluster_count, slot_clusters, masks): one row, the masks as "LABEL=pattern" in order."""
+    slots = F.size(F.regexp_extract_all("template", F.lit(SLOT), F.lit(1))) > 0
+    named = F.lit(";".join(f"{label}={pattern}" for label, pattern in masks))
+    return clusters.agg(F.sum("event_count").alias("event_count"), F.count(F.lit(1)).alias("cluster_count"), F.sum(slots.cast("long")).alias("slot_clusters")).withColumn("masks", named)

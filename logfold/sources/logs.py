@@ -8,6 +8,8 @@ from pyspark.sql.window import Window as W
 
 from logfold.functions.text import clean_line
 
+#: The columns a catalogue file must have.
+CATALOG_COLUMNS = ("ColumnName", "ColumnType", "Class", "Schema", "LogicalType", "ListOfValues", "Aliased", "DynamicType", "ArrayValuesType")
 LOG_GLOB = "*.{[lL][oO][gG],[tT][xX][tT]}"
 
 
@@ -58,6 +60,19 @@ def first_lines(lines: DataFrame, most: int) -> DataFrame:
     return lines.where(F.col("line_number") <= most)
 
 
+def field_violations(lines: DataFrame, field: str, json_col: str = "text") -> DataFrame:
+    """(source_file, line_number, rule): lines of ``json_field`` whose field is missing or blank."""
+    value = F.get_json_object(F.col(json_col), f"$.{field}")
+    return lines.where(value.isNull() | (F.trim(value) == "")).select("source_file", "line_number", F.when(value.isNull(), "missing_field").otherwise("blank_field").alias("rule"))
+
+
+def require_events(events: DataFrame) -> DataFrame:
+    """The events, or an error if there is none at all."""
+    if events.isEmpty():
+        raise ValueError("no events in any input")
+    return events
+
+
 def json_field(lines: DataFrame, field: str, json_col: str = "text") -> DataFrame:
     """One string field of JSON lines as the event text, line breaks as spaces; bad or blank fields keep a null text."""
     value = F.regexp_replace(F.get_json_object(F.col(json_col), f"$.{field}"), r"[\r\n]+", " ")
@@ -65,14 +80,42 @@ def json_field(lines: DataFrame, field: str, json_col: str = "text") -> DataFram
 
 
 def aligned(left: DataFrame, right: DataFrame, order: str, value: str) -> DataFrame:
-    """Adds ``value`` of ``right`` to ``left`` by position in ``order`` (gold labels kept beside their lines)."""
-    return left.join(right.select(order, value), order)
+    """Adds ``value`` of ``right`` to ``left`` by position in ``order`` (gold labels kept beside their lines); null without a partner."""
+    return left.join(right.select(order, value), order, "left")
+
+
+def by_position(df: DataFrame, order: str, parts: int = 64) -> DataFrame:
+    """Adds ``position``, the 0-based place in ``order``: ranges are counted and summed up, then numbered inside."""
+    dealt = df.repartitionByRange(parts, order).withColumn("range_", F.spark_partition_id()).persist()
+    sizes = dealt.groupBy("range_").agg(F.count(F.lit(1)).alias("n_"))
+    base = sizes.select("range_", (F.sum("n_").over(W.orderBy("range_")) - F.col("n_")).alias("base_"))  # one row a range
+    within = F.row_number().over(W.partitionBy("range_").orderBy(order)) - 1
+    return dealt.withColumn("within_", within).join(F.broadcast(base), "range_").withColumn("position", F.col("within_") + F.col("base_")).drop("range_", "within_", "base_")
+
+
+def aligned_by_row(left: DataFrame, right: DataFrame, left_order: str, right_order: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """(left with ``value`` of the row at the same place, one row (left_rows, right_rows) if the counts differ)."""
+    a, b = by_position(left, left_order), by_position(right, right_order).select("position", value)
+    counts = left.agg(F.count(F.lit(1)).alias("left_rows")).crossJoin(right.agg(F.count(F.lit(1)).alias("right_rows")))  # one row each
+    return a.join(b, "position").drop("position"), counts.where("left_rows <> right_rows")
+
+
+def aligned_violations(left: DataFrame, right: DataFrame, order: str) -> DataFrame:
+    """(order, side): rows that only one of the tables has."""
+    only = lambda a, b, side: a.select(order).join(b.select(order), order, "left_anti").withColumn("side", F.lit(side))
+    return only(left, right, "left").unionByName(only(right, left, "right"))
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """Catalogue CSV -> (field, type, class, schema_name, logical_type, allowed_values)."""
+    """Catalogue CSV -> (field, type, class, schema_name, logical_type, allowed_values, aliased, dynamic_type, array_type).
+
+    A file without one of the nine columns is an error.
+    """
     raw = spark.read.option("header", "true").option("multiLine", "true").csv(path)
     raw = raw.toDF(*[c.replace("﻿", "").strip() for c in raw.columns])
+    lacking = set(CATALOG_COLUMNS) - set(raw.columns)
+    if lacking:
+        raise ValueError(f"catalogue without columns {sorted(lacking)}")
     blank: Column = F.lit(True)
     for c in raw.columns:
         blank = blank & (F.coalesce(F.trim(c), F.lit("")) == "")
@@ -80,19 +123,76 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     listed = F.filter(F.transform(F.split(text("ListOfValues"), r"\|"), lambda v: F.trim(v)), lambda v: v != "")
     return raw.where(~blank).select(
         text("ColumnName").alias("field"), text("ColumnType").alias("type"), text("Class").alias("class"), text("Schema").alias("schema_name"), text("LogicalType").alias("logical_type"), listed.alias("allowed_values"),
+        text("Aliased").alias("aliased"), text("DynamicType").alias("dynamic_type"), text("ArrayValuesType").alias("array_type"),
     )
 
 
+def catalog_violations(catalog: DataFrame, digest: DataFrame, manifest: DataFrame, common: str = "Common") -> DataFrame:
+    """(rule, expected, found): the catalogue against manifest(sha256, field_count, schemas), one row; digest from ``file_digest``."""
+    found = catalog.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.when(F.col("schema_name") != common, F.col("schema_name")))).alias("names")).crossJoin(digest.select(F.col("sha256").alias("sha")))  # one row each
+    met = found.crossJoin(manifest)
+    text = lambda c: F.array_join(F.array_sort(F.col(c)), ",")
+    rule = lambda name, expected, seen: F.struct(F.lit(name).alias("rule"), expected.cast("string").alias("expected"), seen.cast("string").alias("found"))
+    rules = F.array(rule("sha256", F.col("sha256"), F.col("sha")), rule("field_count", F.col("field_count"), F.col("n")), rule("schemas", text("schemas"), text("names")))
+    return met.select(F.explode(rules).alias("r")).select("r.*").where("expected <> found")
+
+
 def file_digest(spark: SparkSession, path: str) -> DataFrame:
     """(path, sha256, bytes) of files: integrity against a manifest."""
     found = spark.read.format("binaryFile").load(path)
     return found.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
 
 
-def table_digest(df: DataFrame) -> DataFrame:
-    """One row: count and an order-free fingerprint of all rows (sums of row hashes, so it merges map-side)."""
-    row = F.conv(F.substring(F.md5(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})), 1, 8), 16, 10).cast("decimal(38,0)")
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(row), F.lit(0)).cast("string").alias("fingerprint"))
+def table_digest(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, n_rows, fingerprint): count and an order-free fingerprint of all rows.
+
+    The SHA-256 of a row's JSON is cut into four numbers of 60 bits, each summed over the rows, so it merges map-side;
+    the fingerprint is the SHA-256 of the four sums.
+    """
+    sha = F.sha2(F.to_json(F.struct(*sorted(c for c in df.columns if c not in by)), {"ignoreNullFields": "false"}), 256)
+    part = lambda i: F.coalesce(F.sum(F.conv(F.substring(sha, 15 * i + 1, 15), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string")
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.sha2(F.concat_ws(":", *map(part, range(4))), 256).alias("fingerprint"))
+
+
+def read_manifests(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(corpora(corpus_id, track, redistribution, ...), violations): corpus manifests, one JSON document a file; ids must differ."""
+    found = spark.read.option("multiLine", "true").schema("corpus_id string, track string, redistribution string, source string, revision string").json(path)
+    twice = found.groupBy("corpus_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR corpus_id IS NULL")
+    return found, twice.select(F.col("corpus_id").alias("id"), F.lit("repeated_corpus").alias("rule"), F.col("n").cast("string").alias("detail"))
+
+
+_INPUT = "struct<cluster_id string, template string, system string, vendor string, product string, events array<struct<source_file string, line_number long, text string>>, slots array<struct<slot_id string, label string, placeholder string, occurrence int, examples array<string>>>>"
+_EXPECTED = "struct<schema_name string, semantics array<struct<semantic_id string, source_kind string, locator string, role string>>, fields array<struct<semantic_id string, field string, constant_value string>>>"
+#: The typed records of an evaluation: name -> (schema, the key that must not repeat).
+RECORDS = {
+    "cases": (f"case_id string, revision string, disposition string, input {_INPUT}, expected {_EXPECTED}, label_source string", "case_id"),
+    "groups": ("case_id string, group_id string", "case_id"),
+    "split": ("case_id string, group_id string, partition string, revision string", "case_id"),
+    "tasks": (f"case_id string, task_revision string, catalogue_revision string, input_fingerprint string, input {_INPUT}", "case_id"),
+    "decisions": (f"decision_id string, kind string, case_id string, reviewer string, task_revision string, catalogue_revision string, input_fingerprint string, source_decisions array<string>, expected {_EXPECTED}", "decision_id"),
+}
+
+
+def read_records(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame, DataFrame]:
+    """(records with their typed columns, violations(source_file, line_number, rule, detail)) of JSON lines of a kind in RECORDS.
+
+    Lines that are no JSON object of the schema, that have undeclared keys, or lack or repeat the key are violations;
+    only lines without any are records.
+    """
+    schema, key = RECORDS[kind]
+    lines = as_events(numbered_lines(spark, path)).persist()
+    declared = spark.createDataFrame([], schema).columns
+    read = lines.withColumn("r", F.from_json("text", f"{schema}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}))
+    extra = F.array_except(F.map_keys(F.from_json("text", "map<string,string>")), F.array(*map(F.lit, declared)))
+    rule = (
+        F.when(F.col("r").isNull() | F.col("r._corrupt_record").isNotNull(), F.struct(F.lit("not_a_record").alias("rule"), F.lit("").alias("detail")))
+        .when(F.size(extra) > 0, F.struct(F.lit("undeclared_keys").alias("rule"), F.array_join(extra, ",").alias("detail"))).when(F.col(f"r.{key}").isNull(), F.struct(F.lit("no_key").alias("rule"), F.lit(key).alias("detail")))
+    )
+    judged = read.withColumn("v", rule)
+    fine = judged.where("v IS NULL").select("source_file", "line_number", "r.*").drop("_corrupt_record")
+    twice = fine.join(fine.groupBy(key).agg(F.min(F.struct("source_file", "line_number")).alias("first")), key).where(F.struct("source_file", "line_number") != F.col("first"))
+    bad = judged.where("v IS NOT NULL").select("source_file", "line_number", "v.rule", "v.detail").unionByName(twice.select("source_file", "line_number", F.lit("repeated_key").alias("rule"), F.col(key).alias("detail")))
+    return fine.drop("source_file", "line_number").dropDuplicates([key]), bad
 
 
 def read_reviews(spark: SparkSession, path: str) -> DataFrame:
@@ -127,3 +227,12 @@ def read_review_state(spark: SparkSession, path: str) -> DataFrame:
 def write_sorted(df: DataFrame, path: str, *keys: str, fmt: str = "parquet") -> None:
     """A table in a deterministic order, written in parallel by ranges of its keys."""
     df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").format(fmt).save(path)
+
+
+def write_with_manifest(df: DataFrame, path: str, *keys: str, revision: str = "", fmt: str = "parquet") -> DataFrame:
+    """Writes the table and, beside it, its manifest: one row (artefact, n_rows, fingerprint, revision), which is returned."""
+    write_sorted(df, path, *keys, fmt=fmt)
+    spark = df.sparkSession
+    manifest = table_digest(spark.read.format(fmt).schema(df.schema).load(path)).select(F.lit(path.rstrip("/").rsplit("/", 1)[-1]).alias("artefact"), "n_rows", "fingerprint", F.lit(revision).alias("revision"))
+    manifest.coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}.manifest")
+    return manifest

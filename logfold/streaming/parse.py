@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-
 from pyspark.sql import functions as F
 
 from logfold.operators.parse import normalize_events
-from logfold.operators.templates import MASKS, cluster_id, masked
+from logfold.operators.templates import MASKS, masked
+
 
+def normalize_stream(events: DataFrame, specs: DataFrame, declared: dict[str, str], named: DataFrame, masks: list[tuple[str, str]] = MASKS) -> DataFrame:
+    """events(ord, text) from readStream -> wide normalised events.
 
-def normalize_stream(events: DataFrame, specs: DataFrame, declared: dict[str, str], system: str, masks: list[tuple[str, str]] = MASKS) -> DataFrame:
-    """events(ord, text) from readStream -> wide normalised events; lines are matched to templates by their masked form."""
-    assigned = events.withColumn("cluster_id", cluster_id(system, masked(F.col("text"), masks)))
+    ``named`` is the static table (masked, cluster_id, ...) of mining (``templates.pattern_templates``): a line finds its
+    cluster by its masked form, whatever words the template leaves open. Lines of unknown form give no row.
+    """
+    assigned = events.withColumn("masked", masked(F.col("text"), masks)).join(named.select("masked", "cluster_id"), "masked").drop("masked")
     return normalize_events(assigned, specs, declared)
