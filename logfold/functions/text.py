@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logfold.functions import vocab
 
+# What counts as a word, and as a part of one.
 WORD = "[A-Za-z][A-Za-z0-9]*|[0-9]+"
 PART = "[A-Z]+(?=[A-Z][a-z]|[0-9]|$)|[A-Z]?[a-z]+|[0-9]+"
 

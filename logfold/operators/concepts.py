@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logfold.functions import vocab
 from logfold.functions.text import concepts, has_phrase, lookup, split_words
 
+# Fixed value: a key and its sign before a placeholder.
 STRUCTURED_KEY = r"""(?:^|[\s,;|{])['"]?([A-Za-z][A-Za-z0-9_.-]*)['"]?\s*(?:=|:)\s*['"]?$"""
 
 

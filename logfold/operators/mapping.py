@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from logfold.functions.text import concepts, has_phrase
+from logfold.functions.text import concepts, has_phrase, ordered_tokens
 from logfold.operators.profiles import match_signals
 
 #: Phrases that are constants of a template, their role, query and value.
@@ -120,16 +120,37 @@ def matcher_ensemble(cases: DataFrame, slots: DataFrame, profiles: DataFrame, fi
     return _named(kept.join(considered, "schema_name"), queries, "matcher-ensemble")
 
 
-def neighbours(requests: DataFrame, references: DataFrame, k: int = 3) -> DataFrame:
+def neighbours(requests: DataFrame, references: DataFrame, k: int = 3, hot: int = 2000) -> DataFrame:
     """(case_id, ref_id, similarity, rank): the k most alike references by Jaccard of concepts, itself excluded.
 
-    requests(case_id, revision, text), references likewise with mapped cases only. Tokens meet in an equi-join.
+    requests(case_id, revision, text), references likewise with mapped cases only. Equal concept sets are one class, with
+    the k + 1 smallest ids of its references. Classes meet in an equi-join on tokens that at most ``hot`` classes have.
+    Two classes that share commoner tokens only have a likeness that follows from the common tokens and the size of the
+    reference alone; references are classes by these two as well, again with k + 1 ids, and meet in a second join. So a
+    token that all texts have joins every request with a few classes, not with every reference, and the result is exact.
     """
-    left = requests.withColumn("t", concepts(F.col("text"))).select("case_id", "revision", F.size("t").alias("n"), F.explode("t").alias("token"))
-    right = references.withColumn("t", concepts(F.col("text"))).select(F.col("case_id").alias("ref_id"), "revision", F.size("t").alias("m"), F.explode("t").alias("token"))
-    common = left.join(right, ["revision", "token"]).where("case_id <> ref_id").groupBy("case_id", "ref_id", "n", "m").agg(F.count(F.lit(1)).alias("c"))
-    scored = common.withColumn("similarity", F.col("c") / (F.col("n") + F.col("m") - F.col("c")))
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy("case_id").orderBy(F.desc("similarity"), "ref_id"))).where(F.col("rank") <= k).select("case_id", "ref_id", "similarity", "rank")
+    few = lambda ids: F.slice(F.array_sort(F.collect_set(ids)), 1, k + 1)
+    asked = requests.select("case_id", "revision", F.array_sort(concepts(F.col("text"))).alias("t")).persist()
+    sets = references.select("case_id", "revision", F.array_sort(concepts(F.col("text"))).alias("t")).groupBy("revision", "t").agg(few("case_id").alias("ids")).persist()
+    common = sets.select("revision", F.explode("t").alias("token")).groupBy("revision", "token").agg(F.count(F.lit(1)).alias("classes")).where(F.col("classes") > hot).select("revision", "token").persist()
+    tokens = lambda df: df.withColumn("token", F.explode("t"))
+    queries = asked.select("revision", "t").distinct()
+
+    def likeness(overlap: Column, m: Column) -> Column:
+        return overlap / (F.size("t") + m - overlap)
+
+    right = tokens(sets).join(common, ["revision", "token"], "left_anti").select("revision", "token", F.col("t").alias("r"), "ids")
+    by_rare = tokens(queries).join(right, ["revision", "token"]).select("revision", "t", "r", "ids").dropDuplicates(["revision", "t", "r"])
+    close = by_rare.select("revision", "t", "ids", likeness(F.size(F.array_intersect("t", "r")), F.size("r")).alias("similarity"))
+    of_common = lambda df, keep: tokens(df).join(common, ["revision", "token"]).groupBy("revision", *keep).agg(F.array_sort(F.collect_set("token")).alias("c"))
+    alike = of_common(sets, ["t", "ids"]).select("revision", "c", F.size("t").alias("m"), F.explode("ids").alias("id")).groupBy("revision", "c", "m").agg(few("id").alias("ids"))
+    by_common = of_common(queries, ["t"]).select("revision", "t", F.col("c").alias("q"), F.explode("c").alias("token")).join(alike.withColumn("token", F.explode("c")), ["revision", "token"]).dropDuplicates(["revision", "t", "c", "m"])
+    far = by_common.select("revision", "t", "ids", likeness(F.size(F.array_intersect("q", "c")), F.col("m")).alias("similarity"))
+    best = close.unionByName(far).select("revision", "t", "similarity", F.explode("ids").alias("ref_id")).groupBy("revision", "t", "ref_id").agg(F.max("similarity").alias("similarity"))
+    place = F.row_number().over(W.partitionBy("revision", "t").orderBy(F.desc("similarity"), "ref_id"))
+    kept = best.withColumn("place", place).where(F.col("place") <= k + 1).drop("place")
+    given = asked.join(kept, ["revision", "t"]).where("case_id <> ref_id")
+    return given.withColumn("rank", F.row_number().over(W.partitionBy("case_id").orderBy(F.desc("similarity"), "ref_id"))).where(F.col("rank") <= k).select("case_id", "ref_id", "similarity", "rank")
 
 
 def schema_votes(near: DataFrame, gold: DataFrame) -> DataFrame:
@@ -140,10 +161,11 @@ def schema_votes(near: DataFrame, gold: DataFrame) -> DataFrame:
 
 
 def transfer_slots(near: DataFrame, slots: DataFrame, ref_slots: DataFrame, gold_fields: DataFrame, valid: DataFrame) -> DataFrame:
-    """(case_id, slot_id, role, field, score): roles and fields of neighbours' slots, by case similarity x context Jaccard.
+    """(case_id, slot_id, role, field, constant_value, score): what neighbours' slots give, by case similarity x context Jaccard.
 
-    ref_slots(ref_id, ref_slot, context, role), gold_fields(ref_id, ref_slot, field), valid(case_id, field). The best
-    slot fixes the role; field scores are summed over slots of that role and only catalogue-valid fields count.
+    near(case_id, ref_id, similarity) of the chosen schema, ref_slots(ref_id, ref_slot, context, role),
+    gold_fields(ref_id, ref_slot, field[, constant_value]), valid(case_id, field). The best slot fixes the role; field
+    scores are summed over slots of that role, the constant is that of the best of them, and only catalogue-valid fields count.
     """
     own = slots.withColumn("t", concepts(F.col("context"))).select("case_id", "slot_id", F.size("t").alias("n"), F.explode("t").alias("token"))
     theirs = ref_slots.withColumn("t", concepts(F.col("context"))).select("ref_id", "ref_slot", "role", F.size("t").alias("m"), F.explode("t").alias("token"))
@@ -151,8 +173,30 @@ def transfer_slots(near: DataFrame, slots: DataFrame, ref_slots: DataFrame, gold
     scored = met.withColumn("s", F.col("similarity") * F.col("c") / (F.col("n") + F.col("m") - F.col("c")))
     best = W.partitionBy("case_id", "slot_id").orderBy(F.desc("s"), "ref_id", "ref_slot")
     role = scored.withColumn("i", F.row_number().over(best)).where("i = 1").select("case_id", "slot_id", "role")
+    if "constant_value" not in gold_fields.columns:
+        gold_fields = gold_fields.withColumn("constant_value", F.lit(None).cast("string"))
     given = scored.join(role, ["case_id", "slot_id", "role"]).join(gold_fields, ["ref_id", "ref_slot"]).join(valid, ["case_id", "field"], "left_semi")
-    return given.groupBy("case_id", "slot_id", "role", "field").agg(F.round(F.sum("s"), 6).alias("score"))
+    first = F.min_by("constant_value", F.struct((-F.col("s")).alias("s"), "ref_id", "ref_slot"))
+    return given.groupBy("case_id", "slot_id", "role", "field").agg(first.alias("constant_value"), F.round(F.sum("s"), 6).alias("score"))
+
+
+def transfer_constants(near: DataFrame, templates: DataFrame, ref_constants: DataFrame, valid: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(semantics(case_id, locator, role, score), fields(case_id, locator, field, constant_value, score)) of template constants.
+
+    near(case_id, ref_id, similarity, rank) of the chosen schema, templates(case_id, template), ref_constants(ref_id, i,
+    locator, role, field, constant_value), i their order. A neighbour's phrase counts if the template holds its ordered
+    tokens in a row; of several neighbours the first gives a role to a locator and a value to a locator's field.
+    """
+    phrases = ref_constants.withColumn("phrase", F.concat(F.lit(" "), F.array_join(ordered_tokens(F.col("locator")), " "), F.lit(" ")))
+    told = templates.select("case_id", F.concat(F.lit(" "), F.array_join(ordered_tokens(F.col("template")), " "), F.lit(" ")).alias("said"))
+    met = near.join(phrases, "ref_id").join(told, "case_id").where(F.contains("said", F.col("phrase"))).withColumn("locator", F.lower("locator"))
+    order = F.struct("rank", "i")
+    semantics = met.groupBy("case_id", "locator", F.lower("role").alias("role_key")).agg(F.min_by(F.struct("role", "similarity"), order).alias("v"))
+    fields = met.join(valid, ["case_id", "field"], "left_semi").groupBy("case_id", "locator", "field").agg(F.min_by(F.struct("constant_value", "similarity"), order).alias("v"))
+    return (
+        semantics.select("case_id", "locator", F.col("v.role").alias("role"), F.round("v.similarity", 6).alias("score")),
+        fields.select("case_id", "locator", "field", F.col("v.constant_value").alias("constant_value"), F.lit(1.0).alias("score")),
+    )
 
 
 def schema_prior(cases: DataFrame, gold: DataFrame) -> DataFrame:

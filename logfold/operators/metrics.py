@@ -22,11 +22,38 @@ def f1_of(tp: Column, fp: Column, fn: Column) -> Column:
     return F.when(tp + fp + fn == 0, 1.0).otherwise(_ratio(2 * p * r, p + r))
 
 
+FOLDED = ("locator", "role")
+
+
+def folded(df: DataFrame) -> DataFrame:
+    """Locators and roles in lower case, as they are compared; field names and constants keep theirs."""
+    return df.withColumns({c: F.lower(c) for c in FOLDED if c in df.columns})
+
+
+def coverage_violations(cases: DataFrame, predictions: DataFrame) -> DataFrame:
+    """(approach, rule, detail) of predictions that may not be evaluated together.
+
+    cases(case_id, revision), predictions(approach, version, case_id, revision): each approach answers every case once
+    and no other, in one version and for the case's catalogue revision.
+    """
+    approaches = predictions.select("approach").distinct()
+    row = lambda df, rule, detail: df.select("approach", F.lit(rule).alias("rule"), detail.cast("string").alias("detail"))
+    missing = approaches.join(cases.select("case_id"), how="cross").join(predictions, ["approach", "case_id"], "left_anti")  # approaches x cases
+    return (
+        row(missing, "no_prediction", F.col("case_id")).unionByName(row(predictions.join(cases, "case_id", "left_anti"), "unknown_case", F.col("case_id")))
+        .unionByName(row(predictions.groupBy("approach", "case_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated_prediction", F.col("case_id")))
+        .unionByName(row(predictions.groupBy("approach").agg(F.count_distinct("version").alias("n")).where("n > 1"), "several_versions", F.col("n")))
+        .unionByName(row(predictions.join(cases.select("case_id", F.col("revision").alias("own")), "case_id").where("NOT revision <=> own"), "other_revision", F.col("case_id")))
+    )
+
+
 def set_scores(cases: DataFrame, gold: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
     """cases(approach, case_id); gold(case_id, keys); pred(approach, case_id, keys) -> tp, fp, fn and rounded f1 per case.
 
-    Keys are compared null-safely, as sets. Gold is joined to the approaches through ``cases``.
+    Keys are compared null-safely, as sets, locators and roles without regard to case. Gold is joined to the approaches
+    through ``cases``. Fields are keyed by (kind, locator, field, constant_value).
     """
+    gold, pred = folded(gold), folded(pred)
     want = cases.join(gold.select("case_id", *keys).distinct(), "case_id").withColumn("g", F.lit(1))
     got = pred.select("approach", "case_id", *keys).distinct().withColumn("p", F.lit(1))
     same = want.unionByName(got, allowMissingColumns=True).groupBy("approach", "case_id", *keys).agg(F.max("g").alias("g"), F.max("p").alias("p"))
@@ -47,6 +74,7 @@ def micro_macro(scores: DataFrame, by: tuple[str, ...] = ("approach",)) -> DataF
 
 def facet_scores(cases: DataFrame, gold: DataFrame, pred: DataFrame) -> DataFrame:
     """(approach, facet, f1): micro F1 of each facet on (kind, locator, facet value)."""
+    gold, pred = folded(gold), folded(pred)
     facets = ["domain", "relation", "entity", "property"]
     long = lambda df, ids: role_facets(df).select(*ids, "kind", "locator", F.expr("stack(4, " + ", ".join(f"'{f}', {f}" for f in facets) + ") AS (facet, value)"))
     want = cases.join(long(gold, ["case_id"]).distinct(), "case_id").withColumn("g", F.lit(1))
@@ -56,6 +84,13 @@ def facet_scores(cases: DataFrame, gold: DataFrame, pred: DataFrame) -> DataFram
     return counts.select("approach", "facet", F.round(f1_of(F.col("tp"), F.col("fp"), F.col("fn")), 6).alias("f1"))
 
 
+def facet_summary(facets: DataFrame, pred: DataFrame) -> DataFrame:
+    """(approach, facet_f1, unregistered_rate): the mean of the four facets, the share of predicted roles outside the registry."""
+    mean = facets.groupBy("approach").agg(F.round(F.avg("f1"), 6).alias("facet_f1"))
+    rate = role_facets(folded(pred)).groupBy("approach").agg(F.round(F.avg(F.when(F.col("registered"), 0.0).otherwise(1.0)), 6).alias("unregistered_rate"))
+    return mean.join(rate, "approach", "left").fillna(0.0, ["unregistered_rate"])
+
+
 def schema_ranks(cases: DataFrame, gold_case: DataFrame, pred_schema: DataFrame) -> DataFrame:
     """Top-1, top-3 and mean reciprocal rank; only gold-mapped cases count."""
     mapped = cases.join(gold_case.where("disposition = 'mapped' AND schema_name IS NOT NULL"), "case_id")

@@ -64,6 +64,19 @@ def opaque_labels(slots: DataFrame) -> DataFrame:
     return slots.withColumn("label", F.concat(F.lit("f"), F.regexp_extract("slot_id", "[0-9]+", 0))).withColumn("case_id", F.concat("case_id", F.lit(".opaque-labels")))
 
 
+def with_decoy(slots: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(slots, events) of decoy-slot variants: one more NUMBER slot behind the others, and its text behind every event.
+
+    slots(case_id, slot_id, label, placeholder, occurrence, examples), events(case_id, i, text), i from 0.
+    """
+    number, suffix = "<VAR:NUMBER>", F.concat("case_id", F.lit(".decoy-slot"))
+    last = slots.groupBy("case_id").agg(F.max(F.substring("slot_id", 2, 9).cast("int")).alias("n"), F.sum((F.col("placeholder") == number).cast("int")).alias("numbers"))
+    decoy = last.select("case_id", F.concat(F.lit("p"), (F.col("n") + 1).cast("string")).alias("slot_id"), F.lit("NUMBER").alias("label"), F.lit(number).alias("placeholder"), (F.col("numbers") + 1).cast("int").alias("occurrence"), F.array(F.lit("4815"), F.lit("162342")).alias("examples"))
+    columns = ["case_id", "slot_id", "label", "placeholder", "occurrence", "examples"]
+    longer = events.join(last.select("case_id"), "case_id", "left_semi").withColumn("text", F.concat("text", F.lit(" correlation id "), (4815 + F.col("i")).cast("string")))
+    return slots.select(*columns).unionByName(decoy).withColumn("case_id", suffix), longer.withColumn("case_id", suffix)
+
+
 def swap_roles(gold: DataFrame) -> DataFrame:
     """Source and destination change places in roles and fields of cases with exactly one pair of the same property."""
     side = F.regexp_extract("role", r"\.(source|destination)\.", 1)
@@ -84,6 +97,20 @@ def robustness(base: DataFrame, variants: DataFrame, keys: tuple[str, ...] = ("l
     return both.groupBy("approach", "perturbation").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(F.col("s").eqNullSafe(F.col("seed")), 1.0).otherwise(0.0)), 6).alias("stable"))
 
 
+def robustness_rows(base_f1: DataFrame, variant_f1: DataFrame, stable: DataFrame, label_changing: tuple[str, ...] = LABEL_CHANGING) -> DataFrame:
+    """(approach, perturbation, family, n, base_f1, perturbed_f1, delta, stable, passed).
+
+    base_f1(approach, f1) over all seeds, variant_f1(approach, perturbation, f1) over the variants there are, ``stable``
+    from ``robustness``. A change of form must leave every answer as it is and cost nothing; a change of meaning must
+    move an answer and cost nothing.
+    """
+    both = stable.join(variant_f1.withColumnRenamed("f1", "perturbed_f1"), ["approach", "perturbation"]).join(base_f1.withColumnRenamed("f1", "base_f1"), "approach")
+    changing = F.col("perturbation").isin(*label_changing)
+    kept = F.col("perturbed_f1") >= F.col("base_f1")
+    passed = F.when(changing, kept & (F.col("stable") < 1)).otherwise(kept & (F.col("stable") == 1))
+    return both.select("approach", "perturbation", F.when(changing, "label-changing").otherwise("label-preserving").alias("family"), "n", "base_f1", "perturbed_f1", F.round(F.col("perturbed_f1") - F.col("base_f1"), 6).alias("delta"), "stable", passed.alias("passed"))
+
+
 def check_approaches(names: list[str]) -> None:
     refused = [n for n in names if n.endswith("-prior") or n == "case-retrieval"]
     if refused:

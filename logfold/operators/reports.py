@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logfold.operators import mapping, metrics
+from logfold.functions.text import ordered_tokens
+from logfold.operators import mapping, metrics, stats
 
 
 def exactness(cases: DataFrame, gold_case: DataFrame, pred_case: DataFrame, field_scores: DataFrame, source_scores: DataFrame) -> DataFrame:
@@ -57,10 +60,45 @@ def case_violations(cases: DataFrame, slots: DataFrame, gold_sem: DataFrame, gol
     return twice.unionByName(no_slot).unionByName(no_sem).unionByName(none).unionByName(some)
 
 
-def compare(ready: DataFrame, slots: DataFrame, profiles: DataFrame, fields: DataFrame, gold_field: DataFrame) -> DataFrame:
-    """(approach, precision, recall, f1, macro_f1): every approach on the same cases, one metric pass."""
-    found = [mapping.direct_lexical(ready, slots, fields), mapping.semantic_frame(ready, slots, fields)[0], mapping.matcher_ensemble(ready, slots, profiles, fields)]
-    top = found[0].unionByName(found[1]).unionByName(found[2]).where("rank = 1 AND source_kind = 'slot'").select("approach", "case_id", "locator", "field")
-    names = ready.sparkSession.createDataFrame([("direct-lexical",), ("semantic-frame",), ("matcher-ensemble",)], "approach string")
-    cases = ready.select("case_id").distinct().crossJoin(names)
-    return metrics.micro_macro(metrics.set_scores(cases, gold_field, top, ["locator", "field"]))
+def constant_violations(cases: DataFrame, gold_sem: DataFrame) -> DataFrame:
+    """(case_id, rule, detail): template constants whose ordered words the template of cases(case_id, template) does not hold."""
+    said = lambda c: F.concat(F.lit(" "), F.array_join(ordered_tokens(F.col(c)), " "), F.lit(" "))
+    met = gold_sem.where("kind = 'template_constant'").join(cases.select("case_id", said("template").alias("said")), "case_id")
+    return met.where(~F.contains("said", said("locator"))).select("case_id", F.lit("constant_not_in_template").alias("rule"), F.col("locator").alias("detail"))
+
+
+class Comparison(NamedTuple):
+    """Tables with an ``approach`` column, from one metric pass over all approaches."""
+
+    scores: DataFrame
+    intervals: DataFrame
+    tests: DataFrame
+    curve: DataFrame
+    warnings: DataFrame
+    violations: DataFrame
+
+
+def compare(cases: DataFrame, pred_case: DataFrame, fields: DataFrame, schemas: DataFrame, gold_field: DataFrame, gold_schema: DataFrame, references: DataFrame, baseline: str | None = None, resamples: int = 1000, split: bool = True) -> Comparison:
+    """Compares any number of approaches on the same cases.
+
+    cases(case_id, grp, revision, system, label_source), pred_case(approach, version, case_id, revision, disposition),
+    fields(approach, case_id, kind, locator, field, constant_value, score), schemas(approach, case_id, rank,
+    schema_name, score), gold_field(case_id, kind, locator, field, constant_value), gold_schema(case_id, schema_name),
+    references(case_id). Every approach is tested against one baseline, by default the first prior there is, and
+    references must not be evaluated cases.
+    """
+    approaches = sorted(r.approach for r in pred_case.select("approach").distinct().collect())  # a handful
+    priors = [a for a in approaches if a.endswith("-prior")]
+    baseline = baseline or (priors or approaches)[0]
+    asked = pred_case.select("approach", "case_id").distinct()
+    scored = metrics.set_scores(asked, gold_field, fields, ["kind", "locator", "field", "constant_value"]).persist()
+    totals = metrics.micro_macro(scored)
+    groups = stats.group_sums(scored.join(cases.select("case_id", "grp"), "case_id"), "grp").persist()
+    tests = stats.paired_permutation(groups, baseline, resamples).withColumn("baseline", F.lit(baseline))
+    confident = stats.case_confidence(asked, pred_case, fields, schemas).join(scored.select("approach", "case_id", (1 - F.col("f1")).alias("loss")), ["approach", "case_id"])
+    curve = stats.risk_coverage(confident, "confidence", "loss", "approach", "case_id")
+    warnings = stats.warning_rows(groups, tests).unionByName(stats.evaluation_warnings(cases, pred_case, totals, priors, split))
+    guards = metrics.coverage_violations(cases, pred_case)
+    shared = references.join(cases.select("case_id"), "case_id", "left_semi").select(F.lit("case-retrieval").alias("approach"), F.lit("reference_is_evaluated").alias("rule"), F.col("case_id").cast("string").alias("detail"))
+    ranks = metrics.schema_ranks(asked, gold_schema.withColumn("disposition", F.lit("mapped")), schemas)
+    return Comparison(totals.join(ranks, "approach", "left").join(stats.risk_area(curve, "approach"), "approach", "left"), stats.group_bootstrap(groups, resamples), tests, curve, warnings, guards.unionByName(shared))

@@ -60,6 +60,11 @@ def enrich(clusters: DataFrame, selections: DataFrame) -> DataFrame:
     return clusters.join(selections, "cluster_id", "left").withColumn("selected_schema", F.coalesce("selected_schema", F.lit("NoFit"))).withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
 
 
+def hint_violations(hints: DataFrame, catalog: DataFrame, id_col: str) -> DataFrame:
+    """(id, rule, detail): hints at schemas that the catalogue does not have."""
+    return hints.join(catalog.select("schema_name").distinct(), "schema_name", "left_anti").select(F.col(id_col).cast("string").alias("id"), F.lit("unknown_schema").alias("rule"), F.col("schema_name").alias("detail"))
+
+
 def schema_candidates(rankings: DataFrame, selections: DataFrame, id_col: str, hints: DataFrame | None = None) -> DataFrame:
     """(id, schema_name, score): candidates with evidence, scaled to the best; none after an abstention; a hint is the only one."""
     kept = rankings.join(selections.where("reason IS NULL").select(id_col), id_col, "left_semi").where("score > 0")

@@ -23,6 +23,30 @@ def group_key(system: str, vendor: str, product: str) -> Column:
     return F.regexp_replace(F.lower(F.concat_ws(":", F.coalesce(system, F.lit("")), F.coalesce(vendor, F.lit("")), F.coalesce(product, F.lit("")))), ":+$", "")
 
 
+def grouped_cases(cases: DataFrame, frozen: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(cases with ``grp``, violations(id, rule, detail)): the group of a frozen split(case_id, group_id), else of the source.
+
+    cases(case_id, system, vendor, product). With a frozen split a case without a group is a violation.
+    """
+    if frozen is None:
+        return cases.withColumn("grp", group_key("system", "vendor", "product")), cases.select(F.col("case_id").cast("string").alias("id"), F.lit("").alias("rule"), F.lit("").alias("detail")).limit(0)
+    joined = cases.join(frozen.select("case_id", F.col("group_id").alias("grp")), "case_id", "left")
+    return joined.where("grp IS NOT NULL"), joined.where("grp IS NULL").select(F.col("case_id").cast("string").alias("id"), F.lit("no_group").alias("rule"), F.lit("").alias("detail"))
+
+
+def case_confidence(cases: DataFrame, pred_case: DataFrame, fields: DataFrame, schemas: DataFrame) -> DataFrame:
+    """(approach, case_id, confidence): mean score of the predicted fields times the top schema's; 0 where nothing was mapped.
+
+    cases(approach, case_id), pred_case(approach, case_id, disposition), fields(approach, case_id, score) one row a field,
+    schemas(approach, case_id, rank, score).
+    """
+    mean = fields.groupBy("approach", "case_id").agg(F.avg("score").alias("f"))
+    top = schemas.where("rank = 1").select("approach", "case_id", F.col("score").alias("s"))
+    mapped = pred_case.where("disposition = 'mapped'").select("approach", "case_id")
+    known = mapped.join(mean, ["approach", "case_id"]).join(top, ["approach", "case_id"], "left").select("approach", "case_id", (F.col("f") * F.coalesce("s", F.lit(0.0))).alias("c"))
+    return cases.join(known, ["approach", "case_id"], "left").select("approach", "case_id", F.coalesce("c", F.lit(0.0)).alias("confidence"))
+
+
 def group_sums(scores: DataFrame, group_col: str) -> DataFrame:
     """(approach, grp, g, tp, fp, fn, f1_sum, n): per-group sufficient statistics; g numbers the groups of an approach from 0."""
     s = scores.groupBy("approach", F.col(group_col).alias("grp")).agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"), F.sum("f1").alias("f1_sum"), F.count(F.lit(1)).alias("n"))
@@ -98,8 +122,25 @@ def risk_area(curve: DataFrame, by: str) -> DataFrame:
 
 
 def warning_rows(groups: DataFrame, tests: DataFrame, fewest_cases: int = 20) -> DataFrame:
-    """(approach, code): small samples, a single source, unresolved differences."""
+    """(approach, code): small samples, a single group, unresolved differences."""
     size = groups.groupBy("approach").agg(F.sum("n").alias("cases"), F.count(F.lit(1)).alias("groups"))
     few = size.where(F.col("cases") < fewest_cases).select("approach", F.lit("few_cases").alias("code"))
-    one = size.where("groups = 1").select("approach", F.lit("single_source").alias("code"))
-    return few.unionByName(one).unionByName(tests.where("NOT significant").select("approach", F.lit("unresolved_difference").alias("code")))
+    one = size.where("groups = 1").select("approach", F.lit("single_group").alias("code"))
+    return few.unionByName(one).unionByName(tests.where("NOT significant AND abs(delta) > 0").select("approach", F.lit("unresolved_difference").alias("code")))
+
+
+def evaluation_warnings(cases: DataFrame, pred_case: DataFrame, scores: DataFrame, priors: list[str], split: bool = True, oracle: str = "none", view: str = "full") -> DataFrame:
+    """(approach, code): what limits the reading of an evaluation.
+
+    cases(case_id, system, label_source), pred_case(approach, case_id, disposition), scores(approach, f1) micro F1s.
+    """
+    about = cases.agg(F.count_distinct("system").alias("systems"), F.max((F.col("label_source") == "synthetic").cast("int")).alias("synthetic"))
+    seen = pred_case.groupBy("approach").agg(F.max((F.col("disposition") == "mapped").cast("int")).alias("mapped")).crossJoin(about)  # one row
+    floor = scores.agg(F.max(F.when(F.col("approach").isin(priors), F.col("f1"))).alias("floor"))
+    below = scores.where(~F.col("approach").isin(priors)).crossJoin(floor)  # one row
+    codes = F.filter(F.array(
+        F.when(F.col("systems") < 2, F.lit("single_system")), F.when(F.col("synthetic") == 1, F.lit("synthetic_labels")), F.when(F.col("mapped") == 0, F.lit("nothing_mapped")),
+        F.when(F.lit(not split) & (F.col("approach") == "case-retrieval"), F.lit("no_grouped_split")), F.when(F.lit(oracle != "none"), F.lit("oracle_condition")), F.when(F.lit(view != "full"), F.lit("context_ablation")),
+    ), lambda c: c.isNotNull())
+    rows = seen.select("approach", F.explode(codes).alias("code"))
+    return rows.unionByName(below.where("floor IS NULL").select("approach", F.lit("no_prior").alias("code"))).unionByName(below.where("f1 <= floor").select("approach", F.lit("at_prior_floor").alias("code")))
