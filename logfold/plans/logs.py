@@ -21,6 +21,9 @@ LINE = """CASE event_type
 MASKED_SQL = rf"regexp_replace(regexp_replace(regexp_replace(text, '{MASKS[0][1]}', '<VAR:IPV4>', 'g'), '{MASKS[1][1]}', '<VAR:TEXT>', 'g'), '{MASKS[2][1]}', '<VAR:NUMBER>', 'g')"
 EVENTS_CTE = f"ev AS (SELECT event_id AS ord, user_id, event_type, {LINE} AS text FROM events)"
 ASSIGNED_CTE = f"{EVENTS_CTE}, m AS (SELECT *, {MASKED_SQL} AS template FROM ev), a AS (SELECT *, 'cluster-' || substr(sha256('{SYSTEM}' || chr(0) || template), 1, 16) AS cluster_id FROM m)"
+#: The same lines mined at the default likeness: lines that differ in one word share a template.
+LIKENED_CTE = f"""{ASSIGNED_CTE}, lw AS (SELECT ord, text, regexp_replace(regexp_replace(template, 'connection (allowed|denied)', 'connection <VAR:TEXT>'), 'login (failed|succeeded)', 'login <VAR:TEXT>') AS template FROM a),
+ lk AS (SELECT *, 'cluster-' || substr(sha256('{SYSTEM}' || chr(0) || template), 1, 16) AS cluster_id FROM lw)"""
 CLUSTERS_CTE = f"{ASSIGNED_CTE}, cl AS (SELECT cluster_id, template, count(*) AS event_count, min(ord) AS first FROM a GROUP BY ALL)"
 SLOTS_CTE = f"""{CLUSTERS_CTE}, sl0 AS (SELECT cluster_id, template, unnest(regexp_extract_all(template, '<VAR:([A-Z0-9_]+)>', 1)) AS label, generate_subscripts(regexp_extract_all(template, '<VAR:([A-Z0-9_]+)>', 1), 1) AS pos FROM cl),
  sl AS (SELECT cluster_id, template, 'p' || pos AS slot_id, pos, label, '<VAR:' || label || '>' AS placeholder, row_number() OVER (PARTITION BY cluster_id, label ORDER BY pos) AS occurrence FROM sl0)"""
@@ -49,7 +52,7 @@ def src_clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def src_input_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    lines = docs.where("n_chars > 2000").select(F.col("source").alias("source_file"), F.explode(F.split("text", "\n", -1)).alias("text"))
+    lines = docs.select(F.col("source").alias("source_file"), F.explode(F.split("text", "\n", -1)).alias("text"))
     return logs.input_counts(logs.as_events(lines), docs.select(F.col("source").alias("source_file")).distinct())
 
 
@@ -68,7 +71,19 @@ def src_gold_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def src_table_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logs.table_digest(spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    return logs.table_digest(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_nationkey"))
+
+
+def src_row_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers in order of their keys beside the segments of customers in order of their names, place by place."""
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return logs.aligned_by_row(customers.select("c_custkey"), customers.select("c_name", "c_mktsegment"), "c_custkey", "c_name", "c_mktsegment")[0]
+
+
+def src_unaligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events without a customer of that number, and customers without an event."""
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").cast("long").alias("id")).distinct()
+    return logs.aligned_violations(users, spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("long").alias("id")), "id")
 
 
 def clu_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +99,22 @@ def clu_mined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.mine_templates(rendered(spark, sf_dir), SYSTEM, MASKS)[0].select("cluster_id", "template", "event_count")
 
 
+def _likened(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return templates.mine_templates(rendered(spark, sf_dir), SYSTEM, MASKS)
+
+
+def clu_mined_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _likened(spark, sf_dir)[1].select("ord", "cluster_id")
+
+
+def clu_mined_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.extract_slots(_likened(spark, sf_dir)[0])
+
+
+def clu_mined_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.slot_values(_likened(spark, sf_dir)[1])
+
+
 def clu_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mined(spark, sf_dir)[1].select("ord", "cluster_id")
 
@@ -101,27 +132,36 @@ def clu_slot_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clu_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return templates.build_summary(mined(spark, sf_dir)[0])
+    return templates.build_summary(mined(spark, sf_dir)[0], MASKS)
 
 
-QUERIES = [src_clean_lines, src_input_counts, src_first_lines, src_json_field, src_gold_alignment, src_table_digest, clu_patterns, clu_templates, clu_mined, clu_assignments, clu_representatives, clu_slots, clu_slot_values, clu_summary]
+QUERIES = [src_clean_lines, src_input_counts, src_first_lines, src_json_field, src_gold_alignment, src_row_alignment, src_unaligned, src_table_digest, clu_patterns, clu_templates, clu_mined, clu_mined_assignments, clu_mined_slots, clu_mined_values, clu_assignments, clu_representatives, clu_slots, clu_slot_values, clu_summary]
 
 _LINES = "ln AS (SELECT doc_id AS source_file, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line_number FROM documents)"
 ORACLE = {
     "src_clean_lines": rf"WITH {_LINES} SELECT source_file, line_number, md5(regexp_replace(text, '^\x{{FEFF}}', '')) AS line_md5 FROM ln WHERE regexp_matches(text, '\S')",
-    "src_input_counts": r"""WITH ln AS (SELECT source, unnest(string_split(text, chr(10))) AS t FROM documents WHERE n_chars > 2000), c AS (SELECT source, count(*) AS n FROM ln WHERE regexp_matches(t, '\S') GROUP BY 1)
+    "src_input_counts": r"""WITH ln AS (SELECT source, unnest(string_split(text, chr(10))) AS t FROM documents), c AS (SELECT source, count(*) AS n FROM ln WHERE regexp_matches(t, '\S') GROUP BY 1)
  SELECT d.source AS source_file, CAST(coalesce(n, 0) AS BIGINT) AS event_count FROM (SELECT DISTINCT source FROM documents) d LEFT JOIN c USING (source)""",
     "src_first_lines": f"WITH {_LINES} SELECT source_file, line_number, length(text) AS n FROM ln WHERE line_number <= 3",
     "src_json_field": "SELECT event_id, json_extract_string(props, '$.k') AS text FROM events",
     "src_gold_alignment": f"WITH {ASSIGNED_CTE} SELECT ord, cluster_id, event_type FROM a",
     "clu_patterns": f"WITH {ASSIGNED_CTE} SELECT template AS masked, count(*) AS n, min(ord) AS first_ord FROM a GROUP BY 1",
     "clu_templates": f"WITH {CLUSTERS_CTE} SELECT cluster_id, template, event_count, first AS first_ord FROM cl",
-    "clu_mined": f"""WITH {ASSIGNED_CTE}, w AS (SELECT regexp_replace(regexp_replace(template, 'connection (allowed|denied)', 'connection <VAR:TEXT>'), 'login (failed|succeeded)', 'login <VAR:TEXT>') AS template FROM a)
- SELECT 'cluster-' || substr(sha256('{SYSTEM}' || chr(0) || template), 1, 16) AS cluster_id, template, count(*) AS event_count FROM w GROUP BY template""",
+    "src_row_alignment": "WITH a AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS p FROM customer), b AS (SELECT c_mktsegment, row_number() OVER (ORDER BY c_name) AS p FROM customer) SELECT c_custkey, c_mktsegment FROM a JOIN b USING (p)",
+    "src_unaligned": "WITH u AS (SELECT DISTINCT CAST(user_id AS BIGINT) AS id FROM events), c AS (SELECT CAST(c_custkey AS BIGINT) AS id FROM customer) SELECT id, 'left' AS side FROM u ANTI JOIN c USING (id) UNION ALL SELECT id, 'right' FROM c ANTI JOIN u USING (id)",
+    "src_table_digest": """WITH s AS (SELECT sha256('{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_nationkey":' || c_nationkey || '}') AS h FROM customer)
+ SELECT count(*) AS n_rows, sha256(""" + " || ':' || ".join(f"CAST(sum(CAST(('0x' || substr(h, {15 * i + 1}, 15)) AS BIGINT)) AS VARCHAR)" for i in range(4)) + ") AS fingerprint FROM s",
+    "clu_mined": f"WITH {LIKENED_CTE} SELECT cluster_id, template, count(*) AS event_count FROM lk GROUP BY ALL",
+    "clu_mined_assignments": f"WITH {LIKENED_CTE} SELECT ord, cluster_id FROM lk",
+    "clu_mined_slots": f"""WITH {LIKENED_CTE}, t AS (SELECT DISTINCT cluster_id, template FROM lk), s AS (SELECT cluster_id, unnest(regexp_extract_all(template, '<VAR:([A-Z0-9_]+)>', 1)) AS label, generate_subscripts(regexp_extract_all(template, '<VAR:([A-Z0-9_]+)>', 1), 1) AS pos FROM t)
+ SELECT cluster_id, 'p' || pos AS slot_id, CAST(pos AS INTEGER) AS pos, label, '<VAR:' || label || '>' AS placeholder, CAST(row_number() OVER (PARTITION BY cluster_id, label ORDER BY pos) AS INTEGER) AS occurrence FROM s""",
+    "clu_mined_values": f"""WITH {LIKENED_CTE}, t AS (SELECT cluster_id, ord, list_filter(list_transform(list_zip(string_split(template, ' '), string_split(text, ' ')), lambda z: CASE WHEN z[1] LIKE '<VAR:%' THEN z[2] END), lambda v: v IS NOT NULL) AS vals FROM lk),
+ c AS (SELECT cluster_id, 'p' || i AS slot_id, vals[i] AS value, min(ord) AS first FROM t, (SELECT unnest(range(1, 10)) AS i) WHERE i <= len(vals) GROUP BY ALL)
+ SELECT * FROM (SELECT cluster_id, slot_id, CAST(row_number() OVER (PARTITION BY cluster_id, slot_id ORDER BY first, value) AS INTEGER) AS rank, value FROM c) WHERE rank <= 5""",
     "clu_assignments": f"WITH {ASSIGNED_CTE} SELECT ord, cluster_id FROM a",
     "clu_representatives": f"""WITH {ASSIGNED_CTE}, p AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY ord) - 1 AS i, count(*) OVER (PARTITION BY cluster_id) - 1 AS last FROM a)
  SELECT cluster_id, ord, text FROM p WHERE last < 7 OR i IN (SELECT CAST(round_even(k * last / 6.0, 0) AS BIGINT) FROM range(0, 7) t(k))""",
     "clu_slots": f"WITH {SLOTS_CTE} SELECT cluster_id, slot_id, CAST(pos AS INTEGER) AS pos, label, placeholder, CAST(occurrence AS INTEGER) AS occurrence FROM sl",
     "clu_slot_values": f"WITH {VALUES_CTE} SELECT cluster_id, slot_id, CAST(rank AS INTEGER) AS rank, value FROM sv",
-    "clu_summary": f"WITH {CLUSTERS_CTE} SELECT CAST(sum(event_count) AS BIGINT) AS event_count, count(*) AS cluster_count, CAST(sum(CASE WHEN template LIKE '%<VAR:%' THEN 1 ELSE 0 END) AS BIGINT) AS slot_clusters FROM cl",
+    "clu_summary": f"WITH {CLUSTERS_CTE} SELECT CAST(sum(event_count) AS BIGINT) AS event_count, count(*) AS cluster_count, CAST(sum(CASE WHEN template LIKE '%<VAR:%' THEN 1 ELSE 0 END) AS BIGINT) AS slot_clusters, '{';'.join(f'{n}={p}' for n, p in MASKS)}' AS masks FROM cl",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -237,7 +239,7 @@ def map_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = gold(spark, ready)[1].select(F.col("case_id").alias("ref_id"), F.col("slot_id").alias("ref_slot"), "role", "field")
     refs = slots.select(F.col("case_id").alias("ref_id"), F.col("slot_id").alias("ref_slot"), "context").join(told.drop("field"), ["ref_id", "ref_slot"])
     valid = ready.select("case_id", "schema_name").join(fields.select("schema_name", "field"), "schema_name").select("case_id", "field")
-    return mapping.transfer_slots(near, slots, refs, told.drop("role"), valid)
+    return mapping.transfer_slots(near, slots, refs, told.drop("role"), valid).drop("constant_value")
 
 
 def map_schema_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,13 +259,29 @@ def map_null_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def map_context_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready, slots, _, _ = requests(spark, sf_dir)
-    views = [mapping.context_view(ready, slots, v)[0].select("case_id", F.lit(v).alias("view"), "template") for v in ("v0", "v1", "full")]
-    return views[0].unionByName(views[1]).unionByName(views[2])
+    ready = ready.withColumn("system", F.lit("svc"))
+    views = [mapping.context_view(ready, slots, v)[0].select("case_id", F.lit(v).alias("view"), "template", "system") for v in ("v0", "v1", "v2", "v3", "full")]
+    return reduce(DataFrame.unionByName, views)
+
+
+def told_constants(ready: DataFrame) -> DataFrame:
+    """(ref_id, i, locator, role, field, constant_value): gold template constants, those of the phrases that a template holds."""
+    order = F.array_position(F.array(*(F.lit(" ".join(p)) for p, *_ in mapping.STATIC)), F.col("locator"))
+    return mapping.template_constants(ready).select(F.col("case_id").alias("ref_id"), order.alias("i"), "locator", "role", F.lit("EventResult").alias("field"), "constant_value")
+
+
+def map_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Constants of the neighbours whose gold schema is the case's, for phrases that the case's template holds."""
+    near, ready, _ = _near(spark, sf_dir)
+    fields = schemas.effective_fields(schemas.default_catalog(spark))
+    same = near.join(ready.select("case_id", "schema_name"), "case_id").join(gold(spark, ready)[0].select(F.col("case_id").alias("ref_id"), "schema_name"), ["ref_id", "schema_name"])
+    valid = ready.select("case_id", "schema_name").join(fields.select("schema_name", "field"), "schema_name").select("case_id", "field")
+    return mapping.transfer_constants(same, ready, told_constants(ready), valid)[1].select("case_id", "locator", "field", "constant_value")
 
 
 QUERIES = [
     nrm_concepts, nrm_line_concepts, nrm_phrases, nrm_slot_contexts, nrm_role_facets, cat_effective_fields, cat_schema_counts, sch_rankings, sch_url_rankings, build_ranked_templates, sch_candidates, prf_columns, prf_slots, sig_signals,
-    map_direct_lexical, map_roles, map_semantic_frame, map_oracle_frame, map_matcher_ensemble, map_neighbours, map_url_neighbours, map_schema_votes, map_transfer, map_schema_prior, map_field_prior, map_null_prior, map_context_views,
+    map_direct_lexical, map_roles, map_semantic_frame, map_oracle_frame, map_matcher_ensemble, map_neighbours, map_url_neighbours, map_schema_votes, map_transfer, map_schema_prior, map_field_prior, map_null_prior, map_context_views, map_constants,
 ]
 
 _LEX_Q = "lq AS (SELECT case_id || '/' || slot_id AS qid, case_id, rc.schema_name, slot_id AS locator, context AS query FROM rc JOIN cx USING (cluster_id) WHERE schema_name IS NOT NULL)"
@@ -331,7 +349,9 @@ ORACLE = {
  fr AS (SELECT case_id, field, round(CAST(n AS DOUBLE) / max(n) OVER (PARTITION BY case_id), 6) AS score, CAST(row_number() OVER (PARTITION BY case_id ORDER BY n DESC, field) AS INTEGER) AS rank FROM fp WHERE n > 0)
  SELECT case_id, slot_id AS locator, rank, field, score FROM fr JOIN rc USING (case_id) JOIN sl USING (cluster_id) WHERE rank <= 5""",
     "map_null_prior": f"WITH {CASES_CTE} SELECT case_id, 'null-prior' AS approach, 'unresolved' AS disposition FROM cases",
+    "map_constants": f"""WITH {REQUEST_CTE}, {GOLD_CTE}, {_NEAR_CTE}, cst AS ({_STATIC_SQL}) SELECT n.case_id, c.locator, 'EventResult' AS field, arg_min(c.constant_value, n.rank) AS constant_value
+ FROM ne n JOIN rc ON rc.case_id = n.case_id JOIN gc ON gc.case_id = n.ref_id AND gc.schema_name = rc.schema_name JOIN cst c ON c.case_id = n.ref_id JOIN cst own ON own.case_id = n.case_id AND own.locator = c.locator JOIN ef ON ef.schema_name = rc.schema_name AND ef.field = 'EventResult' GROUP BY ALL""",
     "map_context_views": rf"""WITH {CASES_CTE}, w AS (SELECT case_id, template, string_split_regex(template, '\s+') AS w FROM cases), s AS (SELECT *, list_filter(list_transform(w, lambda x, i: CASE WHEN contains(x, '<VAR:') THEN i END), lambda x: x IS NOT NULL) AS s FROM w)
- SELECT case_id, 'full' AS view, template FROM cases UNION ALL SELECT case_id, 'v0', regexp_replace(array_to_string(regexp_extract_all(template, '<VAR:[A-Z0-9_]+>'), ' '), '<VAR:[A-Z0-9_]+>', '<VAR:VALUE>', 'g') FROM cases
- UNION ALL SELECT case_id, 'v1', regexp_replace(array_to_string(list_transform(w, lambda x, i: CASE WHEN len(list_filter(s, lambda p: i >= p - 3 AND i <= p + 2)) > 0 THEN x ELSE '...' END), ' '), '(\.\.\.)( \.\.\.)+', '...', 'g') FROM s""",
+ SELECT case_id, view, template, 'svc' AS system FROM cases, (VALUES ('full'), ('v3')) v(view) UNION ALL SELECT case_id, 'v2', template, '' FROM cases UNION ALL SELECT case_id, 'v0', regexp_replace(array_to_string(regexp_extract_all(template, '<VAR:[A-Z0-9_]+>'), ' '), '<VAR:[A-Z0-9_]+>', '<VAR:VALUE>', 'g'), 'svc' FROM cases
+ UNION ALL SELECT case_id, 'v1', regexp_replace(array_to_string(list_transform(w, lambda x, i: CASE WHEN len(list_filter(s, lambda p: i >= p - 3 AND i <= p + 2)) > 0 THEN x ELSE '...' END), ' '), '(\.\.\.)( \.\.\.)+', '...', 'g'), 'svc' FROM s""",
 }
