@@ -12,6 +12,7 @@ from pyspark.sql.window import Window as W
 
 from logfold.functions.text import concepts, has_phrase, ordered_tokens
 from logfold.operators.profiles import match_signals
+from logfold.sources.shared import written
 
 #: Phrases that are constants of a template, their role, query and value.
 STATIC = [
@@ -130,9 +131,9 @@ def neighbours(requests: DataFrame, references: DataFrame, k: int = 3, hot: int
     token that all texts have joins every request with a few classes, not with every reference, and the result is exact.
     """
     few = lambda ids: F.slice(F.array_sort(F.collect_set(ids)), 1, k + 1)
-    asked = requests.select("case_id", "revision", F.array_sort(concepts(F.col("text"))).alias("t")).persist()
-    sets = references.select("case_id", "revision", F.array_sort(concepts(F.col("text"))).alias("t")).groupBy("revision", "t").agg(few("case_id").alias("ids")).persist()
-    common = sets.select("revision", F.explode("t").alias("token")).groupBy("revision", "token").agg(F.count(F.lit(1)).alias("classes")).where(F.col("classes") > hot).select("revision", "token").persist()
+    asked = written(requests.select("case_id", "revision", F.array_sort(concepts(F.col("text"))).alias("t")))
+    sets = written(references.select("case_id", "revision", F.array_sort(concepts(F.col("text"))).alias("t")).groupBy("revision", "t").agg(few("case_id").alias("ids")))
+    common = written(sets.select("revision", F.explode("t").alias("token")).groupBy("revision", "token").agg(F.count(F.lit(1)).alias("classes")).where(F.col("classes") > hot).select("revision", "token"))
     tokens = lambda df: df.withColumn("token", F.explode("t"))
     queries = asked.select("revision", "t").distinct()
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logfold.functions.text import ordered_tokens
-from logfold.operators import mapping, metrics, stats
+from logfold.operators import metrics, stats
+from logfold.sources.shared import written
 
 
 def exactness(cases: DataFrame, gold_case: DataFrame, pred_case: DataFrame, field_scores: DataFrame, source_scores: DataFrame) -> DataFrame:
@@ -91,9 +92,9 @@ def compare(cases: DataFrame, pred_case: DataFrame, fields: DataFrame, schemas:
     priors = [a for a in approaches if a.endswith("-prior")]
     baseline = baseline or (priors or approaches)[0]
     asked = pred_case.select("approach", "case_id").distinct()
-    scored = metrics.set_scores(asked, gold_field, fields, ["kind", "locator", "field", "constant_value"]).persist()
+    scored = written(metrics.set_scores(asked, gold_field, fields, ["kind", "locator", "field", "constant_value"]))
     totals = metrics.micro_macro(scored)
-    groups = stats.group_sums(scored.join(cases.select("case_id", "grp"), "case_id"), "grp").persist()
+    groups = written(stats.group_sums(scored.join(cases.select("case_id", "grp"), "case_id"), "grp"))
     tests = stats.paired_permutation(groups, baseline, resamples).withColumn("baseline", F.lit(baseline))
     confident = stats.case_confidence(asked, pred_case, fields, schemas).join(scored.select("approach", "case_id", (1 - F.col("f1")).alias("loss")), ["approach", "case_id"])
     curve = stats.risk_coverage(confident, "confidence", "loss", "approach", "case_id")

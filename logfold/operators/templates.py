@@ -122,9 +122,12 @@ def pattern_templates(patterns: DataFrame, system: str, depth: int = 5, similari
 
 
 def mine_templates(events: DataFrame, system: str, masks: list[tuple[str, str]] = MASKS, depth: int = 5, similarity: float = 0.4) -> tuple[DataFrame, DataFrame]:
-    """events(ord, text, ...) -> (clusters(cluster_id, template, event_count, first), assignments(cluster_id, template + the events' columns))."""
-    patterns = distinct_patterns(events, masks)
-    named = pattern_templates(patterns, system, depth, similarity)
+    """events(ord, text, ...) -> (clusters(cluster_id, template, event_count, first), assignments(cluster_id, template + the events' columns)).
+
+    Distinct patterns and their templates are written once; both results are joins with them.
+    """
+    patterns = written(distinct_patterns(events, masks))
+    named = written(pattern_templates(patterns, system, depth, similarity))
     clusters = patterns.join(named, "masked").groupBy("cluster_id", "template").agg(F.sum("n").alias("event_count"), F.min("first").alias("first"))
     assigned = events.withColumn("masked", masked(F.col("text"), masks)).join(named, "masked").drop("masked")
     return clusters, assigned

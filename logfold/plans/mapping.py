@@ -11,6 +11,7 @@ from logfold.functions import vocab
 from logfold.functions.sql import catalog_values, concept_ctes, has_phrase_expr, sql_list, sql_map
 from logfold.operators import concepts, mapping, profiles, schemas, templates
 from logfold.plans import logs
+from logfold.sources.shared import written
 
 #: Gold labels by event type: schema, then (slot, role, field); constants by phrase.
 GOLD = {
@@ -46,15 +47,15 @@ def requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     clusters, assigned = logs.mined(spark, sf_dir)
     examples = templates.slot_values(assigned).groupBy("cluster_id", "slot_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]).alias("examples"))
     slots = templates.extract_slots(clusters).join(examples, ["cluster_id", "slot_id"])
-    contexts = concepts.slot_contexts(clusters, slots).persist()  # one row per template and slot, used by every approach
+    contexts = concepts.slot_contexts(clusters, slots)
     catalog = schemas.default_catalog(spark)
     names = sorted({r[3] for r in vocab.CATALOG} - {"Common"})
     _, picked = schemas.rank_schemas(clusters, "cluster_id", "template", schemas.schema_concepts(spark, names))
     all_cases = cases(spark, sf_dir, assigned)
-    # cases are templates times groups: small tables that every approach reads several times
-    ready = all_cases.join(picked.select("cluster_id", F.col("selected_schema").alias("schema_name")), "cluster_id").persist()
-    of_cases = ready.select("case_id", "cluster_id").join(contexts.drop("template"), "cluster_id").persist()
-    return ready, of_cases, schemas.effective_fields(catalog).persist(), clusters
+    # cases are templates times groups: small tables that every approach reads several times, so they are written once
+    ready = written(all_cases.join(picked.select("cluster_id", F.col("selected_schema").alias("schema_name")), "cluster_id"))
+    of_cases = written(ready.select("case_id", "cluster_id").join(contexts.drop("template"), "cluster_id"))
+    return ready, of_cases, schemas.effective_fields(catalog), clusters
 
 
 CONTEXT_CTE = rf"""cx0 AS (SELECT s.*, replace(array_to_string(string_split(template, placeholder)[1:occurrence], chr(1)), chr(1), placeholder) AS before, replace(array_to_string(string_split(template, placeholder)[occurrence + 1:], chr(1)), chr(1), placeholder) AS after FROM sl s),

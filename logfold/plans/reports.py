@@ -12,6 +12,7 @@ from logfold.operators import govern, metrics, reports, schemas, stats
 from logfold.operators import mapping as approaches
 from logfold.plans import evaluation as ev
 from logfold.plans import logs, mapping
+from logfold.sources.shared import written
 
 _PRED_CASE = "SELECT approach, case_id, CASE WHEN case_id % k = 3 THEN 'unresolved' ELSE 'mapped' END AS disposition, CASE WHEN case_id % k = 1 THEN 'xx' ELSE lang END AS schema_name FROM (SELECT doc_id AS case_id, lang FROM {documents}) d CROSS JOIN (VALUES ('a1', 4), ('a2', 7), ('a3', 100)) AS ap(approach, k)"
 
@@ -66,7 +67,7 @@ def cmp_approaches(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready, slots, fields, _ = mapping.requests(spark, sf_dir)
     told = mapping.gold(spark, ready)[1].select("case_id", F.col("slot_id").alias("locator"), "field")
     found = [approaches.direct_lexical(ready, slots, fields), approaches.semantic_frame(ready, slots, fields)[0], approaches.matcher_ensemble(ready, slots, mapping._slot_profiles(slots), fields)]
-    top = reduce(DataFrame.unionByName, found).where("rank = 1 AND source_kind = 'slot'").select("approach", "case_id", "locator", "field")
+    top = reduce(DataFrame.unionByName, [written(x) for x in found]).where("rank = 1 AND source_kind = 'slot'").select("approach", "case_id", "locator", "field")
     cases = ready.select("case_id").distinct().crossJoin(spark.createDataFrame([("direct-lexical",), ("semantic-frame",), ("matcher-ensemble",)], "approach string"))
     return metrics.micro_macro(metrics.set_scores(cases, told, top, ["locator", "field"]))
 
@@ -75,7 +76,7 @@ def _everything(spark: SparkSession, sf_dir: str) -> reports.Comparison:
     """All seven approaches on the groups g0 to g9, with the cases of the other groups as references."""
     ready, slots, fields, clusters = mapping.requests(spark, sf_dir)
     evaluated = F.substring("grp", 2, 9).cast("int") < 10
-    asked, refs = ready.where(evaluated).persist(), ready.where(~evaluated).persist()
+    asked, refs = ready.where(evaluated), ready.where(~evaluated)
     told, told_slots = mapping.gold(spark, ready)
     own_slots = slots.join(asked.select("case_id"), "case_id", "left_semi")
     constants = mapping.told_constants(ready)
@@ -89,7 +90,7 @@ def _everything(spark: SparkSession, sf_dir: str) -> reports.Comparison:
     ranked = [own_schemas.withColumn("approach", F.lit(a)) for a in ("direct-lexical", "semantic-frame", "matcher-ensemble")]
 
     about = lambda df: df.select("case_id", F.lit("r1").alias("revision"), F.concat_ws(" ", "template", "grp").alias("text"))
-    near = approaches.neighbours(about(asked), about(refs)).persist()
+    near = written(approaches.neighbours(about(asked), about(refs)))
     votes = approaches.schema_votes(near, told)
     chosen = votes.where("rank = 1").select("case_id", "schema_name")
     same = near.join(chosen, "case_id").join(told.select(F.col("case_id").alias("ref_id"), "schema_name"), ["ref_id", "schema_name"])
@@ -103,8 +104,8 @@ def _everything(spark: SparkSession, sf_dir: str) -> reports.Comparison:
     frequent = approaches.field_prior(prior, own_slots, told_slots.select("case_id", "field"), fields).where("rank = 1").select(F.lit("field-frequency-prior").alias("approach"), "case_id", F.lit("slot").alias("kind"), "locator", "field", F.lit(None).cast("string").alias("constant_value"), "score")
     tops += [retrieved, fixed, frequent]
     ranked += [votes.withColumn("approach", F.lit("case-retrieval")), prior.withColumn("approach", F.lit("majority-schema-prior")), prior.withColumn("approach", F.lit("field-frequency-prior"))]
-    pred_fields = reduce(DataFrame.unionByName, tops).persist()
-    pred_schemas = reduce(DataFrame.unionByName, [x.select("approach", "case_id", "rank", "schema_name", "score") for x in ranked]).persist()
+    pred_fields = written(reduce(DataFrame.unionByName, [written(x) for x in tops]))
+    pred_schemas = written(reduce(DataFrame.unionByName, [x.select("approach", "case_id", "rank", "schema_name", "score") for x in ranked]))
     names = spark.createDataFrame([(a,) for a in ("direct-lexical", "semantic-frame", "matcher-ensemble", "case-retrieval", "null-prior", "majority-schema-prior", "field-frequency-prior")], "approach string")
     mapped = pred_fields.select("approach", "case_id", F.lit("mapped").alias("m")).distinct()
     pred_case = asked.select("case_id").crossJoin(names).join(mapped, ["approach", "case_id"], "left").select("approach", F.lit("1").alias("version"), "case_id", F.lit("r1").alias("revision"), F.coalesce("m", F.lit("unresolved")).alias("disposition"))  # seven approaches
