@@ -70,13 +70,19 @@ def token_ids(text: str, vocabulary: str = "byte_bpe_50k") -> list[int]:
     return encoder(vocabulary).encode(text, allowed_special=set(SPECIAL), disallowed_special=())
 
 
-def lexical_key(ids: np.ndarray, seed: int) -> int:
-    """A weighted MinHash of the distinct ids: a token is the least of a text in proportion to its id + 1."""
-    distinct = np.unique(ids).astype(np.uint64)
-    h = distinct * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * 0xBF58476D1CE4E5B9 & (1 << 64) - 1)
+@lru_cache(maxsize=1)
+def _ranks(tokens: int = 1 << 16, seeds: int = 3) -> np.ndarray:
+    """For each seed the order in which tokens are least: an exponential draw at a rate of the id + 1."""
+    ids = np.arange(tokens, dtype=np.uint64)
+    h = ids * np.uint64(0x9E3779B97F4A7C15) + np.array([s * 0xBF58476D1CE4E5B9 & (1 << 64) - 1 for s in range(1, seeds + 1)], np.uint64)[:, None]
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
     share = ((h ^ (h >> np.uint64(29))) >> np.uint64(11)).astype(float) / (1 << 53) + 1e-12
-    return int(distinct[np.argmin(-np.log(share) / (distinct + 1.0))])
+    return np.argsort(np.argsort(-np.log(share) / (ids + 1.0), axis=1), axis=1).astype(np.int32)
+
+
+def lexical_keys(ids: np.ndarray) -> list[int]:
+    """Weighted MinHashes of the ids: the token of a text that is least, likelier a rare one (a high id), as its rank."""
+    return _ranks()[:, ids & 0xFFFF].min(axis=1).tolist()
 
 
 class Index:
@@ -171,8 +177,8 @@ def tokenized(docs: DataFrame, vocabulary: str = "byte_bpe_50k") -> DataFrame:
         width = _width(vocabulary)
         for batch in batches:
             ids = [np.array([*token_ids(t.as_py(), vocabulary), END_ID], width) for t in batch.column(1)]
-            keys = [[lexical_key(x, seed) for x in ids] for seed in (1, 2, 3)]
-            columns = [batch.column(0), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64()), *(pa.array(k, pa.int64()) for k in keys)]
+            keys = zip(*(lexical_keys(x) for x in ids), strict=True) if ids else [[]] * 3
+            columns = [batch.column(0), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64()), *(pa.array(list(k), pa.int64()) for k in keys)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "n", "k1", "k2", "k3"])
 
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, "doc_id long, ids binary, n long, k1 long, k2 long, k3 long")
@@ -197,14 +203,14 @@ def _pack_shard(first_sequence: int, held: list[tuple[int | None, np.ndarray]],
     return first_sequence + int(pieces[-1, 3]) + 1, pa.RecordBatch.from_arrays(columns, names)
 
 
-def pack(docs: DataFrame, window: int = 2048, with_ids: bool = False, vocabulary: str = "byte_bpe_50k", shard_tokens: int = 1 << 20, most_tasks: int = 1 << 14) -> DataFrame:
+def pack(docs: DataFrame, window: int = 2048, with_ids: bool = False, vocabulary: str = "byte_bpe_50k", shard_tokens: int = 1 << 19, most_tasks: int = 1 << 14) -> DataFrame:
     """One row per piece; ``with_ids`` adds its ids as little-endian unsigned 32-bit bytes.
 
-    A task takes the rows of one range, about four shards' tokens (more beyond ``most_tasks`` ranges), and holds a shard at a time.
+    A task takes the rows of one range, about eight shards' tokens (more beyond ``most_tasks`` ranges), and holds a shard at a time.
     """
     rows = written(tokenized(docs, vocabulary).withColumn("row", F.monotonically_increasing_id()))
     tokens = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    tasks = min(most_tasks, max(1, -(-tokens // (4 * shard_tokens))))
+    tasks = min(most_tasks, max(1, -(-tokens // (8 * shard_tokens))))
     dealt = rows.repartitionByRange(tasks, "k1", "k2", "k3", "row").sortWithinPartitions("k1", "k2", "k3", "row").select("doc_id", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

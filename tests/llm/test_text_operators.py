@@ -405,6 +405,6 @@ def test_lexical_keys_bring_alike_texts_together():
     rng = np.random.default_rng(2)
     base = [rng.integers(0, 50_000, 200) for _ in range(200)]
     near = [np.where(rng.random(200) < 0.2, rng.integers(0, 50_000, 200), b) for b in base]
-    keys = [tuple(packing.lexical_key(x, s) for s in (1, 2, 3)) for x in [*base, *near]]
+    keys = [packing.lexical_keys(x) for x in [*base, *near]]
     place = {i: k for k, i in enumerate(sorted(range(400), key=lambda i: keys[i]))}
     assert np.median([abs(place[i] - place[i + 200]) for i in range(200)]) <= 2
