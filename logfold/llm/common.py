@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logfold.sources.shared import checkpointed, shared_folder, written  # noqa: F401  (for the operators)
+
 #: Words in the corpus contracts: runs of anything but ASCII white space.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
@@ -42,32 +42,6 @@ def unboxed(df: DataFrame, like: DataFrame, **replaced: Column) -> DataFrame:
     return df.select(*((replaced[c].cast(like.schema[c].dataType) if c in replaced else F.col("row").getField(c)).alias(c) for c in like.columns))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); one of our own only in a local session, as in tests."""
-    context = spark.sparkContext
-    named_folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not named_folder:
-        if not context.master.startswith("local[") and context.master != "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        named_folder = tempfile.mkdtemp(prefix="logfold-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(named_folder)
-    return named_folder
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the shared folder, so a lost executor costs no replay of the loop."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: read more than once, computed once."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/logfold-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def total_bytes(df: DataFrame, column: str) -> int:
     """Bytes of a text column over all rows: sizes shards and ranges."""
     return df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
