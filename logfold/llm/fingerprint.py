@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from logfold.llm.common import text_or_empty, total_bytes
+from logfold.llm.common import named, text_or_empty, total_bytes
 
 WORDS, FRACTION, SEED = 5, 1 / 4, 42
 RANGE = 1 << 31
@@ -90,15 +90,16 @@ def containment(a: str, b: str) -> tuple[float, float]:
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Every column and row of ``docs`` with the ``fingerprint`` of its text (never null) beside it (one of that name is replaced)."""
-    plain = docs.drop("fingerprint")
+    others = [f for f in docs.schema.fields if f.name != "fingerprint"]
+    at = [f.name for f in others].index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index(text_col)
             prints = pa.array([sketch(shingle_hashes(t.as_py() or "")) for t in batch.column(at)], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, prints], [*batch.schema.names, "fingerprint"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, prints], [*(f.name for f in others), "fingerprint"])
 
-    return plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("fingerprint", T.StringType())]))
+    plain = docs.select(*(named(f.name) for f in others)).toDF(*(f"c{i}" for i in range(len(others))))
+    return plain.mapInArrow(run, T.StructType([*others, T.StructField("fingerprint", T.StringType())]))
 
 
 # --- the next document -------------------------------------------------------------------------------------------------

@@ -164,16 +164,16 @@ def spans_of(text: str, min_score: float = 0.5) -> list[dict]:
 
 def find_pii(df: DataFrame, text_col: str = "text", min_score: float = 0.5) -> DataFrame:
     """All columns but the text, with ``spans`` added; the texts stay in their tasks."""
-    others = [f for f in df.drop("spans", text_col).schema.fields]
+    others = [f for f in df.schema.fields if f.name not in ("spans", text_col)]
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("base", pa.bool_())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans = pa.array([spans_of(t.as_py() or "", min_score) for t in batch.column(0)], kind)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], spans], [*batch.schema.names[1:], "spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], spans], [*(f.name for f in others), "spans"])
 
-    texts_first = df.select(F.col(text_col), *(named(f.name) for f in others))
-    return texts_first.mapInArrow(scan, T.StructType(others).add("spans", SPANS))
+    texts_first = df.select(F.col(text_col), *(named(f.name) for f in others)).toDF(*(f"c{i}" for i in range(len(others) + 1)))
+    return texts_first.mapInArrow(scan, T.StructType([*others, T.StructField("spans", SPANS)]))
 
 
 def _joined(only_base: bool):
