@@ -87,7 +87,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int =
     """(id, v) rows and queries -> (query_id, rank, vec_id, score), the k highest exact products, ties to smaller ids."""
     keep = k + 1  # one of them may be the query itself
     same = W.partitionBy(F.xxhash64("v"), "v").orderBy("id")
-    rows = written(vectors.dropDuplicates(["id", "v"]).withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= keep).select("id", "v"))
+    rows = written(vectors.dropDuplicates(["id", "v"]).withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= keep).select("id", "v").withColumn("key", F.monotonically_increasing_id()))
     asked = queries.select("id", "v").dropDuplicates(["id", "v"])
     classes = written(asked.groupBy("v").agg(F.min("id").alias("query")).select(F.col("query").alias("id"), "v"))
     ranges = rows.select(F.size("v").alias("dim"), F.posexplode("v").alias("pos", "x")).groupBy("dim", "pos").agg(F.min("x").alias("low"), F.max("x").alias("high")).toPandas()
@@ -96,7 +96,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int =
     if any(sum(max(abs(int(a)), abs(int(b))) ** 2 for a, b in zip(low[d], high[d], strict=True)) >= 1 << 63 for d in low):
         raise ValueError("components are too large for scores of 64 bits")
     step = {d: (high[d] - low[d]) // CELLS + 1 for d in low}
-    blocks = rows.mapInPandas(_pack(block_rows, low, step), "dim int, ids binary, data binary")
+    blocks = rows.select(F.col("key").alias("id"), "v").mapInPandas(_pack(block_rows, low, step), "dim int, ids binary, data binary")
     groups = max(1, rows.rdd.getNumPartitions())
     dealt = blocks.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(groups).cast("long")))
     asked_blocks = classes.mapInPandas(_pack(query_rows), "dim int, ids binary, data binary").select(
@@ -111,7 +111,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int =
     left = written(left.withColumn("place", F.row_number().over(by_upper)))
     asked_for = classes.select(F.col("id").alias("query"), F.col("v").alias("q"))
     product = F.aggregate(F.zip_with("v", "q", lambda x, y: x * y), F.lit(0).cast("long"), lambda x, y: x + y)
-    read = lambda some: some.select("query", "id").join(rows, "id").join(asked_for, "query").select("query", "id", product.alias("score"))
+    read = lambda some: some.select("query", F.col("id").alias("key")).join(rows, "key").join(asked_for, "query").select("query", "id", product.alias("score"))
     first = written(read(left.where(F.col("place") <= max(keep, first_reads))))
     bound = first.groupBy("query").agg(F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(keep - 1)).alias("bound"))
     rest = left.where(F.col("place") > max(keep, first_reads)).join(bound, "query").where(F.col("upper") >= F.col("bound"))
