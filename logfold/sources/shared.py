@@ -27,8 +27,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: read more than once, computed once."""
+def written_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows as a Parquet table in the shared folder, and its path."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/logfold-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: read more than once, computed once."""
+    return written_at(df)[0]
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables of ``written_at`` that nothing reads any more: what came of them must have been written itself."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
