@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logfold.sources.shared import checkpointed, shared_folder, written  # noqa: F401  (for the operators)
+from logfold.sources.shared import checkpointed, remove, shared_folder, written, written_at  # noqa: F401  (for the operators)
 
 #: Words in the corpus contracts: runs of anything but ASCII white space.
 WORD_GAP = r"[\x20\x09-\x0D]+"

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logfold.llm.common import boxed, named, text_or_empty, unboxed, written
+from logfold.llm.common import boxed, named, remove, text_or_empty, unboxed, written, written_at
 from logfold.llm.components import components
 
 #: Generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -312,12 +312,15 @@ def text_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, set_bl
         left, right = (sketches.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"k{k}")) for k in "ab")
         differ = F.aggregate(F.zip_with("ka", "kb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
         allowed = differ * (1 + similarity) <= (1 - similarity) * (F.col("na") + F.col("nb")) + 1e-6
-        close = written(written(pairs.distinct()).join(left, "a").join(right, "b").where(allowed).select("a", "b").distinct())
-        chosen = written(close.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        sets = written(texts.join(chosen, "node", "left_semi").select("node", "text").mapInArrow(_sets(words), "id long, shingles array<long>"))
+        asked, at_asked = written_at(pairs.distinct())
+        close, at_close = written_at(asked.join(left, "a").join(right, "b").where(allowed).select("a", "b").distinct())
+        chosen, at_chosen = written_at(close.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        sets, at_sets = written_at(texts.join(chosen, "node", "left_semi").select("node", "text").mapInArrow(_sets(words), "id long, shingles array<long>"))
         left, right = (sets.select(F.col("id").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
         enough = F.size(F.array_intersect("sa", "sb")) * (1 + similarity) + 1e-6 >= similarity * (F.size("sa") + F.size("sb"))
-        return written(close.join(left, "a").join(right, "b").where(enough).select("a", "b").distinct())
+        sure = written(close.join(left, "a").join(right, "b").where(enough).select("a", "b").distinct())
+        remove(docs.sparkSession, at_asked, at_close, at_chosen, at_sets)
+        return sure
 
     def possible(x: str, y: str) -> Column:
         n, m, p, q = (F.col(f"{t}.{c}") for c in ("n", "pos") for t in (x, y))
