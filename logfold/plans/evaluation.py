@@ -350,7 +350,7 @@ ORACLE = {
     "sta_risk_area": "WITH s AS (SELECT doc_id, doc_id * 37 % 101 AS conf, CAST(quality AS DOUBLE) AS loss FROM labels), c AS (SELECT round(sum(loss) OVER w / row_number() OVER w, 6) AS risk FROM s WINDOW w AS (ORDER BY conf DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT 'q' AS approach, round(avg(risk), 6) AS area FROM c",
     "sta_confidence": f"""{_with('cases', 'gold_case', 'pred_field')}, m AS (SELECT approach, case_id, avg(score) AS f FROM pred_field GROUP BY ALL)
  SELECT c.approach, c.case_id, round(coalesce(CASE WHEN disposition = 'mapped' THEN f / (1 + c.case_id % 2) END, 0.0), 6) AS confidence FROM cases c JOIN gold_case USING (case_id) LEFT JOIN m ON m.approach = c.approach AND m.case_id = c.case_id""",
-    "met_facet_summary": f"SELECT approach, round(avg(f1), 6) AS facet_f1, 0.0 AS unregistered_rate FROM ({_facet_sql()}) GROUP BY 1",
+    "met_facet_summary": f"SELECT approach, ((2 * sum(CAST(round(f1 * 1000000) AS BIGINT)) + count(*)) // (2 * count(*))) / 1000000 AS facet_f1, 0.0 AS unregistered_rate FROM ({_facet_sql()}) GROUP BY 1",
     "met_guards": f"""{_with('gold_case', 'asked')}, c AS (SELECT case_id FROM gold_case WHERE case_id % 53 <> 0), ap AS (SELECT DISTINCT approach FROM asked)
  SELECT approach, 'no_prediction' AS rule, CAST(case_id AS VARCHAR) AS detail FROM ap, c WHERE case_id % 41 = 0 UNION ALL SELECT approach, 'unknown_case', CAST(case_id AS VARCHAR) FROM asked WHERE case_id % 53 = 0
  UNION ALL SELECT approach, 'repeated_prediction', CAST(case_id AS VARCHAR) FROM asked GROUP BY approach, case_id HAVING count(*) > 1 UNION ALL SELECT approach, 'several_versions', CAST(count(DISTINCT version) AS VARCHAR) FROM asked GROUP BY approach HAVING count(DISTINCT version) > 1
