@@ -49,7 +49,7 @@ def test_stages_keep_every_column(table, labels, name):
 
 
 OPERATORS = {
-    "pii": (lambda d: pii.digest(pii.find_pii(d)), 10), "fingerprints": (fingerprint.edited, 10), "simhash": (simhash.near_duplicates, 10), "mix": (mixing.mix, 10), "similar": (simhash.similar_groups, 10),
+    "pii": (lambda d: pii.digest(pii.find_pii(d)), 10), "fingerprints": (fingerprint.edited, 10), "simhash": (simhash.near_duplicates, 10), "mix": (mixing.mix, 10),
     "packing": (packing.pack, None), "licences": (lambda d: licenses.scan(d, licenses.train(d, sample_rows=50)), None),
 }
 
@@ -65,7 +65,7 @@ def test_operators_take_any_table(table, name):
         assert sum(r.length for r in got if r.doc_id is None) == sum(r.doc_tokens for r in got if r.doc_id is None and r.start == 0)
     if name == "mix":
         assert all(r.taken <= 3 * r["size"] for r in got)
-    if name in ("simhash", "similar"):
+    if name == "simhash":
         assert len({r.component_id for r in got if r.doc_id == 3}) == 1
 
 
