@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,3 +45,23 @@ def unboxed(df: DataFrame, like: DataFrame, **replaced: Column) -> DataFrame:
 def total_bytes(df: DataFrame, column: str) -> int:
     """Bytes of a text column over all rows: sizes shards and ranges."""
     return df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
+
+
+#: A row by what it holds, whatever its partition: there are rows without an id, and ids with several texts.
+KEY = ["has_id", "k", "h"]
+
+
+def key_of(text: str = "text") -> dict[str, Column]:
+    return {"has_id": F.col("doc_id").isNotNull(), "k": F.coalesce("doc_id", F.lit(0)), "h": F.xxhash64(text)}
+
+
+def text_runs(texts: list[bytes | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """(first, end) runs of rows of about ``most`` bytes of text, or one longer text: what a task holds as words at a time."""
+    first, held = 0, 0
+    for at, text in enumerate(texts):
+        if held and held + len(text or b"") > most:
+            yield first, at
+            first, held = at, 0
+        held += len(text or b"")
+    if first < len(texts):
+        yield first, len(texts)
