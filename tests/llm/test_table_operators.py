@@ -245,6 +245,24 @@ def test_top_k_is_exact(spark):
         vafile.top_k(vafile.quantised(spark.createDataFrame([(1, [1e300]), (2, [1.0])], "vec_id long, embedding array<double>"), "vec_id", "embedding", 256.0), ready, 5)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_top_k_of_repeated_ids(spark, seed):
+    """Ids with equal and unlike vectors, as queries and as candidates, and more own rows than results."""
+    rng = np.random.default_rng(seed)
+    rows = [(int(i), [int(x) for x in rng.integers(-4, 5, 3)]) for i in rng.integers(0, 14, 40)]
+    rows += [(0, [9, 0, 0]), (0, [0, 9, 0]), (0, [0, 0, 9]), (0, [9, 9, 9]), (1, [9, 9, 0]), (1, [9, 9, 0]), (60, [9, 0, 0])]
+    if seed == 3:
+        rows = [(0, [k, 9, 0]) for k in range(12)] + [(i, [i, 1, 0]) for i in range(1, 5)]
+    frame = spark.createDataFrame(rows, "id long, v array<bigint>")
+    got = {}
+    for r in vafile.top_k(frame, frame.where("id % 5 = 0"), 4, block_rows=8, query_rows=2, first_reads=1).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    distinct = sorted({(i, tuple(v)) for i, v in rows})
+    for q in {i for i, _ in distinct if i % 5 == 0}:
+        pairs = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), j) for i, a in distinct if i == q for j, b in distinct if j != q)[:4]
+        assert sorted(got[q]) == [(k + 1, j, -s) for k, (s, j) in enumerate(pairs)]
+
+
 # --- WARC ----------------------------------------------------------------------------------------------------------
 
 def test_fixity_audit_finds_exactly_the_damage(spark):
