@@ -32,6 +32,11 @@ def split_words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
+def quoted(text: Column) -> Column:
+    """A pattern that matches the text itself: every ASCII sign is escaped."""
+    return F.regexp_replace(text, r"([!-/:-@\[-`{-~])", r"\\$1")
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(clean_line(text), F.lit(WORD), F.lit(0))
 

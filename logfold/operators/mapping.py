@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from logfold.functions.text import concepts, has_phrase, ordered_tokens
+from logfold.operators import setsim
 from logfold.operators.profiles import match_signals
-from logfold.sources.shared import written
 
 #: Phrases that are constants of a template, their role, query and value.
 STATIC = [
@@ -121,37 +121,13 @@ def matcher_ensemble(cases: DataFrame, slots: DataFrame, profiles: DataFrame, fi
     return _named(kept.join(considered, "schema_name"), queries, "matcher-ensemble")
 
 
-def neighbours(requests: DataFrame, references: DataFrame, k: int = 3, hot: int = 2000) -> DataFrame:
+def neighbours(requests: DataFrame, references: DataFrame, k: int = 3, hot: int = 128) -> DataFrame:
     """(case_id, ref_id, similarity, rank): the k most alike references by Jaccard of concepts, itself excluded.
 
-    requests(case_id, revision, text), references likewise with mapped cases only. Equal concept sets are one class, with
-    the k + 1 smallest ids of its references. Classes meet in an equi-join on tokens that at most ``hot`` classes have.
-    Two classes that share commoner tokens only have a likeness that follows from the common tokens and the size of the
-    reference alone; references are classes by these two as well, again with k + 1 ids, and meet in a second join. So a
-    token that all texts have joins every request with a few classes, not with every reference, and the result is exact.
+    requests(case_id, revision, text), references likewise with mapped cases only. See ``setsim`` for the search.
     """
-    few = lambda ids: F.slice(F.array_sort(F.collect_set(ids)), 1, k + 1)
-    asked = written(requests.select("case_id", "revision", F.array_sort(concepts(F.col("text"))).alias("t")))
-    sets = written(references.select("case_id", "revision", F.array_sort(concepts(F.col("text"))).alias("t")).groupBy("revision", "t").agg(few("case_id").alias("ids")))
-    common = written(sets.select("revision", F.explode("t").alias("token")).groupBy("revision", "token").agg(F.count(F.lit(1)).alias("classes")).where(F.col("classes") > hot).select("revision", "token"))
-    tokens = lambda df: df.withColumn("token", F.explode("t"))
-    queries = asked.select("revision", "t").distinct()
-
-    def likeness(overlap: Column, m: Column) -> Column:
-        return overlap / (F.size("t") + m - overlap)
-
-    right = tokens(sets).join(common, ["revision", "token"], "left_anti").select("revision", "token", F.col("t").alias("r"), "ids")
-    by_rare = tokens(queries).join(right, ["revision", "token"]).select("revision", "t", "r", "ids").dropDuplicates(["revision", "t", "r"])
-    close = by_rare.select("revision", "t", "ids", likeness(F.size(F.array_intersect("t", "r")), F.size("r")).alias("similarity"))
-    of_common = lambda df, keep: tokens(df).join(common, ["revision", "token"]).groupBy("revision", *keep).agg(F.array_sort(F.collect_set("token")).alias("c"))
-    alike = of_common(sets, ["t", "ids"]).select("revision", "c", F.size("t").alias("m"), F.explode("ids").alias("id")).groupBy("revision", "c", "m").agg(few("id").alias("ids"))
-    by_common = of_common(queries, ["t"]).select("revision", "t", F.col("c").alias("q"), F.explode("c").alias("token")).join(alike.withColumn("token", F.explode("c")), ["revision", "token"]).dropDuplicates(["revision", "t", "c", "m"])
-    far = by_common.select("revision", "t", "ids", likeness(F.size(F.array_intersect("q", "c")), F.col("m")).alias("similarity"))
-    best = close.unionByName(far).select("revision", "t", "similarity", F.explode("ids").alias("ref_id")).groupBy("revision", "t", "ref_id").agg(F.max("similarity").alias("similarity"))
-    place = F.row_number().over(W.partitionBy("revision", "t").orderBy(F.desc("similarity"), "ref_id"))
-    kept = best.withColumn("place", place).where(F.col("place") <= k + 1).drop("place")
-    given = asked.join(kept, ["revision", "t"]).where("case_id <> ref_id")
-    return given.withColumn("rank", F.row_number().over(W.partitionBy("case_id").orderBy(F.desc("similarity"), "ref_id"))).where(F.col("rank") <= k).select("case_id", "ref_id", "similarity", "rank")
+    tokens = lambda df: df.select("case_id", F.col("revision").alias("rev"), F.array_sort(concepts(F.col("text"))).alias("t"))
+    return setsim.top_k(tokens(requests), tokens(references), k, hot)
 
 
 def schema_votes(near: DataFrame, gold: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logfold.functions.text import quoted
 from logfold.operators.govern import repeated, unresolved
 from logfold.operators.templates import SLOT
 
@@ -30,9 +31,9 @@ def build_parser_specs(clusters: DataFrame, reviews: DataFrame, mappings: DataFr
 def _pattern():
     """Anchored; mapped slots capture, others are matched without a group."""
     literals = F.split("template", "<VAR:[A-Z0-9_]+>", -1)
-    quoted = F.transform(literals, lambda t: F.when(t == "", "").otherwise(F.concat(F.lit("\\Q"), t, F.lit("\\E"))))
+    plain = F.transform(literals, quoted)
     mapped = F.transform("mappings", lambda m: m["slot_id"])
-    pieces = F.transform(quoted, lambda t, i: F.when(i == 0, t).otherwise(F.concat(F.when(F.array_contains(mapped, F.concat(F.lit("p"), i.cast("string"))), "(.+?)").otherwise(".*?"), t)))
+    pieces = F.transform(plain, lambda t, i: F.when(i == 0, t).otherwise(F.concat(F.when(F.array_contains(mapped, F.concat(F.lit("p"), i.cast("string"))), "(.+?)").otherwise(".*?"), t)))
     return F.concat(F.lit("^"), F.array_join(pieces, ""), F.lit("$"))
 
 

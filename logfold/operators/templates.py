@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from logfold.functions.text import split_words
+from logfold.functions.text import quoted, split_words
+from logfold.operators import setsim
 from logfold.sources.shared import written
 
 #: Masks in order, most specific first: (label, pattern).
@@ -30,75 +29,96 @@ def distinct_patterns(events: DataFrame, masks: list[tuple[str, str]] = MASKS) -
     return events.select(masked(F.col("text"), masks).alias("masked"), "ord").groupBy("masked").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"))
 
 
-def _likeness(leaders: np.ndarray, pattern: np.ndarray) -> np.ndarray:
-    return (leaders == pattern).mean(axis=1) if len(leaders) and leaders.shape[1] else np.ones(len(leaders))
-
-
-def _lead(rows: pd.DataFrame, similarity: float) -> pd.DataFrame:
-    """Leader clustering: rows (masked, n, first) in order of weight join the closest template, whose unlike words open up."""
-    rows = rows.sort_values(["n", "first", "masked"], ascending=[False, True, True], kind="stable")
-    tokens, ids = {ANY: -1}, []
-    patterns = np.array([[tokens.setdefault(t, len(tokens)) for t in m.split()] for m in rows["masked"]], np.int64).reshape(len(rows), -1)
-    leaders = np.empty((0, patterns.shape[1]), np.int64)
-    for p in patterns:
-        same = _likeness(leaders, p)
-        best = int(same.argmax()) if len(same) else -1
-        if best >= 0 and same[best] >= similarity:
-            leaders[best][leaders[best] != p] = -1
-        else:
-            best, leaders = len(leaders), np.vstack([leaders, p])
-        ids.append(best)
-    names, words = rows["masked"].to_numpy(), {i: t for t, i in tokens.items()}
-    first_of = {i: names[k] for k, i in reversed(list(enumerate(ids)))}
-    return pd.DataFrame({"masked": names, "leader": [first_of[i] for i in ids], "opened": [" ".join(words[x] for x in leaders[i]) for i in ids], "bucket": rows["bucket"]})
-
-
-def _join_leaders(rows: pd.DataFrame, leaders: pd.DataFrame, similarity: float) -> pd.DataFrame:
-    """Rows (masked) with the closest leader of the round, null where none is near enough."""
-    if not len(rows):
-        return pd.DataFrame({"masked": [], "leader": []}, dtype=object)
-    tokens, width = {ANY: -1}, len(rows["masked"].iloc[0].split())
-    code = lambda texts: np.array([[tokens.setdefault(t, len(tokens)) for t in m.split()] for m in texts], np.int64).reshape(len(texts), width)
-    leaders = leaders.sort_values(["rank", "leader"])
-    names, known, found = leaders["leader"].to_numpy(), code(leaders["opened"]), []
-    for p in code(rows["masked"]):
-        same = _likeness(known, p)
-        best = int(same.argmax()) if len(same) else -1
-        found.append(names[best] if best >= 0 and same[best] >= similarity else None)
-    return pd.DataFrame({"masked": rows["masked"].to_numpy(), "leader": pd.Series(found, dtype=object)})
+def _alike(similarity: float, length: int) -> int:
+    """Places at which two patterns of that many words must agree to be alike."""
+    return max(1, int(np.ceil(similarity * length - 1e-9)))
+
+
+def _merge_bucket(rows: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """(masked, leader) of one narrow bucket: the rule of ``cluster_patterns`` on arrays."""
+    names = rows.sort_values("id")["masked"].to_numpy()
+    tokens: dict[str, int] = {}
+    words = np.array([[tokens.setdefault(t, len(tokens)) for t in m.split()] for m in names], np.int64).reshape(len(names), -1)
+    least, leader, left = _alike(similarity, words.shape[1]), np.arange(len(names)), np.arange(len(names))
+    while len(left) > 1:
+        nearest, agree = np.arange(len(left)), np.zeros(len(left), np.int64)
+        for i, p in enumerate(words[left]):
+            same = (words[left] == p).sum(axis=1)
+            same[i] = -1
+            nearest[i], agree[i] = same.argmax(), same.max()  # the first, and so heaviest, of equals
+        linked = agree >= least
+        if not linked.any():
+            break
+        group = np.arange(len(left))
+        while True:  # the least place of everything that links hold together
+            spread = group.copy()
+            np.minimum.at(spread, np.flatnonzero(linked), group[nearest[linked]])
+            np.minimum.at(spread, nearest[linked], spread[linked])
+            spread = spread[spread]
+            if (spread == group).all():
+                break
+            group = spread
+        onto = np.arange(len(names))
+        onto[left] = left[group]
+        leader = onto[leader]
+        left = np.unique(leader)
+    return pd.DataFrame({"masked": names, "leader": names[leader]})
+
+
+def _rooted(links: DataFrame) -> DataFrame:
+    """(id, root): links (id, to) to nearest neighbours hold no ring but pairs, so doubling the steps finds the end of every path."""
+    back = links.select(F.col("to").alias("id"), F.col("id").alias("to"), F.lit(True).alias("mutual"))
+    ends = links.join(back, ["id", "to"], "left").select("id", F.when(F.col("mutual") & (F.col("id") < F.col("to")), F.col("id")).otherwise(F.col("to")).alias("to"))
+    now = written(ends)
+    while True:
+        onward = now.select(F.col("id").alias("to"), F.col("to").alias("next"))
+        then = written(now.join(onward, "to", "left").select("id", F.coalesce("next", "to").alias("to")))
+        if then.join(now, ["id", "to"], "left_anti").isEmpty():
+            return then.select("id", F.col("to").alias("root"))
+        now = then
+
+
+def _merge_wide(rows: DataFrame, similarity: float) -> DataFrame:
+    """(masked, leader) of wide buckets (bucket, id, masked): the same rule in joins, whatever a bucket holds."""
+    words = split_words(F.col("masked"))
+    items = F.array_sort(F.transform(words, lambda t, i: F.concat_ws(":", i.cast("string"), t)))
+    at_places = written(rows.select(F.col("id").alias("case_id"), F.col("bucket").alias("rev"), items.alias("t")))
+    size = F.size("t")
+    overlap = F.round(F.col("similarity") * 2 * size / (1 + F.col("similarity")))  # of sets of one size
+    now, left = written(rows.select("id", F.col("id").alias("leader"))), at_places
+    while True:
+        near = setsim.top_k(left, left, 1, 128).join(left, "case_id").where(overlap >= F.greatest(F.lit(1), F.ceil(similarity * size - 1e-9)))
+        links = written(near.select(F.col("case_id").alias("id"), F.col("ref_id").alias("to")))
+        if links.isEmpty():
+            return now.join(rows.select("id", "masked"), "id").join(rows.select(F.col("id").alias("leader"), F.col("masked").alias("name")), "leader").select("masked", F.col("name").alias("leader"))
+        rooted = _rooted(links)
+        heaviest = rooted.groupBy("root").agg(F.least(F.min("id"), F.col("root")).alias("onto"))
+        onto = rooted.join(heaviest, "root").select("id", "onto").unionByName(heaviest.select(F.col("root").alias("id"), "onto")).distinct()
+        now = written(now.join(onto.select(F.col("id").alias("leader"), "onto"), "leader", "left").select("id", F.coalesce("onto", "leader").alias("leader")))
+        left = written(left.join(now.select(F.col("leader").alias("case_id")).distinct(), "case_id", "left_semi"))
 
 
 def cluster_patterns(patterns: DataFrame, depth: int = 5, similarity: float = 0.4, batch: int = 2000) -> DataFrame:
     """(masked, leader): distinct patterns of one length and head that are alike share a leader pattern.
 
-    One rule for buckets of any size: the ``batch`` heaviest patterns of a bucket are clustered in order; all its other
-    patterns, dealt over tasks, join the closest leader that is near enough; what is left makes the next round. So a
-    task holds ``batch`` patterns of one bucket and their leaders. At a similarity of 1 every pattern leads itself.
+    In every round each leader is linked with the one most like it in its bucket (of equals the heaviest: more lines, then
+    first seen, then by text), if they agree in enough places; all that links hold together becomes one cluster, led by its
+    heaviest pattern. Rounds end when no two leaders are alike. A round at least halves the leaders that have a like, so
+    their number is logarithmic, and the result depends on the patterns alone. Buckets of at most ``batch`` patterns are
+    done on arrays, a bucket a group; wider ones in joins by the same rule, so ``batch`` changes the cost and nothing else.
+    At a similarity of 1 every pattern leads itself.
     """
     if similarity >= 1:
         return patterns.select("masked", F.col("masked").alias("leader"))
     words = split_words(F.col("masked"))
     head = F.transform(F.slice(words, 1, depth - 2), lambda t: F.when(t.rlike("[0-9]"), ANY).otherwise(t))
-    rest = patterns.select("masked", "n", "first", F.concat_ws("\u0001", F.size(words).cast("string"), head).alias("bucket"))
-    heaviest = F.row_number().over(W.partitionBy("bucket").orderBy(F.desc("n"), "first", "masked"))
-    lead = lambda rows: _lead(rows, similarity)
-    led_schema = "masked string, leader string, opened string, bucket string"
-    large = lambda rows: rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / batch).cast("int").alias("parts")).where("parts > 1")
-    if large(rest).isEmpty():  # one batch each
-        return rest.groupBy("bucket").applyInPandas(lead, led_schema).select("masked", "leader")
-    done, rest = [], written(rest)
-    while not rest.isEmpty():
-        top = rest.withColumn("place", heaviest).where(F.col("place") <= batch).drop("place")
-        led, parts = written(top.groupBy("bucket").applyInPandas(lead, led_schema)), written(large(rest))
-        done.append(led.select("masked", "leader"))
-        weight = led.join(rest.select("masked", "n", "first"), "masked").groupBy("bucket", "leader", "opened").agg(F.max(F.struct("n", (-F.col("first")).alias("f"))).alias("w"))
-        ranked = weight.withColumn("rank", F.row_number().over(W.partitionBy("bucket").orderBy(F.desc("w"), "leader"))).join(parts, "bucket")
-        dealt = ranked.select("bucket", "leader", "opened", "rank", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        others = rest.join(parts, "bucket").join(led.select("masked"), "masked", "left_anti").withColumn("part", F.pmod(F.xxhash64("masked"), F.col("parts")).cast("int"))
-        met = written(others.groupBy("bucket", "part").cogroup(dealt.groupBy("bucket", "part")).applyInPandas(lambda a, b: _join_leaders(a, b, similarity), "masked string, leader string"))
-        done.append(met.where("leader IS NOT NULL"))
-        rest = written(rest.join(met.where("leader IS NULL").select("masked"), "masked", "left_semi"))
-    return reduce(DataFrame.unionByName, done)
+    order = F.concat_ws("/", F.lpad((F.lit((1 << 62) - 1) - F.col("n")).cast("string"), 20, "0"), F.lpad(F.col("first").cast("string"), 20, "0"), "masked")
+    rows = written(patterns.select("masked", order.alias("id"), F.concat_ws("\u0001", F.size(words).cast("string"), head).alias("bucket")))
+    wide = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > batch).select("bucket")
+    merged = lambda some: some.groupBy("bucket").applyInPandas(lambda r: _merge_bucket(r, similarity), "masked string, leader string")
+    if wide.isEmpty():
+        return merged(rows)
+    return merged(rows.join(wide, "bucket", "left_anti")).unionByName(_merge_wide(written(rows.join(wide, "bucket", "left_semi")), similarity))
 
 
 def templates_of(clustered: DataFrame) -> DataFrame:
@@ -155,7 +175,7 @@ def extract_slots(clusters: DataFrame) -> DataFrame:
 def capture_pattern(template: Column, group: str = "(.+?)") -> Column:
     """The anchored pattern of a template: literals quoted, a group for every slot."""
     literals = F.split(template, "<VAR:[A-Z0-9_]+>", -1)
-    return F.concat(F.lit("^"), F.array_join(F.transform(literals, lambda t: F.when(t == "", "").otherwise(F.concat(F.lit("\\Q"), t, F.lit("\\E")))), group), F.lit("$"))
+    return F.concat(F.lit("^"), F.array_join(F.transform(literals, lambda t: quoted(t)), group), F.lit("$"))
 
 
 def captured(assigned: DataFrame) -> DataFrame:

@@ -265,14 +265,14 @@ def per_robustness_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perturb.robustness_rows(base, after, perturb.robustness(top, split(variants.drop("perturbation"))))
 
 
-_SPECS = [("view", "NetworkSession", [("p1", "SrcIpAddr", "string"), ("p3", "DstPortNumber", "int")]), ("error", "Authentication", [("p1", "TargetUsername", "string"), ("p2", "SrcIpAddr", "string")])]
+_SPECS = [("view", "NetworkSession", [("p1", "SrcIpAddr", "string"), ("p3", "DstPortNumber", "int")]), ("error", "Authentication", [("p1", "TargetUsername", "string"), ("p2", "SrcIpAddr", "string")]), ("purchase", "AuditEvent", [("p1", "ActorUsername", "string"), ("p2", "PolicyName", "string")])]
 
 
 def _specs(spark: SparkSession, sf_dir: str):
     clusters, assigned = logs.mined(spark, sf_dir)
     kinds = assigned.groupBy("cluster_id").agg(F.min("event_type").alias("event_type"))
-    status = F.when(F.col("event_type").isin("view", "error"), "approved").when(F.col("event_type") == "click", "rejected").otherwise("needs_work")
-    schema = F.when(F.col("event_type") == "view", "NetworkSession").otherwise("Authentication")
+    status = F.when(F.col("event_type").isin(*(e for e, *_ in _SPECS)), "approved").when(F.col("event_type") == "click", "rejected").otherwise("needs_work")
+    schema = F.when(F.col("event_type") == "view", "NetworkSession").when(F.col("event_type") == "error", "Authentication").otherwise("AuditEvent")
     reviews = kinds.select("cluster_id", status.alias("status"), schema.alias("schema_name"), F.lit("v").alias("vendor"), F.lit("p").alias("product"))
     table = spark.createDataFrame([(e, *m) for e, _, ms in _SPECS for m in ms], "event_type string, slot_id string, field string, transform string")
     return assigned, parse.build_parser_specs(clusters, reviews, kinds.join(table, "event_type").drop("event_type"))
@@ -280,7 +280,7 @@ def _specs(spark: SparkSession, sf_dir: str):
 
 def par_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     assigned, (specs, _, _) = _specs(spark, sf_dir)
-    return parse.normalize_events(assigned, specs, {"SrcIpAddr": "string", "DstPortNumber": "int", "TargetUsername": "string"}).fillna(-1, ["DstPortNumber"])
+    return parse.normalize_events(assigned, specs, {"SrcIpAddr": "string", "DstPortNumber": "int", "TargetUsername": "string", "ActorUsername": "string", "PolicyName": "string"}).fillna(-1, ["DstPortNumber"])
 
 
 def par_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -385,7 +385,8 @@ ORACLE = {
     "per_swapped_roles": f"""WITH {mapping.CASES_CTE}, {mapping.GOLD_CTE} SELECT case_id, slot_id, CASE role WHEN 'network.source.address' THEN 'network.destination.address' WHEN 'network.destination.address' THEN 'network.source.address' ELSE role END AS role, CASE field WHEN 'SrcIpAddr' THEN 'DstIpAddr' WHEN 'DstIpAddr' THEN 'SrcIpAddr' ELSE field END AS field FROM gf JOIN cases USING (case_id) WHERE event_type IN ('view', 'click')""",
     "per_robustness": f"""{_with('cand')}, s AS (SELECT approach, case_id, list(DISTINCT locator || '|' || field ORDER BY locator || '|' || field) AS s FROM cand WHERE rank = 1 GROUP BY 1, 2), v AS (SELECT approach, case_id, perturbation, list(DISTINCT locator || '|' || f ORDER BY locator || '|' || f) AS v FROM (SELECT *, CASE WHEN case_id % m = 0 THEN 'F9' ELSE field END AS f FROM cand, (VALUES ('uppercase', 6), ('decoy-slot', 9)) t(perturbation, m) WHERE rank = 1) GROUP BY ALL)
  SELECT approach, perturbation, count(*) AS n, round(avg(CASE WHEN s = v THEN 1.0 ELSE 0.0 END), 6) AS stable FROM v JOIN s USING (approach, case_id) GROUP BY 1, 2""",
-    "par_normalized": f"""WITH {logs.ASSIGNED_CTE}, w AS (SELECT *, string_split(text, ' ') AS w FROM a WHERE event_type IN ('view', 'error')) SELECT ord, cluster_id, CASE event_type WHEN 'view' THEN 'NetworkSession' ELSE 'Authentication' END AS EventSchema, 'v' AS EventVendor, 'p' AS EventProduct,
- CASE event_type WHEN 'view' THEN w[7] ELSE w[10] END AS SrcIpAddr, CASE event_type WHEN 'view' THEN CAST(w[12] AS INTEGER) ELSE -1 END AS DstPortNumber, CASE event_type WHEN 'error' THEN w[8] END AS TargetUsername FROM w""",
-    "par_skipped": f"WITH {logs.ASSIGNED_CTE}, k AS (SELECT cluster_id, min(event_type) AS e FROM a GROUP BY 1) SELECT CASE e WHEN 'click' THEN 'rejected' ELSE 'needs_work' END AS reason, count(*) AS n FROM k WHERE e NOT IN ('view', 'error') GROUP BY 1",
+    "par_normalized": f"""WITH {logs.ASSIGNED_CTE}, w AS (SELECT *, string_split(text, ' ')[2:] AS w FROM a WHERE event_type IN ('view', 'error', 'purchase')) SELECT ord, cluster_id, CASE event_type WHEN 'view' THEN 'NetworkSession' WHEN 'error' THEN 'Authentication' ELSE 'AuditEvent' END AS EventSchema, 'v' AS EventVendor, 'p' AS EventProduct,
+ CASE event_type WHEN 'view' THEN w[7] WHEN 'error' THEN w[10] END AS SrcIpAddr, CASE event_type WHEN 'view' THEN CAST(w[12] AS INTEGER) ELSE -1 END AS DstPortNumber, CASE event_type WHEN 'error' THEN w[8] END AS TargetUsername,
+ CASE event_type WHEN 'purchase' THEN w[5] END AS ActorUsername, CASE event_type WHEN 'purchase' THEN w[8] END AS PolicyName FROM w""",
+    "par_skipped": f"WITH {logs.ASSIGNED_CTE}, k AS (SELECT cluster_id, min(event_type) AS e FROM a GROUP BY 1) SELECT CASE e WHEN 'click' THEN 'rejected' ELSE 'needs_work' END AS reason, count(*) AS n FROM k WHERE e NOT IN ('view', 'error', 'purchase') GROUP BY 1",
 }

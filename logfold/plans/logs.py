@@ -11,19 +11,21 @@ from logfold.sources import logs
 SYSTEM = "svc"
 MASKS = [*templates.MASKS[:1], ("TEXT", r"\b[uP][0-9]+\b"), *templates.MASKS[1:]]
 
-#: The line of an event, in SQL that both engines read alike.
-LINE = """CASE event_type
- WHEN 'view' THEN concat('gateway network event connection allowed from 10.0.', user_id % 250, '.', event_id % 250, ' to 192.0.2.', event_id % 20, ' destination port ', 400 + event_id % 60)
- WHEN 'click' THEN concat('gateway network event connection denied from 10.1.', user_id % 250, '.', event_id % 250, ' to 192.0.2.', event_id % 20, ' destination port ', 8000 + event_id % 90)
- WHEN 'signup' THEN concat('gateway auth event login succeeded for user u', user_id, ' from 10.2.', user_id % 250, '.', event_id % 250, ' using password')
- WHEN 'error' THEN concat('gateway auth event login failed for user u', user_id, ' from 10.3.', user_id % 250, '.', event_id % 250, ' using password')
- ELSE concat('gateway audit event administrator u', user_id, ' updated policy P', event_id % 40) END"""
+#: The line of an event, in SQL that both engines read alike: five kinds at sixty sites, some with a word or a path in it
+#: that only mining can tell from the rest.
+SITE = "concat('gw', translate(CAST(user_id % 60 AS STRING), '0123456789', 'abcdefghij'))"
+LINE = f"""concat({SITE}, CASE event_type
+ WHEN 'view' THEN concat(' gateway network event connection allowed from 10.0.', user_id % 250, '.', event_id % 250, ' to 192.0.2.', event_id % 20, ' destination port ', 400 + event_id % 60)
+ WHEN 'click' THEN concat(' gateway network event connection denied from 10.1.', user_id % 250, '.', event_id % 250, ' to 192.0.2.', event_id % 20, ' destination port ', 8000 + event_id % 90, ' by rule')
+ WHEN 'signup' THEN concat(' gateway auth event login succeeded for user u', user_id, ' from 10.2.', user_id % 250, '.', event_id % 250, ' using password')
+ WHEN 'error' THEN concat(' gateway auth event login failed for user u', user_id, ' from 10.3.', user_id % 250, '.', event_id % 250, ' using method ', CASE event_id % 3 WHEN 0 THEN 'password' WHEN 1 THEN 'token' ELSE 'certificate' END)
+ ELSE concat(' gateway audit event administrator u', user_id, ' updated policy P', event_id % 40, ' in C:', chr(92), 'Events', chr(92), '(x') END)"""
 MASKED_SQL = rf"regexp_replace(regexp_replace(regexp_replace(text, '{MASKS[0][1]}', '<VAR:IPV4>', 'g'), '{MASKS[1][1]}', '<VAR:TEXT>', 'g'), '{MASKS[2][1]}', '<VAR:NUMBER>', 'g')"
 EVENTS_CTE = f"ev AS (SELECT event_id AS ord, user_id, event_type, {LINE} AS text FROM events)"
-ASSIGNED_CTE = f"{EVENTS_CTE}, m AS (SELECT *, {MASKED_SQL} AS template FROM ev), a AS (SELECT *, 'cluster-' || substr(sha256('{SYSTEM}' || chr(0) || template), 1, 16) AS cluster_id FROM m)"
-#: The same lines mined at the default likeness: lines that differ in one word share a template.
-LIKENED_CTE = f"""{ASSIGNED_CTE}, lw AS (SELECT ord, text, regexp_replace(regexp_replace(template, 'connection (allowed|denied)', 'connection <VAR:TEXT>'), 'login (failed|succeeded)', 'login <VAR:TEXT>') AS template FROM a),
- lk AS (SELECT *, 'cluster-' || substr(sha256('{SYSTEM}' || chr(0) || template), 1, 16) AS cluster_id FROM lw)"""
+#: Masked lines of one kind and site are alike; where they differ, it is in the word behind "method".
+ASSIGNED_CTE = f"""{EVENTS_CTE}, m0 AS (SELECT *, {MASKED_SQL} AS masked FROM ev), m1 AS (SELECT *, min(masked) OVER (PARTITION BY event_type, user_id % 60) <> max(masked) OVER (PARTITION BY event_type, user_id % 60) AS opened FROM m0),
+ m AS (SELECT *, CASE WHEN opened THEN regexp_replace(masked, 'method (password|token|certificate)', 'method <VAR:TEXT>') ELSE masked END AS template FROM m1), a AS (SELECT *, 'cluster-' || substr(sha256('{SYSTEM}' || chr(0) || template), 1, 16) AS cluster_id FROM m)"""
+LIKENED_CTE = f"{ASSIGNED_CTE}, lk AS (SELECT ord, text, template, cluster_id FROM a)"
 CLUSTERS_CTE = f"{ASSIGNED_CTE}, cl AS (SELECT cluster_id, template, count(*) AS event_count, min(ord) AS first FROM a GROUP BY ALL)"
 SLOTS_CTE = f"""{CLUSTERS_CTE}, sl0 AS (SELECT cluster_id, template, unnest(regexp_extract_all(template, '<VAR:([A-Z0-9_]+)>', 1)) AS label, generate_subscripts(regexp_extract_all(template, '<VAR:([A-Z0-9_]+)>', 1), 1) AS pos FROM cl),
  sl AS (SELECT cluster_id, template, 'p' || pos AS slot_id, pos, label, '<VAR:' || label || '>' AS placeholder, row_number() OVER (PARTITION BY cluster_id, label ORDER BY pos) AS occurrence FROM sl0)"""
@@ -38,7 +40,7 @@ def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mined(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return templates.mine_templates(rendered(spark, sf_dir), SYSTEM, MASKS, similarity=1.0)  # masked lines are the templates
+    return templates.mine_templates(rendered(spark, sf_dir), SYSTEM, MASKS)
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,24 +97,20 @@ def clu_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clu_mined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At the default likeness, lines that differ in one word share a template with a TEXT slot for it."""
-    return templates.mine_templates(rendered(spark, sf_dir), SYSTEM, MASKS)[0].select("cluster_id", "template", "event_count")
-
-
-def _likened(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return templates.mine_templates(rendered(spark, sf_dir), SYSTEM, MASKS)
+    """Lines that differ in one word share a template with a TEXT slot for it."""
+    return mined(spark, sf_dir)[0].select("cluster_id", "template", "event_count")
 
 
 def clu_mined_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _likened(spark, sf_dir)[1].select("ord", "cluster_id")
+    return mined(spark, sf_dir)[1].select("ord", "cluster_id")
 
 
 def clu_mined_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return templates.extract_slots(_likened(spark, sf_dir)[0])
+    return templates.extract_slots(mined(spark, sf_dir)[0])
 
 
 def clu_mined_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return templates.slot_values(_likened(spark, sf_dir)[1])
+    return templates.slot_values(mined(spark, sf_dir)[1])
 
 
 def clu_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +143,7 @@ ORACLE = {
     "src_first_lines": f"WITH {_LINES} SELECT source_file, line_number, length(text) AS n FROM ln WHERE line_number <= 3",
     "src_json_field": "SELECT event_id, json_extract_string(props, '$.k') AS text FROM events",
     "src_gold_alignment": f"WITH {ASSIGNED_CTE} SELECT ord, cluster_id, event_type FROM a",
-    "clu_patterns": f"WITH {ASSIGNED_CTE} SELECT template AS masked, count(*) AS n, min(ord) AS first_ord FROM a GROUP BY 1",
+    "clu_patterns": f"WITH {ASSIGNED_CTE} SELECT masked, count(*) AS n, min(ord) AS first_ord FROM a GROUP BY 1",
     "clu_templates": f"WITH {CLUSTERS_CTE} SELECT cluster_id, template, event_count, first AS first_ord FROM cl",
     "src_row_alignment": "WITH a AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS p FROM customer), b AS (SELECT c_mktsegment, row_number() OVER (ORDER BY c_name) AS p FROM customer) SELECT c_custkey, c_mktsegment FROM a JOIN b USING (p)",
     "src_unaligned": "WITH u AS (SELECT DISTINCT CAST(user_id AS BIGINT) AS id FROM events), c AS (SELECT CAST(c_custkey AS BIGINT) AS id FROM customer) SELECT id, 'left' AS side FROM u ANTI JOIN c USING (id) UNION ALL SELECT id, 'right' FROM c ANTI JOIN u USING (id)",

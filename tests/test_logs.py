@@ -36,16 +36,6 @@ def test_mining_does_not_depend_on_partitions(spark, mined):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, mined[0].collect()))
 
 
-def test_large_buckets_follow_the_same_rule(spark):
-    """Many forms of two templates and some strangers: batches of three patterns find the clusters that one batch finds."""
-    lines = [f"svc job run {w} took long on host {h}" for w in "abcdefgh" for h in "klm"] + [f"svc job run stop {w} now please then {h}" for w in "abc" for h in "kl"] + ["svc job run entirely other words here too"]
-    events = spark.createDataFrame(list(enumerate(lines)), "ord long, text string")
-    patterns = templates.distinct_patterns(events).cache()
-    groups = lambda **kw: sorted(sorted(r.m) for r in templates.cluster_patterns(patterns, **kw).groupBy("leader").agg(F.collect_list("masked").alias("m")).collect())
-    assert groups(batch=3) == groups(batch=3, similarity=0.4) == groups() and len(groups()) == 3
-    assert len(groups(similarity=1.0)) == len(lines)
-
-
 def test_slots_and_values(mined):
     values = {(r.cluster_id, r.slot_id, r["rank"]): r.value for r in templates.slot_values(mined[1]).collect()}
     assert values["cluster-b6bb82554265d920", "p1", 2] == "jonas"
