@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from logfold.functions.text import clean_line
+from logfold.sources.shared import written
 
 #: The columns a catalogue file must have.
 CATALOG_COLUMNS = ("ColumnName", "ColumnType", "Class", "Schema", "LogicalType", "ListOfValues", "Aliased", "DynamicType", "ArrayValuesType")
@@ -84,20 +87,88 @@ def aligned(left: DataFrame, right: DataFrame, order: str, value: str) -> DataFr
     return left.join(right.select(order, value), order, "left")
 
 
-def by_position(df: DataFrame, order: str, parts: int = 64) -> DataFrame:
-    """Adds ``position``, the 0-based place in ``order``: ranges are counted and summed up, then numbered inside."""
-    dealt = df.repartitionByRange(parts, order).withColumn("range_", F.spark_partition_id()).persist()
-    sizes = dealt.groupBy("range_").agg(F.count(F.lit(1)).alias("n_"))
-    base = sizes.select("range_", (F.sum("n_").over(W.orderBy("range_")) - F.col("n_")).alias("base_"))  # one row a range
-    within = F.row_number().over(W.partitionBy("range_").orderBy(order)) - 1
-    return dealt.withColumn("within_", within).join(F.broadcast(base), "range_").withColumn("position", F.col("within_") + F.col("base_")).drop("range_", "within_", "base_")
+def by_position(df: DataFrame, *order: str, range_rows: int = 1 << 18) -> DataFrame:
+    """Adds ``position``, the 0-based place in ``order``; ties stand by a hash of their whole rows. The result is written.
+
+    The rows are dealt over ranges of about ``range_rows``, whatever they hold: equal values of ``order`` are parted by the
+    hash, and equal rows by a number. Ranges are counted and summed up, then numbered inside.
+    """
+    held, rest = F.struct(*map(_exact, df.columns)).alias("row"), ["k", "h", "tie"]
+    keyed = df.select(held, F.struct(*map(_exact, order)).alias("k"), F.xxhash64(*map(_exact, df.columns)).alias("h")).withColumn("tie", F.monotonically_increasing_id())
+    ranges = max(1, -(-df.count() // range_rows))
+    dealt = written(keyed.repartitionByRange(ranges, *rest).sortWithinPartitions(*rest).select("row", F.monotonically_increasing_id().alias("at")))
+    part = F.shiftright("at", 33)
+    sizes = dealt.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))  # one row a range
+    placed = dealt.withColumn("part", part).join(F.broadcast(before), "part")
+    return placed.select(*(F.col("row").getField(c).alias(c) for c in df.columns), (F.col("before") + F.col("at") - F.shiftleft("part", 33)).alias("position"))
 
 
-def aligned_by_row(left: DataFrame, right: DataFrame, left_order: str, right_order: str, value: str) -> tuple[DataFrame, DataFrame]:
-    """(left with ``value`` of the row at the same place, one row (left_rows, right_rows) if the counts differ)."""
-    a, b = by_position(left, left_order), by_position(right, right_order).select("position", value)
+def _exact(column: str) -> Column:
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def zipped(left: DataFrame, right: DataFrame, value: str) -> tuple[DataFrame, DataFrame]:
+    """(left with ``value`` of the row at the same position, one row (left_rows, right_rows) if the counts differ)."""
     counts = left.agg(F.count(F.lit(1)).alias("left_rows")).crossJoin(right.agg(F.count(F.lit(1)).alias("right_rows")))  # one row each
-    return a.join(b, "position").drop("position"), counts.where("left_rows <> right_rows")
+    return left.join(right.select("position", value), "position").drop("position"), counts.where("left_rows <> right_rows")
+
+
+def aligned_by_row(left: DataFrame, right: DataFrame, left_order: str, right_order: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """``zipped`` of two tables by their places in an order of their own."""
+    return zipped(by_position(left, left_order), by_position(right, right_order), value)
+
+
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """(source_file, record, text): the records of CSV files numbered from 1, quoted line breaks as ``\\n``, blank lines left out.
+
+    Files are read in blocks. A line begins a record if an even number of quotes stands before it in its file: quotes are
+    summed per block, then over the blocks of a file, and so are the records. A file whose quotes do not close is an error.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("m"), F.col("value").alias("text"))
+    marks = F.length("text") - F.length(F.replace("text", F.lit('"'), F.lit("")))
+    of_block = W.partitionBy("source_file", "block").orderBy("m")
+    of_file = W.partitionBy("source_file").orderBy("block")
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counted = written(lines.withColumn("marks", marks).withColumn("inside", before("marks", of_block)))
+    blocks = counted.groupBy("source_file", "block").agg(F.sum("marks").alias("marks"))
+    if not blocks.groupBy("source_file").agg(F.sum("marks").alias("marks")).where("marks % 2 = 1").isEmpty():
+        raise ValueError("a quote is not closed")
+    opened = blocks.select("source_file", "block", before("marks", of_file).alias("base"))
+    begun = counted.join(opened, ["source_file", "block"]).withColumn("open", (F.col("base") + F.col("inside")) % 2 == 1)
+    begun = begun.where("open OR text RLIKE '\\\\S'").withColumn("begins", (~F.col("open")).cast("int"))
+    begun = begun.withColumn("own", F.sum("begins").over(of_block.rowsBetween(W.unboundedPreceding, 0)))
+    starts = begun.groupBy("source_file", "block").agg(F.sum("begins").alias("n")).select("source_file", "block", before("n", of_file).alias("records"))
+    numbered = begun.join(starts, ["source_file", "block"]).withColumn("record", F.col("records") + F.col("own"))
+    parts = F.array_sort(F.collect_list(F.struct("block", "m", "text")))
+    return numbered.groupBy("source_file", "record").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("text"))
+
+
+def gold_labels(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """(position, value): one column of CSV files in the order of their names and records, which is that of the lines they label.
+
+    Every file begins with a header, the same in all; a missing column is an error.
+    """
+    records = written(csv_records(spark, path))
+    headers = [r.text for r in records.where("record = 1").select("text").distinct().limit(2).collect()]
+    if len(headers) != 1:
+        raise ValueError("no header" if not headers else "files with different headers")
+    names = [n.strip() for n in next(csv.reader([headers[0].lstrip("\ufeff")]))]
+    if column not in names:
+        raise ValueError(f"no column {column}")
+    schema = ", ".join(f"c{i} string" for i in range(len(names)))
+    found = records.where("record > 1").select("source_file", "record", F.from_csv("text", F.lit(schema), {"multiLine": "true", "escape": '"'}).getField(f"c{names.index(column)}").alias("value"))
+    sizes = found.groupBy("source_file").agg(F.count(F.lit(1)).alias("n"))
+    base = sizes.select("source_file", (F.sum("n").over(W.orderBy("source_file")) - F.col("n")).alias("before"))  # one row a file
+    return found.join(base, "source_file").select((F.col("before") + F.col("record") - 2).alias("position"), "value")
+
+
+def with_gold(events: DataFrame, gold: DataFrame, *order: str, value: str = "value") -> DataFrame:
+    """Events with the gold label of the same place in ``order``; an error if there are more of one than of the other."""
+    joined, off = zipped(by_position(events, *order), gold, value)
+    if found := off.first():
+        raise ValueError(f"{found.left_rows} events and {found.right_rows} labels")
+    return joined
 
 
 def aligned_violations(left: DataFrame, right: DataFrame, order: str) -> DataFrame:
@@ -180,7 +251,7 @@ def read_records(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame,
     only lines without any are records.
     """
     schema, key = RECORDS[kind]
-    lines = as_events(numbered_lines(spark, path)).persist()
+    lines = written(as_events(numbered_lines(spark, path)))
     declared = spark.createDataFrame([], schema).columns
     read = lines.withColumn("r", F.from_json("text", f"{schema}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}))
     extra = F.array_except(F.map_keys(F.from_json("text", "map<string,string>")), F.array(*map(F.lit, declared)))

@@ -140,6 +140,42 @@ def test_row_alignment_and_counts(spark):
         logs.require_events(left.limit(0))
 
 
+def test_gold_labels_stand_in_file_order(spark, tmp_path):
+    """Quoted line breaks over many blocks, several files, blank lines and a byte-order mark; counts must agree."""
+    rows = [(f"E{i}", f"text {i}" + ('\n"quoted" line, with comma\n\nend' if i % 3 == 0 else "")) for i in range(400)]
+    write = lambda name, some, mark="": (tmp_path / name).write_text(mark + 'Content,EventId\n' + "\n".join('"' + t.replace('"', '""') + f'",{e}' + ("\n" if i % 50 == 0 else "") for i, (e, t) in enumerate(some)))
+    write("a.csv", rows[:250], "\ufeff")
+    write("b.csv", rows[250:])
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        gold = logs.gold_labels(spark, str(tmp_path), "EventId")
+        got = sorted(map(tuple, gold.collect()))
+        texts = sorted(map(tuple, logs.gold_labels(spark, str(tmp_path), "Content").collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == [(i, e) for i, (e, _) in enumerate(rows)] and texts == [(i, t) for i, (_, t) in enumerate(rows)]
+    events = spark.createDataFrame([("f", i + 1, f"line {i}") for i in range(400)], "source_file string, line_number long, text string").repartition(5)
+    assert {(r.line_number, r.value) for r in logs.with_gold(events, gold, "source_file", "line_number").collect()} == {(i + 1, f"E{i}") for i in range(400)}
+    with pytest.raises(ValueError, match="399 events and 400 labels"):
+        logs.with_gold(events.where("line_number > 1"), gold, "source_file", "line_number")
+    with pytest.raises(ValueError, match="no column"):
+        logs.gold_labels(spark, str(tmp_path), "Label")
+    (tmp_path / "c.csv").write_text('Content,EventId\n"open,E1\n')
+    with pytest.raises(ValueError, match="not closed"):
+        logs.gold_labels(spark, str(tmp_path), "EventId")
+
+
+def test_positions_of_equal_values_are_dealt_over_tasks(spark):
+    rows = spark.range(20_000).select(F.lit(7).alias("k"), (F.col("id") % 15_000).alias("position_"))
+    placed = logs.by_position(rows, "k", range_rows=1000)
+    assert sorted(r.position for r in placed.collect()) == list(range(20_000))
+    sizes = [spark.read.parquet(f).count() for f in placed.inputFiles()]
+    assert len(sizes) > 10 and max(sizes) < 4000
+    again = {(r.position, r.position_) for r in logs.by_position(rows.repartition(7), "k", range_rows=3000).collect()}
+    assert again == {(r.position, r.position_) for r in placed.collect()}
+
+
 def test_sink_with_manifest_and_reviews(spark, tmp_path):
     df = spark.range(10).withColumn("x", F.col("id") * 2)
     manifest = logs.write_with_manifest(df, str(tmp_path / "out"), "id", revision="r1").first()
