@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from logfold.operators.concepts import role_facets
@@ -25,9 +26,24 @@ def f1_of(tp: Column, fp: Column, fn: Column) -> Column:
 FOLDED = ("locator", "role")
 
 
+def typed_key(value: Column) -> Column:
+    """A VARIANT constant as a string that is equal for equal values: numbers and truth values by what they count (1, 1.0 and
+    true are one value, as 2.5 and 25e-1 are), strings apart from numbers, null for a missing value or a JSON null."""
+    kind = F.schema_of_variant(value)
+    as_double = F.try_variant_get(value, "$", "double")
+    whole = (as_double == F.floor(as_double)) & (F.abs(as_double) < 9.2e18)
+    number = F.when(whole, as_double.cast("bigint").cast("string")).otherwise(as_double.cast("string"))
+    return (
+        F.when(value.isNull() | F.is_variant_null(value), None).when(kind == "STRING", F.concat(F.lit("s:"), F.try_variant_get(value, "$", "string")))
+        .when(kind == "BOOLEAN", F.when(F.try_variant_get(value, "$", "boolean"), "n:1").otherwise("n:0")).when(kind == "BIGINT", F.concat(F.lit("n:"), F.try_variant_get(value, "$", "string")))
+        .when(kind.startswith("DECIMAL") & kind.endswith(",0)"), F.concat(F.lit("n:"), F.try_variant_get(value, "$", "decimal(38,0)").cast("string"))).otherwise(F.concat(F.lit("n:"), number))
+    )
+
+
 def folded(df: DataFrame) -> DataFrame:
-    """Locators and roles in lower case, as they are compared; field names and constants keep theirs."""
-    return df.withColumns({c: F.lower(c) for c in FOLDED if c in df.columns})
+    """Columns as they are compared: locators and roles in lower case, VARIANT constants by ``typed_key``; field names keep their case."""
+    constants = [f.name for f in df.schema.fields if isinstance(f.dataType, T.VariantType)]
+    return df.withColumns({c: F.lower(c) for c in FOLDED if c in df.columns} | {c: typed_key(F.col(c)) for c in constants})
 
 
 def coverage_violations(cases: DataFrame, predictions: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logfold.functions.text import ordered_tokens
+from logfold.operators import approaches as registry
 from logfold.operators import metrics, stats
 from logfold.sources.shared import written
 
@@ -79,18 +80,21 @@ class Comparison(NamedTuple):
     violations: DataFrame
 
 
-def compare(cases: DataFrame, pred_case: DataFrame, fields: DataFrame, schemas: DataFrame, gold_field: DataFrame, gold_schema: DataFrame, references: DataFrame, baseline: str | None = None, resamples: int = 1000, split: bool = True) -> Comparison:
+def compare(cases: DataFrame, pred_case: DataFrame, fields: DataFrame, schemas: DataFrame, gold_field: DataFrame, gold_schema: DataFrame, references: DataFrame, baseline: str | None = None, resamples: int = 1000, split: bool = True, oracle: str = "none", view: str = "full") -> Comparison:
     """Compares any number of approaches on the same cases.
 
     cases(case_id, grp, revision, system, label_source), pred_case(approach, version, case_id, revision, disposition),
     fields(approach, case_id, kind, locator, field, constant_value, score), schemas(approach, case_id, rank,
     schema_name, score), gold_field(case_id, kind, locator, field, constant_value), gold_schema(case_id, schema_name),
-    references(case_id). Every approach is tested against one baseline, by default the first prior there is, and
-    references must not be evaluated cases.
+    references(case_id). Every approach is tested against one baseline, by default the first prior of the registry that is
+    compared, and references must not be evaluated cases. A baseline that is not compared is an error.
     """
-    approaches = sorted(r.approach for r in pred_case.select("approach").distinct().collect())  # a handful
-    priors = [a for a in approaches if a.endswith("-prior")]
-    baseline = baseline or (priors or approaches)[0]
+    found = {r.approach for r in pred_case.select("approach").distinct().collect()}  # a handful
+    approaches = [a for a in registry.REGISTRY if a in found] + sorted(found - set(registry.REGISTRY))
+    priors = registry.priors(approaches)
+    baseline = baseline or registry.default_baseline(approaches)
+    if baseline not in approaches:
+        raise ValueError(f"baseline {baseline} is not among the compared approaches")
     asked = pred_case.select("approach", "case_id").distinct()
     scored = written(metrics.set_scores(asked, gold_field, fields, ["kind", "locator", "field", "constant_value"]))
     totals = metrics.micro_macro(scored)
@@ -98,8 +102,15 @@ def compare(cases: DataFrame, pred_case: DataFrame, fields: DataFrame, schemas:
     tests = stats.paired_permutation(groups, baseline, resamples).withColumn("baseline", F.lit(baseline))
     confident = stats.case_confidence(asked, pred_case, fields, schemas).join(scored.select("approach", "case_id", (1 - F.col("f1")).alias("loss")), ["approach", "case_id"])
     curve = stats.risk_coverage(confident, "confidence", "loss", "approach", "case_id")
-    warnings = stats.warning_rows(groups, tests).unionByName(stats.evaluation_warnings(cases, pred_case, totals, priors, split))
+    warnings = stats.warning_rows(groups, tests).unionByName(stats.evaluation_warnings(cases, pred_case, totals, priors, split, oracle, view))
     guards = metrics.coverage_violations(cases, pred_case)
     shared = references.join(cases.select("case_id"), "case_id", "left_semi").select(F.lit("case-retrieval").alias("approach"), F.lit("reference_is_evaluated").alias("rule"), F.col("case_id").cast("string").alias("detail"))
     ranks = metrics.schema_ranks(asked, gold_schema.withColumn("disposition", F.lit("mapped")), schemas)
     return Comparison(totals.join(ranks, "approach", "left").join(stats.risk_area(curve, "approach"), "approach", "left"), stats.group_bootstrap(groups, resamples), tests, curve, warnings, guards.unionByName(shared))
+
+
+def compare_named(names: list[str], requests: registry.Requests, references: registry.References, cases: DataFrame, gold_field: DataFrame, gold_schema: DataFrame, **options) -> Comparison:
+    """``compare`` of registered approaches: each is run on the requests, its best field of every locator is scored."""
+    run = registry.predict_all(names, requests, references)
+    top = run.fields.where("rank = 1").withColumnRenamed("source_kind", "kind").drop("rank")
+    return compare(cases, run.cases.drop("oracle"), top, run.schemas, gold_field, gold_schema, references.cases.select("case_id"), oracle=requests.oracle, **options)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from logfold.operators.metrics import f1_of
+from logfold.sources.shared import written
 
 
 def draw(*parts: Column | str) -> Column:
@@ -59,14 +60,17 @@ def sample_adequacy(groups: DataFrame) -> DataFrame:
     return n.withColumn("detectable", F.round(F.least(F.lit(1.0), 2.8 * 0.5 / F.sqrt(F.col("groups"))), 6))
 
 
-def group_bootstrap(groups: DataFrame, resamples: int = 1000, level: float = 0.95, seed: str = "s") -> DataFrame:
+def group_bootstrap(groups: DataFrame, resamples: int = 1000, level: float = 0.95, seed: str = "s", most_sent: int = 1 << 20) -> DataFrame:
     """(approach, micro_low, micro_high, macro_low, macro_high): groups redrawn with replacement, percentile intervals."""
-    spark = groups.sparkSession
+    groups = written(groups)
     size = groups.groupBy("approach").agg(F.count(F.lit(1)).alias("G"))
-    rounds = spark.range(resamples).select(F.col("id").alias("b"))
-    drawn = size.join(F.broadcast(rounds), how="cross").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("G").cast("int") - 1)))  # approaches x resamples x groups
+    sized = groups.join(size, "approach")
+    if groups.count() <= most_sent:  # some 50 MB: a resample's draws then meet the groups where they arise, and only sums are shuffled
+        sized = F.broadcast(sized)
+    rounds = groups.sparkSession.range(resamples).select(F.col("id").alias("b"))
+    drawn = size.select("G").distinct().join(F.broadcast(rounds), how="cross").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("G").cast("int") - 1)))  # resamples x groups, alike for all approaches
     drawn = drawn.withColumn("g", (draw(seed, F.col("b"), F.col("i")) % F.col("G")).cast("int"))
-    sums = drawn.join(groups, ["approach", "g"]).groupBy("approach", "b").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn", "f1_sum", "n")))
+    sums = drawn.join(sized, ["G", "g"]).groupBy("approach", "b").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn", "f1_sum", "n")))
     values = sums.select("approach", f1_of(F.col("tp"), F.col("fp"), F.col("fn")).alias("micro"), (F.col("f1_sum") / F.col("n")).alias("macro"))
     at = [(1 - level) / 2, 1 - (1 - level) / 2]
     q = lambda c, k, name: F.round(F.percentile(c, at[k]), 6).alias(name)
@@ -100,21 +104,23 @@ def detectable_effect(scores: DataFrame, baseline: str, group_col: str) -> DataF
     return agg.select("approach", F.round(F.when(F.col("n") < 2, F.lit(1.0)).otherwise(2.8 * F.col("sd") / F.sqrt(F.col("n"))), 6).alias("mde"))
 
 
-def risk_coverage(scored: DataFrame, conf_col: str, loss_col: str, by: str, id_col: str, ranges: int = 64) -> DataFrame:
+def risk_coverage(scored: DataFrame, conf_col: str, loss_col: str, by: str, id_col: str, range_rows: int = 1 << 18) -> DataFrame:
     """(by, id, coverage, risk): mean loss of all cases at least as confident, ties by id.
 
-    A prefix sum in two steps: confidence is cut into ranges at quantiles, ranges are summed up in order, and inside a
-    range a window adds its own cases. So one approach with all cases is still dealt over many tasks.
+    A prefix sum in two steps: the rows are dealt over ranges of (by, falling confidence, id), about ``range_rows`` each, so
+    equal confidences are parted by their ids; the sums of a curve's ranges are added up in order, and inside a range a
+    window adds its own cases.
     """
-    cuts = scored.agg(F.percentile_approx(conf_col, F.array(*(F.lit(i / ranges) for i in range(1, ranges))), 1000)).first()[0] or []
-    part = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c > F.col(conf_col))) if cuts else F.lit(0)
-    rows = scored.withColumn("__part", part)
-    sums = rows.groupBy(by, "__part").agg(F.sum(loss_col).alias("s"), F.count(F.lit(1)).alias("n"))
-    before = W.partitionBy(by).orderBy("__part")
-    heads = sums.select(by, "__part", (F.sum("s").over(before) - F.col("s")).alias("s0"), (F.sum("n").over(before) - F.col("n")).alias("n0"), F.sum("n").over(W.partitionBy(by)).alias("total"))
-    inside = W.partitionBy(by, "__part").orderBy(F.desc(conf_col), id_col)
-    placed = rows.join(heads, [by, "__part"]).withColumn("k", F.row_number().over(inside) + F.col("n0")).withColumn("loss", F.sum(loss_col).over(inside.rowsBetween(W.unboundedPreceding, 0)) + F.col("s0"))
-    return placed.select(by, id_col, F.round(F.col("k") / F.col("total"), 6).alias("coverage"), F.round(F.col("loss") / F.col("k"), 6).alias("risk"))
+    keys = [F.col("by"), F.desc("confidence"), F.col("id")]
+    rows = scored.select(F.col(by).alias("by"), F.col(conf_col).alias("confidence"), F.col(id_col).alias("id"), F.col(loss_col).alias("own"))
+    ranges = max(1, -(-scored.count() // range_rows))
+    dealt = written(rows.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id())).withColumn("part", F.shiftright("at", 33))
+    sums = dealt.groupBy("by", "part").agg(F.sum("own").alias("s"), F.count(F.lit(1)).alias("n"))
+    before = W.partitionBy("by").orderBy("part")
+    heads = sums.select("by", "part", (F.sum("s").over(before) - F.col("s")).alias("s0"), (F.sum("n").over(before) - F.col("n")).alias("n0"), F.sum("n").over(W.partitionBy("by")).alias("total"))
+    inside = W.partitionBy("by", "part").orderBy("at")
+    placed = dealt.join(heads, ["by", "part"]).withColumn("k", F.row_number().over(inside) + F.col("n0")).withColumn("loss", F.sum("own").over(inside.rowsBetween(W.unboundedPreceding, 0)) + F.col("s0"))
+    return placed.select(F.col("by").alias(by), F.col("id").alias(id_col), F.round(F.col("k") / F.col("total"), 6).alias("coverage"), F.round(F.col("loss") / F.col("k"), 6).alias("risk"))
 
 
 def risk_area(curve: DataFrame, by: str) -> DataFrame:

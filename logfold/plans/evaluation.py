@@ -62,6 +62,21 @@ def _field_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.set_scores(cases, gold, pred, ["kind", "locator", "field", "constant_value"])
 
 
+def _constant(k: str) -> str:
+    """JSON constants of every type, by a number from 0 to 7, in SQL that both engines read alike."""
+    return f"CASE {k} WHEN 0 THEN '1' WHEN 1 THEN '1.0' WHEN 2 THEN '\"1\"' WHEN 3 THEN 'true' WHEN 4 THEN 'null' WHEN 5 THEN '2.5' WHEN 6 THEN '\"true\"' END"
+
+
+_CONSTANT_OF = {"gold_field": "case_id % 8", "pred_field": "(case_id + case_id % 5) % 8"}
+
+
+def met_typed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Field scores with typed constants: 1, 1.0 and true are one value, "1" and "true" are strings, null and none are no value."""
+    cases, gold, pred = _t(spark, sf_dir, "cases", "gold_field", "pred_field")
+    typed = lambda df, name: df.withColumn("constant_value", F.try_parse_json(F.expr(_constant(_CONSTANT_OF[name]))))
+    return metrics.set_scores(cases, typed(gold, "gold_field"), typed(pred, "pred_field"), ["kind", "locator", "field", "constant_value"])
+
+
 def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("case_id"), stats.group_key("source", "lang", F.lit(None)).alias("grp"))
     return _field_scores(spark, sf_dir).join(source, "case_id")
@@ -288,11 +303,16 @@ def par_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [
-    met_case_scores, met_field_f1, met_source_f1, met_facets, met_schema_ranks, met_field_ranks, met_recall_at_gold, met_pairs, met_template_pairs, met_baseline_delta, sta_groups, sta_adequacy, sta_bootstrap, sta_permutation, sta_detectable,
+    met_case_scores, met_typed_scores, met_field_f1, met_source_f1, met_facets, met_schema_ranks, met_field_ranks, met_recall_at_gold, met_pairs, met_template_pairs, met_baseline_delta, sta_groups, sta_adequacy, sta_bootstrap, sta_permutation, sta_detectable,
     sta_risk_coverage, sta_risk_area, sta_confidence, met_facet_summary, met_guards, spl_contract, val_predictions, spl_violations, spl_frozen, spl_selected, ann_blinded, ann_promotion, ann_adjudications, red_governing,
     per_variants, per_compound, per_opaque_labels, per_decoy_events, per_swapped_roles, per_robustness, per_robustness_rows, par_normalized, par_skipped,
 ]
 
+def _typed_sql(name: str, columns: str) -> str:
+    key = "CASE json_type(j) WHEN 'NULL' THEN chr(0) WHEN 'VARCHAR' THEN 's:' || (j ->> '$') WHEN 'BOOLEAN' THEN CASE j ->> '$' WHEN 'true' THEN 'n:1' ELSE 'n:0' END ELSE 'n:' || CASE WHEN CAST(j AS DOUBLE) = floor(CAST(j AS DOUBLE)) THEN CAST(CAST(CAST(j AS DOUBLE) AS BIGINT) AS VARCHAR) ELSE CAST(CAST(j AS DOUBLE) AS VARCHAR) END END"
+    return f"(SELECT {columns}, coalesce({key}, chr(0)) AS constant_value FROM (SELECT *, CAST({_constant(_CONSTANT_OF[name])} AS JSON) AS j FROM {name}))"
+
+
 _CS = f"{_with('cases', 'gold_field', 'pred_field')}, {_scores_sql('(SELECT case_id, kind, locator, field, coalesce(constant_value, chr(0)) AS constant_value FROM gold_field)', '(SELECT approach, case_id, kind, lower(locator) AS locator, field, coalesce(constant_value, chr(0)) AS constant_value FROM pred_field)', 'kind, locator, field, constant_value')}"
 LOW_SEM = "(SELECT approach, case_id, kind, lower(locator) AS locator, lower(role) AS role FROM pred_sem)"
 _GRP = f"""{_CS}, gr0 AS (SELECT approach, regexp_replace(lower(source || ':' || lang || ':'), ':+$', '') AS grp, cs.* EXCLUDE (approach) FROM cs JOIN documents ON doc_id = case_id),
@@ -334,6 +354,7 @@ ORACLE = {
  h AS (SELECT b.approach, b.case_id, sum(CASE WHEN place <= m AND g.case_id IS NOT NULL THEN 1 ELSE 0 END) AS h FROM b LEFT JOIN s USING (case_id) LEFT JOIN gold_field g ON g.case_id = b.case_id AND g.locator = b.locator AND g.field = b.field GROUP BY 1, 2)
  SELECT approach, case_id, round(CASE WHEN m IS NULL THEN CASE WHEN h IS NULL THEN 1.0 ELSE 0.0 END ELSE CAST(coalesce(h, 0) AS DOUBLE) / m END, 6) AS recall FROM cases LEFT JOIN s USING (case_id) LEFT JOIN h USING (approach, case_id)""",
     "met_pairs": "WITH " + _pairs_sql("SELECT vec_id % 3 AS part, vec_id * 7 % 5 + label AS pred, label FROM embeddings", "part", "pred", "label"),
+    "met_typed_scores": f"{_with('cases', 'gold_field', 'pred_field')}, {_scores_sql(_typed_sql('gold_field', 'case_id, kind, locator, field'), _typed_sql('pred_field', 'approach, case_id, kind, lower(locator) AS locator, field'), 'kind, locator, field, constant_value')} SELECT * FROM cs",
     "met_template_pairs": f"WITH {logs.ASSIGNED_CTE}, " + _pairs_sql("SELECT 'svc' AS one, cluster_id, event_type FROM a", "one", "cluster_id", "event_type"),
     "met_baseline_delta": "WITH n AS (SELECT source AS corpus_id, lang AS approach, round(avg(n_chars), 6) AS value FROM documents GROUP BY ALL), w AS (SELECT source AS corpus_id, lang AS approach, round(avg(n_chars), 6) AS was FROM documents WHERE doc_id % 2 = 0 AND source <> 'src1' GROUP BY ALL) SELECT corpus_id, approach, value, round(value - was, 6) AS baseline_delta FROM n LEFT JOIN w USING (corpus_id, approach)",
     "sta_groups": f"{_GRP} SELECT approach, grp, g, tp, fp, fn, round(f1_sum, 6) AS f1_sum, n FROM gr",

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from logfold.operators import approaches as registry
 from logfold.operators import govern, metrics, reports, schemas, stats
-from logfold.operators import mapping as approaches
 from logfold.plans import evaluation as ev
 from logfold.plans import logs, mapping
 from logfold.sources.shared import written
@@ -62,56 +60,48 @@ def sta_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.warning_rows(groups, stats.paired_permutation(groups, "a3"), 5000)
 
 
-def cmp_approaches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three approaches on the slots of all cases."""
+def _requests(spark: SparkSession, sf_dir: str) -> tuple[registry.Requests, DataFrame, DataFrame]:
+    """(requests of all cases, gold schemas, gold slots)."""
     ready, slots, fields, _ = mapping.requests(spark, sf_dir)
-    told = mapping.gold(spark, ready)[1].select("case_id", F.col("slot_id").alias("locator"), "field")
-    found = [approaches.direct_lexical(ready, slots, fields), approaches.semantic_frame(ready, slots, fields)[0], approaches.matcher_ensemble(ready, slots, mapping._slot_profiles(slots), fields)]
-    top = reduce(DataFrame.unionByName, [written(x) for x in found]).where("rank = 1 AND source_kind = 'slot'").select("approach", "case_id", "locator", "field")
-    cases = ready.select("case_id").distinct().crossJoin(spark.createDataFrame([("direct-lexical",), ("semantic-frame",), ("matcher-ensemble",)], "approach string"))
-    return metrics.micro_macro(metrics.set_scores(cases, told, top, ["locator", "field"]))
+    told, told_slots = mapping.gold(spark, ready)
+    _, rankings, picked = mapping._ranked(spark, sf_dir)
+    of_cluster = schemas.schema_candidates(rankings, picked, "cluster_id")
+    by_score = W.partitionBy("case_id").orderBy(F.desc("score"), "schema_name")
+    ranked = ready.select("case_id", "cluster_id").join(of_cluster, "cluster_id").withColumn("rank", F.row_number().over(by_score)).select("case_id", "rank", "schema_name", "score")
+    cases = ready.select("case_id", F.lit("r1").alias("revision"), "template", "schema_name", F.concat_ws(" ", "template", "grp").alias("text"), "grp")
+    return registry.Requests(cases, slots, mapping._slot_profiles(slots), fields, written(ranked)), told, told_slots
+
+
+def cmp_approaches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three approaches by name on the slots of all cases."""
+    asked, _, told_slots = _requests(spark, sf_dir)
+    run = registry.predict_all(["direct-lexical", "semantic-frame", "matcher-ensemble"], asked)
+    top = run.fields.where("rank = 1 AND source_kind = 'slot'").select("approach", "case_id", "locator", "field")
+    told = told_slots.select("case_id", F.col("slot_id").alias("locator"), "field")
+    return metrics.micro_macro(metrics.set_scores(run.cases.select("approach", "case_id"), told, top, ["locator", "field"]))
+
+
+def map_oracle_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles and constants of the semantic frame where gold schemas and gold roles are both told; the rows carry the condition."""
+    asked, told, told_slots = _requests(spark, sf_dir)
+    told_roles = told_slots.select("case_id", F.col("slot_id").alias("locator"), "role")
+    run = registry.predict("semantic-frame", registry.told(asked, "both", told, told_roles))
+    return run.semantics.join(run.cases.select("case_id", "oracle"), "case_id").select("case_id", "source_kind", "locator", "role", "oracle")
 
 
 def _everything(spark: SparkSession, sf_dir: str) -> reports.Comparison:
     """All seven approaches on the groups g0 to g9, with the cases of the other groups as references."""
-    ready, slots, fields, clusters = mapping.requests(spark, sf_dir)
+    asked, told, told_slots = _requests(spark, sf_dir)
     evaluated = F.substring("grp", 2, 9).cast("int") < 10
-    asked, refs = ready.where(evaluated), ready.where(~evaluated)
-    told, told_slots = mapping.gold(spark, ready)
-    own_slots = slots.join(asked.select("case_id"), "case_id", "left_semi")
-    constants = mapping.told_constants(ready)
-    _, rankings, picked = mapping._ranked(spark, sf_dir)
-    of_cluster = schemas.schema_candidates(rankings, picked, "cluster_id")
-    by_score = W.partitionBy("case_id").orderBy(F.desc("score"), "schema_name")
-    own_schemas = asked.select("case_id", "cluster_id").join(of_cluster, "cluster_id").withColumn("rank", F.row_number().over(by_score)).select("case_id", "rank", "schema_name", "score")
-    lexical = [approaches.direct_lexical(asked, own_slots, fields), approaches.semantic_frame(asked, own_slots, fields)[0], approaches.matcher_ensemble(asked, own_slots, mapping._slot_profiles(own_slots), fields)]
-    columns = ["approach", "case_id", "kind", "locator", "field", "constant_value", "score"]
-    tops = [x.where("rank = 1").withColumn("kind", F.col("source_kind")).select(*columns) for x in lexical]
-    ranked = [own_schemas.withColumn("approach", F.lit(a)) for a in ("direct-lexical", "semantic-frame", "matcher-ensemble")]
-
-    about = lambda df: df.select("case_id", F.lit("r1").alias("revision"), F.concat_ws(" ", "template", "grp").alias("text"))
-    near = written(approaches.neighbours(about(asked), about(refs)))
-    votes = approaches.schema_votes(near, told)
-    chosen = votes.where("rank = 1").select("case_id", "schema_name")
-    same = near.join(chosen, "case_id").join(told.select(F.col("case_id").alias("ref_id"), "schema_name"), ["ref_id", "schema_name"])
-    valid = chosen.join(fields.select("schema_name", "field"), "schema_name").select("case_id", "field")
-    ref_slots = slots.select(F.col("case_id").alias("ref_id"), F.col("slot_id").alias("ref_slot"), "context").join(told_slots.select(F.col("case_id").alias("ref_id"), F.col("slot_id").alias("ref_slot"), "role"), ["ref_id", "ref_slot"])
-    given = approaches.transfer_slots(same, own_slots, ref_slots, told_slots.select(F.col("case_id").alias("ref_id"), F.col("slot_id").alias("ref_slot"), "field"), valid)
-    best = given.withColumn("rank", F.row_number().over(W.partitionBy("case_id", "slot_id").orderBy(F.desc("score"), "field"))).where("rank = 1")
-    retrieved = best.select(F.lit("case-retrieval").alias("approach"), "case_id", F.lit("slot").alias("kind"), F.col("slot_id").alias("locator"), "field", "constant_value", F.least("score", F.lit(1.0)).alias("score"))
-    fixed = approaches.transfer_constants(same, asked, constants, valid)[1].select(F.lit("case-retrieval").alias("approach"), "case_id", F.lit("template_constant").alias("kind"), "locator", "field", "constant_value", "score")
-    prior = approaches.schema_prior(asked, told)
-    frequent = approaches.field_prior(prior, own_slots, told_slots.select("case_id", "field"), fields).where("rank = 1").select(F.lit("field-frequency-prior").alias("approach"), "case_id", F.lit("slot").alias("kind"), "locator", "field", F.lit(None).cast("string").alias("constant_value"), "score")
-    tops += [retrieved, fixed, frequent]
-    ranked += [votes.withColumn("approach", F.lit("case-retrieval")), prior.withColumn("approach", F.lit("majority-schema-prior")), prior.withColumn("approach", F.lit("field-frequency-prior"))]
-    pred_fields = written(reduce(DataFrame.unionByName, [written(x) for x in tops]))
-    pred_schemas = written(reduce(DataFrame.unionByName, [x.select("approach", "case_id", "rank", "schema_name", "score") for x in ranked]))
-    names = spark.createDataFrame([(a,) for a in ("direct-lexical", "semantic-frame", "matcher-ensemble", "case-retrieval", "null-prior", "majority-schema-prior", "field-frequency-prior")], "approach string")
-    mapped = pred_fields.select("approach", "case_id", F.lit("mapped").alias("m")).distinct()
-    pred_case = asked.select("case_id").crossJoin(names).join(mapped, ["approach", "case_id"], "left").select("approach", F.lit("1").alias("version"), "case_id", F.lit("r1").alias("revision"), F.coalesce("m", F.lit("unresolved")).alias("disposition"))  # seven approaches
-    gold_field = told_slots.select("case_id", F.lit("slot").alias("kind"), F.col("slot_id").alias("locator"), "field", F.lit(None).cast("string").alias("constant_value")).unionByName(constants.select(F.col("ref_id").alias("case_id"), F.lit("template_constant").alias("kind"), "locator", "field", "constant_value"))
-    cases = asked.select("case_id", "grp", F.lit("r1").alias("revision"), F.lit("svc").alias("system"), F.lit("synthetic").alias("label_source"))
-    return reports.compare(cases, pred_case, pred_fields, pred_schemas, gold_field.join(asked.select("case_id"), "case_id", "left_semi"), told.join(asked.select("case_id"), "case_id", "left_semi"), refs.select("case_id"), baseline="null-prior")
+    chosen, others = asked.cases.where(evaluated), asked.cases.where(~evaluated)
+    of = lambda df, some: df.join(some.select("case_id"), "case_id", "left_semi")
+    requests = asked._replace(cases=chosen, slots=of(asked.slots, chosen), profiles=of(asked.profiles, chosen), schemas=of(asked.schemas, chosen))
+    constants = mapping.told_constants(asked.cases).withColumnRenamed("ref_id", "case_id")
+    ref_slots = of(asked.slots, others).select("case_id", "slot_id", "context").join(told_slots.select("case_id", "slot_id", "role", "field", F.lit(None).cast("string").alias("constant_value")), ["case_id", "slot_id"])
+    references = registry.References(others.select("case_id", "revision", "text").join(told, "case_id"), ref_slots, of(constants, others))
+    gold_field = told_slots.select("case_id", F.lit("slot").alias("kind"), F.col("slot_id").alias("locator"), "field", F.lit(None).cast("string").alias("constant_value")).unionByName(constants.select("case_id", F.lit("template_constant").alias("kind"), "locator", "field", "constant_value"))
+    cases = chosen.select("case_id", "grp", F.lit("r1").alias("revision"), F.lit("svc").alias("system"), F.lit("synthetic").alias("label_source"))
+    return reports.compare_named(list(registry.REGISTRY), requests, references, cases, of(gold_field, chosen), of(told, chosen))
 
 
 def cmp_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +125,7 @@ def cat_default_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schemas.effective_fields(schemas.default_catalog(spark)).join(counts, "schema_name").select("schema_name", "field", "events")
 
 
-QUERIES = [met_exactness, met_pools, met_diagnostics, met_hint_agreement, val_cases, ann_queue, ann_fingerprints, sta_warnings, cmp_approaches, cmp_scores, cmp_tests, cmp_warnings, cat_default_fields]
+QUERIES = [met_exactness, met_pools, met_diagnostics, met_hint_agreement, val_cases, ann_queue, ann_fingerprints, sta_warnings, cmp_approaches, map_oracle_both, cmp_scores, cmp_tests, cmp_warnings, cat_default_fields]
 
 _SOURCE = ev._scores_sql("gold_sem", ev.LOW_SEM, "kind, locator, role").replace("cs AS", "ss AS").replace("w AS", "w2 AS").replace("p AS (SELECT DISTINCT", "p2 AS (SELECT DISTINCT").replace("FROM w FULL JOIN p ", "FROM w2 FULL JOIN p2 ").replace("j AS", "j2 AS").replace("FROM j ", "FROM j2 ").replace("c0", "d0").replace("c1", "d1")
 _RANKED = mapping.ORACLE["build_ranked_templates"]
@@ -152,6 +142,7 @@ ORACLE = {
     "ann_queue": "WITH r AS (SELECT conv_id, CASE role WHEN 'user' THEN 'approved' ELSE 'rejected' END AS status FROM conversations WHERE turn = 0 AND conv_id % 3 < 2) SELECT coalesce(status, 'unreviewed') AS status, count(*) AS n FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN r USING (conv_id) GROUP BY 1",
     "ann_fingerprints": """SELECT c_custkey, sha256('{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_nationkey":' || c_nationkey || '}') AS input_fingerprint FROM customer""",
     "sta_warnings": f"SELECT approach, 'few_cases' AS code FROM ({ev.ORACLE['sta_groups']}) GROUP BY 1 HAVING sum(n) < 5000 UNION ALL SELECT approach, 'single_group' FROM ({ev.ORACLE['sta_groups']}) GROUP BY 1 HAVING count(*) = 1 UNION ALL SELECT approach, 'unresolved_difference' FROM ({ev.ORACLE['sta_permutation']}) WHERE NOT significant AND abs(delta) > 0",
+    "map_oracle_both": f"""WITH {mapping.REQUEST_CTE}, {mapping.GOLD_CTE} SELECT case_id, 'slot' AS source_kind, slot_id AS locator, role, 'both' AS oracle FROM gf UNION ALL SELECT case_id, 'template_constant', locator, role, 'both' FROM ({mapping._STATIC_SQL.replace("FROM rc WHERE", "FROM (SELECT r.case_id, r.template, gc.schema_name FROM rc r JOIN gc USING (case_id)) WHERE")})""",
     "cmp_approaches": f"""WITH {mapping.CASES_CTE}, {mapping.GOLD_CTE}, top AS ({" UNION ALL ".join(f"SELECT approach, case_id, locator, field FROM ({mapping.ORACLE[n]}) WHERE rank = 1 AND source_kind = 'slot'" for n in ("map_direct_lexical", "map_semantic_frame", "map_matcher_ensemble"))}),
  w AS (SELECT approach, case_id, slot_id AS locator, field, 1 AS g FROM gf CROSS JOIN (VALUES ('direct-lexical'), ('semantic-frame'), ('matcher-ensemble')) t(approach)), p AS (SELECT DISTINCT *, 1 AS p FROM top), j AS (SELECT approach, case_id, g, p FROM w FULL JOIN p USING (approach, case_id, locator, field)),
  c AS (SELECT approach, case_id, count(*) FILTER (g IS NOT NULL AND p IS NOT NULL) AS tp, count(*) FILTER (g IS NULL) AS fp, count(*) FILTER (p IS NULL) AS fn FROM j GROUP BY ALL), cs AS (SELECT *, round({ev._f1('tp', 'fp', 'fn')}, 6) AS f1 FROM c) {ev._MICRO}""",

@@ -233,7 +233,7 @@ def read_manifests(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 
 
 _INPUT = "struct<cluster_id string, template string, system string, vendor string, product string, events array<struct<source_file string, line_number long, text string>>, slots array<struct<slot_id string, label string, placeholder string, occurrence int, examples array<string>>>>"
-_EXPECTED = "struct<schema_name string, semantics array<struct<semantic_id string, source_kind string, locator string, role string>>, fields array<struct<semantic_id string, field string, constant_value string>>>"
+_EXPECTED = "struct<schema_name string, semantics array<struct<semantic_id string, source_kind string, locator string, role string>>, fields array<struct<semantic_id string, field string, constant_value variant>>>"
 #: The typed records of an evaluation: name -> (schema, the key that must not repeat).
 RECORDS = {
     "cases": (f"case_id string, revision string, disposition string, input {_INPUT}, expected {_EXPECTED}, label_source string", "case_id"),
