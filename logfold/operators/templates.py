@@ -113,12 +113,12 @@ def cluster_patterns(patterns: DataFrame, depth: int = 5, similarity: float = 0.
     words = split_words(F.col("masked"))
     head = F.transform(F.slice(words, 1, depth - 2), lambda t: F.when(t.rlike("[0-9]"), ANY).otherwise(t))
     order = F.concat_ws("/", F.lpad((F.lit((1 << 62) - 1) - F.col("n")).cast("string"), 20, "0"), F.lpad(F.col("first").cast("string"), 20, "0"), "masked")
-    rows = written(patterns.select("masked", order.alias("id"), F.concat_ws("\u0001", F.size(words).cast("string"), head).alias("bucket")))
-    wide = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > batch).select("bucket")
-    merged = lambda some: some.groupBy("bucket").applyInPandas(lambda r: _merge_bucket(r, similarity), "masked string, leader string")
-    if wide.isEmpty():
-        return merged(rows)
-    return merged(rows.join(wide, "bucket", "left_anti")).unionByName(_merge_wide(written(rows.join(wide, "bucket", "left_semi")), similarity))
+    rows = patterns.select("masked", order.alias("id"), F.concat_ws("\u0001", F.size(words).cast("string"), head).alias("bucket"))
+    rows = written(rows.join(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")), "bucket"))
+    alone = rows.where("held = 1").select("masked", F.col("masked").alias("leader"))
+    narrow = rows.where(F.col("held").between(2, batch)).drop("held").groupBy("bucket").applyInPandas(lambda r: _merge_bucket(r, similarity), "masked string, leader string")
+    done, wide = alone.unionByName(narrow), rows.where((F.col("held") > 1) & (F.col("held") > batch)).drop("held")
+    return done if wide.isEmpty() else done.unionByName(_merge_wide(written(wide), similarity))
 
 
 def templates_of(clustered: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ def cluster_id(system: str, template: Column) -> Column:
 
 def pattern_templates(patterns: DataFrame, system: str, depth: int = 5, similarity: float = 0.4) -> DataFrame:
     """(masked, template, cluster_id) of distinct patterns: what a line is matched by once it is masked."""
-    clustered = cluster_patterns(patterns, depth, similarity)
+    clustered = written(cluster_patterns(patterns, depth, similarity))
     return clustered.join(templates_of(clustered), "leader").select("masked", "template", cluster_id(system, F.col("template")).alias("cluster_id"))
 
 
