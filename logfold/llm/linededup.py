@@ -1,20 +1,23 @@
 """Line dedup over content-defined chunks, in DataFrame operations only.
 
-Non-blank lines are hashed; a rolling hash over ``window`` consecutive line hashes ends a chunk where it is 0 modulo
-``mean`` (the first of adjacent such places, so a chunk has two lines at least), or at ``longest`` lines. Boundaries
-depend on the lines around them alone, so a passage that texts share is cut alike wherever it stands, but for its edges.
-The edges, and passages shorter than a chunk, are covered by the smallest chunks: the pairs of lines at every place that
-no repeated chunk covers, and single lines of ``passage_words`` words or more. What occurs again anywhere goes after its
-bytes have been compared with those of its first occurrence (null doc_id, then smallest doc_id, then text hash, then
-position), which stays. Blank lines are no part of a chunk; those behind a removed line go with it.
-
-Only hashes are grouped over the corpus. A hash that more than one in ``hot_share`` of all rows have is dealt over
-``salts`` tasks with as many copies of its first occurrence: there are ``hot_share`` such hashes at most, which bounds
-the broadcast list of them. Only texts of chunks that do repeat are shuffled for the comparison.
-
-Defined cases: null text stays null; texts of one short line are never cut; a text may become empty, its row stays; rows
-that repeat (same doc_id and text) are edited alike, the first ones of a passage all stay; columns of any other name pass
-through; ``n_chars``, if there, is the new length of a cut text; a hash collision of different chunks keeps both.
+Non-blank lines are hashed; a rolling hash over ``window`` consecutive line hashes sets a boundary behind a line where it
+is less than before it and not more than behind it, and after ``longest`` lines. Boundaries depend on the lines around
+them alone, so a passage that texts share is cut alike wherever it stands, but for its edges. Chunks are the lines between
+boundaries if they are two or more, the two lines that meet at a boundary (the least chunk, for passages too short to hold
+a larger one), and any line of ``passage_words`` words. Only hashes of chunks are grouped over the corpus.
+
+A chunk that occurs again is laid beside its first occurrence (null doc_id, then smallest doc_id, then text hash, then
+position), and the match grows line by line to both sides as long as the lines agree. What it then covers goes if it is
+two lines or more with ``least_words`` words, or a line of ``passage_words``, and if its bytes are those of the first
+occurrence, which stays. So brackets, short answers and the like are left alone, and a repeated passage goes whole.
+Blank lines are no part of a chunk; those behind a removed line go with it.
+
+Rows that repeat count once. A hash, or a first text, that more than one in ``hot_share`` of all rows meet is dealt over
+``salts`` tasks with as many copies: there are ``hot_share`` such at most, which bounds the broadcast list of them.
+
+Defined cases: null text stays null; a text may become empty, its row stays; rows that repeat (same doc_id and text) are
+edited alike, the first ones of a passage all stay; columns of any other name pass through; ``n_chars``, if there, is the
+new length of a cut text; a hash collision of different chunks keeps both.
 """
 
 from __future__ import annotations
@@ -22,10 +25,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logfold.llm.common import boxed, let, unboxed, written
+from logfold.llm.common import KEY, boxed, key_of, let, unboxed, written
 
 PRIME = 2_147_483_629
-KEY = ["has_id", "k", "h"]
+SPAN = "struct<first:int,last:int>"
 
 
 def lines_of(text: Column) -> Column:
@@ -38,23 +41,28 @@ def _weighted(factor: int):
     return lambda x, y: x + y * factor
 
 
-def boundaries(hashes: Column, window: int, mean: int) -> Column:
-    """Places (0-based, in order) of the lines that end a chunk."""
+def boundaries(hashes: Column, window: int) -> Column:
+    """Places (0-based, in order) of the lines that end a chunk: local minima of the rolling hash."""
+    nothing = F.array(F.lit(None).cast("long"))
+
     def rolled(small: Column) -> Column:
         out = small
         for k in range(1, window):
             earlier = F.concat(F.array_repeat(F.lit(None).cast("long"), k), small)
             out = F.zip_with(out, earlier, _weighted(31**k))  # null where the window is not full
-        return F.transform(F.slice(out, 1, F.size(small)), lambda x: F.coalesce(F.pmod(x, F.lit(mean)) == 0, F.lit(False)))
+        return F.slice(out, 1, F.size(small))
 
-    def firsts(hit: Column) -> Column:
-        alone = F.zip_with(hit, F.concat(F.array(F.lit(False)), hit), lambda now, before: now & ~before)
-        return F.filter(F.transform(alone, lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
+    def least(r: Column) -> Column:
+        falls = F.zip_with(r, F.concat(nothing, r), lambda now, before: now < before)
+        stays = F.zip_with(r, F.concat(F.slice(r, 2, F.greatest(F.size(r), F.lit(1))), nothing), lambda now, after: now <= after)
+        hit = F.zip_with(falls, stays, lambda a, b: F.coalesce(a & b, F.lit(False)))
+        return F.filter(F.transform(hit, lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
 
-    return let(let(F.transform(hashes, lambda x: F.pmod(x, F.lit(PRIME).cast("long"))), rolled), firsts)
+    return let(let(F.transform(hashes, lambda x: F.pmod(x, F.lit(PRIME).cast("long"))), rolled), least)
 
 
 def _spans(n: Column, ends: Column, longest: int) -> Column:
+    """The lines between boundaries, cut after ``longest`` lines."""
     def cut(closed: Column) -> Column:
         starts = F.concat(F.array(F.lit(0)), F.transform(closed, lambda i: i + 1))
         spans = F.filter(F.zip_with(starts, closed, lambda a, b: F.struct(a.alias("first"), b.alias("last"))), lambda s: s["last"].isNotNull())
@@ -63,63 +71,98 @@ def _spans(n: Column, ends: Column, longest: int) -> Column:
     return let(F.array_union(F.filter(ends, lambda i: i < n - 1), F.array(n - 1)), cut)
 
 
-def units(text: Column, window: int, mean: int, longest: int, passage_words: int) -> Column:
-    """(first, last, hash) over the non-blank lines: chunks of three lines or more, all pairs, long single lines."""
-    nothing = F.array().cast("array<struct<first:int,last:int>>")
+def units(text: Column, window: int, longest: int, passage_words: int) -> Column:
+    """(first, last, hash) of a text's chunks over its non-blank lines."""
+    nothing = F.array().cast(f"array<{SPAN}>")
 
     def of_lines(found: Column) -> Column:
         n = F.size(found)
+        wordy = F.transform(found, lambda x, i: F.when((F.length(x["line"]) >= 2 * passage_words - 1) & (F.regexp_count(x["line"], F.lit(r"\S+")) >= passage_words), F.struct(i.alias("first"), i.alias("last"))))
 
         def of_hashes(hashes: Column) -> Column:
-            chunks = F.filter(_spans(n, boundaries(hashes, window, mean), longest), lambda s: s["last"] > s["first"] + 1)
-            pairs = F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.struct(i.alias("first"), (i + 1).alias("last")))).otherwise(nothing)
-            wordy = F.transform(found, lambda x, i: F.when((F.length(x["line"]) >= 2 * passage_words - 1) & (F.regexp_count(x["line"], F.lit(r"\S+")) >= passage_words), F.struct(i.alias("first"), i.alias("last"))))
-            every = F.concat(F.when(n > 2, chunks).otherwise(nothing), pairs, F.filter(wordy, lambda x: x.isNotNull()))
-            return F.transform(every, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"), F.xxhash64(F.slice(hashes, s["first"] + 1, s["last"] - s["first"] + 1)).alias("hash")))
+            def of_ends(ends: Column) -> Column:
+                chunks = F.filter(_spans(n, ends, longest), lambda s: s["last"] > s["first"])
+                meet = F.transform(F.filter(ends, lambda i: i < n - 1), lambda i: F.struct(i.alias("first"), (i + 1).alias("last")))
+                every = F.array_union(F.when(n > 1, F.concat(chunks, meet)).otherwise(nothing), F.filter(wordy, lambda x: x.isNotNull()))
+                return F.transform(every, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"), F.xxhash64(F.slice(hashes, s["first"] + 1, s["last"] - s["first"] + 1)).alias("hash")))
+
+            return let(boundaries(hashes, window), of_ends)
 
         return let(F.transform(found, lambda x: F.xxhash64(x["line"])), of_hashes)
 
     return let(lines_of(text), of_lines)
 
 
-def _key(docs: DataFrame) -> dict[str, Column]:
-    return {"has_id": F.col("doc_id").isNotNull(), "k": F.coalesce("doc_id", F.lit(0)), "h": F.xxhash64("text")}
+ORIGIN = ["o_has_id", "o_k", "o_h"]
+
+
+def _grown(own: Column, theirs: Column, delta: Column, words: Column, seeds: Column, least_words: int, passage_words: int) -> Column:
+    """(first, last) runs of lines that agree with those ``delta`` places before in the other text, about the seeds, if long enough."""
+    low, high = F.greatest(F.lit(0), delta), F.least(F.size(own), F.size(theirs) + delta) - 1
+    same = F.transform(F.sequence(low, high), lambda i: F.get(own, i) == F.get(theirs, i - delta))
 
+    def runs(agree: Column) -> Column:
+        edge = F.array(F.lit(False))
+        begins = F.zip_with(agree, F.concat(edge, agree), lambda now, before: F.coalesce(now & ~before, F.lit(False)))
+        ends = F.zip_with(agree, F.concat(F.slice(agree, 2, F.greatest(F.size(agree), F.lit(1))), edge), lambda now, after: F.coalesce(now & ~after, F.lit(False)))
+        places = lambda flags: F.filter(F.transform(flags, lambda x, i: F.when(x, i + low)), lambda i: i.isNotNull())
+        return F.zip_with(places(begins), places(ends), lambda a, b: F.struct(a.alias("first"), b.alias("last")))
 
-def repeated_lines(docs: DataFrame, window: int = 2, mean: int = 4, longest: int = 64, passage_words: int = 50, hot_share: int = 2000, salts: int = 64) -> DataFrame:
+    def long_enough(run: Column) -> Column:
+        counts = F.slice(words, run["first"] + 1, run["last"] - run["first"] + 1)
+        total = F.aggregate(counts, F.lit(0), lambda a, x: a + x)
+        return F.exists(seeds, lambda s: (s >= run["first"]) & (s <= run["last"])) & (((run["last"] > run["first"]) & (total >= least_words)) | (total >= passage_words))
+
+    return F.filter(let(same, runs), long_enough)
+
+
+def repeated_lines(docs: DataFrame, window: int = 2, longest: int = 64, passage_words: int = 50, least_words: int = 20, hot_share: int = 2000, salts: int = 64) -> DataFrame:
     """(has_id, k, h, gone): for the rows of a doc_id and text hash the places of non-blank lines that go."""
-    texts = docs.where("text IS NOT NULL").select(*(c.alias(n) for n, c in _key(docs).items()), "text")
-    at = written(texts.select(*KEY, F.explode(units(F.col("text"), window, mean, longest, passage_words)).alias("u")).select(*KEY, "u.*"))
+    texts = docs.where("text IS NOT NULL").select(*(c.alias(n) for n, c in key_of().items()), "text").dropDuplicates(KEY)
+    at = written(texts.select(*KEY, F.explode(units(F.col("text"), window, longest, passage_words)).alias("u")).select(*KEY, "u.*"))
     hot = max(64, at.count() // hot_share)
-    first = at.groupBy("hash").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct(*KEY, "first", "last")).alias("origin"))
-    first = written(first.where("times > 1"))
-    common = F.broadcast(first.where(F.col("times") > hot).select("hash", F.lit(True).alias("hot")))
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64(*KEY, "first"), F.lit(salts).cast("long"))).otherwise(F.lit(0).cast("long"))
-    copies = F.when(F.col("times") > hot, F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
-    origins = first.withColumn("salt", F.explode(copies)).select("hash", "salt", "origin")
-    again = at.join(common, "hash", "left").withColumn("salt", salt).drop("hot").join(origins, ["hash", "salt"]).where(F.struct(*KEY, "first", "last") != F.col("origin"))
-    again = written(again.select(*KEY, "first", "last", "hash", "salt"))
-    chunks, small = again.where("last > first + 1"), again.where("last <= first + 1")
-    covered = chunks.select(*KEY, F.explode(F.sequence(F.col("first"), F.col("last") - 1)).alias("first"))
-    asked = chunks.unionByName(small.join(covered, [*KEY, "first"], "left_anti").select(*chunks.columns)).withColumn("own", F.lit(True))
-    asked = written(asked)
-    wanted = origins.join(asked.select("hash", "salt").distinct(), ["hash", "salt"], "left_semi").select("origin.*", "hash", "salt", F.lit(False).alias("own"))
-    of_doc = written(asked.unionByName(wanted).groupBy(*KEY).agg(F.collect_list(F.struct("first", "last", "hash", "salt", "own")).alias("units")))
-    cut = lambda found: F.transform("units", lambda u: F.struct(
-        u["first"].alias("first"), u["last"].alias("last"), u["hash"].alias("hash"), u["salt"].alias("salt"), u["own"].alias("own"),
-        F.array_join(F.transform(F.slice(found, u["first"] + 1, u["last"] - u["first"] + 1), lambda x: x["line"]), "\n").alias("chunk")))
-    # rows that repeat have equal units: one of each is enough; both tables grow with the corpus
-    shown = written(texts.join(of_doc.hint("merge"), KEY).select(*KEY, F.explode(let(lines_of(F.col("text")), cut)).alias("u")).select(*KEY, "u.*"))
-    kept = shown.where("NOT own").select("hash", "salt", F.col("chunk").alias("kept")).dropDuplicates(["hash", "salt"])
-    same = shown.where("own").join(kept, ["hash", "salt"]).where(F.col("chunk") == F.col("kept"))
+
+    def dealt(rows: DataFrame, copied: DataFrame, on: list[str]) -> DataFrame:
+        """``rows`` joined with ``copied`` (on, times, ...), of which more than ``hot`` rows meet some."""
+        common = F.broadcast(copied.where(F.col("times") > hot).select(*on, F.lit(True).alias("hot")))  # hot_share rows at most
+        salt = F.when(F.col("hot"), F.pmod(F.xxhash64(*KEY, "first"), F.lit(salts).cast("long"))).otherwise(F.lit(0).cast("long"))
+        copies = F.when(F.col("times") > hot, F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+        return rows.join(common, on, "left").withColumn("salt", salt).drop("hot").join(copied.withColumn("salt", F.explode(copies)).drop("times").hint("merge"), [*on, "salt"]).drop("salt")
+
+    first = at.groupBy("hash").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct(*KEY, "first", "last")).alias("origin")).where("times > 1")
+    again = dealt(at, written(first), ["hash"]).where(F.struct(*KEY, "first", "last") != F.col("origin"))
+    matched = again.select(*KEY, "first", *(F.col(f"origin.{c}").alias(o) for c, o in zip(KEY, ORIGIN, strict=True)), (F.col("first") - F.col("origin.first")).alias("delta"))
+    # one row for two texts and their shift, whatever number of chunks tells of it; a shift in one text looks back
+    pairs = written(matched.groupBy(*KEY, *ORIGIN, "delta").agg(F.collect_set("first").alias("seeds"), F.min("first").alias("first")))
+    met = pairs.select(*KEY).unionByName(pairs.select(*(F.col(o).alias(c) for c, o in zip(KEY, ORIGIN, strict=True)))).distinct()
+    asked = texts.join(met.hint("merge"), KEY, "left_semi")
+    shape = lambda found: F.struct(F.transform(found, lambda x: F.xxhash64(x["line"])).alias("hashes"), F.transform(found, lambda x: F.regexp_count(x["line"], F.lit(r"\S+"))).alias("words"))
+    shapes = written(asked.select(*KEY, let(lines_of(F.col("text")), shape).alias("s")).select(*KEY, "s.*"))
+    theirs = shapes.select(*(F.col(c).alias(o) for c, o in zip(KEY, ORIGIN, strict=True)), F.col("hashes").alias("theirs"))
+    times = pairs.groupBy(*ORIGIN).agg(F.count(F.lit(1)).alias("times"))
+    beside = dealt(pairs.join(shapes.hint("merge"), KEY), theirs.join(times, ORIGIN), ORIGIN)
+    runs = beside.select(*KEY, *ORIGIN, "delta", F.explode(_grown(F.col("hashes"), F.col("theirs"), F.col("delta"), F.col("words"), F.col("seeds"), least_words, passage_words)).alias("r"))
+    runs = written(runs.select(*KEY, *ORIGIN, "delta", "r.*"))
+
+    # the bytes of both sides: those of a first text's run are read once, however many texts repeat it
+    mine = runs.select(*KEY, "first", "last", F.lit(True).alias("own"))
+    kept = runs.select(*(F.col(o).alias(c) for c, o in zip(KEY, ORIGIN, strict=True)), (F.col("first") - F.col("delta")).alias("first"), (F.col("last") - F.col("delta")).alias("last"), F.lit(False).alias("own")).distinct()
+    spans = written(mine.distinct().unionByName(kept).groupBy(*KEY).agg(F.collect_list(F.struct("first", "last", "own")).alias("spans")))
+    cut = lambda found: F.transform("spans", lambda u: F.struct(u["first"].alias("first"), u["last"].alias("last"), u["own"].alias("own"), F.array_join(F.transform(F.slice(found, u["first"] + 1, u["last"] - u["first"] + 1), lambda x: x["line"]), "\n").alias("chunk")))
+    shown = written(texts.join(spans.hint("merge"), KEY).select(*KEY, F.explode(let(lines_of(F.col("text")), cut)).alias("u")).select(*KEY, "u.*"))
+    said = shown.where("NOT own").select(*(F.col(c).alias(o) for c, o in zip(KEY, ORIGIN, strict=True)), F.col("first").alias("o_first"), F.col("last").alias("o_last"), F.col("chunk").alias("kept"))
+    at_origin = runs.withColumn("o_first", F.col("first") - F.col("delta")).withColumn("o_last", F.col("last") - F.col("delta")).drop("delta")
+    place = [*ORIGIN, "o_first", "o_last"]
+    sources = said.join(at_origin.groupBy(*place).agg(F.count(F.lit(1)).alias("times")), place)
+    same = dealt(at_origin, sources, place).join(shown.where("own").select(*KEY, "first", "last", "chunk").hint("merge"), [*KEY, "first", "last"]).where(F.col("chunk") == F.col("kept"))
     places = F.array_distinct(F.flatten(F.collect_list(F.sequence("first", "last"))))
     return same.groupBy(*KEY).agg(places.alias("gone"))
 
 
-def drop_repeated_chunks(docs: DataFrame, window: int = 2, mean: int = 4, longest: int = 64, passage_words: int = 50) -> DataFrame:
+def drop_repeated_chunks(docs: DataFrame, window: int = 2, longest: int = 64, passage_words: int = 50, least_words: int = 20) -> DataFrame:
     """The same rows and columns, repeated passages cut from the texts."""
-    gone = written(repeated_lines(docs, window, mean, longest, passage_words))
-    joined = boxed(docs, **_key(docs)).join(gone.hint("merge"), KEY, "left")  # no bound holds for its size
+    gone = written(repeated_lines(docs, window, longest, passage_words, least_words))
+    joined = boxed(docs, **key_of()).join(gone.hint("merge"), KEY, "left")  # no bound holds for its size
     lines = F.split(F.col("row.text"), "\n", -1)
 
     def rest(s: Column) -> Column:
