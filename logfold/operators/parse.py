@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logfold.functions.text import quoted
 from logfold.operators.govern import repeated, unresolved
 from logfold.operators.templates import SLOT
+from logfold.sources.shared import remove
 
 CASTS = {"string": "string", "int": "int", "long": "bigint", "real": "double", "datetime": "timestamp", "bool": "boolean"}
 
@@ -57,3 +59,54 @@ def normalize_events(assigned: DataFrame, specs: DataFrame, declared: dict[str,
     rows = extracted(assigned, specs)
     cols = [F.expr(f"try_cast(fields['{name}'] AS {CASTS[kind]})").alias(name) for name, kind in declared.items()]
     return rows.select("ord", "cluster_id", F.col("schema_name").alias("EventSchema"), F.col("vendor").alias("EventVendor"), F.col("product").alias("EventProduct"), *cols)
+
+
+#: Why a line gives no row in any schema's table.
+REASONS = ("no_template", "no_parser", "no_match", "undeclared_schema")
+
+
+def routed(assigned: DataFrame, specs: DataFrame, declared: dict[str, dict[str, str]]) -> DataFrame:
+    """(ord, text, cluster_id, EventSchema, EventVendor, EventProduct, fields, reason): every line, once.
+
+    ``declared`` has the fields of each schema with their transforms. Lines that no parser takes keep their text and the
+    reason, one of REASONS; the others have the captured values by field. Works on streams: the specs are a static side.
+    """
+    order = F.transform(F.array_sort(F.transform("mappings", lambda m: F.regexp_extract(m["slot_id"], "[0-9]+", 0).cast("int"))), lambda i: F.concat(F.lit("p"), i.cast("string")))
+    ready = specs.withColumn("groups", order).select("cluster_id", "pattern", "schema_name", "vendor", "product", "mappings", "groups")
+    rows = assigned.select("ord", "text", "cluster_id").join(ready, "cluster_id", "left")
+    reason = (
+        F.when(F.col("cluster_id").isNull(), "no_template").when(F.col("pattern").isNull(), "no_parser").when(~F.expr("text rlike pattern"), "no_match").when(~F.col("schema_name").isin(*declared), "undeclared_schema")
+    )
+    value = "map_from_entries(transform(mappings, m -> struct(m.field, regexp_extract(text, pattern, cast(array_position(groups, m.slot_id) AS int)))))"
+    taken = lambda c: F.when(F.col("reason").isNull(), c)
+    return rows.withColumn("reason", reason).select(
+        "ord", "text", "cluster_id", taken(F.col("schema_name")).alias("EventSchema"), taken(F.col("vendor")).alias("EventVendor"), taken(F.col("product")).alias("EventProduct"), taken(F.expr(value)).alias("fields"), "reason",
+    )
+
+
+def schema_table(rows: DataFrame, schema: str, declared: dict[str, str]) -> DataFrame:
+    """The table of one schema out of ``routed`` lines: its declared fields with their types, and ``uncast``, the fields whose
+    value did not take its type and is null. Mapped fields that the schema does not declare are listed in ``undeclared``."""
+    own = rows.where(F.col("EventSchema") == schema)
+    cast = {name: F.expr(f"try_cast(fields['{name}'] AS {CASTS[kind]})") for name, kind in declared.items()}
+    failed = F.filter(F.array(*(F.when(F.expr(f"fields['{name}'] IS NOT NULL") & c.isNull(), name) for name, c in cast.items())), lambda x: x.isNotNull()) if cast else F.array().cast("array<string>")
+    undeclared = F.array_sort(F.array_except(F.map_keys("fields"), F.array(*map(F.lit, declared)).cast("array<string>")))
+    return own.select("ord", "cluster_id", "EventVendor", "EventProduct", *(c.alias(name) for name, c in cast.items()), failed.alias("uncast"), undeclared.alias("undeclared"))
+
+
+def write_schemas(rows: DataFrame, folder: str, declared: dict[str, dict[str, str]], batch: int = 0) -> None:
+    """Writes ``routed`` lines as one table for each declared schema, ``<folder>/<schema>``, and the rest with their reasons as
+    ``<folder>/unparsed``.
+
+    The lines are parsed in one pass, into a staging table by schema; each table then reads its own part. A batch that is
+    written again takes the place of its first write, so a stream that restarts leaves every line once.
+    """
+    spark = rows.sparkSession
+    stage = f"{folder.rstrip('/')}/staging-{batch}"
+    rows.withColumn("part", F.coalesce("EventSchema", F.lit(""))).write.mode("overwrite").partitionBy("part").parquet(stage)
+    staged = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("part", T.StringType())])).parquet(stage)
+    for schema, fields in declared.items():
+        own = staged.where(F.col("part") == schema)
+        schema_table(own, schema, fields).write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{schema}/batch={batch}")
+    staged.where("reason IS NOT NULL").select("ord", "cluster_id", "text", "reason").write.mode("overwrite").parquet(f"{folder.rstrip('/')}/unparsed/batch={batch}")
+    remove(spark, stage)

@@ -298,6 +298,16 @@ def par_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.normalize_events(assigned, specs, {"SrcIpAddr": "string", "DstPortNumber": "int", "TargetUsername": "string", "ActorUsername": "string", "PolicyName": "string"}).fillna(-1, ["DstPortNumber"])
 
 
+_DECLARED = {"NetworkSession": {"SrcIpAddr": "string", "DstPortNumber": "int"}, "Authentication": {"TargetUsername": "string", "SrcIpAddr": "string"}, "AuditEvent": {"ActorUsername": "string", "PolicyName": "string"}}
+
+
+def par_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event with the schema whose table takes it and the values that go there, or the reason why none does."""
+    assigned, (specs, _, _) = _specs(spark, sf_dir)
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("fields")), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return parse.routed(assigned, specs, _DECLARED).select("ord", "EventSchema", F.coalesce(shown, F.lit("")).alias("shown"), "reason")
+
+
 def par_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _specs(spark, sf_dir)[1][1]
 
@@ -305,7 +315,7 @@ def par_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = [
     met_case_scores, met_typed_scores, met_field_f1, met_source_f1, met_facets, met_schema_ranks, met_field_ranks, met_recall_at_gold, met_pairs, met_template_pairs, met_baseline_delta, sta_groups, sta_adequacy, sta_bootstrap, sta_permutation, sta_detectable,
     sta_risk_coverage, sta_risk_area, sta_confidence, met_facet_summary, met_guards, spl_contract, val_predictions, spl_violations, spl_frozen, spl_selected, ann_blinded, ann_promotion, ann_adjudications, red_governing,
-    per_variants, per_compound, per_opaque_labels, per_decoy_events, per_swapped_roles, per_robustness, per_robustness_rows, par_normalized, par_skipped,
+    per_variants, per_compound, per_opaque_labels, per_decoy_events, per_swapped_roles, per_robustness, per_robustness_rows, par_normalized, par_routed, par_skipped,
 ]
 
 def _typed_sql(name: str, columns: str) -> str:
@@ -409,5 +419,8 @@ ORACLE = {
     "par_normalized": f"""WITH {logs.ASSIGNED_CTE}, w AS (SELECT *, string_split(text, ' ')[2:] AS w FROM a WHERE event_type IN ('view', 'error', 'purchase')) SELECT ord, cluster_id, CASE event_type WHEN 'view' THEN 'NetworkSession' WHEN 'error' THEN 'Authentication' ELSE 'AuditEvent' END AS EventSchema, 'v' AS EventVendor, 'p' AS EventProduct,
  CASE event_type WHEN 'view' THEN w[7] WHEN 'error' THEN w[10] END AS SrcIpAddr, CASE event_type WHEN 'view' THEN CAST(w[12] AS INTEGER) ELSE -1 END AS DstPortNumber, CASE event_type WHEN 'error' THEN w[8] END AS TargetUsername,
  CASE event_type WHEN 'purchase' THEN w[5] END AS ActorUsername, CASE event_type WHEN 'purchase' THEN w[8] END AS PolicyName FROM w""",
+    "par_routed": f"""WITH {logs.ASSIGNED_CTE}, w AS (SELECT *, string_split(text, ' ')[2:] AS w FROM a) SELECT ord, CASE event_type WHEN 'view' THEN 'NetworkSession' WHEN 'error' THEN 'Authentication' WHEN 'purchase' THEN 'AuditEvent' END AS EventSchema,
+ CASE event_type WHEN 'view' THEN 'DstPortNumber=' || w[12] || ',SrcIpAddr=' || w[7] WHEN 'error' THEN 'SrcIpAddr=' || w[10] || ',TargetUsername=' || w[8] WHEN 'purchase' THEN 'ActorUsername=' || w[5] || ',PolicyName=' || w[8] ELSE '' END AS shown,
+ CASE WHEN event_type NOT IN ('view', 'error', 'purchase') THEN 'no_parser' END AS reason FROM w""",
     "par_skipped": f"WITH {logs.ASSIGNED_CTE}, k AS (SELECT cluster_id, min(event_type) AS e FROM a GROUP BY 1) SELECT CASE e WHEN 'click' THEN 'rejected' ELSE 'needs_work' END AS reason, count(*) AS n FROM k WHERE e NOT IN ('view', 'error', 'purchase') GROUP BY 1",
 }

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logfold.operators import parse, setsim, templates
-from logfold.streaming.parse import normalize_stream
+from logfold.streaming.parse import normalize_stream, stream_schemas
 
 
 def plain_leaders(patterns: list[tuple[str, int, int]], similarity: float, depth: int = 5) -> dict[str, str]:
@@ -129,3 +129,34 @@ def test_literals_of_any_kind(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("literals").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(r.N for r in spark.table("literals").collect()) == [7, 8, 9]
+
+
+def test_a_table_for_every_schema_in_batch_and_stream(spark, tmp_path):
+    """Each schema has its own fields and types, lines without a parser keep their reason, a repeated batch changes nothing."""
+    lines = [*(f"net conn from 10.0.0.{i} port {i}" for i in range(4)), *(f"auth user u{i} failed now" for i in range(3)), "disk full on sda1", "net conn from 10.0.0.9 port 99999999999", "never mined before"]
+    events = spark.createDataFrame(list(enumerate(lines)), "ord long, text string")
+    named = templates.pattern_templates(templates.distinct_patterns(events.where("ord < 9"), [*templates.MASKS, ("TEXT", r"\bu[0-9]+\b")]), "s").cache()
+    masks = [*templates.MASKS, ("TEXT", r"\bu[0-9]+\b")]
+    clusters = named.select("cluster_id", "template").distinct()
+    kind = F.when(F.col("template").startswith("net"), "Net").when(F.col("template").startswith("auth"), "Auth").otherwise("Odd")
+    reviews = clusters.select("cluster_id", F.when(F.col("template").startswith("disk"), "rejected").otherwise("approved").alias("status"), kind.alias("schema_name"), F.lit("v").alias("vendor"), F.lit("p").alias("product"))
+    rows = [("Net", "p1", "Src", "string"), ("Net", "p2", "Port", "int"), ("Auth", "p1", "User", "string"), ("Auth", "p1", "Other", "string")][:3]
+    table = spark.createDataFrame(rows, "schema_name string, slot_id string, field string, transform string")
+    specs = parse.build_parser_specs(clusters, reviews, reviews.join(table, "schema_name").select("cluster_id", "slot_id", "field", "transform"))[0].cache()
+    declared = {"Net": {"Src": "string", "Port": "int"}, "Auth": {"User": "string"}}
+    assigned = events.withColumn("masked", templates.masked(F.col("text"), masks)).join(named.select("masked", "cluster_id"), "masked", "left")
+    for _ in range(2):
+        parse.write_schemas(parse.routed(assigned, specs, declared), str(tmp_path / "batch"), declared)
+    events.repartition(3).write.json(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ord long, text string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    stream_schemas(stream, specs, declared, named, str(tmp_path / "stream"), str(tmp_path / "marks"), masks).awaitTermination()
+    read = lambda where, name: sorted(map(str, spark.read.parquet(str(tmp_path / where / name)).drop("batch").collect()))
+    for name in ("Net", "Auth", "unparsed"):
+        assert read("batch", name) == read("stream", name)
+    net = {r.ord: r for r in spark.read.parquet(str(tmp_path / "batch/Net")).collect()}
+    assert net[2].Port == 2 and net[8].Port is None and net[8].uncast == ["Port"] and set(net) == {0, 1, 2, 3, 8}
+    assert "User" in spark.read.parquet(str(tmp_path / "batch/Auth")).columns and "Port" not in spark.read.parquet(str(tmp_path / "batch/Auth")).columns
+    assert {(r.ord, r.reason) for r in spark.read.parquet(str(tmp_path / "batch/unparsed")).collect()} == {(7, "no_parser"), (9, "no_template")}
+    assert sum(len(read("batch", n)) for n in ("Net", "Auth", "unparsed")) == len(lines)
+    odd = parse.routed(assigned.where("ord < 3"), specs, {"Auth": {"User": "string"}})
+    assert {r.reason for r in odd.collect()} == {"undeclared_schema"}
