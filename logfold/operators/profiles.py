@@ -11,35 +11,73 @@ from logfold.functions.text import concepts, let, lookup, trigrams
 MAX_PORT = 65535
 
 
-def profile_values(df: DataFrame, keys: list[str], value_col: str) -> DataFrame:
-    """One row per key: shape, counts, lengths, range, entropy and flags of its non-blank values.
-
-    Two aggregates with map-side partials: one over values, one over (key, character).
-    """
-    values = df.select(*keys, F.regexp_replace(value_col, r"^\s+|\s+$", "").alias("v"))
-    filled = values.where("v <> ''")
-    share = [F.avg(F.col("v").rlike(p).cast("double")).alias(f"__{name}") for name, p in vocab.SHAPES]
-    number = F.expr("try_cast(v AS double)")
-    flat = filled.groupBy(*keys).agg(
-        *share, F.count(F.lit(1)).alias("sample_count"), F.count_distinct("v").alias("distinct_count"), F.min(F.length("v")).alias("min_length"), F.max(F.length("v")).alias("max_length"),
-        F.min(number).alias("__low"), F.max(number).alias("__high"), F.bool_or(F.col("v").rlike("[A-Za-z\\p{L}]")).alias("has_letters"), F.bool_or(F.col("v").rlike("[0-9]")).alias("has_digits"),
-        F.bool_or(F.col("v").rlike(r"[^\p{L}\p{N}\s]")).alias("has_punctuation"),
+_SUMS, _LEAST, _MOST, _ANY = [f"is_{name}" for name, _ in vocab.SHAPES], ["min_length", "low"], ["max_length", "high"], ["has_letters", "has_digits", "has_punctuation"]
+
+
+def value_counts(df: DataFrame, keys: list[str], value_col: str) -> DataFrame:
+    """(keys, v, n): the distinct trimmed values of every key with their counts, blanks as "". Adds up: counts of parts, summed
+    by (keys, v), are the counts of the whole. All further work is on distinct values."""
+    values = df.select(*keys, F.coalesce(F.regexp_replace(value_col, r"^\s+|\s+$", ""), F.lit("")).alias("v"))
+    return values.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
+
+
+def profile_states(counts: DataFrame, keys: list[str], distinct: str = "exact") -> DataFrame:
+    """One row per key that holds all that a profile needs: matches of each shape, count, lengths, range, flags, characters and
+    the number of distinct values, ``exact`` or as a mergeable ``sketch``."""
+    filled = F.col("v") != ""
+    weighed = lambda c: F.coalesce(F.sum(F.when(filled & c, F.col("n"))), F.lit(0))
+    number, flag = F.expr("try_cast(v AS double)"), lambda p: F.coalesce(F.bool_or(filled & F.col("v").rlike(p)), F.lit(False))
+    seen = F.count(F.when(filled, 1)) if distinct == "exact" else F.hll_sketch_agg(F.when(filled, F.col("v")))
+    flat = counts.groupBy(*keys).agg(
+        *(weighed(F.col("v").rlike(p)).alias(f"is_{name}") for name, p in vocab.SHAPES), weighed(F.lit(True)).alias("sample_count"), seen.alias("distinct"),
+        F.min(F.when(filled, F.length("v"))).alias("min_length"), F.max(F.when(filled, F.length("v"))).alias("max_length"), F.min(F.when(filled, number)).alias("low"), F.max(F.when(filled, number)).alias("high"),
+        flag(r"[A-Za-z\p{L}]").alias("has_letters"), flag("[0-9]").alias("has_digits"), flag(r"[^\p{L}\p{N}\s]").alias("has_punctuation"),
+    )
+    # a value gives a row for each of its distinct characters, with how often it has it times how often the value occurs
+    each = F.transform(F.array_distinct(F.filter(F.split("v", ""), lambda c: c != "")), lambda c: F.struct(c.alias("ch"), ((F.length("v") - F.length(F.replace("v", c, F.lit("")))) * F.col("n")).alias("times")))
+    chars = counts.where(filled).select(*keys, F.explode(each).alias("c")).groupBy(*keys, "c.ch").agg(F.sum("c.times").alias("times"))
+    return flat.join(_characters(chars, keys), keys, "left")
+
+
+def _characters(chars: DataFrame, keys: list[str]) -> DataFrame:
+    return chars.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("ch", "times")))).alias("characters"))
+
+
+def merged_states(states: DataFrame, keys: list[str]) -> DataFrame:
+    """The states (with sketches) of parts of a table as those of the whole."""
+    flat = states.groupBy(*keys).agg(
+        *(F.sum(c).alias(c) for c in (*_SUMS, "sample_count")), F.hll_union_agg("distinct").alias("distinct"), *(F.min(c).alias(c) for c in _LEAST), *(F.max(c).alias(c) for c in _MOST), *(F.bool_or(c).alias(c) for c in _ANY),
     )
-    best = F.greatest(*(F.col(f"__{name}") for name, _ in vocab.SHAPES))
+    chars = states.select(*keys, F.explode("characters").alias("ch", "times")).groupBy(*keys, "ch").agg(F.sum("times").alias("times"))
+    return flat.join(_characters(chars, keys), keys, "left").select(*states.columns)
+
+
+def profiles_of(states: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key: shape, counts, lengths, range, entropy and flags; a key without values is an uninformative text."""
+    n = F.col("sample_count")
+    distinct = F.hll_sketch_estimate("distinct") if dict(states.dtypes)["distinct"] == "binary" else F.col("distinct")
+    best = F.greatest(*map(F.col, _SUMS))
     shape = F.lit("text")
     for name, _ in reversed(vocab.SHAPES):
-        shape = F.when((F.col(f"__{name}") == best) & (best > 0), name).otherwise(shape)
-    typed = flat.withColumn("physical_type", shape).withColumn("type_confidence", F.when(best > 0, F.round(best, 6)).otherwise(1.0))
+        shape = F.when((F.col(f"is_{name}") == best) & (best > 0), name).otherwise(shape)
+    typed = states.withColumn("physical_type", shape).withColumn("distinct_count", distinct.cast("bigint"))
     numeric = F.col("physical_type").isin("integer", "float")
-    typed = typed.withColumn("uniqueness", F.round(F.col("distinct_count") / F.col("sample_count"), 6)).withColumn("numeric_min", F.when(numeric, F.col("__low"))).withColumn("numeric_max", F.when(numeric, F.col("__high")))
-    typed = typed.withColumn("port_plausible", F.coalesce((F.col("physical_type") == "integer") & (F.col("numeric_min") >= 0) & (F.col("numeric_max") <= MAX_PORT), F.lit(False)))
-    chars = filled.select(*keys, F.explode(F.split("v", "")).alias("ch")).where("ch <> ''").groupBy(*keys, "ch").agg(F.count(F.lit(1)).alias("n"))
     # -sum(p log p) with p = n / N is log N - sum(n log n) / N
-    entropy = chars.groupBy(*keys).agg(F.round(F.log2(F.sum("n").cast("double")) - F.sum(F.col("n") * F.log2(F.col("n").cast("double"))) / F.sum("n"), 6).alias("character_entropy"))
-    named = typed.drop(*(f"__{n}" for n, _ in vocab.SHAPES), "__low", "__high").join(entropy, keys)
-    blank = df.select(*keys).distinct().join(named.select(*keys), keys, "left_anti")
-    empty = blank.select(*keys, *(F.lit({"physical_type": "text"}.get(c, 0 if t in ("bigint", "int", "double") and c not in ("numeric_min", "numeric_max") else (False if t == "boolean" else None))).cast(t).alias(c) for c, t in named.dtypes if c not in keys))
-    return named.unionByName(empty)
+    times = F.map_values("characters")
+    total = F.aggregate(times, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    entropy = let(F.struct(times.alias("t"), total.alias("s")), lambda c: F.log2(c["s"].cast("double")) - F.aggregate(c["t"], F.lit(0.0), lambda a, x: a + x * F.log2(x.cast("double"))) / c["s"])
+    low, high = F.when(numeric, F.col("low")), F.when(numeric, F.col("high"))
+    share = lambda c: F.when(n > 0, F.round(c / n, 6)).otherwise(0.0)
+    return typed.select(
+        *keys, "sample_count", "distinct_count", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("min_length", "max_length")), *_ANY, "physical_type", F.when(n == 0, 0.0).when(best > 0, F.round(best / n, 6)).otherwise(1.0).alias("type_confidence"),
+        share(F.col("distinct_count")).alias("uniqueness"), low.alias("numeric_min"), high.alias("numeric_max"), F.coalesce((F.col("physical_type") == "integer") & (low >= 0) & (high <= MAX_PORT), F.lit(False)).alias("port_plausible"),
+        F.coalesce(F.round(entropy, 6), F.lit(0.0)).alias("character_entropy"),
+    )
+
+
+def profile_values(df: DataFrame, keys: list[str], value_col: str) -> DataFrame:
+    """The profile of every key's non-blank values, exact."""
+    return profiles_of(profile_states(value_counts(df, keys, value_col), keys), keys)
 
 
 def dice(left: Column, right: Column) -> Column:

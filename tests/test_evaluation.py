@@ -24,6 +24,23 @@ def test_blank_key_and_port(spark):
     assert rows["a"].sample_count == 0 and rows["a"].physical_type == "text" and not rows["b"].port_plausible and rows["c"].port_plausible
 
 
+def test_profiles_of_parts_add_up(spark):
+    """States with sketches of any parts, merged, profile as the whole does; so do summed value counts."""
+    rows = [(f"k{i % 3}", v) for i, v in enumerate(["10", "443", " 443 ", "x-1", "", None, "ab c", "1.5", "é!", "10"] * 9 + [f"h{i}.example.org" for i in range(40)])] + [("blank", " "), ("blank", None)]
+    whole = spark.createDataFrame(rows, "key string, value string")
+    parts = [spark.createDataFrame(rows[i::4], "key string, value string") for i in range(4)]
+    keys = ["key"]
+    exact = profiles.profile_values(whole, keys, "value")
+    sketched = [profiles.profile_states(profiles.value_counts(p, keys, "value"), keys, "sketch") for p in parts]
+    union = sketched[0].unionByName(sketched[1]).unionByName(sketched[2]).unionByName(sketched[3])
+    merged = profiles.profiles_of(profiles.merged_states(union, keys), keys)
+    shown = lambda df: sorted(map(str, df.select(exact.columns).collect()))
+    assert shown(merged) == shown(exact)  # sketches of so few values are exact
+    counts = [profiles.value_counts(p, keys, "value") for p in parts]
+    summed = counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3]).groupBy("key", "v").agg(F.sum("n").alias("n"))
+    assert shown(profiles.profiles_of(profiles.profile_states(summed, keys), keys)) == shown(exact)
+
+
 def test_pair_metrics_example(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "b")], "p int, g string")
     assert tuple(metrics.pair_metrics(df, "p", "g").first()) == (0.333333, 0.5, 0.4, 0.75)
