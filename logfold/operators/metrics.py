@@ -88,6 +88,18 @@ def micro_macro(scores: DataFrame, by: tuple[str, ...] = ("approach",)) -> DataF
     return s.select(*by, F.round(_ratio(tp, tp + fp), 6).alias("precision"), F.round(_ratio(tp, tp + fn), 6).alias("recall"), F.round(f1_of(tp, fp, fn), 6).alias("f1"), "macro_f1")
 
 
+def micro_macro_by_family(scores: DataFrame, family: str, by: tuple[str, ...] = ("approach",)) -> DataFrame:
+    """``micro_macro`` of all cases, where ``family`` is null, and of each family, from one pass over the case scores.
+
+    Cases without a family count in the whole alone; ``whole`` tells its row from theirs.
+    """
+    per_case = scores.select(*by, F.col(family).alias(family), "tp", "fp", "fn", "f1")
+    sets = per_case.groupingSets([[*by, family], [*by]], *by, family).agg(
+        F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"), F.round(F.avg("f1"), 6).alias("macro_f1"), F.count(F.lit(1)).alias("n"), (F.grouping(family) == 1).alias("whole"))
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return sets.where(F.col("whole") | F.col(family).isNotNull()).select(*by, family, "whole", "n", F.round(_ratio(tp, tp + fp), 6).alias("precision"), F.round(_ratio(tp, tp + fn), 6).alias("recall"), F.round(f1_of(tp, fp, fn), 6).alias("f1"), "macro_f1")
+
+
 def facet_scores(cases: DataFrame, gold: DataFrame, pred: DataFrame) -> DataFrame:
     """(approach, facet, f1): micro F1 of each facet on (kind, locator, facet value)."""
     gold, pred = folded(gold), folded(pred)

@@ -59,6 +59,16 @@ def perturb(cases: DataFrame, name: str) -> DataFrame:
     return cases.withColumn("__new", new).where(F.col("__new") != before).withColumn("template", F.col("__new")).withColumn("case_id", F.concat("case_id", F.lit(f".{name}"))).drop("__new")
 
 
+def applicability(cases: DataFrame, names: list[str]) -> DataFrame:
+    """(perturbation, n, warning): the variants there are of each perturbation; one without any is a warning, not a pass."""
+    spark = cases.sparkSession
+    counts = [perturb(cases, n).agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("perturbation"), "n") for n in names]
+    found = counts[0] if counts else spark.createDataFrame([], "perturbation string, n long")
+    for more in counts[1:]:
+        found = found.unionByName(more)
+    return found.withColumn("warning", F.when(F.col("n") == 0, "no_variant"))
+
+
 def opaque_labels(slots: DataFrame) -> DataFrame:
     """Slot labels say nothing any more: f1, f2, ... by position."""
     return slots.withColumn("label", F.concat(F.lit("f"), F.regexp_extract("slot_id", "[0-9]+", 0))).withColumn("case_id", F.concat("case_id", F.lit(".opaque-labels")))

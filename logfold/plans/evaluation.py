@@ -77,6 +77,12 @@ def met_typed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.set_scores(cases, typed(gold, "gold_field"), typed(pred, "pred_field"), ["kind", "locator", "field", "constant_value"])
 
 
+def met_family_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Field F1 of each approach over all cases and over those of each source, in one pass."""
+    family = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("case_id"), F.col("source").alias("family"))
+    return metrics.micro_macro_by_family(_field_scores(spark, sf_dir).join(family, "case_id"), "family")
+
+
 def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("case_id"), stats.group_key("source", "lang", F.lit(None)).alias("grp"))
     return _field_scores(spark, sf_dir).join(source, "case_id")
@@ -313,7 +319,7 @@ def par_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [
-    met_case_scores, met_typed_scores, met_field_f1, met_source_f1, met_facets, met_schema_ranks, met_field_ranks, met_recall_at_gold, met_pairs, met_template_pairs, met_baseline_delta, sta_groups, sta_adequacy, sta_bootstrap, sta_permutation, sta_detectable,
+    met_case_scores, met_typed_scores, met_family_f1, met_field_f1, met_source_f1, met_facets, met_schema_ranks, met_field_ranks, met_recall_at_gold, met_pairs, met_template_pairs, met_baseline_delta, sta_groups, sta_adequacy, sta_bootstrap, sta_permutation, sta_detectable,
     sta_risk_coverage, sta_risk_area, sta_confidence, met_facet_summary, met_guards, spl_contract, val_predictions, spl_violations, spl_frozen, spl_selected, ann_blinded, ann_promotion, ann_adjudications, red_governing,
     per_variants, per_compound, per_opaque_labels, per_decoy_events, per_swapped_roles, per_robustness, per_robustness_rows, par_normalized, par_routed, par_skipped,
 ]
@@ -364,6 +370,8 @@ ORACLE = {
  h AS (SELECT b.approach, b.case_id, sum(CASE WHEN place <= m AND g.case_id IS NOT NULL THEN 1 ELSE 0 END) AS h FROM b LEFT JOIN s USING (case_id) LEFT JOIN gold_field g ON g.case_id = b.case_id AND g.locator = b.locator AND g.field = b.field GROUP BY 1, 2)
  SELECT approach, case_id, round(CASE WHEN m IS NULL THEN CASE WHEN h IS NULL THEN 1.0 ELSE 0.0 END ELSE CAST(coalesce(h, 0) AS DOUBLE) / m END, 6) AS recall FROM cases LEFT JOIN s USING (case_id) LEFT JOIN h USING (approach, case_id)""",
     "met_pairs": "WITH " + _pairs_sql("SELECT vec_id % 3 AS part, vec_id * 7 % 5 + label AS pred, label FROM embeddings", "part", "pred", "label"),
+    "met_family_f1": f"""{_CS} SELECT * FROM (SELECT approach, source AS family, grouping(source) = 1 AS whole, count(*) AS n, CASE WHEN sum(tp + fp) = 0 THEN 0.0 ELSE round(CAST(sum(tp) AS DOUBLE) / sum(tp + fp), 6) END AS precision, CASE WHEN sum(tp + fn) = 0 THEN 0.0 ELSE round(CAST(sum(tp) AS DOUBLE) / sum(tp + fn), 6) END AS recall, round({_f1('sum(tp)', 'sum(fp)', 'sum(fn)')}, 6) AS f1, round(avg(f1), 6) AS macro_f1
+ FROM cs JOIN documents ON doc_id = case_id GROUP BY GROUPING SETS ((approach, source), (approach))) WHERE whole OR family IS NOT NULL""",
     "met_typed_scores": f"{_with('cases', 'gold_field', 'pred_field')}, {_scores_sql(_typed_sql('gold_field', 'case_id, kind, locator, field'), _typed_sql('pred_field', 'approach, case_id, kind, lower(locator) AS locator, field'), 'kind, locator, field, constant_value')} SELECT * FROM cs",
     "met_template_pairs": f"WITH {logs.ASSIGNED_CTE}, " + _pairs_sql("SELECT 'svc' AS one, cluster_id, event_type FROM a", "one", "cluster_id", "event_type"),
     "met_baseline_delta": "WITH n AS (SELECT source AS corpus_id, lang AS approach, round(avg(n_chars), 6) AS value FROM documents GROUP BY ALL), w AS (SELECT source AS corpus_id, lang AS approach, round(avg(n_chars), 6) AS was FROM documents WHERE doc_id % 2 = 0 AND source <> 'src1' GROUP BY ALL) SELECT corpus_id, approach, value, round(value - was, 6) AS baseline_delta FROM n LEFT JOIN w USING (corpus_id, approach)",

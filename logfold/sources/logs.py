@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import csv
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from logfold.functions.text import clean_line
-from logfold.sources.shared import written
+from logfold.sources.shared import remove, written
 
 #: The columns a catalogue file must have.
 CATALOG_COLUMNS = ("ColumnName", "ColumnType", "Class", "Schema", "LogicalType", "ListOfValues", "Aliased", "DynamicType", "ArrayValuesType")
@@ -300,10 +302,44 @@ def write_sorted(df: DataFrame, path: str, *keys: str, fmt: str = "parquet") ->
     df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").format(fmt).save(path)
 
 
+def _moved(spark: SparkSession, source: str, target: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(source).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.rename(path(source), path(target)):
+        raise OSError(f"{source} cannot become {target}")
+
+
 def write_with_manifest(df: DataFrame, path: str, *keys: str, revision: str = "", fmt: str = "parquet") -> DataFrame:
-    """Writes the table and, beside it, its manifest: one row (artefact, n_rows, fingerprint, revision), which is returned."""
-    write_sorted(df, path, *keys, fmt=fmt)
-    spark = df.sparkSession
-    manifest = table_digest(spark.read.format(fmt).schema(df.schema).load(path)).select(F.lit(path.rstrip("/").rsplit("/", 1)[-1]).alias("artefact"), "n_rows", "fingerprint", F.lit(revision).alias("revision"))
-    manifest.coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}.manifest")
-    return manifest
+    """Writes the table and, beside it, its manifest: one row (artefact, n_rows, fingerprint, revision), which is returned.
+
+    Both are one commit: the table is written aside, its digest is taken of what was written, the manifest of an older
+    table goes first, the table takes its place, and the new manifest comes last. Whatever stops in between leaves a table
+    without a manifest, which ``read_with_manifest`` refuses.
+    """
+    spark, place = df.sparkSession, path.rstrip("/")
+    aside, beside = f"{place}.staged-{uuid.uuid4().hex}", f"{place}.manifest"
+    write_sorted(df, aside, *keys, fmt=fmt)
+    manifest = table_digest(spark.read.format(fmt).schema(df.schema).load(aside)).select(F.lit(place.rsplit("/", 1)[-1]).alias("artefact"), "n_rows", "fingerprint", F.lit(revision).alias("revision"))
+    manifest.coalesce(1).write.json(f"{aside}.manifest")
+    remove(spark, beside, place)
+    _moved(spark, aside, place)
+    _moved(spark, f"{aside}.manifest", beside)
+    return spark.read.schema(MANIFEST).json(beside)
+
+
+MANIFEST = "artefact string, n_rows long, fingerprint string, revision string"
+
+
+def read_with_manifest(spark: SparkSession, path: str, schema: T.StructType | str | None = None, fmt: str = "parquet", revision: str | None = None) -> DataFrame:
+    """A table of ``write_with_manifest``; an error without its manifest, or if rows, fingerprint or revision are others."""
+    place = path.rstrip("/")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{place}.manifest")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        raise ValueError(f"{place} has no manifest")
+    told = spark.read.schema(MANIFEST).json(f"{place}.manifest").first()
+    reader = spark.read.format(fmt)
+    table = (reader.schema(schema) if schema is not None else reader).load(place)
+    found = table_digest(table).first()
+    if told is None or (told.n_rows, told.fingerprint) != (found.n_rows, found.fingerprint) or revision not in (None, told.revision):
+        raise ValueError(f"{place} is not what its manifest tells")
+    return table

@@ -231,3 +231,58 @@ def test_parser_skips_and_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted((r.ord, r.User, r.Code) for r in spark.sql("SELECT * FROM parsed").collect()) == [(1, "u", 77), (3, "v", 5)]
+
+
+def test_perturbations_without_variants_are_warnings(spark):
+    cases = spark.createDataFrame([("a", "words without any slot", [])], "case_id string, template string, constants array<string>")
+    assert {(r.perturbation, r.n, r.warning) for r in perturb.applicability(cases, ["uppercase", "decoy-slot", "swapped-direction"]).collect()} == {("uppercase", 1, None), ("decoy-slot", 0, "no_variant"), ("swapped-direction", 0, "no_variant")}
+
+
+def test_typed_constants_compare_as_values(spark):
+    """1, 1.0 and true are one value, "1" and "true" are strings, null is no value; keys keep large whole numbers apart."""
+    texts = ["1", "1.0", "true", '"1"', '"true"', "null", "0", "false", "2.5", "25e-1", "9007199254740993", "9007199254740992", "12345678901234567890123"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", metrics.typed_key(F.parse_json("t")).alias("k")).collect()
+    keys = {r.t: r.k for r in rows}
+    assert keys["1"] == keys["1.0"] == keys["true"] == "n:1" and keys["0"] == keys["false"] and keys["2.5"] == keys["25e-1"]
+    assert keys["null"] is None and keys['"1"'] == "s:1" and keys['"true"'] == "s:true" and len({keys[t] for t in texts[10:]}) == 3
+
+
+def test_approaches_by_name(spark):
+    """Undeclared columns, unknown names, missing references and baselines are errors before any row is read; the registry's
+    first prior is the baseline."""
+    from logfold.operators import approaches as registry
+
+    cases = spark.createDataFrame([(1, "r", "login failed for user <VAR:TEXT>", "Authentication", "login failed")], "case_id int, revision string, template string, schema_name string, text string")
+    slots = spark.createDataFrame([(1, "p1", "TEXT", "for user TEXT", ["u"])], "case_id int, slot_id string, label string, context string, examples array<string>")
+    fields = spark.createDataFrame([("Authentication", "TargetUser", "string", "Optional", "User", [], 1)], "schema_name string, field string, type string, class string, logical_type string, allowed_values array<string>, common_first int")
+    ranked = spark.createDataFrame([(1, 1, "Authentication", 1.0)], "case_id int, rank int, schema_name string, score double")
+    asked = registry.Requests(cases, slots, profiles.profile_values(slots.select("case_id", "slot_id", F.explode("examples").alias("v")), ["case_id", "slot_id"], "v"), fields, ranked)
+    run = registry.predict_all(["direct-lexical", "null-prior"], asked)
+    assert {(r.approach, r.disposition, r.oracle) for r in run.cases.collect()} == {("null-prior", "unresolved", "none"), ("direct-lexical", "mapped", "none")}
+    assert [(r.locator, r.field) for r in run.fields.collect()] == [("p1", "TargetUser")]
+    told = registry.told(asked, "both", spark.createDataFrame([(1, "Other")], "case_id int, schema_name string"), spark.createDataFrame([(1, "p1", "identity.actor.user")], "case_id int, locator string, role string"))
+    framed = registry.predict("semantic-frame", told)
+    assert framed.cases.first().oracle == "both" and framed.schemas.first().schema_name == "Other" and {r.role for r in framed.semantics.collect() if r.source_kind == "slot"} == {"identity.actor.user"}
+    for wrong, error in ((lambda: registry.predict("nothing", asked), "no such approach"), (lambda: registry.predict("case-retrieval", asked), "needs references"), (lambda: registry.told(asked, "all", cases, cases), "no such oracle")):
+        with pytest.raises(ValueError, match=error):
+            wrong()
+    registry.register("odd", "1")(lambda requests, references: {"fields": cases.select("case_id")})
+    try:
+        with pytest.raises(TypeError, match="source_kind string"):
+            registry.predict("odd", asked)
+        with pytest.raises(ValueError, match="already"):
+            registry.register("odd", "2")(lambda requests, references: {})
+    finally:
+        del registry.REGISTRY["odd"]
+    assert registry.default_baseline(["direct-lexical", "field-frequency-prior", "majority-schema-prior"]) == "majority-schema-prior" and registry.default_baseline(["direct-lexical"]) == "direct-lexical"
+
+
+def test_curves_of_equal_confidence_are_dealt_by_id(spark):
+    """Nine of ten cases have no confidence at all: many ranges share them, and the curve is that of a plain sum."""
+    rows = [(0, i, 0.0 if i % 10 else i / 3000, float(i % 3)) for i in range(3000)]
+    curve = stats.risk_coverage(spark.createDataFrame(rows, "approach int, case_id int, conf double, loss double").repartition(5), "conf", "loss", "approach", "case_id", range_rows=200)
+    got = {r.case_id: (r.coverage, r.risk) for r in curve.collect()}
+    total = 0.0
+    for k, (_, i, _, loss) in enumerate(sorted(rows, key=lambda r: (-r[2], r[1]))):
+        total += loss
+        assert got[i] == (round((k + 1) / 3000, 6), pytest.approx(total / (k + 1), abs=1e-6))

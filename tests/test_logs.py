@@ -187,3 +187,33 @@ def test_sink_with_manifest_and_reviews(spark, tmp_path):
         (tmp_path / f"m/{name}.json").parent.mkdir(exist_ok=True)
         (tmp_path / f"m/{name}.json").write_text(body)
     assert [r.id for r in logs.read_manifests(spark, str(tmp_path / "m"))[1].collect()] == ["x"]
+
+
+@pytest.mark.parametrize("stop", range(4))
+def test_table_and_manifest_are_one_commit(spark, tmp_path, monkeypatch, stop):
+    """Whatever step is the last one, a reader gets the old table, the new one, or an error, never a mixture."""
+    place = str(tmp_path / "t")
+    old, new = spark.range(5), spark.range(9)
+    logs.write_with_manifest(old, place, "id", revision="r1")
+    steps = iter(range(4))
+
+    def limited(run):
+        def step(*a, **k):
+            if next(steps) == stop:
+                raise RuntimeError("lost")
+            return run(*a, **k)
+        return step
+
+    for name in ("write_sorted", "remove", "_moved"):
+        monkeypatch.setattr(logs, name, limited(getattr(logs, name)))
+    with pytest.raises(RuntimeError, match="lost"):
+        logs.write_with_manifest(new, place, "id", revision="r2")
+    monkeypatch.undo()
+    if stop < 2:
+        assert logs.read_with_manifest(spark, place, revision="r1").count() == 5
+    else:
+        with pytest.raises(ValueError, match="no manifest"):
+            logs.read_with_manifest(spark, place)
+    assert logs.write_with_manifest(new, place, "id", revision="r2").first().n_rows == 9 and logs.read_with_manifest(spark, place, revision="r2").count() == 9
+    with pytest.raises(ValueError, match="not what"):
+        logs.read_with_manifest(spark, place, revision="r1")
