@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from logfold.llm.common import named, text_or_empty, total_bytes
+from logfold.llm.common import named, text_or_empty, total_bytes, written
 
 WORDS, FRACTION, SEED = 5, 1 / 4, 42
 RANGE = 1 << 31
@@ -123,8 +123,8 @@ def _dealt(docs: DataFrame, ranges: int, fan: int = 256) -> DataFrame:
     inside = min(ranges, fan)
     if inside == 1:
         return placed.withColumn("range", F.col("part").cast("long"))
-    # at most ``fan`` rows of ``fan`` numbers: half a megabyte
-    bounds = placed.groupBy("part").agg(F.array_sort(F.array_distinct(quantiles(inside))).alias("bounds"))
+    # at most ``fan`` rows of ``fan`` numbers: half a megabyte; written, so every use and every repeated stage has the same
+    bounds = written(placed.groupBy("part").agg(F.array_sort(F.array_distinct(quantiles(inside))).alias("bounds")))
     step = F.size(F.filter("bounds", lambda b: b <= F.col("place")))
     return placed.join(F.broadcast(bounds), "part").withColumn("range", (F.col("part") * (fan + 1) + step).cast("long")).drop("bounds")
 

@@ -179,8 +179,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, limit: int = 3, seed: int =
 
 # --- near copies by similarity: Golay keys link the dense groups, shingle sets that share a rare prefix find the rest --
 
-#: Documents whose shingles are counted to order all shingles, how many of the repeated ones are kept, and rounds of heads.
-ORDER_ROWS, ORDER_KEPT, HEAD_ROUNDS = 4096, 200_000, 3
+#: Documents whose shingles are counted to order all shingles (so many at least, and one in so many of all), how many of the
+#: repeated ones are kept, and rounds of heads.
+ORDER_ROWS, ORDER_SHARE, ORDER_KEPT, HEAD_ROUNDS = 4096, 64, 200_000, 3
 #: Bits of a parity sketch: whether an odd number of a set's hashes falls on a bit. Sets that differ in k hashes differ in k bits at most.
 SKETCH_BITS = 1024
 
@@ -275,7 +276,7 @@ def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _shingle_order(texts: DataFrame, rows: int, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Repeated shingles of a sample and their counts. They only say what comes last: any order finds the same pairs."""
-    share = int((1 << 20) * min(1.0, ORDER_ROWS / max(1, rows)))
+    share = int((1 << 20) * min(1.0, max(ORDER_ROWS / max(1, rows), 1 / ORDER_SHARE)))
     sample = texts.where(F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < share).select("node", "text").mapInArrow(_sets(words), "id long, shingles array<long>")
     counted = sample.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     found = counted.orderBy(F.desc("n"), "s").limit(ORDER_KEPT).toPandas()
