@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,9 +29,30 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Paths written in each open ``scope``, innermost last.
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end the tables that were written inside: what is to stay must have been written elsewhere by then.
+
+    Scopes nest; each removes its own tables, after an error too.
+    """
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(paths)
+        remove(spark, *paths)
+
+
 def written_at(df: DataFrame) -> tuple[DataFrame, str]:
     """The rows as a Parquet table in the shared folder, and its path."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/logfold-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path), path
 

@@ -217,3 +217,18 @@ def test_table_and_manifest_are_one_commit(spark, tmp_path, monkeypatch, stop):
     assert logs.write_with_manifest(new, place, "id", revision="r2").first().n_rows == 9 and logs.read_with_manifest(spark, place, revision="r2").count() == 9
     with pytest.raises(ValueError, match="not what"):
         logs.read_with_manifest(spark, place, revision="r1")
+
+
+def test_a_scope_removes_what_was_written_inside(spark):
+    from logfold.sources import shared
+
+    outside = shared.written_at(spark.range(2))[0]
+    with shared.scope(spark):
+        inner, path = shared.written_at(spark.range(3))
+        with pytest.raises(KeyError), shared.scope(spark):
+            deeper = shared.written_at(spark.range(4))[1]
+            raise KeyError
+        place = spark._jvm.org.apache.hadoop.fs.Path
+        there = lambda p: place(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(place(p))
+        assert inner.count() == 3 and there(path) and not there(deeper)
+    assert not there(path) and outside.count() == 2
