@@ -122,15 +122,17 @@ def repeated_lines(docs: DataFrame, window: int = 2, longest: int = 64, passage_
     at = written(texts.select(*KEY, F.explode(units(F.col("text"), window, longest, passage_words)).alias("u")).select(*KEY, "u.*"))
     hot = max(64, at.count() // hot_share)
 
-    def dealt(rows: DataFrame, copied: DataFrame, on: list[str]) -> DataFrame:
-        """``rows`` joined with ``copied`` (on, times, ...), of which more than ``hot`` rows meet some."""
-        common = F.broadcast(copied.where(F.col("times") > hot).select(*on, F.lit(True).alias("hot")))  # hot_share rows at most
+    def dealt(rows: DataFrame, copied: DataFrame, times: DataFrame, on: list[str]) -> DataFrame:
+        """``rows`` joined with ``copied``, of which some meet more than ``hot`` rows by the written ``times`` (on, times)."""
+        common = F.broadcast(times.where(F.col("times") > hot).select(*on, F.lit(True).alias("hot")))  # hot_share rows at most
         salt = F.when(F.col("hot"), F.pmod(F.xxhash64(*KEY, "first"), F.lit(salts).cast("long"))).otherwise(F.lit(0).cast("long"))
-        copies = F.when(F.col("times") > hot, F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
-        return rows.join(common, on, "left").withColumn("salt", salt).drop("hot").join(copied.withColumn("salt", F.explode(copies)).drop("times").hint("merge"), [*on, "salt"]).drop("salt")
+        copies = F.when(F.col("hot"), F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+        spread = copied.join(common, on, "left").withColumn("salt", F.explode(copies)).drop("hot")
+        return rows.join(common, on, "left").withColumn("salt", salt).drop("hot").join(spread.hint("merge"), [*on, "salt"]).drop("salt")
 
     first = at.groupBy("hash").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct(*KEY, "first", "last")).alias("origin")).where("times > 1")
-    again = dealt(at, written(first), ["hash"]).where(F.struct(*KEY, "first", "last") != F.col("origin"))
+    first = written(first)
+    again = dealt(at, first.drop("times"), first, ["hash"]).where(F.struct(*KEY, "first", "last") != F.col("origin"))
     matched = again.select(*KEY, "first", *(F.col(f"origin.{c}").alias(o) for c, o in zip(KEY, ORIGIN, strict=True)), (F.col("first") - F.col("origin.first")).alias("delta"))
     # one row for two texts and their shift, whatever number of chunks tells of it; a shift in one text looks back
     pairs = written(matched.groupBy(*KEY, *ORIGIN, "delta").agg(F.collect_set("first").alias("seeds"), F.min("first").alias("first")))
@@ -139,8 +141,8 @@ def repeated_lines(docs: DataFrame, window: int = 2, longest: int = 64, passage_
     shape = lambda found: F.struct(F.transform(found, lambda x: F.xxhash64(x["line"])).alias("hashes"), F.transform(found, lambda x: F.regexp_count(x["line"], F.lit(r"\S+"))).alias("words"))
     shapes = written(asked.select(*KEY, let(lines_of(F.col("text")), shape).alias("s")).select(*KEY, "s.*"))
     theirs = shapes.select(*(F.col(c).alias(o) for c, o in zip(KEY, ORIGIN, strict=True)), F.col("hashes").alias("theirs"))
-    times = pairs.groupBy(*ORIGIN).agg(F.count(F.lit(1)).alias("times"))
-    beside = dealt(pairs.join(shapes.hint("merge"), KEY), theirs.join(times, ORIGIN), ORIGIN)
+    times = written(pairs.groupBy(*ORIGIN).agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > hot))
+    beside = dealt(pairs.join(shapes.hint("merge"), KEY), theirs, times, ORIGIN)
     runs = beside.select(*KEY, *ORIGIN, "delta", F.explode(_grown(F.col("hashes"), F.col("theirs"), F.col("delta"), F.col("words"), F.col("seeds"), least_words, passage_words)).alias("r"))
     runs = written(runs.select(*KEY, *ORIGIN, "delta", "r.*"))
 
@@ -153,8 +155,8 @@ def repeated_lines(docs: DataFrame, window: int = 2, longest: int = 64, passage_
     said = shown.where("NOT own").select(*(F.col(c).alias(o) for c, o in zip(KEY, ORIGIN, strict=True)), F.col("first").alias("o_first"), F.col("last").alias("o_last"), F.col("chunk").alias("kept"))
     at_origin = runs.withColumn("o_first", F.col("first") - F.col("delta")).withColumn("o_last", F.col("last") - F.col("delta")).drop("delta")
     place = [*ORIGIN, "o_first", "o_last"]
-    sources = said.join(at_origin.groupBy(*place).agg(F.count(F.lit(1)).alias("times")), place)
-    same = dealt(at_origin, sources, place).join(shown.where("own").select(*KEY, "first", "last", "chunk").hint("merge"), [*KEY, "first", "last"]).where(F.col("chunk") == F.col("kept"))
+    times = written(at_origin.groupBy(*place).agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > hot))
+    same = dealt(at_origin, said, times, place).join(shown.where("own").select(*KEY, "first", "last", "chunk").hint("merge"), [*KEY, "first", "last"]).where(F.col("chunk") == F.col("kept"))
     places = F.array_distinct(F.flatten(F.collect_list(F.sequence("first", "last"))))
     return same.groupBy(*KEY).agg(places.alias("gone"))
 
