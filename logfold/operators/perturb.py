@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logfold.functions.text import lookup, split_words
+from logfold.operators.approaches import REGISTRY
 
 # Words and their short forms.
 SHORT = {"address": "addr", "destination": "dst", "device": "dvc", "gateway": "gw", "source": "src", "user": "usr"}
@@ -74,36 +75,46 @@ def opaque_labels(slots: DataFrame) -> DataFrame:
     return slots.withColumn("label", F.concat(F.lit("f"), F.regexp_extract("slot_id", "[0-9]+", 0))).withColumn("case_id", F.concat("case_id", F.lit(".opaque-labels")))
 
 
-def with_decoy(slots: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(slots, events) of decoy-slot variants: one more NUMBER slot behind the others, and its text behind every event.
-
-    slots(case_id, slot_id, label, placeholder, occurrence, examples), events(case_id, i, text), i from 0.
-    """
-    number, suffix = "<VAR:NUMBER>", F.concat("case_id", F.lit(".decoy-slot"))
+def decoy_slots(slots: DataFrame) -> DataFrame:
+    """slots(case_id, slot_id, label, placeholder, occurrence, examples) of decoy-slot variants: one more NUMBER slot behind the others."""
+    number = "<VAR:NUMBER>"
     last = slots.groupBy("case_id").agg(F.max(F.substring("slot_id", 2, 9).cast("int")).alias("n"), F.sum((F.col("placeholder") == number).cast("int")).alias("numbers"))
     decoy = last.select("case_id", F.concat(F.lit("p"), (F.col("n") + 1).cast("string")).alias("slot_id"), F.lit("NUMBER").alias("label"), F.lit(number).alias("placeholder"), (F.col("numbers") + 1).cast("int").alias("occurrence"), F.array(F.lit("4815"), F.lit("162342")).alias("examples"))
     columns = ["case_id", "slot_id", "label", "placeholder", "occurrence", "examples"]
-    longer = events.join(last.select("case_id"), "case_id", "left_semi").withColumn("text", F.concat("text", F.lit(" correlation id "), (4815 + F.col("i")).cast("string")))
-    return slots.select(*columns).unionByName(decoy).withColumn("case_id", suffix), longer.withColumn("case_id", suffix)
+    return slots.select(*columns).unionByName(decoy).withColumn("case_id", F.concat("case_id", F.lit(".decoy-slot")))
+
+
+def with_decoy(slots: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(slots, events) of decoy-slot variants: the slots of ``decoy_slots``, and the decoy's text behind every event.
+
+    events(case_id, i, text), i from 0.
+    """
+    longer = events.join(slots.select("case_id").distinct(), "case_id", "left_semi").withColumn("text", F.concat("text", F.lit(" correlation id "), (4815 + F.col("i")).cast("string")))
+    return decoy_slots(slots), longer.withColumn("case_id", F.concat("case_id", F.lit(".decoy-slot")))
 
 
 def swap_roles(gold: DataFrame) -> DataFrame:
     """Source and destination change places in roles and fields of cases with exactly one pair of the same property."""
+    kept = [c for c in gold.columns if c not in ("case_id", "slot_id", "role", "field")]
     side = F.regexp_extract("role", r"\.(source|destination)\.", 1)
     rows = gold.withColumn("side", side).withColumn("prop", F.substring_index("role", ".", -1))
     pair = rows.where("side <> ''").groupBy("case_id", "prop").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("side").alias("sides")).where("n = 2 AND sides = 2")
     only = pair.groupBy("case_id").agg(F.count(F.lit(1)).alias("k"), F.min("prop").alias("prop")).where("k = 1").select("case_id", "prop", F.lit(True).alias("hit"))
     other = rows.join(only, ["case_id", "prop"]).where("side <> ''").select("case_id", "prop", F.when(F.col("side") == "source", "destination").otherwise("source").alias("side"), F.col("role").alias("new_role"), F.col("field").alias("new_field"))
-    return rows.join(only.select("case_id"), "case_id", "left_semi").join(other, ["case_id", "prop", "side"], "left").select("case_id", "slot_id", F.coalesce("new_role", "role").alias("role"), F.coalesce("new_field", "field").alias("field"))
+    return rows.join(only.select("case_id"), "case_id", "left_semi").join(other, ["case_id", "prop", "side"], "left").select("case_id", "slot_id", F.coalesce("new_role", "role").alias("role"), F.coalesce("new_field", "field").alias("field"), *kept)
 
 
-def robustness(base: DataFrame, variants: DataFrame, keys: tuple[str, ...] = ("locator", "field")) -> DataFrame:
+def robustness(base: DataFrame, variants: DataFrame, keys: tuple[str, ...] = ("locator", "field"), asked: DataFrame | None = None) -> DataFrame:
     """(approach, perturbation, n, stable): share of variants with the same set of predictions as their seed.
 
-    base(approach, case_id, keys), variants(approach, case_id, perturbation, keys) with the seed's id.
+    base(approach, case_id, keys), variants(approach, case_id, perturbation, keys) with the seed's id. ``asked(approach,
+    case_id, perturbation)`` names all variants, so that those without any prediction count too.
     """
-    sets = lambda df, by: df.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws("|", *keys))), ";").alias("s"))
-    both = sets(variants, ["approach", "case_id", "perturbation"]).join(sets(base, ["approach", "case_id"]).withColumnRenamed("s", "seed"), ["approach", "case_id"], "left")
+    sets = lambda df, by: df.groupBy(*by).agg(F.array_sort(F.collect_set(F.to_json(F.struct(*keys)))).alias("s"))
+    found = sets(variants, ["approach", "case_id", "perturbation"])
+    if asked is not None:
+        found = asked.join(found, ["approach", "case_id", "perturbation"], "left")
+    both = found.join(sets(base, ["approach", "case_id"]).withColumnRenamed("s", "seed"), ["approach", "case_id"], "left")
     return both.groupBy("approach", "perturbation").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(F.col("s").eqNullSafe(F.col("seed")), 1.0).otherwise(0.0)), 6).alias("stable"))
 
 
@@ -122,6 +133,6 @@ def robustness_rows(base_f1: DataFrame, variant_f1: DataFrame, stable: DataFrame
 
 
 def check_approaches(names: list[str]) -> None:
-    refused = [n for n in names if n.endswith("-prior") or n == "case-retrieval"]
+    refused = [n for n in names if n not in REGISTRY or REGISTRY[n].prior or REGISTRY[n].retrieves]
     if refused:
-        raise ValueError(f"robustness needs approaches that read the case alone, not {refused}")
+        raise ValueError(f"robustness needs registered approaches that read the case alone (no priors, no retrieval), not {refused}")

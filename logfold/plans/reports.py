@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from logfold.operators import approaches as registry
-from logfold.operators import govern, metrics, reports, schemas, stats
+from logfold.operators import govern, metrics, reports, robustness, schemas, stats
 from logfold.plans import evaluation as ev
 from logfold.plans import logs, mapping
 from logfold.sources.shared import written
@@ -119,13 +119,72 @@ def cmp_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.warnings.unionByName(report.violations.select("approach", F.col("rule").alias("code")))
 
 
+def per_approaches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three approaches run on all cases and on all their variants of every perturbation."""
+    asked, _, told_slots = _requests(spark, sf_dir)
+    constants = mapping.told_constants(asked.cases).withColumnRenamed("ref_id", "case_id")
+    labels = told_slots.select("case_id", F.lit("slot").alias("kind"), F.col("slot_id").alias("locator"), "role", "field", F.lit(None).cast("string").alias("constant_value"))
+    labels = labels.unionByName(constants.select("case_id", F.lit("template_constant").alias("kind"), "locator", "role", "field", "constant_value"))
+    return robustness.run(["direct-lexical", "semantic-frame", "matcher-ensemble"], asked, labels).rows
+
+
+#: Predictions with selections that are not the head, scores that are not the head's, and keys that repeat in another case.
+_PF = """SELECT approach, case_id, kind, CASE WHEN t = 1 THEN upper(locator) ELSE locator END AS locator, CASE WHEN case_id % 13 = 5 THEN 'F9' ELSE field END AS field, CASE WHEN case_id % 17 = 3 THEN score / 2 ELSE score END AS score
+ FROM {cand} CROSS JOIN (VALUES (0), (1)) AS tw(t) WHERE rank = 1 AND (t = 0 OR case_id % 29 = 4)"""
+_PC = "SELECT approach, case_id, CASE WHEN case_id % 31 = 7 THEN 'not_applicable' WHEN case_id % 5 = 1 THEN 'unresolved' ELSE 'mapped' END AS disposition FROM {cases}"
+
+
+def val_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases, cand, ranked = ev._t(spark, sf_dir, "cases", "cand", "pred_schema")
+    return govern.head_violations(spark.sql(_PC, cases=cases), ranked.where("case_id % 23 <> 2"), spark.sql(_PF, cand=cand), cand)
+
+
+#: Annotation tasks of documents, decisions about them (some stale, some of unknown cases) and their labels.
+_TASKS = "SELECT doc_id AS case_id, concat('i', n_chars) AS input_fingerprint, CASE WHEN doc_id % 43 = 1 THEN 't2' ELSE 't1' END AS task_revision, CASE WHEN doc_id % 53 = 0 THEN 'r0' ELSE 'r1' END AS catalogue_revision FROM {documents}"
+_VERDICTS = """SELECT doc_id * 2 + t AS decision_id, CASE WHEN doc_id % 7 = 0 THEN 'adjudication' ELSE 'annotation' END AS kind, CASE WHEN doc_id % 61 = 9 THEN -doc_id ELSE doc_id END AS case_id, CASE WHEN doc_id % 37 = 2 THEN 'x' ELSE concat('x', t) END AS reviewer,
+ concat('i', n_chars + CASE WHEN doc_id % 47 = 5 THEN 1 ELSE 0 END) AS input_fingerprint, 't1' AS task_revision, CASE WHEN doc_id % 59 = 3 THEN 'r0' ELSE 'r1' END AS catalogue_revision,
+ CASE doc_id % 6 WHEN 0 THEN 'Nowhere' WHEN 1 THEN NULL WHEN 2 THEN 'Authentication' ELSE 'NetworkSession' END AS schema_name FROM {documents} CROSS JOIN (VALUES (0), (1)) AS tw(t)"""
+_LABELS = """SELECT doc_id * 2 + t AS decision_id, CASE (doc_id + t) % 4 WHEN 0 THEN 'EventResult' WHEN 1 THEN 'DstPortNumber' WHEN 2 THEN 'SrcIpAddr' ELSE 'NoSuchField' END AS field,
+ CASE doc_id % 5 WHEN 0 THEN 'Success' WHEN 1 THEN 'success' WHEN 2 THEN '443' ELSE NULL END AS constant_value, CASE doc_id % 5 WHEN 0 THEN 'string' WHEN 1 THEN 'string' WHEN 2 THEN 'int' ELSE NULL END AS constant_kind FROM {documents} CROSS JOIN (VALUES (0), (1)) AS tw(t)"""
+
+
+def ann_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars")
+    tasks, decisions, labels = (spark.sql(x, documents=docs) for x in (_TASKS, _VERDICTS, _LABELS))
+    return govern.decision_violations(tasks, decisions, labels, schemas.effective_fields(schemas.default_catalog(spark)), "r1")
+
+
+#: A promoted table of each source as listed, and as found after rows were lost, one source was lost and one revision moved on.
+_LISTED = "SELECT source AS artefact, doc_id AS id, n_chars FROM {documents} WHERE source IS NOT NULL AND source <> 'src2'"
+_FOUND = "SELECT source AS artefact, CASE WHEN doc_id % 101 = 3 THEN -doc_id ELSE doc_id END AS id, n_chars FROM {documents} WHERE source IS NOT NULL AND source <> 'src4' AND (source <> 'src1' OR doc_id % 50 <> 7)"
+_PRINTED = "SELECT artefact, sha256(concat(count(*), ':', sum(id), ':', sum(n_chars))) AS fingerprint, count(*) AS n_rows, CASE WHEN artefact = '{moved}' THEN 'r2' ELSE 'r1' END AS revision FROM {ids} GROUP BY artefact"
+
+
+def ann_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "n_chars")
+    listed, found = (spark.sql(x, documents=docs) for x in (_LISTED, _FOUND))
+    printed = lambda ids, moved: spark.sql(_PRINTED.replace("{moved}", moved).replace("sha256(", "sha2(").replace(")) AS fingerprint", "), 256) AS fingerprint"), ids=ids)
+    return govern.artefact_violations(printed(listed, "none"), printed(found, "src3"), found.select("artefact", "id"), listed.select("artefact", "id"))
+
+
+def red_withheld(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many case rows each class that may be given on at all lets through and withholds."""
+    (cases,) = ev._t(spark, sf_dir, "cases")
+    out = None
+    for name in govern.CLASSES[1:]:
+        kept, withheld = govern.redact(cases, name)
+        row = kept.agg(F.count(F.lit(1)).alias("kept")).join(withheld, how="cross").select(F.lit(name).alias("redistribution"), "kept", "withheld")  # single rows
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def cat_default_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The default catalogue's fields that the events' templates can be mapped to, with how many events choose the schema."""
     counts = mapping.build_ranked_templates(spark, sf_dir).groupBy(F.col("selected_schema").alias("schema_name")).agg(F.sum("event_count").alias("events"))
     return schemas.effective_fields(schemas.default_catalog(spark)).join(counts, "schema_name").select("schema_name", "field", "events")
 
 
-QUERIES = [met_exactness, met_pools, met_diagnostics, met_hint_agreement, val_cases, ann_queue, ann_fingerprints, sta_warnings, cmp_approaches, map_oracle_both, cmp_scores, cmp_tests, cmp_warnings, cat_default_fields]
+QUERIES = [met_exactness, met_pools, met_diagnostics, met_hint_agreement, val_cases, ann_queue, ann_fingerprints, sta_warnings, cmp_approaches, map_oracle_both, cmp_scores, cmp_tests, cmp_warnings, cat_default_fields, per_approaches, val_heads, ann_decisions, ann_integrity, red_withheld]
 
 _SOURCE = ev._scores_sql("gold_sem", ev.LOW_SEM, "kind, locator, role").replace("cs AS", "ss AS").replace("w AS", "w2 AS").replace("p AS (SELECT DISTINCT", "p2 AS (SELECT DISTINCT").replace("FROM w FULL JOIN p ", "FROM w2 FULL JOIN p2 ").replace("j AS", "j2 AS").replace("FROM j ", "FROM j2 ").replace("c0", "d0").replace("c1", "d1")
 _RANKED = mapping.ORACLE["build_ranked_templates"]
@@ -147,4 +206,23 @@ ORACLE = {
  w AS (SELECT approach, case_id, slot_id AS locator, field, 1 AS g FROM gf CROSS JOIN (VALUES ('direct-lexical'), ('semantic-frame'), ('matcher-ensemble')) t(approach)), p AS (SELECT DISTINCT *, 1 AS p FROM top), j AS (SELECT approach, case_id, g, p FROM w FULL JOIN p USING (approach, case_id, locator, field)),
  c AS (SELECT approach, case_id, count(*) FILTER (g IS NOT NULL AND p IS NOT NULL) AS tp, count(*) FILTER (g IS NULL) AS fp, count(*) FILTER (p IS NULL) AS fn FROM j GROUP BY ALL), cs AS (SELECT *, round({ev._f1('tp', 'fp', 'fn')}, 6) AS f1 FROM c) {ev._MICRO}""",
     "cat_default_fields": f"WITH {mapping.CATALOG_CTE} SELECT schema_name, field, events FROM ef JOIN (SELECT selected_schema AS schema_name, CAST(sum(event_count) AS BIGINT) AS events FROM ({_RANKED}) GROUP BY 1) USING (schema_name)",
+    "val_heads": f"""{ev._with('cases', 'cand', 'pred_schema')}, pc AS ({_PC.replace('{cases}', 'cases')}), pf AS ({_PF.replace('{cand}', 'cand')}), ps AS (SELECT DISTINCT approach, case_id FROM pred_schema WHERE case_id % 23 <> 2), hf AS (SELECT DISTINCT approach, case_id FROM pf),
+ h AS (SELECT approach, case_id, kind, locator, field AS top, score AS top_score FROM cand WHERE rank = 1), x AS (SELECT *, approach || '/' || case_id || '/' || kind || '/' || locator AS id FROM pf LEFT JOIN h USING (approach, case_id, kind, locator))
+ SELECT id, 'not_the_head' AS rule, field AS detail FROM x WHERE field IS DISTINCT FROM top UNION ALL SELECT id, 'score_not_the_heads', field FROM x WHERE field = top AND score IS DISTINCT FROM top_score
+ UNION ALL SELECT approach || '/' || case_id, 'mapped_without_schema', '' FROM pc ANTI JOIN ps USING (approach, case_id) WHERE disposition = 'mapped' UNION ALL SELECT approach || '/' || case_id, 'mapped_without_field', '' FROM pc ANTI JOIN hf USING (approach, case_id) WHERE disposition = 'mapped'
+ UNION ALL SELECT approach || '/' || case_id, 'content_though_not_applicable', '' FROM pc SEMI JOIN (SELECT * FROM ps UNION SELECT * FROM hf) USING (approach, case_id) WHERE disposition = 'not_applicable'
+ UNION ALL SELECT approach || '/' || case_id || '/' || kind || '/' || lower(locator), 'field_key_repeats', field FROM pf GROUP BY approach, case_id, kind, lower(locator), field HAVING count(*) > 1""",
+    "ann_decisions": f"""WITH t AS ({_TASKS.replace('{documents}', 'documents')}), d AS ({_VERDICTS.replace('{documents}', 'documents')}), l AS ({_LABELS.replace('{documents}', 'documents')}), {mapping.CATALOG_CTE}, sn AS (SELECT DISTINCT schema_name FROM ef),
+ dt AS (SELECT d.*, t.input_fingerprint AS own_input, t.task_revision AS own_task FROM d LEFT JOIN t USING (case_id)), ld AS (SELECT l.*, d.schema_name FROM l JOIN d USING (decision_id)),
+ y AS (SELECT ld.*, ef.field IS NOT NULL AS known, allowed_values, CASE WHEN lower(ef.type) IN ('string', 'datetime', 'dynamic') THEN constant_kind = 'string' WHEN lower(ef.type) = 'bool' THEN constant_kind = 'bool' WHEN lower(ef.type) IN ('int', 'long') THEN constant_kind = 'int' WHEN lower(ef.type) IN ('real', 'double') THEN constant_kind IN ('int', 'real') ELSE false END AS fits
+  FROM ld SEMI JOIN sn USING (schema_name) LEFT JOIN ef USING (schema_name, field))
+ SELECT CAST(decision_id AS VARCHAR) AS id, 'unknown_case' AS rule, CAST(case_id AS VARCHAR) AS detail FROM dt WHERE own_input IS NULL UNION ALL SELECT CAST(decision_id AS VARCHAR), 'stale_input', CAST(case_id AS VARCHAR) FROM dt WHERE input_fingerprint <> own_input UNION ALL SELECT CAST(decision_id AS VARCHAR), 'stale_task', CAST(case_id AS VARCHAR) FROM dt WHERE task_revision <> own_task
+ UNION ALL SELECT CAST(decision_id AS VARCHAR), 'other_catalogue', catalogue_revision FROM d WHERE catalogue_revision <> 'r1' UNION ALL SELECT CAST(case_id AS VARCHAR), 'task_of_other_catalogue', catalogue_revision FROM t WHERE catalogue_revision <> 'r1'
+ UNION ALL SELECT CAST(min(decision_id) AS VARCHAR), 'annotated_twice', reviewer FROM d WHERE kind = 'annotation' GROUP BY case_id, reviewer HAVING count(*) > 1 UNION ALL SELECT DISTINCT CAST(decision_id AS VARCHAR), 'fields_without_schema', '' FROM ld WHERE schema_name IS NULL
+ UNION ALL SELECT CAST(decision_id AS VARCHAR), 'unknown_schema', schema_name FROM d ANTI JOIN sn USING (schema_name) WHERE schema_name IS NOT NULL UNION ALL SELECT CAST(decision_id AS VARCHAR), 'unknown_field', field FROM y WHERE NOT known
+ UNION ALL SELECT CAST(decision_id AS VARCHAR), 'constant_type', field FROM y WHERE known AND constant_value IS NOT NULL AND NOT fits UNION ALL SELECT CAST(decision_id AS VARCHAR), 'constant_not_allowed', field FROM y WHERE known AND constant_value IS NOT NULL AND fits AND len(allowed_values) > 0 AND NOT list_contains(allowed_values, constant_value)""",
+    "ann_integrity": f"""WITH li AS ({_LISTED.replace('{documents}', 'documents')}), fo AS ({_FOUND.replace('{documents}', 'documents')}), m AS ({_PRINTED.replace('{moved}', 'none').replace('{ids}', 'li')}), f AS ({_PRINTED.replace('{moved}', 'src3').replace('{ids}', 'fo')}), b AS (SELECT artefact, m.fingerprint AS mf, f.fingerprint AS ff, m.n_rows AS mn, f.n_rows AS fn, m.revision AS mr, f.revision AS fr FROM m FULL JOIN f USING (artefact))
+ SELECT artefact AS id, 'fingerprint_differs' AS rule, ff AS detail FROM b WHERE mf <> ff UNION ALL SELECT artefact, 'n_rows_differs', CAST(fn AS VARCHAR) FROM b WHERE mn <> fn UNION ALL SELECT artefact, 'revision_differs', fr FROM b WHERE mr <> fr
+ UNION ALL SELECT artefact, CASE WHEN mf IS NULL THEN 'not_in_manifest' ELSE 'missing' END, '' FROM b WHERE mf IS NULL OR ff IS NULL UNION ALL SELECT artefact, 'id_not_listed', CAST(id AS VARCHAR) FROM fo ANTI JOIN li USING (artefact, id) UNION ALL SELECT artefact, 'id_missing', CAST(id AS VARCHAR) FROM li ANTI JOIN fo USING (artefact, id)""",
+    "red_withheld": f"{ev._with('cases')} SELECT redistribution, count(*) FILTER (redistribution <> 'metrics') AS kept, count(*) FILTER (redistribution = 'metrics') AS withheld FROM cases CROSS JOIN (VALUES ('metrics'), ('derived'), ('content')) AS c(redistribution) GROUP BY 1",
 }
