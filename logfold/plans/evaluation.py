@@ -396,6 +396,11 @@ ORACLE = {
  UNION ALL SELECT approach, 'other_revision', CAST(case_id AS VARCHAR) FROM asked JOIN c USING (case_id) WHERE revision <> 'r1'""",
     "spl_contract": f"""{_with('entries')}, e AS (SELECT *, CASE WHEN case_id % 61 = 0 THEN 'r0' ELSE 'r1' END AS revision FROM entries), n AS (SELECT partition, count(*) AS k FROM e GROUP BY 1), d AS (SELECT * FROM (VALUES ('train', 1), ('none', 0), ('gone', 5)) t(partition, n))
  SELECT '' AS id, 'several_revisions' AS rule, '2' AS detail WHERE (SELECT count(DISTINCT revision) FROM e) > 1 UNION ALL SELECT CAST(case_id AS VARCHAR), 'other_revision', 'r1' FROM e WHERE revision = 'r0' UNION ALL SELECT partition, 'partition_count', CAST(coalesce(k, 0) AS VARCHAR) FROM d FULL JOIN n USING (partition) WHERE n IS DISTINCT FROM k""",
+    "per_compound": rf"""WITH {mapping.CASES_CTE}, w AS (SELECT case_id, list_filter(string_split_regex(template, '\s+'), lambda w: w <> '') AS ws FROM cases),
+ g AS (SELECT *, list_transform(ws, lambda w: regexp_matches(w, '{perturb.PLACEHOLDER}')) AS slot, list_transform(ws, lambda w: NOT regexp_matches(w, '{perturb.PLACEHOLDER}') AND lower(w) NOT IN ('connection', 'allowed', 'denied', 'login', 'failed', 'succeeded')) AS plain FROM w),
+ s AS (SELECT *, list_transform(range(1, len(ws) + 1), lambda i: coalesce(plain[i] AND plain[i + 1] AND slot[i + 2], false)) AS first FROM g),
+ o AS (SELECT case_id || '.compound' AS case_id, array_to_string(ws, ' ') AS before, array_to_string(list_filter(list_transform(range(1, len(ws) + 1), lambda i: CASE WHEN first[i] THEN lower(ws[i]) || upper(ws[i + 1][1:1]) || lower(ws[i + 1][2:]) WHEN i > 1 AND first[i - 1] THEN NULL ELSE ws[i] END), lambda x: x IS NOT NULL), ' ') AS template FROM s)
+ SELECT case_id, template FROM o WHERE template <> before""",
     "per_opaque_labels": f"WITH {mapping.CASES_CTE} SELECT case_id || '.opaque-labels' AS case_id, slot_id, 'f' || pos AS label FROM cases JOIN sl USING (cluster_id)",
     "per_decoy_events": f"""WITH {mapping.CASES_CTE}, e AS (SELECT cluster_id || '/' || (user_id % 20) AS case_id, text, CAST(row_number() OVER (PARTITION BY cluster_id, user_id % 20 ORDER BY ord) - 1 AS INTEGER) AS i FROM a) SELECT case_id || '.decoy-slot' AS case_id, i, text || ' correlation id ' || (4815 + i) AS text FROM e WHERE i < 3""",
     "per_robustness_rows": f"""{_with('cases', 'gold_field', 'cand')}, k AS (SELECT * FROM (VALUES ('uppercase', 6), ('decoy-slot', 1099511627776), ('swapped-direction', 9)) t(perturbation, m)), tp AS (SELECT approach, case_id, kind, locator, field FROM cand WHERE rank = 1),
