@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,7 +46,7 @@ def words(text: Column) -> Column:
 
 def _expanded(tokens: Column, table: dict[str, list[str]]) -> Column:
     known = lookup(table)
-    return F.flatten(F.transform(tokens, lambda t: F.coalesce(known[t], F.array().cast("array<string>"))))
+    return F.flatten(F.transform(F.filter(tokens, lambda t: t.isin(*table)), lambda t: known[t]))  # a set is asked at once, a map key by key
 
 
 def ordered_tokens(text: Column, aliases: dict[str, list[str]] | None = None, normal: dict[str, str] | None = None) -> Column:
@@ -51,7 +54,8 @@ def ordered_tokens(text: Column, aliases: dict[str, list[str]] | None = None, no
     aliases, normal = aliases or vocab.ALIASES, normal or vocab.NORMAL_FORMS
     replace = lookup({**{k: [v] for k, v in normal.items()}, **aliases})
     split = lambda w: let(F.regexp_extract_all(w, F.lit(PART), F.lit(0)), lambda p: F.when(F.size(p) > 1, p).otherwise(F.array(w)))
-    return F.flatten(F.transform(F.flatten(F.transform(words(text), split)), lambda t: let(F.lower(t), lambda x: F.coalesce(replace[x], F.array(x)))))
+    known = (*normal, *aliases)
+    return F.flatten(F.transform(F.flatten(F.transform(words(text), split)), lambda t: let(F.lower(t), lambda x: F.when(x.isin(*known), replace[x]).otherwise(F.array(x)))))
 
 
 def has_sequence(tokens: Column, expected: list[str]) -> Column:
@@ -74,10 +78,15 @@ def concepts(text: Column) -> Column:
 
     first = let(let(words(text), base), lambda b: F.concat(b, _expanded(b, vocab.ALIASES), _expanded(b, normal)))
     found = F.array_distinct(let(first, lambda f: F.concat(f, _expanded(f, vocab.CONTEXT))))
-    for phrase, more in vocab.PHRASES.items():
-        extra = F.when(has_phrase(text, list(phrase)), F.array(*map(F.lit, more))).otherwise(F.array().cast("array<string>"))
-        found = F.array_union(found, extra)
-    return found
+
+    def with_phrases(found: Column) -> Column:
+        for phrase, more in vocab.PHRASES.items():
+            # ordered tokens are concepts too, so few texts need the dearer look at their order
+            held = reduce(and_, (F.array_contains(found, t) for t in phrase)) & has_phrase(text, list(phrase))
+            found = F.array_union(found, F.when(held, F.array(*map(F.lit, more))).otherwise(F.array().cast("array<string>")))
+        return found
+
+    return let(found, with_phrases)
 
 
 def trigrams(tokens: Column) -> Column:
