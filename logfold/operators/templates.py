@@ -26,7 +26,11 @@ def masked(text: Column, masks: list[tuple[str, str]] = MASKS) -> Column:
 
 def distinct_patterns(events: DataFrame, masks: list[tuple[str, str]] = MASKS) -> DataFrame:
     """(masked, n, first): all further work is on distinct masked lines. Partial aggregates make hot lines cheap."""
-    return events.select(masked(F.col("text"), masks).alias("masked"), "ord").groupBy("masked").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"))
+    return _counted(events.select(masked(F.col("text"), masks).alias("masked"), "ord"))
+
+
+def _counted(lines: DataFrame) -> DataFrame:
+    return lines.groupBy("masked").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"))
 
 
 def _alike(similarity: float, length: int) -> int:
@@ -144,12 +148,13 @@ def pattern_templates(patterns: DataFrame, system: str, depth: int = 5, similari
 def mine_templates(events: DataFrame, system: str, masks: list[tuple[str, str]] = MASKS, depth: int = 5, similarity: float = 0.4) -> tuple[DataFrame, DataFrame]:
     """events(ord, text, ...) -> (clusters(cluster_id, template, event_count, first), assignments(cluster_id, template + the events' columns)).
 
-    Distinct patterns and their templates are written once; both results are joins with them.
+    Masked events, distinct patterns and their templates are written once; both results are joins of them.
     """
-    patterns = written(distinct_patterns(events, masks))
+    events = written(events.withColumn("masked", masked(F.col("text"), masks)))
+    patterns = written(_counted(events))
     named = written(pattern_templates(patterns, system, depth, similarity))
     clusters = patterns.join(named, "masked").groupBy("cluster_id", "template").agg(F.sum("n").alias("event_count"), F.min("first").alias("first"))
-    assigned = events.withColumn("masked", masked(F.col("text"), masks)).join(named, "masked").drop("masked")
+    assigned = events.join(named, "masked").drop("masked")
     return clusters, assigned
 
 
@@ -178,17 +183,22 @@ def capture_pattern(template: Column, group: str = "(.+?)") -> Column:
     return F.concat(F.lit("^"), F.array_join(F.transform(literals, lambda t: quoted(t)), group), F.lit("$"))
 
 
-def captured(assigned: DataFrame) -> DataFrame:
-    """(cluster_id, ord, slot_id, value): what every event holds in each slot of its template."""
-    pattern = assigned.withColumn("pattern", capture_pattern(F.col("template"))).where(F.expr("text rlike pattern"))
-    count = F.size(F.regexp_extract_all("template", F.lit(SLOT), F.lit(1)))
+def captured(assigned: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
+    """(cluster_id, ord, slot_id, value): what every event holds in each slot of its template.
+
+    Patterns are made once a template and joined to the events. Templates come from ``clusters`` (template), where given;
+    else they are gathered from the events, which reads these once more.
+    """
+    known = (assigned if clusters is None else clusters).select("template").distinct()
+    patterns = written(known.select("template", capture_pattern(F.col("template")).alias("pattern"), F.size(F.regexp_extract_all("template", F.lit(SLOT), F.lit(1))).alias("n")).where("n > 0"))
+    met = assigned.select("cluster_id", "template", "ord", "text").join(patterns, "template").where(F.expr("text rlike pattern"))
     values = F.expr("transform(sequence(1, n), i -> struct(concat('p', i) AS slot_id, regexp_extract(text, pattern, i) AS value))")
-    return pattern.withColumn("n", count).where("n > 0").select("cluster_id", "ord", F.explode(values).alias("s")).select("cluster_id", "ord", "s.slot_id", "s.value")
+    return met.select("cluster_id", "ord", F.explode(values).alias("s")).select("cluster_id", "ord", "s.slot_id", "s.value")
 
 
-def slot_values(assigned: DataFrame, k: int = 5) -> DataFrame:
+def slot_values(assigned: DataFrame, k: int = 5, clusters: DataFrame | None = None) -> DataFrame:
     """(cluster_id, slot_id, rank, value): the first ``k`` distinct values of every slot, by first appearance."""
-    firsts = captured(assigned).groupBy("cluster_id", "slot_id", "value").agg(F.min("ord").alias("first"))
+    firsts = captured(assigned, clusters).groupBy("cluster_id", "slot_id", "value").agg(F.min("ord").alias("first"))
     rank = F.row_number().over(W.partitionBy("cluster_id", "slot_id").orderBy("first", "value"))
     return firsts.withColumn("rank", rank).where(F.col("rank") <= k).select("cluster_id", "slot_id", "rank", "value")
 

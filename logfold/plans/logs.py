@@ -110,7 +110,8 @@ def clu_mined_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clu_mined_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return templates.slot_values(mined(spark, sf_dir)[1])
+    clusters, assigned = mined(spark, sf_dir)
+    return templates.slot_values(assigned, clusters=clusters)
 
 
 def clu_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +127,8 @@ def clu_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clu_slot_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return templates.slot_values(mined(spark, sf_dir)[1])
+    clusters, assigned = mined(spark, sf_dir)
+    return templates.slot_values(assigned, clusters=clusters)
 
 
 def clu_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

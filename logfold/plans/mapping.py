@@ -45,7 +45,7 @@ GOLD_CTE = "gs AS (SELECT * FROM (VALUES " + ", ".join(f"('{e}', '{s}')" for e,
 def requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(cases with their selected schema, slots with contexts and examples, effective fields, mined clusters)."""
     clusters, assigned = logs.mined(spark, sf_dir)
-    examples = templates.slot_values(assigned).groupBy("cluster_id", "slot_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]).alias("examples"))
+    examples = templates.slot_values(assigned, clusters=clusters).groupBy("cluster_id", "slot_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]).alias("examples"))
     slots = templates.extract_slots(clusters).join(examples, ["cluster_id", "slot_id"])
     contexts = concepts.slot_contexts(clusters, slots)
     catalog = schemas.default_catalog(spark)
@@ -160,7 +160,8 @@ def prf_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prf_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiles.profile_values(templates.captured(logs.mined(spark, sf_dir)[1]), ["cluster_id", "slot_id"], "value")
+    clusters, assigned = logs.mined(spark, sf_dir)
+    return profiles.profile_values(templates.captured(assigned, clusters), ["cluster_id", "slot_id"], "value")
 
 
 def _profile_sql(source: str, keys: str) -> str:

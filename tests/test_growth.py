@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logfold.functions import text, vocab
+from logfold.operators import templates
 
 
 def test_concepts_look_at_the_order_of_tokens_only_where_a_phrase_can_be(spark, monkeypatch):
@@ -17,3 +18,20 @@ def test_concepts_look_at_the_order_of_tokens_only_where_a_phrase_can_be(spark,
     monkeypatch.setattr(vocab, "PHRASES", {("never", "there"): ["x"]})
     monkeypatch.setattr(text, "has_phrase", lambda t, p: F.raise_error(F.lit("looked")).isNotNull())
     assert {"signed", "in"} <= set(rows.limit(1).select(text.concepts(F.col("t")).alias("c")).first().c)
+
+
+def test_mining_reads_the_events_once_and_makes_a_pattern_once_a_template(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for rows in batches:
+            read.add(len(rows))
+            yield rows
+
+    lines = [(i, f"port {i} user {w}" if i % 2 else f"down (x) {i} C:\\Q{i}") for i, w in enumerate(["ann", "bob", "eve", "ann"] * 5)]
+    events = spark.createDataFrame(lines, "ord long, text string").mapInPandas(counted, "ord long, text string")
+    clusters, assigned = templates.mine_templates(events, "s")
+    values = {(r.cluster_id, r.ord, r.slot_id, r.value) for r in templates.captured(assigned, clusters).collect()}
+    assert assigned.count() == len(lines) and clusters.count() == 2 and read.value == len(lines)
+    assert {v for _, o, _, v in values if o == 3} == {"ann", "3"} and len(values) == 10 * 2 + 10 * 2
+    assert values == {(r.cluster_id, r.ord, r.slot_id, r.value) for r in templates.captured(assigned).collect()}
