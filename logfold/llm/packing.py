@@ -37,6 +37,7 @@ from logfold.llm.common import text_or_empty, written
 K1, B = 1.2, 0.75
 END_ID = 1
 SPECIAL = {"<|endoftext|>": 50256}
+MARKERS = set(SPECIAL)
 #: White space in a row that the fast encoder is trusted with.
 LONGEST_GAP = 20_000
 #: Tokens of more than this share of a shard's documents get a dense row.
@@ -63,11 +64,15 @@ def plain_encoder(vocabulary: str):
     return Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
 
 
-def token_ids(text: str, vocabulary: str = "byte_bpe_50k") -> list[int]:
-    """The ids of a text, special markers among them, without any added at its ends."""
+def id_array(text: str, vocabulary: str = "byte_bpe_50k") -> np.ndarray:
+    """The ids of a text, special markers among them, without any added at its ends; never a Python list of a long text."""
     if len(text) > LONGEST_GAP and any(m.end() - m.start() > LONGEST_GAP for m in re.finditer(r"\s+", text)):
-        return plain_encoder(vocabulary).encode(text, add_special_tokens=False).ids
-    return encoder(vocabulary).encode(text, allowed_special=set(SPECIAL), disallowed_special=())
+        return np.array(plain_encoder(vocabulary).encode(text, add_special_tokens=False).ids, np.uint32)
+    return encoder(vocabulary).encode_to_numpy(text, allowed_special=MARKERS, disallowed_special=())
+
+
+def token_ids(text: str, vocabulary: str = "byte_bpe_50k") -> list[int]:
+    return id_array(text, vocabulary).tolist()
 
 
 @lru_cache(maxsize=1)
@@ -82,7 +87,7 @@ def _ranks(tokens: int = 1 << 16, seeds: int = 3) -> np.ndarray:
 
 def lexical_keys(ids: np.ndarray) -> list[int]:
     """Weighted MinHashes of the ids: the token of a text that is least, likelier a rare one (a high id), as its rank."""
-    return _ranks()[:, ids & 0xFFFF].min(axis=1).tolist()
+    return [int(rank.take(ids, mode="wrap").min()) for rank in _ranks()]
 
 
 class Index:
@@ -176,7 +181,7 @@ def tokenized(docs: DataFrame, vocabulary: str = "byte_bpe_50k") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = _width(vocabulary)
         for batch in batches:
-            ids = [np.array([*token_ids(t.as_py(), vocabulary), END_ID], width) for t in batch.column(1)]
+            ids = [np.append(id_array(t.as_py(), vocabulary), END_ID).astype(width) for t in batch.column(1)]
             keys = zip(*(lexical_keys(x) for x in ids), strict=True) if ids else [[]] * 3
             columns = [batch.column(0), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64()), *(pa.array(list(k), pa.int64()) for k in keys)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "n", "k1", "k2", "k3"])

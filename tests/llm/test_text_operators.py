@@ -446,6 +446,13 @@ def test_retrieval_prefers_lexical_neighbours():
     assert together > 0.8
 
 
+def test_ids_come_as_an_array_that_equals_the_json_tokenizer():
+    for text in ("", "a", "one <|endoftext|> two", "é漢字 🙂  \n\t x" * 50, "a" + " " * 30_000 + "b"):
+        ids = packing.id_array(text)
+        assert ids.dtype == np.uint32 and ids.tolist() == json_tokenizer().encode(text, add_special_tokens=False).ids
+        assert packing.lexical_keys(np.append(ids, 1)) == packing._ranks()[:, np.append(ids, 1) & 0xFFFF].min(axis=1).tolist()
+
+
 def test_lexical_keys_bring_alike_texts_together():
     rng = np.random.default_rng(2)
     base = [rng.integers(0, 50_000, 200) for _ in range(200)]
