@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logfold.llm.common import checkpointed
+from logfold.llm.common import remove, written_at
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -28,10 +28,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     node to the links, so the engine may split a hot node. Every round is written to the shared folder. Null ends are
     ignored, as are loops and repeated links; no links give no rows.
     """
-    star = checkpointed(edges.select("a", "b").where("a <> b").distinct())
+    star, at = written_at(edges.select("a", "b").where("a <> b").distinct())
     mark = None
     for _ in range(max_rounds):
-        star = checkpointed(_small_star(_large_star(star)))
+        before = at
+        star, at = written_at(_small_star(_large_star(star)))
+        remove(edges.sparkSession, before)
         seen = star.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long")), F.bit_xor(F.xxhash64("a", "b"))).first()
         if seen == mark:
             return star.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(star.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

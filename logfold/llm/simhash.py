@@ -184,6 +184,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, limit: int = 3, seed: int =
 ORDER_ROWS, ORDER_SHARE, ORDER_KEPT, HEAD_ROUNDS = 4096, 64, 200_000, 3
 #: Bits of a parity sketch: whether an odd number of a set's hashes falls on a bit. Sets that differ in k hashes differ in k bits at most.
 SKETCH_BITS = 1024
+#: Runs of so many rows propose all their pairs (no more than half as many for each row); in longer runs only pairs whose sketches allow it leave the join.
+SMALL_RUN = 16
 
 
 def _shingle_set(text: str, words: int) -> np.ndarray:
@@ -292,8 +294,8 @@ def text_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, set_bl
     links groups of near copies in time that is linear in them. The fingerprint misses pairs close to the threshold;
     those are found without exception by a second proposal: sets of n shingles that reach the similarity have one of
     their n - ceil(similarity * n) + 1 first shingles in common, in any order of all shingles. Rows that share such a
-    shingle meet in a join, and filters by length, place and sketch leave out what cannot reach it. All proposals are
-    compared by their exact shingle sets, a pair a row.
+    shingle meet in a join, and filters by length and place, in runs of more than ``SMALL_RUN`` rows by the sketch too, leave
+    out what cannot reach it. All proposals are compared by sketches and by their exact shingle sets, a pair a row.
 
     A run is the rows of one shingle. What is linked counts as one group from then on and is not compared again. While
     runs of several groups hold more than ``set_block`` pairs for each row there is, and something was linked, each run
@@ -308,13 +310,17 @@ def text_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, set_bl
     kept = written(prefixes.repartition("s").sortWithinPartitions("s", "id", "n", "pos").mapInPandas(_shared, "s long, id long, n int, pos int, sketch array<long>, run boolean"))
     shared, sketches = kept.where("run").select("s", "id", "n", "pos"), kept.where("sketch IS NOT NULL").select("id", "n", "sketch")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs that reach the similarity; sets are made for those whose sketches allow it."""
+    def allowed(n: str, m: str, k: str, l: str) -> Column:
+        """Whether two sketches allow the similarity."""
+        differ = reduce(Column.__add__, (F.bit_count(F.get(k, F.lit(i)).bitwiseXOR(F.get(l, F.lit(i)))) for i in range(SKETCH_BITS // 64)))
+        return differ * (1 + similarity) <= (1 - similarity) * (F.col(n) + F.col(m)) + 1e-6
+
+    def verified(pairs: DataFrame, *done: str) -> DataFrame:
+        """The pairs that reach the similarity; sets are made for those whose sketches allow it. Tables ``done`` go once the pairs are written."""
         left, right = (sketches.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"k{k}")) for k in "ab")
-        differ = F.aggregate(F.zip_with("ka", "kb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-        allowed = differ * (1 + similarity) <= (1 - similarity) * (F.col("na") + F.col("nb")) + 1e-6
         asked, at_asked = written_at(pairs.distinct())
-        close, at_close = written_at(asked.join(left, "a").join(right, "b").where(allowed).select("a", "b").distinct())
+        remove(docs.sparkSession, *done)
+        close, at_close = written_at(asked.join(left, "a").join(right, "b").where(allowed("na", "nb", "ka", "kb")).select("a", "b").distinct())
         chosen, at_chosen = written_at(close.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         sets, at_sets = written_at(texts.join(chosen, "node", "left_semi").select("node", "text").mapInArrow(_sets(words), "id long, shingles array<long>"))
         left, right = (sets.select(F.col("id").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
@@ -341,14 +347,16 @@ def text_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, set_bl
         roots = components(reduce(DataFrame.unionByName, found))
         rooted = open_.select("s", "id", "n", "pos").join(roots, F.col("id") == F.col("node"), "left").select("s", "id", "n", "pos", F.coalesce("root", "id").alias("root"))
         several = rooted.groupBy("s").agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("s", "rows")
-        open_ = written(rooted.join(several, "s"))
+        open_, at_open = written_at(rooted.join(several, "s"))
         rows, pairs = open_.agg(F.count(F.lit(1)), F.sum(F.col("rows") - 1)).first()
         if not rows:
             break
-        open_ = open_.drop("rows")
         if turn == HEAD_ROUNDS or pairs <= 2 * set_block * total or turn and found[-1].isEmpty():
-            met = open_.alias("x").join(open_.alias("y"), "s").where(F.col("x.id") < F.col("y.id")).where(possible("x", "y"))
-            found.append(verified(met.select(*ends("x.id", "y.id"))))
+            once = F.col("x.id") < F.col("y.id")
+            few, (many, at_many) = open_.where(F.col("rows") <= SMALL_RUN), written_at(open_.where(F.col("rows") > SMALL_RUN).join(sketches.select("id", "sketch"), "id").select("s", "id", "n", "pos", "root", "sketch"))
+            met = few.alias("x").join(few.alias("y"), "s").where(once & possible("x", "y")).select(*ends("x.id", "y.id"))
+            met_often = many.alias("x").join(many.alias("y"), "s").where(once & possible("x", "y") & allowed("x.n", "y.n", "x.sketch", "y.sketch")).select(*ends("x.id", "y.id"))
+            found.append(verified(met.unionByName(met_often), at_open, at_many))
             roots = components(reduce(DataFrame.unionByName, found))
             break
         heads = open_.groupBy("s").agg(F.min_by(F.struct("id", "n", "pos", "root"), F.struct(F.xxhash64("id", F.lit(turn)), "id", "n", "pos")).alias("h"))

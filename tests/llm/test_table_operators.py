@@ -140,6 +140,22 @@ def test_similar_groups_of_one_dense_template(spark, block):
     assert [got[i] for i in range(len(texts))] == roots(len(texts), links)
 
 
+def test_texts_of_one_template_below_the_threshold_do_not_leave_the_join_as_pairs(spark, monkeypatch):
+    texts = [" ".join(f"x{i}.{j}" if j % 48 == i % 48 and j < 192 else f"w{j}" for j in range(200)) for i in range(5, 44)]  # likeness of 0.66 to 0.78
+    kept, proposed = simhash.written_at, []
+
+    def counted(df):
+        out, at = kept(df)
+        if out.columns == ["a", "b"]:
+            proposed.append(out.count())
+        return out, at
+
+    monkeypatch.setattr(simhash, "written_at", counted)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs(spark, texts)).collect()}
+    assert all(got[i] == i for i in range(39))
+    assert len(proposed) == 4 and max(proposed) < 100, proposed  # of 741 pairs
+
+
 def test_no_text_is_lost_when_ids_repeat(spark):
     rows = [(1, "t u v"), (2, "t u v"), (2, "another text of its own"), (2, "another text of its own"), (None, "T  u v"), (None, "only here"), (3, None), (4, "")]
     table = spark.createDataFrame([(i, t, "x", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, node string, row int")
