@@ -35,3 +35,18 @@ def test_mining_reads_the_events_once_and_makes_a_pattern_once_a_template(spark)
     assert assigned.count() == len(lines) and clusters.count() == 2 and read.value == len(lines)
     assert {v for _, o, _, v in values if o == 3} == {"ann", "3"} and len(values) == 10 * 2 + 10 * 2
     assert values == {(r.cluster_id, r.ord, r.slot_id, r.value) for r in templates.captured(assigned).collect()}
+
+
+def test_parts_of_case_scores_follow_the_cases(spark, monkeypatch):
+    from logfold.operators import metrics
+
+    cases = spark.range(40).selectExpr("'a' AS approach", "id AS case_id")
+    gold = spark.range(40).selectExpr("id AS case_id", "'slot' AS kind", "'p0' AS locator", "'identity.actor.user' AS role")
+    pred = gold.selectExpr("'a' AS approach", "case_id", "kind", "upper(locator) AS locator", "CASE WHEN case_id < 10 THEN 'network.source.address' ELSE role END AS role")
+    twice = lambda df: df.unionByName(df)  # noqa: E731  sets: repeated rows count once
+    shown = lambda: (sorted(map(tuple, metrics.facet_scores(cases, twice(gold), twice(pred)).collect())), sorted(map(tuple, metrics.set_scores(cases, twice(gold), twice(pred), ["kind", "locator", "role"]).collect())))
+    one = shown()
+    assert ("a", "domain", 0.75) in one[0] and ("a", 0, 0, 1, 1, 0.0) in [(r[0], r[1], *r[2:]) for r in one[1]]
+    monkeypatch.setattr(metrics, "CASES_A_PART", 4)
+    assert metrics.case_parts(cases) == 10 and shown() == one
+    assert metrics.set_scores(cases, gold, pred, ["kind", "locator", "role"]).rdd.getNumPartitions() == 10
