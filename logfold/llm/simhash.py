@@ -186,6 +186,8 @@ ORDER_ROWS, ORDER_SHARE, ORDER_KEPT, HEAD_ROUNDS = 4096, 64, 200_000, 3
 SKETCH_BITS = 1024
 #: Runs of so many rows propose all their pairs (no more than half as many for each row); in longer runs only pairs whose sketches allow it leave the join.
 SMALL_RUN = 16
+#: Heads that a row of a wide run meets in a round. A round that links fewer than one in ``HEAD_YIELD`` of the rows it saw is the last one.
+HEADS, HEAD_YIELD = 8, 8
 
 
 def _shingle_set(text: str, words: int) -> np.ndarray:
@@ -297,9 +299,10 @@ def text_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, set_bl
     shingle meet in a join, and filters by length and place, in runs of more than ``SMALL_RUN`` rows by the sketch too, leave
     out what cannot reach it. All proposals are compared by sketches and by their exact shingle sets, a pair a row.
 
-    A run is the rows of one shingle. What is linked counts as one group from then on and is not compared again. While
-    runs of several groups hold more than ``set_block`` pairs for each row there is, and something was linked, each run
-    only proposes its rows to one head; then all pairs of different groups are compared.
+    A run is the rows of one shingle. What is linked counts as one group from then on and is not compared again. Runs of
+    several groups with more than ``set_block`` rows first propose their rows to ``HEADS`` heads only, each that of the rows
+    of about the same size (every other time at the same place, too), for some rounds; then all pairs of different groups
+    are compared, in all runs.
     """
     if not 0 < similarity <= 1:
         raise ValueError("a similarity above 0 and up to 1")
@@ -342,16 +345,19 @@ def text_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, set_bl
     near = links(classes).join(classes.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(classes.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
     alike = prints.join(classes, "fp").where("doc_id <> least").select(*ends("doc_id", "least"))
     found = [verified(near.select(*ends("x", "y")).unionByName(alike))]
-    total, open_ = shared.count(), shared
+    open_, at_open = shared, None
     for turn in range(HEAD_ROUNDS + 1):
         roots = components(reduce(DataFrame.unionByName, found))
         rooted = open_.select("s", "id", "n", "pos").join(roots, F.col("id") == F.col("node"), "left").select("s", "id", "n", "pos", F.coalesce("root", "id").alias("root"))
         several = rooted.groupBy("s").agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("s", "rows")
+        before = at_open
         open_, at_open = written_at(rooted.join(several, "s"))
-        rows, pairs = open_.agg(F.count(F.lit(1)), F.sum(F.col("rows") - 1)).first()
+        if before:
+            remove(docs.sparkSession, before)
+        rows, wide = open_.agg(F.count(F.lit(1)), F.count_if(F.col("rows") > set_block)).first()
         if not rows:
             break
-        if turn == HEAD_ROUNDS or pairs <= 2 * set_block * total or turn and found[-1].isEmpty():
+        if turn == HEAD_ROUNDS or not wide or turn and found[-1].count() < wide / HEAD_YIELD:
             once = F.col("x.id") < F.col("y.id")
             few, (many, at_many) = open_.where(F.col("rows") <= SMALL_RUN), written_at(open_.where(F.col("rows") > SMALL_RUN).join(sketches.select("id", "sketch"), "id").select("s", "id", "n", "pos", "root", "sketch"))
             met = few.alias("x").join(few.alias("y"), "s").where(once & possible("x", "y")).select(*ends("x.id", "y.id"))
@@ -359,8 +365,11 @@ def text_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, set_bl
             found.append(verified(met.unionByName(met_often), at_open, at_many))
             roots = components(reduce(DataFrame.unionByName, found))
             break
-        heads = open_.groupBy("s").agg(F.min_by(F.struct("id", "n", "pos", "root"), F.struct(F.xxhash64("id", F.lit(turn)), "id", "n", "pos")).alias("h"))
-        met = open_.alias("x").join(heads.select("s", "h.*").alias("y"), "s").where(possible("x", "y"))
+        ways = open_.where(F.col("rows") > set_block).select("s", "id", "n", "pos", "root", F.explode(F.sequence(F.lit(0), F.lit(HEADS - 1))).alias("way"))
+        dealt = ways.withColumn("like", F.floor(F.log("n") / max(-math.log(similarity) / 4, 1e-3) + F.col("way") / HEADS)).withColumn("place", F.when(F.col("way") % 2 == 1, F.col("pos")).otherwise(-1))
+        by = ["s", "way", "like", "place"]
+        heads = dealt.groupBy(*by).agg(F.min_by(F.struct("id", "n", "pos", "root"), F.struct(F.xxhash64("id", F.pmod("s", F.lit(4)), "way", F.lit(turn)), "id", "n", "pos")).alias("h"))
+        met = dealt.alias("x").join(heads.select(*by, "h.*").alias("y"), by).where(possible("x", "y"))
         found.append(verified(met.select(*ends("x.id", "y.id"))))
     return texts.select("h", "node").join(roots, "node", "left").select("h", F.coalesce("root", "node").alias("root"))
 

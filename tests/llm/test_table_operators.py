@@ -156,6 +156,22 @@ def test_texts_of_one_template_below_the_threshold_do_not_leave_the_join_as_pair
     assert len(proposed) == 4 and max(proposed) < 100, proposed  # of 741 pairs
 
 
+def test_a_dense_group_is_linked_by_heads_before_all_its_pairs_meet(spark, monkeypatch):
+    """Each of 160 texts is alike to all others: most of the 12,720 pairs would say nothing new."""
+    texts = [" ".join(f"x{i}" if j == i else f"w{j}" for j in range(165)) for i in range(160)]
+    kept, proposed = simhash.written_at, []
+
+    def counted(df):
+        out, at = kept(df)
+        if out.columns == ["a", "b"]:
+            proposed.append(out.count())
+        return out, at
+
+    monkeypatch.setattr(simhash, "written_at", counted)
+    assert {r.component_id for r in simhash.similar_groups(docs(spark, texts)).collect()} == {0}
+    assert max(proposed) < 6000, proposed
+
+
 def test_no_text_is_lost_when_ids_repeat(spark):
     rows = [(1, "t u v"), (2, "t u v"), (2, "another text of its own"), (2, "another text of its own"), (None, "T  u v"), (None, "only here"), (3, None), (4, "")]
     table = spark.createDataFrame([(i, t, "x", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, node string, row int")
