@@ -1,13 +1,13 @@
 """Licence scan: a paragraph classifier over word n-grams, confirmed by comparison with templates.
 
 A multinomial logistic regression on hashed word uni- and bigrams tells licence families from ordinary text. It is fitted
-on the notices below, each in several damaged forms (words left out, ordinary words around), against the class "none": a
-bounded sample of the corpus' own paragraphs, licence wording included unless it is nearly one of the notices, and
-ordinary sentences that use the same words (``ORDINARY``), damaged likewise.
+on the notices below, each in several damaged forms (words left out, ordinary words around), against the class "none": all
+paragraphs of the corpus, licence wording included unless it is nearly one of the notices, and ordinary sentences that use
+the same words (``ORDINARY``), damaged likewise. Paragraphs of the same features are one row that weighs as many.
 
-The class "unknown" is calibrated on a second bounded sample of paragraphs and on notices of licences outside the
-families (``FOREIGN``): a family counts only above the probability that all but ``false_rate`` of the paragraphs and all
-of the foreign notices stay below. A paragraph that is likelier a licence than not, but of no family beyond doubt, is
+The class "unknown" is calibrated on all these paragraphs and on notices of licences outside the families (``FOREIGN``): a
+family counts only above the probability that all but ``false_rate`` of the paragraphs and all of the foreign notices stay
+below. A paragraph that is likelier a licence than not, but of no family beyond doubt, is
 unknown. A prediction is confirmed if the paragraph holds at least ``confirm`` of the word bigrams of one of the family's
 notices.
 
@@ -25,6 +25,9 @@ from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from logfold.llm.common import written
 
 #: Notices by family, as authors commonly write them.
 TEMPLATES = {
@@ -121,13 +124,23 @@ ORDINARY = (
 )
 FAMILIES = tuple(TEMPLATES)
 NONE = len(FAMILIES)
-SEPARATORS = r"[\x00-,./:-@\[-`{-\x7F]+"
-#: Bounds of the two samples of corpus paragraphs, and copies of each template that are damaged.
-SAMPLE_ROWS, COPIES = 2000, 24
+SEPARATORS, NO_SEPARATOR = r"[\x00-,./:-@\[-`{-\x7F]+", r"[^\x00-,./:-@\[-`{-\x7F]"
+#: What all ordinary paragraphs weigh together in the fit, and copies of each template that are damaged.
+PLAIN_WEIGHT, COPIES = 2000, 24
 #: Function words, never a signal.
 COMMON = frozenset("a all an and any are as at be been by can either for form from if in into is it its may more no nor not of on one or other part see shall should such that the their this to under use used via was which with without work you your".split())
 
 
+def _words(text: str) -> list[str]:
+    import re
+
+    return [w for w in re.split(SEPARATORS, text.lower()) if w]
+
+
+#: Words of the notices that may be signals.
+VOCABULARY = tuple(sorted({w for texts in TEMPLATES.values() for text in texts for w in _words(text)} - COMMON))
+
+
 class Model(NamedTuple):
     signal: tuple[str, ...]
     hashing: HashingTF
@@ -162,16 +175,19 @@ def _notices(spark: SparkSession, texts: list[tuple[int, str]]) -> DataFrame:
     return spark.createDataFrame(texts, "label int, text string").select("label", words_of(F.col("text")).alias("words"))
 
 
-def _samples(docs: DataFrame, bound: int, confirm: float) -> DataFrame:
-    """(words, part): at most twice ``bound`` paragraphs that are no notice, by a hash; part 0 to fit, 1 to calibrate.
-
-    They come from a hash-chosen share of all documents, of about ``bound`` documents.
-    """
-    share = min(1 << 20, -(-(bound << 20) // max(1, docs.count())))
-    some = docs.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(1 << 20)) < share)
-    lines = paragraphs(some).select("doc_id", "paragraph", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
-    plain = lines.where(template_share(F.col("words"), tuple(x for f in FAMILIES for x in TEMPLATES[f])) < confirm / 2)
-    return plain.orderBy(F.xxhash64("doc_id", "paragraph"), "doc_id", "paragraph").limit(2 * bound).select("words", F.pmod(F.xxhash64("words"), F.lit(2)).alias("part"))
+def _ordinary(docs: DataFrame, confirm: float) -> tuple[DataFrame, int, DataFrame]:
+    """(words) of every paragraph that holds a word of ``VOCABULARY`` and is no notice; how many paragraphs are no notice, those
+    without such a word included; and (around, k): ``COPIES`` beginnings of the latter, which only damage the built-in texts."""
+    lines = paragraphs(docs).where(F.col("text").rlike(NO_SEPARATOR))
+    told = lines.withColumn("told", F.size(F.array_intersect(F.split(F.lower("text"), SEPARATORS), F.array(*map(F.lit, VOCABULARY)))) > 0)
+    notices = tuple(x for f in FAMILIES for x in TEMPLATES[f])
+    every = list(dict.fromkeys(" ".join(p) for w in map(_words, notices) for p in zip(w, w[1:])))
+    held = told.where("told").select(words_of(F.col("text")).alias("words")).withColumn("held", F.array_intersect(bigrams(F.col("words")), F.array(*map(F.lit, every))))
+    some = written(held.select("words", F.when(F.size("held") == 0, 0.0).otherwise(_share(F.col("held"), notices)).alias("share")))
+    total = lines.count() - some.where(F.col("share") >= confirm / 2).count()
+    first = told.where("NOT told").orderBy(F.xxhash64("text"), "text").limit(COPIES).select("text")
+    around = first.select(F.slice(words_of(F.col("text")), 1, 12).alias("around"), F.row_number().over(Window.orderBy(F.xxhash64("text"), "text")).alias("k"))
+    return some.where(F.col("share") < confirm / 2).select("words"), total, around
 
 
 def _damaged(notices: DataFrame, around: DataFrame, copies: int, seed: int) -> DataFrame:
@@ -181,44 +197,61 @@ def _damaged(notices: DataFrame, around: DataFrame, copies: int, seed: int) -> D
     return each.select("label", F.when(F.col("k") % 2 == 0, F.concat(kept, F.coalesce("around", F.array().cast("array<string>")))).otherwise(kept).alias("words")).where(F.size("words") > 1)
 
 
-def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, false_rate: float = 0.001, confirm: float = 0.6) -> Model:
+def train(docs: DataFrame, sample_rows: int = PLAIN_WEIGHT, false_rate: float = 0.001, confirm: float = 0.6) -> Model:
+    """All paragraphs that are no notice are fitted and calibrated on; in the fit they weigh as much together as ``sample_rows`` texts."""
     spark: SparkSession = docs.sparkSession
     known = _notices(spark, [(k, text) for k, family in enumerate(FAMILIES) for text in TEMPLATES[family]])
     ordinary, foreign = _notices(spark, [(NONE, text) for text in ORDINARY]), _notices(spark, [(NONE, text) for text in FOREIGN])
-    sample = _samples(docs, sample_rows, confirm).cache()
-    vocabulary = sorted({w for texts in TEMPLATES.values() for text in texts for w in _words(text)})
-    seen = sample.select(F.explode(F.array_distinct(F.filter("words", lambda w: w.isin(*vocabulary)))).alias("w")).groupBy("w").count()
-    usual = {r.w for r in seen.where(F.col("count") > max(2, sample.count() // 100)).collect()} | COMMON  # at most the vocabulary
-    signal = tuple(w for w in vocabulary if w not in usual and not w.isdigit())
-    around = sample.where("part = 0").select(F.slice("words", 1, 12).alias("around"), F.row_number().over(_by_words()).alias("k")).where(F.col("k") <= COPIES)
-    fit_rows = _damaged(known, around, COPIES, 0).unionByName(_damaged(ordinary, around, COPIES, 0)).unionByName(sample.where("part = 0").select(F.lit(NONE).alias("label"), "words"))
+    some, total, around = _ordinary(docs, confirm)
+    around = written(around)
+    seen = some.select(F.explode(F.array_intersect("words", F.array(*map(F.lit, VOCABULARY)))).alias("w")).groupBy("w").count()
+    usual = {r.w for r in seen.where(F.col("count") > max(2, total // 100)).collect()}  # at most the vocabulary
+    signal = tuple(w for w in VOCABULARY if w not in usual and not w.isdigit())
+    plain = written(_features(some.where(F.exists("words", lambda w: w.isin(*signal))), signal).groupBy("grams").agg(F.count(F.lit(1)).alias("n")))
+    quiet = total - plain.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # paragraphs without a signal word are alike to the classifier
+    plain = plain.unionByName(spark.createDataFrame([([], quiet)], "grams array<string>, n long"))
+    made = _features(_damaged(known, around, COPIES, 0).unionByName(_damaged(ordinary, around, COPIES, 0)), signal).select("label", "grams", F.lit(1.0).alias("weight"))
+    rows = made.unionByName(plain.where("n > 0").select(F.lit(NONE).alias("label"), "grams", (F.col("n") * (sample_rows / max(1, total))).alias("weight")))
     hashing = HashingTF(inputCol="grams", outputCol="features", numFeatures=1 << 14, binary=True)
-    ready = hashing.transform(_features(fit_rows, signal)).select("label", "features").coalesce(1).cache()
-    regression = LogisticRegression(family="multinomial", maxIter=40, regParam=0.001, elasticNetParam=0.0).fit(ready)
+    fit_rows = written(rows.repartition("grams").sortWithinPartitions("grams", "label", "weight"))
+    ready = hashing.transform(fit_rows).select("label", "features", "weight").cache()
+    regression = LogisticRegression(family="multinomial", weightCol="weight", maxIter=40, regParam=0.001, elasticNetParam=0.0).fit(ready)
+    ready.unpersist()
     model = Model(signal, hashing, regression, 0.5, confirm)
-    quiet = sample.where("part = 1").select("words").unionByName(_damaged(ordinary, around, COPIES, 1).select("words"))
-    held = predict(quiet, model).agg(F.percentile_approx("probability", F.lit(1 - false_rate), 10_000)).first()[0]
+    ordinary_top = predict(_damaged(ordinary, around, COPIES, 1).select("words"), model).agg(F.percentile_approx("probability", F.lit(1 - false_rate), 10_000)).first()[0]
     strange = predict(foreign.select("words"), model).agg(F.max("probability")).first()[0]
-    ready.unpersist()
-    sample.unpersist()
-    return model._replace(threshold=min(0.95, max(0.5, held or 0.0, strange or 0.0)))
-
+    return model._replace(threshold=min(0.95, max(0.5, _exceeded(plain, model, false_rate * total), ordinary_top or 0.0, strange or 0.0)))
 
-def _by_words():
-    from pyspark.sql.window import Window
 
-    return Window.orderBy(F.xxhash64("words"), "words")
+def _exceeded(plain: DataFrame, model: Model, most: float) -> float:
+    """The least probability, in steps of 1/10,000, that at most ``most`` of all counted paragraphs exceed."""
+    cell = F.ceil(F.col("probability") * 10_000)
+    cells = _scored(plain, model).groupBy(cell.alias("cell")).agg(F.sum("n").alias("n")).orderBy(F.desc("cell")).collect()  # 10,001 at most
+    above = 0
+    for r in cells:
+        above += r.n
+        if above > most:
+            return r.cell / 10_000
+    return 0.0
 
 
 def template_share(words: Column, notices: tuple[str, ...]) -> Column:
     """The largest share of a notice's word bigrams that the paragraph holds."""
+    return _share(bigrams(words), notices)
+
+
+def _share(grams: Column, notices: tuple[str, ...]) -> Column:
     literal = [F.array(*(F.lit(" ".join(p)) for p in dict.fromkeys(zip(w, w[1:])))) for w in map(_words, notices)]
-    return F.greatest(*(F.size(F.array_intersect(bigrams(words), x)) / F.size(x) for x in literal))
+    return F.greatest(*(F.size(F.array_intersect(grams, x)) / F.size(x) for x in literal))
 
 
 def predict(rows: DataFrame, model: Model) -> DataFrame:
     """Adds to rows with ``words``: the likeliest family, its probability, and ``licence``, the probability of any family."""
-    scored = model.regression.setProbabilityCol("p").setPredictionCol("best").setRawPredictionCol("raw").transform(model.hashing.transform(_features(rows, model.signal)))
+    return _scored(_features(rows, model.signal), model)
+
+
+def _scored(rows: DataFrame, model: Model) -> DataFrame:
+    scored = model.regression.setProbabilityCol("p").setPredictionCol("best").setRawPredictionCol("raw").transform(model.hashing.transform(rows))
     all_p = vector_to_array("p")
     top = scored.withColumn("licence", 1 - F.element_at(all_p, NONE + 1)).withColumn("p", F.slice(all_p, 1, NONE)).withColumn("probability", F.array_max("p"))
     family = F.element_at(F.array(*map(F.lit, FAMILIES)), F.array_position("p", F.col("probability")).cast("int"))
@@ -242,9 +275,3 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
         "doc_id", "paragraph", F.when(sure, F.col("family")).otherwise("unknown").alias("family"), F.when(sure, F.col("probability")).otherwise(F.col("licence")).alias("probability"), "template_share",
         (sure & (F.col("template_share") >= model.confirm)).alias("confirmed"), "text",
     )
-
-
-def _words(text: str) -> list[str]:
-    import re
-
-    return [w for w in re.split(SEPARATORS, text.lower()) if w]

@@ -243,6 +243,13 @@ def test_licences_found_and_ordinary_text_left(spark):
     assert found[60, 1].family == "apache-2.0" and found[61, 0].family == "cc-by-nc" and found[60, 1].confirmed
 
 
+def test_licence_signals_are_counted_over_all_paragraphs(spark):
+    """A word of one paragraph in twenty is no signal, however little the paragraphs weigh in the fit."""
+    table = docs(spark, [f"plain {words(8, i)}" + (" under warranties" if i % 20 == 0 else "") for i in range(400)])
+    signal = licenses.train(table, sample_rows=5).signal
+    assert "warranties" not in signal and "licensed" in signal
+
+
 #: Notices in other words or layouts than the fitted ones: (text, family).
 HELD_OUT = [
     ("   Unless required by applicable law or agreed to in writing, software is distributed on an AS IS BASIS without warranties or conditions of any kind.", "apache-2.0"),
