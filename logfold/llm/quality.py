@@ -156,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     found = docs.select("doc_id", text_or_empty().cast("binary").alias("t")).join(F.broadcast(wanted), "doc_id")
     # of several texts of an id one, before anything is collected
     found = found.groupBy("doc_id").agg(F.min_by("t", F.struct(F.xxhash64("t"), "t")).alias("t"), F.max("quality").alias("quality")).repartition(64, "doc_id")
-    rows = found.mapInPandas(scan, f"{columns}, quality int, doc_id long").toPandas().sort_values("doc_id")  # the same model whatever the order of the rows
+    rows = found.mapInPandas(scan, f"{columns}, quality int, doc_id long").toArrow().to_pandas().sort_values("doc_id")  # the same model whatever the order of the rows
     return fit(rows[[f"s{i}" for i in range(len(STATISTICS))]].to_numpy(), (rows["quality"].to_numpy() > 0).astype(float))
 
 

@@ -283,10 +283,10 @@ def _shingle_order(texts: DataFrame, rows: int, words: int) -> tuple[np.ndarray,
     share = int((1 << 20) * min(1.0, max(ORDER_ROWS / max(1, rows), 1 / ORDER_SHARE)))
     sample = texts.where(F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < share).select("node", "text").mapInArrow(_sets(words), "id long, shingles array<long>")
     counted = sample.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    found = counted.orderBy(F.desc("n"), "s").limit(ORDER_KEPT).toPandas()
-    common = found["s"].to_numpy(np.int64).view(np.uint64)
+    found = counted.orderBy(F.desc("n"), "s").limit(ORDER_KEPT).toArrow()
+    common = found["s"].to_numpy().view(np.uint64)
     order = np.argsort(common)
-    return common[order], found["n"].to_numpy(np.int64)[order]
+    return common[order], found["n"].to_numpy()[order]
 
 
 def text_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, set_block: int = 128) -> DataFrame:
