@@ -17,11 +17,13 @@ without terms, or none of whose terms occur, has no result; scores of 0 are left
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -38,19 +40,48 @@ def terms_of(text: bytes | None) -> list[bytes]:
     return TERMS.findall(text.lower()) if text else []
 
 
+class Filling:
+    """The documents of a shard to be: every term is kept once, a posting as two numbers of 32 bits."""
+
+    def __init__(self) -> None:
+        self.ids: list[int | None] = []
+        self.known: dict[bytes, int] = {}
+        #: The numbers of the terms of all documents, one after the other, their counts, and where each document ends.
+        self.numbers, self.counts, self.ends = array("i"), array("i"), array("q")
+
+    def add(self, doc_id: int | None, found: dict[bytes, int]) -> None:
+        known = self.known
+        self.ids.append(doc_id)
+        self.numbers.extend([known.setdefault(t, len(known)) for t in found])
+        self.counts.extend(found.values())
+        self.ends.append(len(self.counts))
+
+    def row(self, number: int) -> tuple:
+        """The row of the shard; documents in the order of their ids."""
+        ids, n, terms = self.ids, len(self.ids), sorted(self.known)
+        order = np.array(sorted(range(n), key=lambda i: (ids[i] is not None, ids[i] or 0)), np.int64)
+        place, at = np.empty(n, np.int64), np.empty(len(terms), np.int64)
+        place[order], at[[self.known[t] for t in terms]] = np.arange(n), np.arange(len(terms))
+        tf, ends = np.frombuffer(self.counts, np.int32), np.frombuffer(self.ends, np.int64)
+        lengths = np.diff(ends, prepend=0)
+        sizes = np.add.reduceat(tf, ends - lengths, dtype=np.int64)[order]
+        keys = at[np.frombuffer(self.numbers, np.int32)]
+        df = np.bincount(keys, minlength=len(terms))
+        keys *= n
+        docs = np.repeat(place.astype(np.int32), lengths)
+        keys += docs
+        by_term = keys.argsort()
+        del keys
+        known, values = np.array([ids[i] is not None for i in order], bool), np.array([ids[i] or 0 for i in order], np.int64)
+        return number, values.tobytes(), known.tobytes(), sizes.tobytes(), terms, df.cumsum().tobytes(), docs[by_term].tobytes(), tf[by_term].tobytes()
+
+
 def _shard(number: int, ids: list[int | None], found: list[dict[bytes, int]]) -> list[tuple]:
-    """Documents, their terms with counts -> the row of a shard; documents in the order of their ids."""
-    order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0))
-    postings: dict[bytes, list[int]] = {}
-    for place, i in enumerate(order):
-        for term, tf in found[i].items():
-            postings.setdefault(term, []).extend((place, tf))
-    terms = sorted(postings)
-    flat = np.array([x for t in terms for x in postings[t]], np.int32).reshape(-1, 2)
-    ends = np.array([len(postings[t]) // 2 for t in terms], np.int64).cumsum()
-    known, values = np.array([ids[i] is not None for i in order], bool), np.array([ids[i] or 0 for i in order], np.int64)
-    sizes = np.array([sum(found[i].values()) for i in order], np.int64)
-    return [(number, values.tobytes(), known.tobytes(), sizes.tobytes(), terms, ends.tobytes(), flat[:, 0].tobytes(), flat[:, 1].tobytes())]
+    """Documents, their terms with counts -> the row of a shard."""
+    filling = Filling()
+    for doc_id, counts in zip(ids, found, strict=True):
+        filling.add(doc_id, counts)
+    return [filling.row(number)]
 
 
 def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -63,19 +94,17 @@ def index_of(docs: DataFrame, shard_docs: int = 8192, shard_postings: int = 1 <<
     schema = pa.schema([("shard", pa.int64()), ("ids", pa.binary()), ("known", pa.binary()), ("sizes", pa.binary()), ("terms", pa.list_(pa.binary())), ("ends", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, found, size, number = [], [], 0, 0
+        filling, number = Filling(), 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                counts = Counter(terms_of(text.as_py()))
-                if counts:
-                    ids.append(doc_id.as_py())
-                    found.append(counts)
-                    size += len(counts)
-                if len(ids) == shard_docs or size >= shard_postings:
-                    yield _table(_shard(number, ids, found), schema)
-                    ids, found, size, number = [], [], 0, number + 1
-        if ids:
-            yield _table(_shard(number, ids, found), schema)
+                found = Counter(terms_of(text.as_py()))
+                if found:
+                    filling.add(doc_id.as_py(), found)
+                if len(filling.ids) == shard_docs or len(filling.counts) >= shard_postings:
+                    full, number, filling = _table([filling.row(number)], schema), number + 1, Filling()
+                    yield full
+        if filling.ids:
+            yield _table([filling.row(number)], schema)
 
     return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, SHARD))
 
@@ -118,7 +147,7 @@ def query_terms(items: DataFrame) -> DataFrame:
 
 
 class Shard:
-    """The postings of a shard; weights within documents are computed once a term, for all queries."""
+    """The postings of a shard; weights within documents are computed once a term, for all queries of a block."""
 
     def __init__(self, ids: bytes, known: bytes, sizes: bytes, terms: list[bytes], ends: bytes, docs: bytes, counts: bytes, n: int, length: int) -> None:
         self.ids, self.known = np.frombuffer(ids, np.int64), np.frombuffer(known, bool)
@@ -163,6 +192,17 @@ class Shard:
         return found, scores[found]
 
 
+def _asked_of(row: list[pa.Scalar], wanted: set[bytes]) -> tuple:
+    """A shard's row with the wanted terms and their postings only; the others are never made objects or copied."""
+    ids, known, sizes, terms, ends, docs, counts = row
+    at = np.flatnonzero(pc.is_in(terms.values, value_set=pa.array(wanted, pa.binary())).to_numpy(zero_copy_only=False))
+    ends = np.frombuffer(ends.as_buffer(), np.int64)
+    runs = [slice(ends[i - 1] if i else 0, ends[i]) for i in at.tolist()]
+    some = lambda x: np.concatenate([np.frombuffer(x.as_buffer(), np.int32)[r] for r in runs] or [np.empty(0, np.int32)])
+    lengths = np.array([r.stop - r.start for r in runs], np.int64)
+    return ids.as_py(), known.as_py(), sizes.as_py(), terms.values.take(pa.array(at)).to_pylist(), lengths.cumsum(), some(docs), some(counts)
+
+
 def search(index: DataFrame, items: DataFrame, k: int = 50, query_rows: int = 512) -> DataFrame:
     """(item_id, rank, doc_id, score): the k highest scores of every item, ties by doc_id."""
     n, length = corpus_counts(index)
@@ -179,14 +219,12 @@ def search(index: DataFrame, items: DataFrame, k: int = 50, query_rows: int = 51
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         floors: dict[object, list[int]] = {}
-        last, shard = None, None
         for batch in batches:
             out: tuple[list, list, list] = ([], [], [])
             for i in range(batch.num_rows):
-                row = [batch.column(c)[i] for c in range(8)]
-                if last is None or not all(a.equals(b) for a, b in zip(row[:2], last, strict=True)):
-                    last, shard = row[:2], Shard(*(x.as_py() for x in row[:7]), n, length)
-                for item in row[7].as_py():
+                row, asked = [batch.column(c)[i] for c in range(7)], batch.column(7)[i].as_py()
+                shard = Shard(*_asked_of(row, {t["term"] for item in asked for t in item["terms"]}), n, length)
+                for item in asked:
                     bests = floors.setdefault(item["item_id"], [])
                     found, scores = shard.best([(t["term"], t["w"]) for t in item["terms"]], k, bests[-1] if len(bests) == k else 1)
                     floors[item["item_id"]] = sorted([*bests, *scores.tolist()], reverse=True)[:k]

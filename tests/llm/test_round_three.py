@@ -3,10 +3,12 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -246,3 +248,33 @@ def test_no_accumulator_is_made_once_bounds_are_too_low():
     assert docs.tolist() == [0, 1, 2] and len(set(scores.tolist())) == 1
     every = shard.best([(rare, 5000), (common, 3)], 403, 1)
     assert len(every[0]) == 403 and every[1][0] == scores[0]
+
+
+def test_shards_of_equal_ids_are_not_taken_for_one(spark):
+    """Rows that repeat their ids in several shards (here in one task) count with the terms of their own shard."""
+    docs = [(i, f"t{part} t{part + i} common") for part in range(4) for i in range(6)] + [(None, f"t{n} other") for n in range(12)]
+    items = [(i, f"t{i} common other") for i in range(8)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    assert ranked(frame, spark.createDataFrame(items, "item_id long, text string"), 9, shard_docs=6) == plain_search(docs, items, 9)
+
+
+def test_a_shard_to_be_holds_numbers_not_objects(spark, monkeypatch):
+    """What a task holds while it fills a shard: less than 64 bytes a posting, besides the terms."""
+    n, words = 2000, 120
+    rng = np.random.default_rng(1)
+    texts = [b" ".join(b"t%d" % x for x in rng.choice(3000, words, replace=False)) for _ in range(n)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array(texts, pa.binary())], ["doc_id", "text"])
+
+    class Docs:
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, run, schema: run
+
+    monkeypatch.setattr(search, "written", lambda run: run)
+    run = search.index_of(Docs())
+    tracemalloc.start()
+    try:
+        shards = [len(b.column("docs")[0].as_py()) // 4 for b in run(iter([batch]))]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert shards == [n * words] and peak < 64 * n * words
