@@ -15,6 +15,13 @@ first. Two bounds and one search:
 So a key never joins more than ``hot`` classes or a row a size. The work grows with the keys: it is near the number of
 sets where keys turn rare within a few tokens, or where the common part of texts is alike (few classes). It is high for
 large sets of many common tokens in ever new combinations of low likeness; the result is exact there too.
+
+Most requests need none of this, since their k-th neighbour differs in a token or two (``closest``). With the tokens of at
+most ``RARE`` classes apart, sets are shapes: their other tokens and their size. Shapes meet under what is left of both when
+up to d tokens are taken away, with the ``keep`` smallest ids a size. The overlap of any pair is such a rest, and ids beyond
+the ``keep`` smallest under a rest and a size rank below them, so the best ids found are exact once no pair of shapes
+further apart can reach the k-th of them. For each request that is known from the sizes; what is open after the last d is
+searched as above. Rests are known by 128 bits of hashes.
 """
 
 from __future__ import annotations
@@ -25,6 +32,10 @@ from pyspark.sql.window import Window as W
 
 from logfold.sources.shared import written
 
+#: Tokens of at most so many classes are an index of their own when shapes meet.
+RARE = 8
+#: Tokens taken away, and the longest shapes for which all such rests are made (254 or 299 of them at most, or 65).
+REACH = {1: 64, 2: 22, 3: 12}
 #: Tokens of a min-hash key; keys of each kind.
 BANDS = ((1, 4), (2, 6), (3, 6))
 
@@ -58,19 +69,88 @@ def _steps(keys: DataFrame, depth: int) -> DataFrame:
     return grown.withColumn("key", F.concat_ws("\u0001", "key", F.get("c", F.col("place") - 1))).withColumn("last", F.col("place")).drop("place")
 
 
+def _counted(sets: DataFrame) -> DataFrame:
+    """(rev, token, df): the classes that hold a token."""
+    return written(sets.select("rev", F.explode("t").alias("token")).groupBy("rev", "token").agg(F.count(F.lit(1)).alias("df")))
+
+
+def _sharing_rare(asked: DataFrame, sets: DataFrame, common: DataFrame) -> DataFrame:
+    """(rev, t, id, likeness) of all pairs that share a token which is not common."""
+    rare = sets.select("rev", F.col("t").alias("r"), "ids", F.explode("t").alias("token")).join(common, ["rev", "token"], "left_anti")
+    met = asked.select("rev", "t", F.explode("t").alias("token")).join(rare, ["rev", "token"]).select("rev", "t", "r", "ids").dropDuplicates(["rev", "t", "r"])
+    return written(met.select("rev", "t", F.explode("ids").alias("id"), _likeness(F.size(F.array_intersect("t", "r")), F.size("t"), F.size("r")).alias("likeness")))
+
+
+def _common_part(rows: DataFrame, common: DataFrame, cols: list[str]) -> DataFrame:
+    """The rows (rev, *cols) that hold common tokens, with these as ``c``, rarest first."""
+    rarest = F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"])
+    return rows.withColumn("token", F.explode("t")).join(common, ["rev", "token"]).groupBy("rev", *cols).agg(rarest.alias("c"))
+
+
+def _rests(shapes: DataFrame, depth: int) -> DataFrame:
+    """The shapes' rows, once for each set of 1 to all tokens that is left when up to ``depth`` tokens of ``c`` are taken
+    away: its hashes ``a`` and ``b``, its size ``s``."""
+    each = lambda seed: F.transform("c", lambda t: F.xxhash64(t, F.lit(seed)))
+    joined = lambda hashes: F.aggregate(hashes, F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
+    rows = shapes.withColumn("ha", each(1)).withColumn("hb", each(2)).withColumn("s", F.size("c")).withColumn("last", F.lit(0)).drop("c")
+    rows = rows.withColumn("a", joined(F.col("ha"))).withColumn("b", joined(F.col("hb"))).withColumn("size", F.col("s"))
+    out = rows
+    for _ in range(depth):
+        rows = rows.withColumn("place", F.explode(F.when(F.col("last") < F.col("size"), F.sequence(F.col("last") + 1, F.col("size"))).otherwise(F.array().cast("array<int>"))))
+        less = lambda key, hashes: F.col(key).bitwiseXOR(F.get(hashes, F.col("place") - 1))
+        rows = rows.withColumn("a", less("a", "ha")).withColumn("b", less("b", "hb")).withColumn("s", F.col("s") - 1).withColumn("last", F.col("place")).drop("place")
+        out = out.unionByName(rows)
+    return out.where("s > 0").drop("ha", "hb", "last", "size")
+
+
+def closest(asked: DataFrame, sets: DataFrame, keep: int, rare: int = RARE) -> tuple[DataFrame, DataFrame]:
+    """((rev, t, id, likeness), (rev, t)): what may be among the ``keep`` most alike of ``asked``, as in ``candidates``, and
+    the token sets for which that is not all."""
+    common = _counted(sets).where(F.col("df") > rare)
+    close = _sharing_rare(asked, sets, common)
+    shapes = _common_part(sets, common, ["t", "ids"]).select("rev", "c", F.size("t").alias("m"), F.explode("ids").alias("id"))
+    at = F.dense_rank().over(W.partitionBy("rev", "c", "m").orderBy("id"))
+    shapes = written(shapes.withColumn("at", at).where(F.col("at") <= keep).select("rev", "c", "m", "id").distinct())
+    queries = _common_part(asked, common, ["t"]).withColumn("n", F.size("t"))
+    of_shape = written(queries.groupBy("rev", "c", "n").agg(F.count(F.lit(1)).alias("sets")).withColumn("q", F.monotonically_increasing_id()))
+    queries = written(queries.join(of_shape, ["rev", "c", "n"]).select("rev", "t", "q"))
+    lengths = written(shapes.select("rev", F.size("c").alias("v"), "m").distinct())
+
+    left, best, found = of_shape.select("rev", "c", "n", "q"), None, []
+    for depth, longest in REACH.items():
+        ours = _rests(left.where(F.size("c") <= longest), depth)
+        theirs = _rests(shapes.where(F.size("c") <= longest), depth)
+        at = F.dense_rank().over(W.partitionBy("rev", "a", "b", "m").orderBy("id"))
+        index = theirs.withColumn("at", at).where(F.col("at") <= keep).select("rev", "a", "b", "m", "id")
+        near = ours.join(index, ["rev", "a", "b"]).groupBy("q", "id").agg(F.max(_likeness(F.col("s"), F.col("n"), F.col("m"))).alias("likeness"))
+        near = near if best is None else near.unionByName(best).groupBy("q", "id").agg(F.max("likeness").alias("likeness"))
+        at = F.row_number().over(W.partitionBy("q").orderBy(F.desc("likeness"), "id"))
+        best = written(near.withColumn("at", at).where(F.col("at") <= keep).drop("at"))
+        bound = best.groupBy("q").agg(F.count(F.lit(1)).alias("held"), F.min("likeness").alias("least")).where(F.col("held") == keep).select("q", "least")
+        # pairs of shapes that have not met share at most ``most`` tokens
+        size, v, reached = F.col("u"), F.col("v"), F.lit(-1)
+        for d in range(1, depth + 1):
+            reached = F.when((v <= REACH[d]) & (size <= REACH[d]), F.lit(d)).otherwise(reached)
+        most = F.least(size, v, F.greatest(size, v) - reached - 1)
+        beyond = F.max(F.when(most > 0, _likeness(most, F.col("n"), F.col("m"))).otherwise(F.lit(0.0)))
+        ceiling = left.select("rev", F.size("c").alias("u"), "n").distinct().join(F.broadcast(lengths), "rev").groupBy("rev", "u", "n").agg(beyond.alias("ceiling"))
+        still = left.withColumn("u", F.size("c")).join(F.broadcast(ceiling), ["rev", "u", "n"]).join(bound, "q", "left")
+        left = written(still.where((F.col("ceiling") > 0) & (F.col("ceiling") >= F.coalesce("least", F.lit(0.0)))).select("rev", "c", "n", "q"))
+        if left.isEmpty():
+            break
+    done = queries.join(best.join(left.select("q"), "q", "left_anti"), "q").select("rev", "t", "id", "likeness")
+    return close.unionByName(done), queries.join(left.select("q"), "q", "left_semi").select("rev", "t")
+
+
 def candidates(asked: DataFrame, sets: DataFrame, keep: int, hot: int) -> DataFrame:
     """(rev, t, id, likeness) of the sets (rev, t, ids) that may be among the ``keep`` most alike of the token sets ``asked`` (rev, t),
     the highest of a pair's rows being its likeness."""
-    df = written(sets.select("rev", F.explode("t").alias("token")).groupBy("rev", "token").agg(F.count(F.lit(1)).alias("df")))
-    common = df.where(F.col("df") > hot)
-    rare = sets.select("rev", F.col("t").alias("r"), "ids", F.explode("t").alias("token")).join(common, ["rev", "token"], "left_anti")
-    met = asked.select("rev", "t", F.explode("t").alias("token")).join(rare, ["rev", "token"]).select("rev", "t", "r", "ids").dropDuplicates(["rev", "t", "r"])
-    close = written(met.select("rev", "t", F.explode("ids").alias("id"), _likeness(F.size(F.array_intersect("t", "r")), F.size("t"), F.size("r")).alias("likeness")))
+    common = _counted(sets).where(F.col("df") > hot)
+    close = _sharing_rare(asked, sets, common)
 
     if common.isEmpty():
         return close
-    rarest = F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"])
-    with_common = lambda rows, cols: rows.withColumn("token", F.explode("t")).join(common, ["rev", "token"]).groupBy("rev", *cols).agg(rarest.alias("c"))
+    with_common = lambda rows, cols: _common_part(rows, common, cols)
     shaped = with_common(sets, ["t", "ids"]).select("rev", "c", F.size("t").alias("m"), F.explode("ids").alias("id")).groupBy("rev", "c", "m").agg(_least("id", keep).alias("ids"))
     shapes = written(shaped)
     queries = written(with_common(asked, ["t"]))
@@ -122,7 +202,10 @@ def top_k(requests: DataFrame, references: DataFrame, k: int, hot: int) -> DataF
     keep = k + 1  # one may be the request's own row
     asked = written(requests.select("case_id", "rev", "t").where("case_id IS NOT NULL AND size(t) > 0").distinct())
     sets = written(references.where("case_id IS NOT NULL AND size(t) > 0").groupBy("rev", "t").agg(_least("case_id", keep).alias("ids")))
-    near = candidates(asked.select("rev", "t").distinct(), sets, keep, hot)
+    near, left = closest(asked.select("rev", "t").distinct(), sets, keep, min(RARE, hot))
+    left = written(left)
+    if not left.isEmpty():
+        near = near.unionByName(candidates(left, sets, keep, hot))
     best = near.groupBy("rev", "t", F.col("id").alias("ref_id")).agg(F.max("likeness").alias("similarity"))
     of_case = asked.join(best, ["rev", "t"]).where("case_id <> ref_id").groupBy("case_id", "ref_id").agg(F.max("similarity").alias("similarity"))
     rank = F.row_number().over(W.partitionBy("case_id").orderBy(F.desc("similarity"), "ref_id"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from logfold.functions import text, vocab
-from logfold.operators import templates
+from logfold.operators import setsim, templates
 
 
 def test_concepts_look_at_the_order_of_tokens_only_where_a_phrase_can_be(spark, monkeypatch):
@@ -50,3 +52,44 @@ def test_parts_of_case_scores_follow_the_cases(spark, monkeypatch):
     monkeypatch.setattr(metrics, "CASES_A_PART", 4)
     assert metrics.case_parts(cases) == 10 and shown() == one
     assert metrics.set_scores(cases, gold, pred, ["kind", "locator", "role"]).rdd.getNumPartitions() == 10
+
+
+def url_like(n: int) -> dict[str, set]:
+    """Sets as those of page addresses: a number of their own, all other tokens common, neighbours that differ in a token or two."""
+    rnd = random.Random(n)
+    ends = ([], ["html"], ["top"], ["utm", "source", "feed"], ["page", "2", "ref", "x"])
+    return {f"c{i:04}": {"example", rnd.choice(["http", "https"]), *rnd.choice([[], ["m"], ["www"], ["blog"]]), f"d{rnd.randrange(3)}", rnd.choice(["com", "net"]), rnd.choice(["en", "fr"]), str(1000 + i), *rnd.choice(ends)} for i in range(n)}
+
+
+def nearest(sets: dict[str, set], k: int) -> list[tuple]:
+    found = []
+    for q, a in sets.items():
+        near = sorted((-len(a & b) / len(a | b), r) for r, b in sets.items() if r != q and a & b)[:k]
+        found += [(q, r, -s, at + 1) for at, (s, r) in enumerate(near)]
+    return sorted(found)
+
+
+def test_neighbours_that_differ_in_a_token_or_two_need_few_keys(spark, monkeypatch):
+    """What the search writes follows the sets; before, all runs of their common tokens were written at every depth."""
+    sets, kept, plain = url_like(400), [], setsim.written
+
+    def counted(df):
+        out = plain(df)
+        kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(setsim, "written", counted)
+    rows = spark.createDataFrame([(c, "r", sorted(s)) for c, s in sets.items()], "case_id string, rev string, t array<string>")
+    assert sorted(map(tuple, setsim.top_k(rows, rows, 3, 16).collect())) == nearest(sets, 3)
+    assert sum(kept) < 20 * len(sets)
+
+
+def test_neighbours_that_the_rests_of_shapes_leave_open(spark, monkeypatch):
+    """Shapes longer than ``REACH`` go to the search by keys, shorter ones meet; the rows are those of all pairs."""
+    sets = url_like(120) | {f"l{i}": {f"w{(7 * i + j * j) % 31}" for j in range(9)} for i in range(20)}
+    rows = spark.createDataFrame([(c, "r", sorted(s)) for c, s in sets.items()], "case_id string, rev string, t array<string>")
+    asked, groups = rows.select("rev", "t").distinct(), rows.groupBy("rev", "t").agg(F.collect_set("case_id").alias("ids"))
+    monkeypatch.setattr(setsim, "REACH", {1: 7})
+    left = setsim.closest(asked, groups, 4, 4)[1].count()
+    assert 0 < left < asked.count()
+    assert sorted(map(tuple, setsim.top_k(rows, rows, 3, 4).collect())) == nearest(sets, 3)
