@@ -32,6 +32,8 @@ from logfold.llm.common import written
 
 TERMS = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 SHARD = "shard long, ids binary, known binary, sizes binary, terms array<binary>, ends binary, docs binary, counts binary"
+#: A row holds megabytes: a Parquet page or row group is looked at for its end after every row, not after a hundred.
+WIDE = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1", "parquet.enable.dictionary": "false"}
 POOL = "item_id {k}, doc_id long, score long"
 
 
@@ -106,7 +108,7 @@ def index_of(docs: DataFrame, shard_docs: int = 8192, shard_postings: int = 1 <<
         if filling.ids:
             yield _table([filling.row(number)], schema)
 
-    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, SHARD))
+    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, SHARD), **WIDE)
 
 
 def corpus_counts(index: DataFrame) -> tuple[int, int]:

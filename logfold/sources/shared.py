@@ -48,18 +48,18 @@ def scope(spark: SparkSession) -> Iterator[None]:
         remove(spark, *paths)
 
 
-def written_at(df: DataFrame) -> tuple[DataFrame, str]:
-    """The rows as a Parquet table in the shared folder, and its path."""
+def written_at(df: DataFrame, **options: str) -> tuple[DataFrame, str]:
+    """The rows as a Parquet table in the shared folder, and its path; options are those of the writer."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/logfold-{uuid.uuid4().hex}"
     if _SCOPES:
         _SCOPES[-1].append(path)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path  # known, so no job looks for it
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, **options: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: read more than once, computed once."""
-    return written_at(df)[0]
+    return written_at(df, **options)[0]
 
 
 def remove(spark: SparkSession, *paths: str) -> None:

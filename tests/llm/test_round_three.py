@@ -269,7 +269,7 @@ def test_a_shard_to_be_holds_numbers_not_objects(spark, monkeypatch):
         select = lambda self, *columns: self
         mapInArrow = lambda self, run, schema: run
 
-    monkeypatch.setattr(search, "written", lambda run: run)
+    monkeypatch.setattr(search, "written", lambda run, **options: run)
     run = search.index_of(Docs())
     tracemalloc.start()
     try:
